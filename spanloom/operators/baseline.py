@@ -163,7 +163,7 @@ def split_by_input(
     share: float = 0.7,
     *,
     at_least: int = 10,
-    rows_per_slice: int = ROWS_PER_SLICE,
+    rows_per_slice: int | None = ROWS_PER_SLICE,
 ) -> DataFrame:
     """Add ``is_baseline``: true for the first share of each program's inputs.
 
@@ -242,7 +242,7 @@ def bottleneck_model(runs: DataFrame) -> DataFrame:
     )
 
 
-def resource_model(runs: DataFrame, *, rows_per_slice: int = ROWS_PER_SLICE) -> DataFrame:
+def resource_model(runs: DataFrame, *, rows_per_slice: int | None = ROWS_PER_SLICE) -> DataFrame:
     """Mean, population deviation, p95 and p99 per program and resource."""
     long = runs.select(
         "program",
@@ -279,7 +279,7 @@ def archetype_model(runs: DataFrame) -> DataFrame:
     )
 
 
-def archetype_transitions(runs: DataFrame, *, rows_per_slice: int = ROWS_PER_SLICE) -> DataFrame:
+def archetype_transitions(runs: DataFrame, *, rows_per_slice: int | None = ROWS_PER_SLICE) -> DataFrame:
     """Counts of archetype changes between successive iterations of an input."""
     stepped = with_previous(
         runs.select("program", "input_id", "iteration", "archetype"),
@@ -293,7 +293,7 @@ def archetype_transitions(runs: DataFrame, *, rows_per_slice: int = ROWS_PER_SLI
     return stepped.groupBy("program", move.alias("transition")).agg(F.count(F.lit(1)).alias("count"))
 
 
-def bounds_model(runs: DataFrame, *, rows_per_slice: int = ROWS_PER_SLICE) -> DataFrame:
+def bounds_model(runs: DataFrame, *, rows_per_slice: int | None = ROWS_PER_SLICE) -> DataFrame:
     """Duration and length statistics per program."""
     basic = runs.groupBy("program").agg(
         F.avg("path_duration_ns").alias("duration_mean"),

@@ -84,7 +84,7 @@ def slice_inputs(
     size: int,
     range_index: int | Column = 0,
     *,
-    rows_per_slice: int = ROWS_PER_SLICE,
+    rows_per_slice: int | None = ROWS_PER_SLICE,
 ) -> DataFrame:
     """Inputs ``range * size`` to ``(range + 1) * size`` in the given order."""
     placed = ranked(inputs, [], order, "position", rows_per_slice=rows_per_slice)

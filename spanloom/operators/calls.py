@@ -29,7 +29,7 @@ def clean_events(events: DataFrame) -> DataFrame:
     )
 
 
-def pair_calls(events: DataFrame, *, rows_per_slice: int = ROWS_PER_SLICE) -> DataFrame:
+def pair_calls(events: DataFrame, *, rows_per_slice: int | None = ROWS_PER_SLICE) -> DataFrame:
     """One row per completed call, from events ``run, tid, ts, seq, ph, name``.
 
     The running count of open calls gives each event its level; at one level of
@@ -74,7 +74,7 @@ def unmatched_events(events: DataFrame, calls: DataFrame) -> DataFrame:
     )
 
 
-def call_parents(calls: DataFrame, *, rows_per_slice: int = ROWS_PER_SLICE) -> DataFrame:
+def call_parents(calls: DataFrame, *, rows_per_slice: int | None = ROWS_PER_SLICE) -> DataFrame:
     """Add ``parent_id``: the latest call one level up in the same thread."""
     states = calls.select(*THREAD, "level", F.col("start_ts").alias("ts"), F.col("call_id").alias("seq"))
     probes = calls.withColumns(
@@ -130,7 +130,7 @@ def hotspots(
     )
 
 
-def chain_scores(calls: DataFrame, *, rows_per_slice: int = ROWS_PER_SLICE) -> DataFrame:
+def chain_scores(calls: DataFrame, *, rows_per_slice: int | None = ROWS_PER_SLICE) -> DataFrame:
     """Add ``score``: summed durations from below the root down to the call.
 
     While a call is open its duration is counted, so a running sum over begins
@@ -164,7 +164,7 @@ def chain_scores(calls: DataFrame, *, rows_per_slice: int = ROWS_PER_SLICE) -> D
 
 
 def critical_paths(
-    stats: DataFrame, k: int = 10, *, rows_per_slice: int = ROWS_PER_SLICE
+    stats: DataFrame, k: int = 10, *, rows_per_slice: int | None = ROWS_PER_SLICE
 ) -> DataFrame:
     """The ``k`` heaviest root-to-leaf chains per run, one row per function.
 
@@ -217,7 +217,7 @@ def path_bottlenecks(
     by: list[str],
     duration: str = "duration",
     *,
-    rows_per_slice: int = ROWS_PER_SLICE,
+    rows_per_slice: int | None = ROWS_PER_SLICE,
 ) -> DataFrame:
     """Non-root functions, longest first, with their percentage of the path."""
     inner = functions.where(F.col("pos") > 0)

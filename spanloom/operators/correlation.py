@@ -26,7 +26,7 @@ SMALL_GAMMA = (-2.273, 0.459)
 
 
 def average_ranks(
-    df: DataFrame, by: list[str], value: str, out: str, *, rows_per_slice: int = ROWS_PER_SLICE
+    df: DataFrame, by: list[str], value: str, out: str, *, rows_per_slice: int | None = ROWS_PER_SLICE
 ) -> DataFrame:
     """1-based rank within the group; equal values share their mean rank."""
     counts = df.groupBy(*by, value).agg(F.count(F.lit(1)).alias("_count"))
@@ -45,7 +45,7 @@ def pearson(df: DataFrame, by: list[str], a: str, b: str) -> DataFrame:
 
 
 def spearman(
-    df: DataFrame, by: list[str], a: str, b: str, *, rows_per_slice: int = ROWS_PER_SLICE
+    df: DataFrame, by: list[str], a: str, b: str, *, rows_per_slice: int | None = ROWS_PER_SLICE
 ) -> DataFrame:
     """Spearman's rho per group of more than two rows, ties by mean rank."""
     ranks = average_ranks(df.select(*by, a, b), by, a, "_a", rows_per_slice=rows_per_slice)
@@ -122,7 +122,7 @@ def shapiro_wilk(
     tie: str,
     *,
     alpha: float = 0.05,
-    rows_per_slice: int = ROWS_PER_SLICE,
+    rows_per_slice: int | None = ROWS_PER_SLICE,
 ) -> DataFrame:
     """Shapiro-Wilk W and p by Royston's approximation, for n >= 3.
 
@@ -209,7 +209,7 @@ def normality_verdict(
     tie: str,
     *,
     alpha: float = 0.05,
-    rows_per_slice: int = ROWS_PER_SLICE,
+    rows_per_slice: int | None = ROWS_PER_SLICE,
 ) -> DataFrame:
     """Both tests and their joint verdict; too few values are not normal."""
     sizes = df.groupBy(*by).agg(
@@ -247,7 +247,7 @@ def normality_verdict(
 
 
 def correlation_report(
-    classified: DataFrame, *, alpha: float = 0.05, rows_per_slice: int = ROWS_PER_SLICE
+    classified: DataFrame, *, alpha: float = 0.05, rows_per_slice: int | None = ROWS_PER_SLICE
 ) -> DataFrame:
     """Pearson on scores, Spearman on ranks, and whether Pearson is apt.
 

@@ -150,7 +150,7 @@ def isolation_forest(
     seed: int = 42,
     at_least: int = 10,
     chunk_rows: int = 50_000,
-    rows_per_slice: int = ROWS_PER_SLICE,
+    rows_per_slice: int | None = ROWS_PER_SLICE,
 ) -> DataFrame:
     """Isolation forest per program, flagging the top share of baseline scores.
 
@@ -241,7 +241,7 @@ def one_class_kernel(
     frequencies: int = 32,
     seed: int = 42,
     at_least: int = 10,
-    rows_per_slice: int = ROWS_PER_SLICE,
+    rows_per_slice: int | None = ROWS_PER_SLICE,
 ) -> DataFrame:
     """One-class detector: mean RBF kernel to the whole baseline, cut at ``nu``.
 

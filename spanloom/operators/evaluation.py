@@ -55,7 +55,7 @@ def roc_auc(
     score: str = "combined_score",
     truth: str = "is_regression",
     *,
-    rows_per_slice: int = ROWS_PER_SLICE,
+    rows_per_slice: int | None = ROWS_PER_SLICE,
 ) -> DataFrame:
     """Area under the ROC curve with half credit for ties; 0 with one class.
 
@@ -104,7 +104,7 @@ def ablation(scored: DataFrame) -> DataFrame:
     return rates.select("excluded_signal", *metrics, *[c.alias(n) for n, c in drops.items()])
 
 
-def compare_detectors(flags: DataFrame, *, rows_per_slice: int = ROWS_PER_SLICE) -> DataFrame:
+def compare_detectors(flags: DataFrame, *, rows_per_slice: int | None = ROWS_PER_SLICE) -> DataFrame:
     """Rates and AUC per detector from rows ``(run, detector, flagged)``."""
     rates = precision_recall_f1(confusion_matrix(flags, ["detector"], "flagged"))
     areas = roc_auc(

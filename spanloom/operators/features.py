@@ -90,7 +90,7 @@ def structural_features(functions: DataFrame, key: list[str], static: DataFrame,
 
 
 def temporal_features(
-    functions: DataFrame, key: list[str], *, rows_per_slice: int = ROWS_PER_SLICE
+    functions: DataFrame, key: list[str], *, rows_per_slice: int | None = ROWS_PER_SLICE
 ) -> DataFrame:
     """Total, Gini, top-1 and top-3 share, self share, place of the peak."""
     negated = functions.select(*key, "pos", "duration_ns", "self_time_ns").withColumn(
@@ -191,7 +191,7 @@ def phase_features(
     key: list[str],
     *,
     width: int,
-    rows_per_slice: int = ROWS_PER_SLICE,
+    rows_per_slice: int | None = ROWS_PER_SLICE,
 ) -> DataFrame:
     """How resources change across the phases of a path.
 
@@ -284,7 +284,7 @@ def path_metadata(functions: DataFrame, key: list[str], columns: dict[str, str])
 
 
 def resource_thresholds(
-    features: DataFrame, *, compat: bool = False, rows_per_slice: int = ROWS_PER_SLICE
+    features: DataFrame, *, compat: bool = False, rows_per_slice: int | None = ROWS_PER_SLICE
 ) -> DataFrame:
     """Largest depth and the 80th/40th percentiles of three resource features.
 

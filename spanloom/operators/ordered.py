@@ -8,6 +8,9 @@ rows on every evaluation, so a recomputed task cuts in the same places. Groups
 without a picked row stay whole and cost a plain window. Results are exact for
 any choice of cuts.
 
+``rows_per_slice=None`` states that the whole input is proven to fit one slice
+(see ``slicing``); the cut-point passes are then left out.
+
 No join here is forced to broadcast: the cut-point and per-slice tables are
 small, and adaptive execution broadcasts them only if their measured size fits.
 """
@@ -21,6 +24,11 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 ROWS_PER_SLICE = 200_000
 
 
+def slicing(rows: int) -> int | None:
+    """``rows_per_slice`` for an input of at most ``rows`` rows in all."""
+    return None if rows <= ROWS_PER_SLICE else ROWS_PER_SLICE
+
+
 def _column(name_or_column: str | Column) -> Column:
     return F.col(name_or_column) if isinstance(name_or_column, str) else name_or_column
 
@@ -62,12 +70,16 @@ def running_sum(
     value: str | Column,
     out: str,
     *,
-    rows_per_slice: int = ROWS_PER_SLICE,
+    rows_per_slice: int | None = ROWS_PER_SLICE,
 ) -> DataFrame:
     """Inclusive running sum of ``value`` per group, in ascending ``order``.
 
     ``order`` must be unique within a group for a deterministic result.
     """
+    if rows_per_slice is None:
+        whole = Window.partitionBy(*by).orderBy(*order)
+        summed = F.sum(_column(value)).over(whole.rowsBetween(Window.unboundedPreceding, 0))
+        return df.withColumn(out, summed)
     valued = df.withColumn("_value", _column(value))
     sliced = _with_slice(valued, by, order, rows_per_slice)
     slices = Window.partitionBy(*by).orderBy("_slice")
@@ -96,7 +108,7 @@ def ranked(
     order: Sequence[str],
     out: str,
     *,
-    rows_per_slice: int = ROWS_PER_SLICE,
+    rows_per_slice: int | None = ROWS_PER_SLICE,
 ) -> DataFrame:
     """1-based row number per group in ascending ``order``."""
     return running_sum(
@@ -110,7 +122,7 @@ def ranked_descending(
     order: Sequence[str],
     out: str,
     *,
-    rows_per_slice: int = ROWS_PER_SLICE,
+    rows_per_slice: int | None = ROWS_PER_SLICE,
 ) -> DataFrame:
     """1-based row number per group with every column of ``order`` descending."""
     size = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_size"))
@@ -128,10 +140,12 @@ def with_previous(
     columns: Sequence[str],
     out: str,
     *,
-    rows_per_slice: int = ROWS_PER_SLICE,
+    rows_per_slice: int | None = ROWS_PER_SLICE,
 ) -> DataFrame:
     """Add ``out``: a struct of ``columns`` of the row before, null on the first."""
     payload = F.struct(*columns)
+    if rows_per_slice is None:
+        return df.withColumn(out, F.lag(payload).over(Window.partitionBy(*by).orderBy(*order)))
     sliced = _with_slice(df, by, order, rows_per_slice)
     slices = Window.partitionBy(*by).orderBy("_slice")
     tails = (
@@ -155,7 +169,7 @@ def latest_before(
     columns: Sequence[str],
     out: str,
     *,
-    rows_per_slice: int = ROWS_PER_SLICE,
+    rows_per_slice: int | None = ROWS_PER_SLICE,
 ) -> DataFrame:
     """As-of join: for each probe the last state at or before it, else null.
 
@@ -170,6 +184,13 @@ def latest_before(
     )
     scan_order = [*order, "_kind"]
     merged = state_rows.unionByName(probe_rows, allowMissingColumns=True)
+    if rows_per_slice is None:
+        whole = Window.partitionBy(*by).orderBy(*scan_order)
+        latest = F.last("_state", ignorenulls=True).over(
+            whole.rowsBetween(Window.unboundedPreceding, 0)
+        )
+        found = merged.withColumn(out, latest).where(F.col("_probe").isNotNull())
+        return found.select("_probe.*", out)
     sliced = _with_slice(merged, by, scan_order, rows_per_slice)
     slices = Window.partitionBy(*by).orderBy("_slice")
     carried = (
@@ -232,7 +253,7 @@ def percentiles(
     value: str,
     probabilities: dict[str, float],
     *,
-    rows_per_slice: int = ROWS_PER_SLICE,
+    rows_per_slice: int | None = ROWS_PER_SLICE,
 ) -> DataFrame:
     """Exact percentiles with linear interpolation, one row per group.
 

@@ -26,14 +26,14 @@ def static_complexity() -> Column:
     )
 
 
-def _score_rank(df: DataFrame, score: str, out: str, rows_per_slice: int) -> DataFrame:
+def _score_rank(df: DataFrame, score: str, out: str, rows_per_slice: int | None) -> DataFrame:
     keyed = df.withColumn("_score", F.round(score, 9))
     return ranked_descending(
         keyed, ["program"], ["_score", "function_name"], out, rows_per_slice=rows_per_slice
     ).drop("_score")
 
 
-def static_rank(static: DataFrame, *, rows_per_slice: int = ROWS_PER_SLICE) -> DataFrame:
+def static_rank(static: DataFrame, *, rows_per_slice: int | None = ROWS_PER_SLICE) -> DataFrame:
     """Rank functions by complexity, then name, both descending."""
     scored = static.withColumn("complexity", static_complexity())
     return _score_rank(scored, "complexity", "static_rank", rows_per_slice)
@@ -101,7 +101,7 @@ def executed_not_critical(
     stats: DataFrame,
     critical: DataFrame,
     *,
-    rows_per_slice: int = ROWS_PER_SLICE,
+    rows_per_slice: int | None = ROWS_PER_SLICE,
 ) -> DataFrame:
     """Functions that ran but are neither on a path nor a bottleneck.
 
@@ -129,7 +129,7 @@ def executed_not_critical(
     )
 
 
-def dynamic_rank(scores: DataFrame, *, rows_per_slice: int = ROWS_PER_SLICE) -> DataFrame:
+def dynamic_rank(scores: DataFrame, *, rows_per_slice: int | None = ROWS_PER_SLICE) -> DataFrame:
     """Rank functions by criticality, then name, both descending."""
     return _score_rank(scores, "criticality", "dynamic_rank", rows_per_slice)
 
@@ -139,7 +139,7 @@ def percentile_ranks(
     dynamic_ranked: DataFrame,
     *,
     at_least: int = 10,
-    rows_per_slice: int = ROWS_PER_SLICE,
+    rows_per_slice: int | None = ROWS_PER_SLICE,
 ) -> DataFrame:
     """Functions with both ranks, each re-ranked to (0, 1] within its program.
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -35,3 +35,13 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = scratch_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def written_counted(df: DataFrame, name: str) -> tuple[DataFrame, int]:
+    """Like ``written``, with the number of rows, counted while writing.
+
+    A retried task may be counted twice, so the number is an upper bound.
+    """
+    seen = Observation(name)
+    table = written(df.observe(seen, F.count(F.lit(1)).alias("rows")), name)
+    return table, seen.get["rows"]

@@ -52,7 +52,7 @@ def combine_series(
     *,
     metrics: tuple[str, ...] = METRICS,
     carry: bool = False,
-    rows_per_slice: int = ROWS_PER_SLICE,
+    rows_per_slice: int | None = ROWS_PER_SLICE,
 ) -> DataFrame:
     """Rows ``(ts, metric, value)`` to one row per bucket with a column per metric.
 
@@ -79,7 +79,7 @@ def telemetry_aggregates(
     by: list[str],
     *,
     metrics: tuple[str, ...] = METRICS,
-    rows_per_slice: int = ROWS_PER_SLICE,
+    rows_per_slice: int | None = ROWS_PER_SLICE,
 ) -> DataFrame:
     """Peak, average and exact median of the positive samples; -1 without any."""
     names = F.array(*[F.lit(m) for m in metrics])
@@ -189,7 +189,7 @@ def resource_features(
     width: int,
     start: str = "start_ns",
     end: str = "end_ns",
-    rows_per_slice: int = ROWS_PER_SLICE,
+    rows_per_slice: int | None = ROWS_PER_SLICE,
 ) -> DataFrame:
     """Nine resource features per interval, keyed by ``key``.
 

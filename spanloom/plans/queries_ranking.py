@@ -118,7 +118,10 @@ def pearson(t: Tables) -> DataFrame:
 )
 def spearman(t: Tables) -> DataFrame:
     # Lines of code have many ties, so mean ranks matter here.
-    return correlation.spearman(analysis(t).classified, ["program"], "loc", "dynamic_rank")
+    flow = analysis(t)
+    return correlation.spearman(
+        flow.classified, ["program"], "loc", "dynamic_rank", rows_per_slice=flow.normed_slicing
+    )
 
 
 T_SQL = """SELECT program, r, n, r * sqrt((n - 2) / (1 - r * r)) AS t FROM
@@ -156,13 +159,17 @@ def dagostino_normality(t: Tables) -> DataFrame:
 
 @query("f16_shapiro_wilk", "program #n ~w w_p w_normal")
 def shapiro_wilk(t: Tables) -> DataFrame:
-    return correlation.shapiro_wilk(analysis(t).classified, ["program"], "complexity", "function_name")
+    flow = analysis(t)
+    return correlation.shapiro_wilk(
+        flow.classified, ["program"], "complexity", "function_name", rows_per_slice=flow.normed_slicing
+    )
 
 
 @query("f17_normality_verdict", "program #n ~w w_p ~k2 k2_p is_normal")
 def normality_verdict(t: Tables) -> DataFrame:
+    flow = analysis(t)
     return correlation.normality_verdict(
-        analysis(t).classified, ["program"], "complexity", "function_name"
+        flow.classified, ["program"], "complexity", "function_name", rows_per_slice=flow.normed_slicing
     )
 
 
