@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import queries_ranking  # noqa: F401
+from . import queries_ranking, queries_traces  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

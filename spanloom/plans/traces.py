@@ -8,7 +8,8 @@ from functools import cached_property
 from pyspark.sql import DataFrame
 
 from ..operators import calls as ops
-from ..operators.storage import written
+from ..operators.ordered import slicing
+from ..operators.storage import written, written_counted
 
 
 @dataclass
@@ -23,12 +24,21 @@ class TraceAnalysis:
     top_k: int = 10
 
     @cached_property
+    def _calls(self) -> tuple[DataFrame, int]:
+        return written_counted(ops.pair_calls(self.events), "calls")
+
+    @property
     def calls(self) -> DataFrame:
-        return written(ops.pair_calls(self.events), "calls")
+        return self._calls[0]
+
+    @property
+    def rows_per_slice(self) -> int | None:
+        # The widest scan sees every call twice, as state and as probe or as begin and end.
+        return slicing(2 * self._calls[1])
 
     @cached_property
     def parents(self) -> DataFrame:
-        return ops.call_parents(self.calls)
+        return ops.call_parents(self.calls, rows_per_slice=self.rows_per_slice)
 
     @cached_property
     def stats(self) -> DataFrame:
@@ -36,7 +46,7 @@ class TraceAnalysis:
 
     @cached_property
     def paths(self) -> DataFrame:
-        return ops.critical_paths(self.stats, self.top_k)
+        return ops.critical_paths(self.stats, self.top_k, rows_per_slice=self.rows_per_slice)
 
     @cached_property
     def summary(self) -> DataFrame:
