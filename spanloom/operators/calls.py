@@ -9,7 +9,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .ordered import ROWS_PER_SLICE, latest_before, running_sum, with_previous
+from .ordered import ROWS_PER_SLICE, latest_before, running_sum, sliced_running_sum
+from .storage import written
 
 THREAD = ["run", "tid"]
 
@@ -34,29 +35,47 @@ def pair_calls(events: DataFrame, *, rows_per_slice: int | None = ROWS_PER_SLICE
 
     The running count of open calls gives each event its level; at one level of
     one thread begins and ends alternate, so an end closes the event before it.
-    A begin without an end yields no call.
+    Pairs are looked for inside the slices of the running count, without another
+    shuffle; only what is left open or unopened at a slice's edge, at most one
+    event per level, is paired across slices. A begin without an end yields no
+    call.
     """
     step = F.when(F.col("ph") == "B", 1).otherwise(-1).cast("long")
-    leveled = running_sum(
-        events, THREAD, ["ts", "seq"], step, "_open", rows_per_slice=rows_per_slice
-    ).withColumn("level", F.when(F.col("ph") == "B", F.col("_open")).otherwise(F.col("_open") + 1))
-    paired = with_previous(
-        leveled,
-        [*THREAD, "level"],
+    opened = sliced_running_sum(
+        events.select(*THREAD, "ts", "seq", "ph", "name"),
+        THREAD,
         ["ts", "seq"],
-        ["ph", "ts", "seq", "name"],
-        "_begin",
+        step,
+        "_open",
         rows_per_slice=rows_per_slice,
     )
-    return paired.where((F.col("ph") == "E") & (F.col("_begin.ph") == "B")).select(
-        *THREAD,
-        F.col("_begin.seq").alias("call_id"),
-        F.col("_begin.name").alias("function_name"),
-        "level",
-        F.col("_begin.ts").alias("start_ts"),
-        F.col("ts").alias("end_ts"),
-        F.col("seq").alias("end_seq"),
-        (F.col("ts") - F.col("_begin.ts")).alias("duration"),
+    level = F.when(F.col("ph") == "B", F.col("_open")).otherwise(F.col("_open") + 1)
+    within = Window.partitionBy(*THREAD, "_slice", "level").orderBy("ts", "seq")
+    begin = F.struct("ph", "ts", "seq", "name")
+    placed = opened.withColumn("level", level).withColumns(
+        {"_begin": F.lag(begin).over(within), "_last": F.lead("ph").over(within).isNull()}
+    )
+    closes = (F.col("ph") == "E") & (F.col("_begin.ph") == "B")
+    edge = ((F.col("ph") == "B") & F.col("_last")) | (
+        (F.col("ph") == "E") & F.col("_begin").isNull()
+    )
+    across = Window.partitionBy(*THREAD, "level").orderBy("ts", "seq")
+    at_edges = (
+        placed.where(F.col("_cut") & edge).withColumn("_begin", F.lag(begin).over(across)).where(closes)
+    )
+    return (
+        placed.where(closes)
+        .unionByName(at_edges)
+        .select(
+            *THREAD,
+            F.col("_begin.seq").alias("call_id"),
+            F.col("_begin.name").alias("function_name"),
+            "level",
+            F.col("_begin.ts").alias("start_ts"),
+            F.col("ts").alias("end_ts"),
+            F.col("seq").alias("end_seq"),
+            (F.col("ts") - F.col("_begin.ts")).alias("duration"),
+        )
     )
 
 
@@ -169,7 +188,8 @@ def critical_paths(
     """The ``k`` heaviest root-to-leaf chains per run, one row per function.
 
     Ties go to the earlier leaf, then thread, then call id. The row-number
-    filter lets each task keep only its ``k`` best before the shuffle.
+    filter lets each task keep only its ``k`` best before the shuffle; the few
+    leaves that remain are written out before their ancestors are looked up.
     """
     best = Window.partitionBy("run").orderBy(F.desc("score"), "start_ts", "tid", "call_id")
     leaves = (
@@ -178,7 +198,7 @@ def critical_paths(
         .withColumn("rank", F.row_number().over(best))
         .where(F.col("rank") <= k)
     )
-    probes = leaves.select(
+    probes = written(leaves, "leaves").select(
         *THREAD,
         "rank",
         "score",

@@ -63,7 +63,7 @@ def _with_slice(
     )
 
 
-def running_sum(
+def sliced_running_sum(
     df: DataFrame,
     by: Sequence[str],
     order: Sequence[str],
@@ -72,14 +72,14 @@ def running_sum(
     *,
     rows_per_slice: int | None = ROWS_PER_SLICE,
 ) -> DataFrame:
-    """Inclusive running sum of ``value`` per group, in ascending ``order``.
+    """``running_sum`` that keeps ``_slice`` and ``_cut`` for further windows.
 
-    ``order`` must be unique within a group for a deterministic result.
+    A window by ``[*by, "_slice", ...]`` after it needs no other shuffle.
     """
     if rows_per_slice is None:
         whole = Window.partitionBy(*by).orderBy(*order)
         summed = F.sum(_column(value)).over(whole.rowsBetween(Window.unboundedPreceding, 0))
-        return df.withColumn(out, summed)
+        return df.select(*df.columns, F.lit(0).alias("_slice"), F.lit(False).alias("_cut"), summed.alias(out))
     valued = df.withColumn("_value", _column(value))
     sliced = _with_slice(valued, by, order, rows_per_slice)
     slices = Window.partitionBy(*by).orderBy("_slice")
@@ -98,10 +98,31 @@ def running_sum(
         "_local", F.sum("_value").over(within.rowsBetween(Window.unboundedPreceding, 0))
     )
     return local.join(before, [*by, "_slice"], "left").select(
-        *df.columns, (F.col("_local") + F.coalesce(F.col("_before"), F.lit(0))).alias(out)
+        *df.columns,
+        "_slice",
+        "_cut",
+        (F.col("_local") + F.coalesce(F.col("_before"), F.lit(0))).alias(out),
     )
 
 
+def running_sum(
+    df: DataFrame,
+    by: Sequence[str],
+    order: Sequence[str],
+    value: str | Column,
+    out: str,
+    *,
+    rows_per_slice: int | None = ROWS_PER_SLICE,
+) -> DataFrame:
+    """Inclusive running sum of ``value`` per group, in ascending ``order``.
+
+    ``order`` must be unique within a group for a deterministic result.
+    """
+    return sliced_running_sum(
+        df, by, order, value, out, rows_per_slice=rows_per_slice
+    ).drop("_slice", "_cut")
+
+
 def ranked(
     df: DataFrame,
     by: Sequence[str],
@@ -218,6 +239,47 @@ def latest_before(
     )
 
 
+def fill_forward(
+    df: DataFrame,
+    by: Sequence[str],
+    order: Sequence[str],
+    columns: Sequence[str],
+    *,
+    rows_per_slice: int | None = ROWS_PER_SLICE,
+) -> DataFrame:
+    """Replace nulls in ``columns`` by the last earlier value of the group."""
+    if rows_per_slice is None:
+        upto = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+        return df.withColumns({c: F.last(c, ignorenulls=True).over(upto) for c in columns})
+    key = _order_key(order)
+    sliced = _with_slice(df, by, order, rows_per_slice)
+    earlier = (
+        Window.partitionBy(*by).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    )
+    carried = (
+        sliced.where("_cut")
+        .groupBy(*by, "_slice")
+        .agg(
+            *[
+                F.max_by(c, F.when(F.col(c).isNotNull(), key)).alias(f"_carry_{c}")
+                for c in columns
+            ]
+        )
+        .withColumns(
+            {f"_carry_{c}": F.last(f"_carry_{c}", ignorenulls=True).over(earlier) for c in columns}
+        )
+    )
+    within = (
+        Window.partitionBy(*by, "_slice").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    )
+    local = sliced.withColumns({c: F.last(c, ignorenulls=True).over(within) for c in columns})
+    return (
+        local.join(carried, [*by, "_slice"], "left")
+        .withColumns({c: F.coalesce(F.col(c), F.col(f"_carry_{c}")) for c in columns})
+        .select(*df.columns)
+    )
+
+
 def with_following(
     df: DataFrame,
     by: Sequence[str],

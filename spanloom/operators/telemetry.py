@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .ordered import ROWS_PER_SLICE, latest_before, percentiles, with_previous
+from .ordered import ROWS_PER_SLICE, fill_forward, percentiles, with_previous
 
 METRICS = ("cpu", "mem", "disk")
 
@@ -65,13 +65,7 @@ def combine_series(
     )
     if not carry:
         return wide
-    for metric in metrics:
-        known = wide.where(F.col(metric).isNotNull()).select(*by, "ts", metric)
-        wide = latest_before(
-            wide, known, by, ["ts"], [metric], "_known", rows_per_slice=rows_per_slice
-        ).withColumn(metric, F.col(f"_known.{metric}"))
-        wide = wide.drop("_known")
-    return wide
+    return fill_forward(wide, by, ["ts"], metrics, rows_per_slice=rows_per_slice)
 
 
 def telemetry_aggregates(

@@ -23,7 +23,12 @@ def path_features(
     width: int,
     metadata: dict[str, str] | None = None,
 ) -> DataFrame:
-    """The 33 features of every path, with run metadata and the vector."""
+    """The 33 features of every path, with run metadata and the vector.
+
+    Functions and telemetry each feed several extractors and are written once.
+    """
+    functions = written(functions, "path-functions")
+    telemetry = written(telemetry, "telemetry")
     parts = [
         features.structural_features(functions, key, static, ["program", "function_name"]),
         features.temporal_features(functions, key),

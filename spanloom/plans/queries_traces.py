@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..operators import calls as ops, features, telemetry as series
+from ..operators.storage import written
 from ..operators.features import PHASE, STRUCTURAL, TEMPORAL, TRANSITION
 from ..operators.telemetry import RESOURCE_FEATURES
 from .bindings import EVENT_KEY, EVENT_RUN, HOUR_NS, Tables
@@ -349,7 +350,7 @@ def _levels_sql(cpu: str, memory: str, io: str) -> str:
 
 @query("e07_resource_thresholds", _LEVELS, _levels_sql("cpu_mean", "memory_growth", "io_intensity"))
 def resource_thresholds(t: Tables) -> DataFrame:
-    return features.resource_thresholds(event_path_features(t))
+    return features.resource_thresholds(written(event_path_features(t), "features"))
 
 
 @query(
@@ -358,4 +359,4 @@ def resource_thresholds(t: Tables) -> DataFrame:
     _levels_sql("log_total_duration", "top3_duration_ratio", "cpu_mean"),
 )
 def resource_thresholds_compat(t: Tables) -> DataFrame:
-    return features.resource_thresholds(event_path_features(t), compat=True)
+    return features.resource_thresholds(written(event_path_features(t), "features"), compat=True)
