@@ -147,9 +147,9 @@ def archetype_purity(
     square. It covers every row in linear time; a plain mean of distances would
     need all pairs.
     """
-    centre = df.agg(mean_vector(column, dim)).scalar()
+    centred = df.withColumn("_centre", df.agg(mean_vector(column, dim)).scalar())
     overall = (
-        df.select(squared_distance(F.col(column), centre).alias("_sq"))
+        centred.select(squared_distance(F.col(column), F.col("_centre")).alias("_sq"))
         .agg((2 * F.sum("_sq") / F.greatest(F.count(F.lit(1)) - 1, F.lit(1))).alias("_o"))
         .scalar()
     )

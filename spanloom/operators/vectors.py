@@ -45,22 +45,20 @@ def standardize(
     df: DataFrame, dim: int, column: str = "features", out: str = "z", scales: DataFrame | None = None
 ) -> DataFrame:
     """z-scores by population deviation; a constant position becomes 0."""
-    scale = _scale(scaling(df, dim, column) if scales is None else scales)
-    centred = F.zip_with(column, scale.getField("mean"), lambda x, m: x - m)
-    return df.withColumn(
-        out,
-        F.zip_with(
-            centred, scale.getField("std"), lambda d, s: F.when(s > 0, d / s).otherwise(F.lit(0.0))
-        ),
+    scaled = df.withColumn("_scale", _scale(scaling(df, dim, column) if scales is None else scales))
+    centred = F.zip_with(column, F.col("_scale.mean"), lambda x, m: x - m)
+    z = F.zip_with(
+        centred, F.col("_scale.std"), lambda d, s: F.when(s > 0, d / s).otherwise(F.lit(0.0))
     )
+    return scaled.withColumn(out, z).drop("_scale")
 
 
 def inverse_standardize(df: DataFrame, scales: DataFrame, column: str = "z", out: str = "features") -> DataFrame:
-    scale = _scale(scales)
     widened = F.zip_with(
-        column, scale.getField("std"), lambda z, s: z * F.when(s > 0, s).otherwise(F.lit(1.0))
+        column, F.col("_scale.std"), lambda z, s: z * F.when(s > 0, s).otherwise(F.lit(1.0))
     )
-    return df.withColumn(out, F.zip_with(widened, scale.getField("mean"), lambda x, m: x + m))
+    restored = F.zip_with(widened, F.col("_scale.mean"), lambda x, m: x + m)
+    return df.withColumn("_scale", _scale(scales)).withColumn(out, restored).drop("_scale")
 
 
 def _folded(rows: DataFrame, *columns: str) -> Column:
@@ -72,16 +70,16 @@ def assign_nearest(
     df: DataFrame, centers: DataFrame, column: str = "z", out: str = "archetype"
 ) -> DataFrame:
     """Nearest of the ``centers(id, center)``; equal distances go to the lower id."""
-    folded = _folded(centers, "id", "center")
+    folded = df.withColumn("_centers", _folded(centers, "id", "center"))
     nearest = F.array_min(
         F.transform(
-            folded,
+            "_centers",
             lambda c: F.struct(
                 squared_distance(F.col(column), c["center"]).alias("d"), c["id"].alias("id")
             ),
         )
     )
-    return df.withColumn("_nearest", nearest).select(
+    return folded.withColumn("_nearest", nearest).select(
         *df.columns,
         F.col("_nearest.id").alias(out),
         F.sqrt(F.col("_nearest.d")).alias("distance_to_center"),
@@ -97,7 +95,8 @@ def cluster_means(df: DataFrame, dim: int, column: str = "z", label: str = "arch
     )
 
 
-def _own_center(folded: Column, label: str) -> Column:
+def _own(folded: str, label: str) -> Column:
+    """The entry of a folded per-cluster table that belongs to the row."""
     return F.get(F.filter(folded, lambda c: c["id"] == F.col(label)), F.lit(0))
 
 
@@ -110,7 +109,7 @@ def silhouette(df: DataFrame, dim: int, column: str = "z", label: str = "archety
     folded = _folded(cluster_means(df, dim, column, label), "id", "n", "center", "mean_norm")
     point = F.col(column)
     distances = F.transform(
-        folded,
+        "_clusters",
         lambda c: F.struct(
             c["id"].alias("id"),
             c["n"].alias("n"),
@@ -119,16 +118,15 @@ def silhouette(df: DataFrame, dim: int, column: str = "z", label: str = "archety
             ).alias("d"),
         ),
     )
-    own = F.get(F.filter("_ds", lambda c: c["id"] == F.col(label)), F.lit(0))
     others = F.array_min(
         F.transform(F.filter("_ds", lambda c: c["id"] != F.col(label)), lambda c: c["d"])
     )
     inner = F.col("_own.d") * F.col("_own.n") / (F.col("_own.n") - 1)
     widest = F.greatest("_a", "_b")
     score = (
-        df.withColumn("_norm", dot(point, point))
+        df.withColumns({"_norm": dot(point, point), "_clusters": folded})
         .withColumn("_ds", distances)
-        .withColumns({"_own": own, "_b": others})
+        .withColumns({"_own": _own("_ds", label), "_b": others})
         .withColumn("_a", F.when(F.col("_own.n") > 1, inner))
         .withColumn(
             "_s",
@@ -143,10 +141,11 @@ def silhouette(df: DataFrame, dim: int, column: str = "z", label: str = "archety
 def cluster_spread(df: DataFrame, dim: int, column: str = "z", label: str = "archetype") -> DataFrame:
     """Per cluster: size, mean vector, mean distance and summed square to it."""
     means = cluster_means(df, dim, column, label).select("id", "n", "center")
-    folded = _folded(means, "id", "center")
-    square = squared_distance(F.col(column), _own_center(folded, label).getField("center"))
+    square = squared_distance(F.col(column), F.col("_center"))
     spread = (
-        df.withColumn("_sq", square)
+        df.withColumn("_clusters", _folded(means, "id", "center"))
+        .withColumn("_center", _own("_clusters", label).getField("center"))
+        .withColumn("_sq", square)
         .groupBy(F.col(label).alias("id"))
         .agg(F.avg(F.sqrt("_sq")).alias("scatter"), F.sum("_sq").alias("within"))
     )
@@ -156,8 +155,8 @@ def cluster_spread(df: DataFrame, dim: int, column: str = "z", label: str = "arc
 def calinski_harabasz(df: DataFrame, dim: int, column: str = "z", label: str = "archetype") -> DataFrame:
     """Between-cluster over within-cluster dispersion, each per degree of freedom."""
     overall = df.agg(mean_vector(column, dim)).scalar()
-    spread = cluster_spread(df, dim, column, label)
-    between = F.col("n") * squared_distance(F.col("center"), overall)
+    spread = cluster_spread(df, dim, column, label).withColumn("_overall", overall)
+    between = F.col("n") * squared_distance(F.col("center"), F.col("_overall"))
     sums = spread.agg(
         F.sum(between).alias("_b"),
         F.sum("within").alias("_w"),
@@ -176,15 +175,15 @@ def calinski_harabasz(df: DataFrame, dim: int, column: str = "z", label: str = "
 def davies_bouldin(df: DataFrame, dim: int, column: str = "z", label: str = "archetype") -> DataFrame:
     """Mean over clusters of the worst (scatter + scatter) / centre distance."""
     spread = cluster_spread(df, dim, column, label)
-    folded = _folded(spread, "id", "center", "scatter")
+    folded = spread.withColumn("_all", _folded(spread, "id", "center", "scatter"))
     worst = F.array_max(
         F.transform(
-            F.filter(folded, lambda c: c["id"] != F.col("id")),
+            F.filter("_all", lambda c: c["id"] != F.col("id")),
             lambda c: (F.col("scatter") + c["scatter"])
             / F.sqrt(squared_distance(F.col("center"), c["center"])),
         )
     )
-    return spread.agg(F.avg(worst).alias("davies_bouldin"), F.count(F.lit(1)).alias("k"))
+    return folded.agg(F.avg(worst).alias("davies_bouldin"), F.count(F.lit(1)).alias("k"))
 
 
 def fit_centers(

@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
-from . import queries_ranking, queries_traces  # noqa: F401
+from . import (  # noqa: F401
+    queries_groups,
+    queries_ranking,
+    queries_regression,
+    queries_traces,
+)
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -14,24 +14,27 @@ ORACLES: dict[str, str] = {}
 
 Body = Callable[[Tables], DataFrame]
 
+# Decimals a marked double is rounded to.
+DIGITS = {"~": 6, "^": 10}
+
 
 def _shaped(token: str) -> tuple[str, str]:
-    """Split a column token into its mark (``~`` double, ``#`` integer) and name."""
-    return (token[0], token[1:]) if token[0] in "~#" else ("", token)
+    """Split a column token into its mark and name."""
+    return (token[0], token[1:]) if token[0] in "~^#" else ("", token)
 
 
 def _column(token: str) -> Column:
     mark, name = _shaped(token)
-    if mark == "~":
-        return (F.round(F.col(name).cast("double"), 6) + F.lit(0.0)).alias(name)
+    if mark in DIGITS:
+        return (F.round(F.col(name).cast("double"), DIGITS[mark]) + F.lit(0.0)).alias(name)
     return F.col(name).cast("bigint").alias(name) if mark == "#" else F.col(name)
 
 
 def _sql_column(token: str) -> str:
     mark, name = _shaped(token)
     quoted = f'"{name}"'
-    if mark == "~":
-        return f"round(CAST({quoted} AS DOUBLE), 6) + 0.0 AS {quoted}"
+    if mark in DIGITS:
+        return f"round(CAST({quoted} AS DOUBLE), {DIGITS[mark]}) + 0.0 AS {quoted}"
     return f"CAST({quoted} AS BIGINT) AS {quoted}" if mark == "#" else quoted
 
 
@@ -39,7 +42,8 @@ def query(name: str, columns: str, sql: str | None = None) -> Callable[[Body], B
     """Register a query returning ``columns``; ``sql`` is its FROM clause or statement.
 
     Marks fix how both sides present a column: ``~x`` a double to six decimals,
-    ``#x`` a 64-bit integer, ``x`` as it is.
+    ``^x`` to ten (where six would cut exact halves), ``#x`` a 64-bit integer,
+    ``x`` as it is.
     """
     tokens = columns.split()
 
