@@ -6,6 +6,8 @@ from . import (  # noqa: F401
     queries_groups,
     queries_ranking,
     queries_regression,
+    queries_runs,
+    queries_sources,
     queries_traces,
 )
 from .registry import ORACLES, QUERIES
