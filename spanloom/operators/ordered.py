@@ -1,18 +1,19 @@
 """Ordered scans over groups of any size.
 
-A plain window puts a whole group into one task. Here a group is first cut into
-slices along its sort order, each slice is one window partition, and only one
-row per slice is combined across slices. The cut points are rows of the group
-picked by a hash of their sort key, about one in ``ROWS_PER_SLICE``: the same
-rows on every evaluation, so a recomputed task cuts in the same places. Groups
-without a picked row stay whole and cost a plain window. Results are exact for
-any choice of cuts.
+A plain window puts a whole group into one task. Here a large group is first cut
+into slices along its sort order, each slice is one window partition, and only
+one row per slice is combined across slices.
+
+The cut points are rows picked by a hash of group and sort key, about one in
+``ROWS_PER_SLICE``: the same rows on every evaluation, so a recomputed task cuts
+in the same places. A group with fewer than two picked rows is left whole. The
+cut points are found first, by a job that reads only the key columns, and
+written to the shared folder. If there are none, no group is large and the plain
+window runs as it is. Otherwise their counted number decides whether they are
+broadcast or joined. Results are exact for any choice of cuts.
 
 ``rows_per_slice=None`` states that the whole input is proven to fit one slice
-(see ``slicing``); the cut-point passes are then left out.
-
-No join here is forced to broadcast: the cut-point and per-slice tables are
-small, and adaptive execution broadcasts them only if their measured size fits.
+(see ``slicing``); no cut points are looked for then.
 """
 
 from __future__ import annotations
@@ -21,7 +22,11 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from .storage import written_counted
+
 ROWS_PER_SLICE = 200_000
+# Cut-point rows are a few dozen bytes; this many stay within a few megabytes.
+BROADCAST_ROWS = 50_000
 
 
 def slicing(rows: int) -> int | None:
@@ -37,30 +42,50 @@ def _order_key(order: Sequence[str]) -> Column:
     return F.struct(*[F.col(name) for name in order])
 
 
+def _small(table: DataFrame, rows: int) -> DataFrame:
+    """Broadcast a table of counted size if it is small; otherwise leave the join open."""
+    return F.broadcast(table) if rows <= BROADCAST_ROWS else table
+
+
 def _with_slice(
-    df: DataFrame, by: Sequence[str], order: Sequence[str], rows_per_slice: int
-) -> DataFrame:
-    """Add ``_slice``, the 0-based slice of a row, and ``_cut``: is its group cut?"""
+    df: DataFrame, by: Sequence[str], order: Sequence[str], rows_per_slice: int | None
+) -> tuple[DataFrame, int] | None:
+    """Add ``_slice``, the 0-based slice of a row, and ``_cut``: is its group cut?
+
+    Returns the frame and the number of cut points, or None if no group is cut.
+    """
+    if rows_per_slice is None:
+        return None
     key = _order_key(order)
     picked = F.pmod(F.xxhash64(*by, *order), F.lit(rows_per_slice)) == 0
-    cuts = (
+    found = (
         df.where(picked)
         .select(*by, key.alias("_key"))
         .groupBy(*by)
         .agg(F.array_sort(F.collect_set("_key")).alias("_cuts"))
+        .where(F.size("_cuts") > 1)
     )
+    cuts, rows = written_counted(found, "cut-points")
+    if rows == 0:
+        return None
+    points = cuts.agg(F.sum(F.size("_cuts"))).head()[0]
     if by:
-        joined = df.join(cuts, list(by), "left")
+        joined = df.join(_small(cuts, points), list(by), "left")
     else:
         # One group: the cut points arrive as a scalar subquery, not as a cross join.
-        found = cuts.select(F.when(F.size("_cuts") > 0, F.col("_cuts")).alias("_cuts"))
-        joined = df.withColumn("_cuts", found.scalar())
+        joined = df.withColumn("_cuts", cuts.scalar())
     slice_no = F.size(F.filter(F.col("_cuts"), lambda cut: cut <= key))
-    return joined.select(
+    sliced = joined.select(
         *df.columns,
         F.when(F.col("_cuts").isNull(), F.lit(0)).otherwise(slice_no).alias("_slice"),
         F.col("_cuts").isNotNull().alias("_cut"),
     )
+    return sliced, points
+
+
+def _carried(local: DataFrame, per_slice: DataFrame, by: Sequence[str], points: int) -> DataFrame:
+    """Join what earlier slices of a cut group contribute to each row."""
+    return local.join(_small(per_slice, 2 * points), [*by, "_slice"], "left")
 
 
 def sliced_running_sum(
@@ -76,12 +101,15 @@ def sliced_running_sum(
 
     A window by ``[*by, "_slice", ...]`` after it needs no other shuffle.
     """
-    if rows_per_slice is None:
-        whole = Window.partitionBy(*by).orderBy(*order)
-        summed = F.sum(_column(value)).over(whole.rowsBetween(Window.unboundedPreceding, 0))
-        return df.select(*df.columns, F.lit(0).alias("_slice"), F.lit(False).alias("_cut"), summed.alias(out))
     valued = df.withColumn("_value", _column(value))
-    sliced = _with_slice(valued, by, order, rows_per_slice)
+    cut = _with_slice(valued, by, order, rows_per_slice)
+    if cut is None:
+        whole = Window.partitionBy(*by).orderBy(*order)
+        summed = F.sum("_value").over(whole.rowsBetween(Window.unboundedPreceding, 0))
+        return valued.select(
+            *df.columns, F.lit(0).alias("_slice"), F.lit(False).alias("_cut"), summed.alias(out)
+        )
+    sliced, points = cut
     slices = Window.partitionBy(*by).orderBy("_slice")
     before = (
         sliced.where("_cut")
@@ -97,7 +125,7 @@ def sliced_running_sum(
     local = sliced.withColumn(
         "_local", F.sum("_value").over(within.rowsBetween(Window.unboundedPreceding, 0))
     )
-    return local.join(before, [*by, "_slice"], "left").select(
+    return _carried(local, before, by, points).select(
         *df.columns,
         "_slice",
         "_cut",
@@ -165,9 +193,10 @@ def with_previous(
 ) -> DataFrame:
     """Add ``out``: a struct of ``columns`` of the row before, null on the first."""
     payload = F.struct(*columns)
-    if rows_per_slice is None:
+    cut = _with_slice(df, by, order, rows_per_slice)
+    if cut is None:
         return df.withColumn(out, F.lag(payload).over(Window.partitionBy(*by).orderBy(*order)))
-    sliced = _with_slice(df, by, order, rows_per_slice)
+    sliced, points = cut
     slices = Window.partitionBy(*by).orderBy("_slice")
     tails = (
         sliced.where("_cut")
@@ -177,7 +206,7 @@ def with_previous(
     )
     within = Window.partitionBy(*by, "_slice").orderBy(*order)
     local = sliced.withColumn("_local", F.lag(payload).over(within))
-    return local.join(tails, [*by, "_slice"], "left").select(
+    return _carried(local, tails, by, points).select(
         *df.columns, F.coalesce(F.col("_local"), F.col("_tail")).alias(out)
     )
 
@@ -205,14 +234,15 @@ def latest_before(
     )
     scan_order = [*order, "_kind"]
     merged = state_rows.unionByName(probe_rows, allowMissingColumns=True)
-    if rows_per_slice is None:
+    cut = _with_slice(merged, by, scan_order, rows_per_slice)
+    if cut is None:
         whole = Window.partitionBy(*by).orderBy(*scan_order)
         latest = F.last("_state", ignorenulls=True).over(
             whole.rowsBetween(Window.unboundedPreceding, 0)
         )
         found = merged.withColumn(out, latest).where(F.col("_probe").isNotNull())
         return found.select("_probe.*", out)
-    sliced = _with_slice(merged, by, scan_order, rows_per_slice)
+    sliced, points = cut
     slices = Window.partitionBy(*by).orderBy("_slice")
     carried = (
         sliced.where("_cut")
@@ -234,7 +264,7 @@ def latest_before(
         "_local",
         F.last("_state", ignorenulls=True).over(within.rowsBetween(Window.unboundedPreceding, 0)),
     ).where(F.col("_probe").isNotNull())
-    return local.join(carried, [*by, "_slice"], "left").select(
+    return _carried(local, carried, by, points).select(
         "_probe.*", F.coalesce(F.col("_local"), F.col("_carry")).alias(out)
     )
 
@@ -248,11 +278,12 @@ def fill_forward(
     rows_per_slice: int | None = ROWS_PER_SLICE,
 ) -> DataFrame:
     """Replace nulls in ``columns`` by the last earlier value of the group."""
-    if rows_per_slice is None:
+    cut = _with_slice(df, by, order, rows_per_slice)
+    if cut is None:
         upto = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
         return df.withColumns({c: F.last(c, ignorenulls=True).over(upto) for c in columns})
     key = _order_key(order)
-    sliced = _with_slice(df, by, order, rows_per_slice)
+    sliced, points = cut
     earlier = (
         Window.partitionBy(*by).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     )
@@ -274,7 +305,7 @@ def fill_forward(
     )
     local = sliced.withColumns({c: F.last(c, ignorenulls=True).over(within) for c in columns})
     return (
-        local.join(carried, [*by, "_slice"], "left")
+        _carried(local, carried, by, points)
         .withColumns({c: F.coalesce(F.col(c), F.col(f"_carry_{c}")) for c in columns})
         .select(*df.columns)
     )

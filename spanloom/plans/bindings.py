@@ -75,7 +75,8 @@ class Tables:
         )
 
     def _functions(self, items: DataFrame) -> DataFrame:
-        part = self.table("part")
+        # Names are built once per part, not once per line item.
+        part = self.table("part").select("p_partkey", function_name().alias("function_name"))
         duration = cents(F.col("l_extendedprice"))
         position = [F.col("pos")] if "pos" in items.columns else []
         return (
@@ -89,7 +90,7 @@ class Tables:
                 "path_id",
                 "path_rank",
                 *position,
-                function_name().alias("function_name"),
+                "function_name",
                 duration.alias("duration_ns"),
                 (duration - 10 * cents(F.col("l_tax"))).alias("self_time_ns"),
                 F.col("l_quantity").cast("long").alias("cpu"),

@@ -117,11 +117,20 @@ def test_percentiles(table, cut, by):
 
 def test_cuts_are_stable(table):
     df, _ = table
-    first = ordered._with_slice(df, ["g"], ["t", "seq"], 5)
-    again = ordered._with_slice(df.repartition(3), ["g"], ["t", "seq"], 5)
+    first, points = ordered._with_slice(df, ["g"], ["t", "seq"], 5)
+    again, _ = ordered._with_slice(df.repartition(3), ["g"], ["t", "seq"], 5)
     slices = {r["seq"]: r["_slice"] for r in first.collect()}
     assert slices == {r["seq"]: r["_slice"] for r in again.collect()}
-    assert len(set(slices.values())) > 5
+    assert len(set(slices.values())) > 5 and points > 5
+    assert ordered._with_slice(df, ["g"], ["t", "seq"], 10**9) is None
+
+
+def test_large_cut_table_is_joined_without_broadcast(table, monkeypatch):
+    df, data = table
+    monkeypatch.setattr(ordered, "BROADCAST_ROWS", 1)
+    out = ordered.ranked(df, ["g"], ["t", "seq"], "r", rows_per_slice=3)
+    expected = {row[2]: i for group in by_group(data).values() for i, row in enumerate(group, 1)}
+    assert {r["seq"]: r["r"] for r in out.collect()} == expected
 
 
 def test_proven_size():
