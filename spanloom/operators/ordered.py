@@ -6,7 +6,9 @@ one row per slice is combined across slices.
 
 The cut points are rows picked by a hash of group and sort key, about one in
 ``ROWS_PER_SLICE``: the same rows on every evaluation, so a recomputed task cuts
-in the same places. A group with fewer than two picked rows is left whole. The
+in the same places. A group with fewer than two picked rows is left whole, and
+a huge one keeps ``MAX_CUTS`` evenly spread points, so its slices grow instead of
+its list. A row finds its slice in two short steps, not by reading the list. The
 cut points are found first, by a job that reads only the key columns, and
 written to the shared folder. If there are none, no group is large and the plain
 window runs as it is. Otherwise their counted number decides whether they are
@@ -27,6 +29,8 @@ from .storage import written_counted
 ROWS_PER_SLICE = 200_000
 # Cut-point rows are a few dozen bytes; this many stay within a few megabytes.
 BROADCAST_ROWS = 50_000
+MAX_CUTS = 4096
+CUT_STRIDE = 64
 
 
 def slicing(rows: int) -> int | None:
@@ -62,8 +66,12 @@ def _with_slice(
         df.where(picked)
         .select(*by, key.alias("_key"))
         .groupBy(*by)
-        .agg(F.array_sort(F.collect_set("_key")).alias("_cuts"))
-        .where(F.size("_cuts") > 1)
+        .agg(F.array_sort(F.collect_set("_key")).alias("_all"))
+        .where(F.size("_all") > 1)
+        .withColumn("_step", F.ceil(F.size("_all") / F.lit(MAX_CUTS)))
+        .withColumn("_cuts", F.filter("_all", lambda _, i: i % F.col("_step") == 0))
+        .withColumn("_coarse", F.filter("_cuts", lambda _, i: i % CUT_STRIDE == 0))
+        .drop("_all", "_step")
     )
     cuts, rows = written_counted(found, "cut-points")
     if rows == 0:
@@ -73,11 +81,17 @@ def _with_slice(
         joined = df.join(_small(cuts, points), list(by), "left")
     else:
         # One group: the cut points arrive as a scalar subquery, not as a cross join.
-        joined = df.withColumn("_cuts", cuts.scalar())
-    slice_no = F.size(F.filter(F.col("_cuts"), lambda cut: cut <= key))
-    sliced = joined.select(
+        folded = cuts.select(F.struct("_cuts", "_coarse")).scalar()
+        joined = df.withColumn("_found", folded).select(*df.columns, "_found.*")
+
+    def passed(points_column: Column) -> Column:
+        return F.size(F.filter(points_column, lambda cut: cut <= key))
+
+    start = (F.col("_block") - 1) * CUT_STRIDE
+    inside = passed(F.slice("_cuts", start + 1, F.lit(CUT_STRIDE)))
+    sliced = joined.withColumn("_block", passed(F.col("_coarse"))).select(
         *df.columns,
-        F.when(F.col("_cuts").isNull(), F.lit(0)).otherwise(slice_no).alias("_slice"),
+        F.when(F.col("_block") > 0, start + inside).otherwise(F.lit(0)).alias("_slice"),
         F.col("_cuts").isNotNull().alias("_cut"),
     )
     return sliced, points

@@ -125,6 +125,22 @@ def test_cuts_are_stable(table):
     assert ordered._with_slice(df, ["g"], ["t", "seq"], 10**9) is None
 
 
+@pytest.mark.parametrize("most", [4096, 20])
+@pytest.mark.parametrize("by", [["g"], []])
+def test_many_cuts(table, monkeypatch, most, by):
+    """Every row is a cut point: several blocks of points, or thinned ones."""
+    df, data = table
+    monkeypatch.setattr(ordered, "MAX_CUTS", most)
+    monkeypatch.setattr(ordered, "CUT_STRIDE", 8)
+    out = ordered.ranked(df, by, ["t", "seq"], "r", rows_per_slice=1)
+    groups = by_group(data).values() if by else [sorted(data, key=lambda r: (r[1], r[2]))]
+    expected = {row[2]: i for group in groups for i, row in enumerate(group, 1)}
+    assert {r["seq"]: r["r"] for r in out.collect()} == expected
+    sliced, _ = ordered._with_slice(df, by, ["t", "seq"], 1)
+    slices = sliced.select(*by, "_slice").distinct().count()
+    assert slices > 100 if most == 4096 else slices <= 42
+
+
 def test_large_cut_table_is_joined_without_broadcast(table, monkeypatch):
     df, data = table
     monkeypatch.setattr(ordered, "BROADCAST_ROWS", 1)
