@@ -188,6 +188,9 @@ def ranked_descending(
     rows_per_slice: int | None = ROWS_PER_SLICE,
 ) -> DataFrame:
     """1-based row number per group with every column of ``order`` descending."""
+    if rows_per_slice is None:
+        down = Window.partitionBy(*by).orderBy(*[F.desc(name) for name in order])
+        return df.withColumn(out, F.row_number().over(down).cast("long"))
     size = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_size"))
     up = ranked(df, by, order, "_up", rows_per_slice=rows_per_slice)
     sized = up.join(size, list(by)) if by else up.withColumn("_size", size.scalar())

@@ -14,7 +14,10 @@ from compare import make_duck, make_spark  # noqa: E402
 @pytest.fixture(scope="session")
 def spark():
     session = make_spark(8)
-    session.conf.set("spark.sql.shuffle.partitions", "4")
+    # Tiny inputs: compiling code costs more than it saves.
+    session.conf.set("spark.sql.shuffle.partitions", "2")
+    session.conf.set("spark.sql.codegen.wholeStage", "false")
+    session.conf.set("spark.sql.codegen.factoryMode", "NO_CODEGEN")
     yield session
     session.stop()
 

@@ -5,7 +5,46 @@ from __future__ import annotations
 import pytest
 from compare import DATA, difference
 
-from spanloom.plans import catalog
+from spanloom.plans import (
+    catalog,
+    queries_groups,
+    queries_ranking,
+    queries_regression,
+    queries_runs,
+    queries_sources,
+    queries_traces,
+)
+
+
+@pytest.fixture(scope="module", autouse=True)
+def shared_steps():
+    """Queries of one family share their written steps here, to save test time."""
+    patch = pytest.MonkeyPatch()
+
+    def once(build):
+        kept = []
+
+        def shared(t):
+            if not kept:
+                kept.append(build(t))
+            return kept[0]
+
+        return shared
+
+    ranking = once(queries_ranking.analysis)
+    regression = once(queries_regression.analysis)
+    patch.setattr(queries_ranking, "analysis", ranking)
+    patch.setattr(queries_sources, "ranking_analysis", ranking)
+    patch.setattr(queries_regression, "analysis", regression)
+    patch.setattr(queries_runs, "regression_analysis", regression)
+    patch.setattr(queries_traces, "analysis", once(queries_traces.analysis))
+    features = once(queries_traces.event_path_features)
+    patch.setattr(queries_traces, "event_path_features", features)
+    patch.setattr(queries_groups, "event_path_features", features)
+    patch.setattr(queries_groups, "assigned", once(queries_groups.assigned))
+    yield
+    patch.undo()
+
 
 SPARK_TO_DUCK = {
     "string": "VARCHAR",
