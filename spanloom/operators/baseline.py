@@ -69,7 +69,7 @@ def first_paths(paths: DataFrame) -> DataFrame:
 def run_features(
     paths: DataFrame,
     functions: DataFrame,
-    bottlenecks: DataFrame,
+    bottlenecks: DataFrame | None,
     telemetry: DataFrame,
     *,
     jitter: float = 0.0,
@@ -77,29 +77,44 @@ def run_features(
     """One row per run: first path, its bottleneck, duration and resources.
 
     ``functions`` and ``bottlenecks`` are keyed by run and ``path_id``; a run
-    whose weighted duration is not positive takes its longest function.
+    whose weighted duration is not positive takes its longest function. Without
+    recorded ``bottlenecks`` the first one is the longest non-root function, in
+    the same pass over the functions.
     """
     durations = weighted_path_duration(paths, jitter=jitter)
     heads = first_paths(paths)
     on_head = [*RUN, "path_id"]
-    lengths = (
+    inner = F.when(F.col("pos") > 0, F.col("duration_ns"))
+    place = F.when(F.col("pos") > 0, F.struct("duration_ns", -F.col("pos")))
+    slowest = [
+        F.max_by("function_name", place).alias("bottleneck_function"),
+        (F.lit(100.0) * F.max(inner) / F.nullif(F.sum(inner), F.lit(0))).alias(
+            "bottleneck_percentage"
+        ),
+    ]
+    about = (
         functions.join(heads, on_head)
         .groupBy(*RUN)
-        .agg(F.count(F.lit(1)).alias("path_length"), F.max("duration_ns").alias("_longest"))
-    )
-    worst = (
-        bottlenecks.join(heads, on_head)
-        .groupBy(*RUN)
         .agg(
-            F.min_by("function_name", "bottleneck_rank").alias("bottleneck_function"),
-            F.min_by("percentage_of_path", "bottleneck_rank").alias("bottleneck_percentage"),
+            F.count(F.lit(1)).alias("path_length"),
+            F.max("duration_ns").alias("_longest"),
+            *([] if bottlenecks is not None else slowest),
         )
     )
+    joined = durations.join(about, RUN, "left")
+    if bottlenecks is not None:
+        worst = (
+            bottlenecks.join(heads, on_head)
+            .groupBy(*RUN)
+            .agg(
+                F.min_by("function_name", "bottleneck_rank").alias("bottleneck_function"),
+                F.min_by("percentage_of_path", "bottleneck_rank").alias("bottleneck_percentage"),
+            )
+        )
+        joined = joined.join(worst, RUN, "left")
     zero = F.lit(0).cast("long")
     return (
-        durations.join(lengths, RUN, "left")
-        .join(worst, RUN, "left")
-        .join(telemetry, RUN, "left")
+        joined.join(telemetry, RUN, "left")
         .withColumn(
             "path_duration_ns",
             F.when(F.col("path_duration_ns") > 0, F.col("path_duration_ns")).otherwise(

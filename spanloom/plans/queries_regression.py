@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..operators import baseline, calls, detectors, evaluation, scoring
+from ..operators import baseline, detectors, evaluation, scoring
 from ..operators.baseline import RUN
 from ..operators.storage import written
 from .bindings import EVENT_KEY, Tables
@@ -15,9 +15,9 @@ from .views import RUN as RUN_SQL
 RUNS = "program #input_id #iteration is_regression"
 
 
-def run_telemetry(t: Tables) -> DataFrame:
+def run_telemetry(functions: DataFrame) -> DataFrame:
     """Resource columns per run out of its calls."""
-    return t.calls.groupBy(*RUN).agg(
+    return functions.groupBy(*RUN).agg(
         F.avg("cpu").alias("cpu_avg"),
         F.max("cpu").cast("double").alias("cpu_peak"),
         (F.avg("self_time_ns") / 1e6).alias("memory_avg"),
@@ -28,8 +28,7 @@ def run_telemetry(t: Tables) -> DataFrame:
 
 
 def run_table(t: Tables, functions: DataFrame) -> DataFrame:
-    slow = calls.path_bottlenecks(functions, ["path_id"], "duration_ns")
-    features = baseline.run_features(t.paths, functions, slow, run_telemetry(t))
+    features = baseline.run_features(t.paths, functions, None, run_telemetry(functions))
     types = t.paths.groupBy(*RUN).agg(F.max("regression_type").alias("regression_type"))
     assignments = t.paths.groupBy("program", "input_id", "iteration").agg(
         F.max("archetype").alias("archetype")

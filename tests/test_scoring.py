@@ -7,7 +7,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from spanloom.operators import baseline, evaluation, scoring
+from spanloom.operators import baseline, calls, evaluation, scoring
 
 RUN_SCHEMA = "program string, input_id long, iteration int, is_regression boolean"
 
@@ -165,3 +165,17 @@ def test_sentinel_is_not_scored(spark):
     df = spark.createDataFrame(rows, f"{RUN_SCHEMA}, metric string, peak double, average double")
     row = baseline.run_telemetry(df).head()
     assert (row["cpu_avg"], row["memory_avg"], row["memory_peak"], row["io_peak"]) == (20.0, None, None, 4.0)
+
+
+def test_recorded_and_derived_bottlenecks_agree(spark):
+    paths = spark.createDataFrame([("p", 1, 0, False, 10, 1, 0), ("p", 1, 0, False, 11, 2, 5)], f"{RUN_SCHEMA}, path_id long, path_rank int, critical_duration_ns long")
+    rows = [("p", 1, 0, False, 10, i, f, d) for i, (f, d) in enumerate([("main", 90), ("a", 30), ("b", 60), ("c", 60)])]
+    functions = spark.createDataFrame(rows, f"{RUN_SCHEMA}, path_id long, pos long, function_name string, duration_ns long")
+    telemetry = spark.createDataFrame([("p", 1, 0, False, 1.0)], f"{RUN_SCHEMA}, cpu_avg double")
+    slow = calls.path_bottlenecks(functions, ["path_id"], "duration_ns")
+    derived, recorded = (
+        baseline.run_features(paths, functions, b, telemetry).head().asDict() for b in (None, slow)
+    )
+    assert derived == recorded
+    assert (derived["bottleneck_function"], derived["bottleneck_percentage"]) == ("b", 40.0)
+    assert (derived["path_length"], derived["path_duration_ns"]) == (4, 90)
