@@ -15,8 +15,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.units import unit_interval
 from .baseline import RESOURCES, RUN
-from .ordered import ROWS_PER_SLICE, percentiles, ranked
+from .ordered import ROWS_PER_SLICE, percentiles, ranked, slicing
 from .scoring import widen_resource_model
+from .storage import written_counted
 
 # Feature sets of the learned detectors.
 PATH_FEATURES = ["path_duration_ns", "path_length", "cpu_avg", "memory_avg", "io_avg"]
@@ -209,12 +210,14 @@ def isolation_forest(
         .cogroup(spread.groupBy("program", "_salt"))
         .applyInPandas(_score_chunk, f"{run_types}, _base boolean, score double")
     )
+    # Read by the cut and by the flags; growing and scoring should happen once.
+    scored, rows = written_counted(scored, "isolation-scores")
     cut = percentiles(
         scored.where("_base").select("program", "score"),
         ["program"],
         "score",
         {"_cut": 1 - contamination},
-        rows_per_slice=rows_per_slice,
+        rows_per_slice=None if rows_per_slice is None else slicing(rows),
     )
     judged = (
         scored.where(~F.col("_base"))

@@ -290,32 +290,22 @@ def detector_resource_threshold(t: Tables) -> DataFrame:
 
 @query("h25_isolation_forest", FLAG)
 def isolation_forest(t: Tables) -> DataFrame:
-    flow = analysis(t)
-    return detectors.isolation_forest(
-        flow.base, flow.judged, detectors.PATH_FEATURES, "isolation_forest"
-    )
+    return analysis(t).forest(detectors.PATH_FEATURES, "isolation_forest")
 
 
 @query("h25_isolation_forest_resource_only", FLAG)
 def isolation_forest_resource_only(t: Tables) -> DataFrame:
-    flow = analysis(t)
-    return detectors.isolation_forest(
-        flow.base, flow.judged, detectors.RESOURCE_ONLY, "resource_only_isolation_forest"
-    )
+    return analysis(t).forest(detectors.RESOURCE_ONLY, "resource_only_isolation_forest")
 
 
 @query("h26_one_class", FLAG, "SELECT *, 'one_class' AS detector FROM k5_flags")
 def one_class(t: Tables) -> DataFrame:
-    flow = analysis(t)
-    return detectors.one_class_kernel(flow.base, flow.judged, detectors.PATH_FEATURES, "one_class")
+    return analysis(t).one_class(detectors.PATH_FEATURES, "one_class")
 
 
 @query("h26_one_class_resource_only", FLAG, "SELECT *, 'resource_only_one_class' AS detector FROM k6_flags")
 def one_class_resource_only(t: Tables) -> DataFrame:
-    flow = analysis(t)
-    return detectors.one_class_kernel(
-        flow.base, flow.judged, detectors.RESOURCE_ONLY, "resource_only_one_class"
-    )
+    return analysis(t).one_class(detectors.RESOURCE_ONLY, "resource_only_one_class")
 
 
 _FLAGS_SQL = f"""(SELECT * FROM d_plain UNION ALL SELECT {RUN_SQL}, 'one_class', flagged FROM k5_flags
@@ -330,7 +320,7 @@ _COMPARE_SQL = f"""SELECT detector, {_RATES_SQL}, CASE WHEN (true_positives + fa
 
 def exact_flags(flow: Regression) -> DataFrame:
     """The detectors that SQL can repeat; the full set is in ``h27_compare_all``."""
-    return written(flow.flags.where(~F.col("detector").contains("isolation_forest")), "flags")
+    return written(flow.exact_flags, "flags")
 
 
 COMPARED = "detector ~precision ~recall ~f1_score ~auc #num_features uses_critical_paths"

@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..operators import baseline, detectors, evaluation, scoring
 from ..operators.baseline import RUN
-from ..operators.storage import written
+from ..operators.ordered import slicing
+from ..operators.storage import written, written_counted
 
 
 @dataclass
@@ -25,9 +26,18 @@ class Regression:
     functions: DataFrame
 
     @cached_property
-    def split(self) -> DataFrame:
+    def _split(self) -> tuple[DataFrame, int]:
         normal = self.runs.where(~F.col("is_regression"))
-        return written(baseline.split_by_input(normal), "split-runs")
+        return written_counted(baseline.split_by_input(normal), "split-runs")
+
+    @property
+    def split(self) -> DataFrame:
+        return self._split[0]
+
+    @property
+    def rows_per_slice(self) -> int | None:
+        # The widest model scan sees three resources per run.
+        return slicing(3 * self._split[1])
 
     @cached_property
     def base(self) -> DataFrame:
@@ -60,7 +70,7 @@ class Regression:
 
     @cached_property
     def resources(self) -> DataFrame:
-        return baseline.resource_model(self.base)
+        return baseline.resource_model(self.base, rows_per_slice=self.rows_per_slice)
 
     @cached_property
     def archetypes(self) -> DataFrame:
@@ -68,7 +78,7 @@ class Regression:
 
     @cached_property
     def bounds(self) -> DataFrame:
-        return baseline.bounds_model(self.base)
+        return baseline.bounds_model(self.base, rows_per_slice=self.rows_per_slice)
 
     @cached_property
     def path_scores(self) -> DataFrame:
@@ -98,31 +108,35 @@ class Regression:
         return written(self.scored, "detections")
 
     @cached_property
-    def flags(self) -> DataFrame:
-        """All comparison detectors, one row per run and detector."""
-        plain = [
-            detectors.duration_threshold(self.judged, self.bounds),
+    def exact_flags(self) -> DataFrame:
+        """The comparison detectors without random trees, one row per run and detector."""
+        flags = detectors.duration_threshold(self.judged, self.bounds)
+        for part in (
             detectors.control_chart(self.judged, self.bounds),
             detectors.resource_threshold(self.judged, self.resources),
-        ]
-        learned = []
-        for columns, prefix in (
-            (detectors.PATH_FEATURES, ""),
-            (detectors.RESOURCE_ONLY, "resource_only_"),
+            self.one_class(detectors.PATH_FEATURES, "one_class"),
+            self.one_class(detectors.RESOURCE_ONLY, "resource_only_one_class"),
         ):
-            learned.append(
-                detectors.isolation_forest(
-                    self.base, self.judged, columns, f"{prefix}isolation_forest"
-                )
-            )
-            learned.append(
-                detectors.one_class_kernel(self.base, self.judged, columns, f"{prefix}one_class")
-            )
-        flags = plain[0]
-        for part in [*plain[1:], *learned]:
             flags = flags.unionByName(part)
         return flags
 
+    @cached_property
+    def flags(self) -> DataFrame:
+        """All comparison detectors, one row per run and detector."""
+        return self.exact_flags.unionByName(
+            self.forest(detectors.PATH_FEATURES, "isolation_forest")
+        ).unionByName(self.forest(detectors.RESOURCE_ONLY, "resource_only_isolation_forest"))
+
+    def one_class(self, columns: list[str], name: str) -> DataFrame:
+        return detectors.one_class_kernel(
+            self.base, self.judged, columns, name, rows_per_slice=self.rows_per_slice
+        )
+
+    def forest(self, columns: list[str], name: str) -> DataFrame:
+        return detectors.isolation_forest(
+            self.base, self.judged, columns, name, rows_per_slice=self.rows_per_slice
+        )
+
     @cached_property
     def quality(self) -> DataFrame:
         return evaluation.precision_recall_f1(evaluation.confusion_matrix(self.detections))
