@@ -69,3 +69,75 @@ def _(spark, sf_dir):
 
     plan = mixed(table(spark, sf_dir, "documents"))
     return plan.orderBy("position", "doc_id").select("doc_id", "size", "source_size", "target", "taken")
+
+
+@query("op3_warc_index")
+def _(spark, sf_dir):
+    from .warc import read_records, write_archive
+
+    index, path = write_archive(table(spark, sf_dir, "pages"))
+    return read_records(index, path, payloads=False).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"
+    )
+
+
+OP3_SQL = """
+WITH p AS (
+  SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, sha1(coalesce(html, '')) AS h FROM pages),
+r AS (SELECT h, n, max(page_id) AS m FROM p WHERE n >= 1000 GROUP BY h, n)
+SELECT page_id, p.n::BIGINT AS payload_bytes, p.h AS payload_digest,
+       CASE WHEN m IS NULL OR m = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN m <> page_id THEN m END::BIGINT AS refers_to
+FROM p LEFT JOIN r ON p.h = r.h AND p.n = r.n
+"""
+ORACLES["op3_warc_index"] = OP3_SQL
+
+
+def _sql_escaped(text: str) -> str:
+    from .chat import CONTROL
+
+    out = f"replace({text}, '\\', '\\\\')"
+    for mark in CONTROL:
+        out = f"replace({out}, '{mark}', '{mark[0]}\\{mark[1:]}')"
+    return out
+
+
+OP4_SQL = f"""
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]'
+  UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]')
+SELECT conv_id, count(*)::BIGINT AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+       sum(length({_sql_escaped("role")}) + length({_sql_escaped("text")})
+           + CASE WHEN role = 'assistant' THEN 10 ELSE 23 END)::BIGINT AS formatted_chars
+FROM t GROUP BY conv_id
+"""
+
+
+@query("op4_chat_format", OP4_SQL)
+def _(spark, sf_dir):
+    from .chat import canonical, digests, formatted
+
+    said = "</s>[INST] ok [/INST]"
+    own = spark.sql(f"SELECT -1L AS conv_id, '{said}' AS prompt, '{said}' AS completion")
+    turns = canonical(table(spark, sf_dir, "conversations")).unionByName(canonical(own))
+    return digests(formatted(turns))
+
+
+@query("op5_quality_rules")
+def _(spark, sf_dir):
+    from .quality_rules import judged, train
+
+    docs = table(spark, sf_dir, "documents")
+    return judged(docs, train(docs, table(spark, sf_dir, "labels")))
+
+
+@query("op7_ordinal_quality")
+def _(spark, sf_dir):
+    from .ordinal import scored, train
+
+    docs = table(spark, sf_dir, "documents")
+    return scored(docs, train(docs, table(spark, sf_dir, "labels")))
