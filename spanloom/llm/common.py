@@ -90,3 +90,30 @@ def running_total(
         .withColumn(out, F.col("_own") + F.col("_base"))
         .drop("_own", "_base", "_slice")
     )
+
+
+class Remembered(dict):
+    """What a task has computed per word: two generations of at most ``most`` words each.
+
+    The dict itself holds the newer one. Words asked for again move into it, so
+    common words stay and rare ones go.
+    """
+
+    def __init__(self, most: int):
+        super().__init__()
+        self.most = most
+        self.older: dict = {}
+
+    def missing(self, words: set) -> list:
+        """Those of ``words`` that are not known; the others are in the dict afterwards."""
+        if len(self) > self.most:
+            self.older = dict(self)
+            self.clear()
+        older, out = self.older, []
+        for word in words:
+            if word not in self:
+                if word in older:
+                    self[word] = older[word]
+                else:
+                    out.append(word)
+        return out

@@ -10,13 +10,14 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
+from itertools import chain
 from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import small_batches, words_of
+from .common import Remembered, small_batches, words_of
 from .quality_rules import labelled_sample
 
 BUCKETS = 1 << 18
@@ -31,8 +32,8 @@ SMOOTH = 2e-3
 KEEP_TOP = 0.995
 #: Lengths in bytes of the word beginnings that are features.
 STEMS = (4, 5, 6, 7, 8)
-#: Words whose buckets a task remembers, at most.
-REMEMBERED = 200_000
+#: Words whose buckets a task remembers in each of two generations.
+REMEMBERED = 100_000
 
 
 def grade(quality: Column, toxic: Column) -> Column:
@@ -45,7 +46,7 @@ class Hashing:
 
     def __init__(self, buckets: int = BUCKETS):
         self.buckets = buckets
-        self.known: dict[bytes, tuple[int, ...]] = {}
+        self.known = Remembered(REMEMBERED)
 
     def of_word(self, word: bytes) -> tuple[int, ...]:
         bare = word.lower().strip(b".,;:!?*%$#&|\"'()")
@@ -56,15 +57,10 @@ class Hashing:
 
     def of_text(self, text: str | None) -> np.ndarray:
         """Sorted distinct buckets."""
-        known = self.known
-        if len(known) > REMEMBERED:
-            known.clear()
-        found: set[int] = set()
-        for word in set(words_of(text)):
-            got = known.get(word)
-            if got is None:
-                got = known[word] = self.of_word(word)
-            found.update(got)
+        known, words = self.known, set(words_of(text))
+        for word in known.missing(words):
+            known[word] = self.of_word(word)
+        found = set(chain.from_iterable(map(known.__getitem__, words)))
         return np.array(sorted(found), dtype=np.int64)
 
 

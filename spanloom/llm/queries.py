@@ -141,3 +141,18 @@ def _(spark, sf_dir):
 
     docs = table(spark, sf_dir, "documents")
     return scored(docs, train(docs, table(spark, sf_dir, "labels")))
+
+
+@query("op6_sentencepiece")
+def _(spark, sf_dir):
+    from .pieces import digests, model_path
+
+    return digests(table(spark, sf_dir, "documents"), model_path())
+
+
+@query("op9_token_rans")
+def _(spark, sf_dir):
+    from .rans import read_ids, vocabulary_path, write_ids
+
+    folder = write_ids(table(spark, sf_dir, "documents"), vocabulary_path())
+    return read_ids(spark, folder, ids=False).drop("ids")
