@@ -20,7 +20,7 @@ def write_files(
 ) -> None:
     """One file per value of ``file``: its rows' ``content`` by ``order``, each followed by ``end``.
 
-    All rows of a file meet in one task, so files must be of bounded size.
+    ``end`` has one character per byte. All rows of a file meet in one task, so files must be of bounded size.
     """
     (
         df.select(F.col(file).alias("file"), *order, F.col(content).cast("string").alias("value"))
@@ -28,6 +28,7 @@ def write_files(
         .sortWithinPartitions("file", *order)
         .select("file", "value")
         .write.partitionBy("file")
+        .option("encoding", "ISO-8859-1")  # of the line separator; contents are written as they are
         .option("lineSep", end)
         .text(path)
     )

@@ -209,6 +209,25 @@ TAIL = struct.Struct("<I4s")
 FORMAT = 1
 
 
+def doc_entry(doc: int | None, count: int) -> bytes:
+    return DOC.pack(doc or 0, doc is None, count)
+
+
+def framed(start: int, blocks: list[dict]) -> list[bytes]:
+    """Header and footer of a file with these blocks."""
+    offset, points = HEAD.size + 1, b""
+    for b in blocks:
+        points += POINT.pack(offset, b["first"], b["n_ids"], b["crc"])
+        offset += b["size"] + 1
+    footer = struct.pack("<4sI", b"RNSF", len(blocks)) + points
+    return [HEAD.pack(b"RNST", FORMAT, start), footer + TAIL.pack(len(footer), b"RNSE")]
+
+
+def checksum(record: bytes) -> int:
+    """CRC-32 of a block's ids, from its head."""
+    return BLOCK_HEAD.unpack_from(record)[5]
+
+
 def block_record(coder: Coder, ids: np.ndarray, docs: bytes) -> bytes:
     lanes = min(LANES, max(1, len(ids)))
     state, words = coder.encode(ids, lanes)
@@ -275,7 +294,7 @@ def _staged(docs: DataFrame, path: str, block: int, file_ids: int) -> DataFrame:
                     yield cut(np.frombuffer(b"".join(kept), dtype="<u4"), entries)
                     kept, size, entries = [], 0, []
                     file, number, first = file + 1, 0, 0
-                entries.append(DOC.pack(doc or 0, doc is None, len(ids) // 4 + 1))
+                entries.append(doc_entry(doc, len(ids) // 4 + 1))
                 kept += [ids, end]
                 size += len(ids) // 4 + 1
                 if size >= block:
@@ -332,7 +351,7 @@ def write_ids(
                 block_record(coder, np.frombuffer(ids, dtype="<u4"), docs)
                 for ids, docs in zip(batch.column("ids").to_pylist(), batch.column("docs").to_pylist())
             ]
-            crcs = [BLOCK_HEAD.unpack_from(x)[5] for x in made]
+            crcs = [checksum(x) for x in made]
             yield pa.RecordBatch.from_arrays(
                 [*(batch.column(c) for c in ("file", "block", "first", "n_ids")), pa.array(crcs, pa.int64()), pa.array(made, pa.binary())],
                 ["file", "block", "first", "n_ids", "crc", "record"],
@@ -378,18 +397,11 @@ def _frames(coded: DataFrame) -> DataFrame:
     def frame(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for one in batch.to_pylist():
-                offset = HEAD.size + 1
-                points = b""
-                for b in one["blocks"]:
-                    points += POINT.pack(offset, b["first"], b["n_ids"], b["crc"])
-                    offset += b["size"] + 1
-                footer = struct.pack("<4sI", b"RNSF", len(one["blocks"])) + points
-                footer += TAIL.pack(len(footer), b"RNSE")
                 yield pa.RecordBatch.from_pydict(
                     {
                         "file": pa.array([one["file"]] * 2, pa.int64()),
                         "block": pa.array([-1, len(one["blocks"])], pa.int32()),
-                        "record": [HEAD.pack(b"RNST", FORMAT, one["start"]), footer],
+                        "record": framed(one["start"], one["blocks"]),
                     }
                 )
 

@@ -1,12 +1,14 @@
 """WARC archives behind an index: coalesced byte-range reads of selected records.
 
-The index of offsets, lengths, URLs and digests is computed from the records'
-sizes and written before the archives. Reading selects index rows, merges close
-ranges of a file into one read, and cuts records out of it.
+Every record is a gzip member of its own, as in ``.warc.gz`` files. The index of
+offsets, lengths, URLs and digests is computed from the members' sizes and
+written before the archives. Reading selects index rows, merges close ranges of
+a file into one read, and cuts members out of it.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -17,6 +19,8 @@ from .common import joined_null_safe, shuffle_width, small_batches
 from .files import list_files, opened, write_files
 
 END = "\r\n\r\n"
+#: An empty gzip member: it stands between records and decompresses to nothing.
+BETWEEN = "\x1f\x8b\x08\x00\x00\x00\x00\x00\x00\x03\x03" + "\x00" * 9
 DATE = "2024-01-01T00:00:00Z"
 #: Payloads below this many bytes are stored in full each time.
 REVISIT_BYTES = 1000
@@ -93,7 +97,20 @@ def records(pages: DataFrame, least: int = REVISIT_BYTES) -> DataFrame:
         F.lit("\r\nContent-Type: application/http; msgtype=response\r\nContent-Length: "),
         F.octet_length(block).cast("string"), F.lit(END),
     )
-    return page.select("page_id", "url", "digest", F.concat(head, block).alias("record"))
+    return page.select("page_id", "url", "digest", F.concat(head, block, F.lit(END)).alias("record"))
+
+
+def member(record: str) -> bytes:
+    """A gzip member, the same for the same record."""
+    packer = zlib.compressobj(6, zlib.DEFLATED, 31)
+    return packer.compress(record.encode("utf-8", "surrogatepass")) + packer.flush()
+
+
+def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        packed = pa.array([member(x) for x in batch.column("record").to_pylist()], pa.binary())
+        keys = ["file", "page_id", "url", "digest"]
+        yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keys), packed], [*keys, "record"])
 
 
 def write_archive(
@@ -113,17 +130,21 @@ def write_archive(
     made = records(pages, least)
     total = pages.agg(F.sum(F.octet_length("html"))).first()[0] or 0  # one row
     files = max(shuffle_width(spark), -(-total // file_bytes))
-    made = made.withColumn("file", F.pmod(F.xxhash64("page_id", "url", "digest"), F.lit(files)))
+    made = made.select(F.pmod(F.xxhash64("page_id", "url", "digest"), F.lit(files)).alias("file"), "*")
+    made = written(
+        made.mapInArrow(_members, "file long, page_id long, url string, digest string, record binary"),
+        "warc-records",
+    )
     order = ["page_id", "url", "digest"]
     before = Window.partitionBy("file").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     index = (
-        made.select("file", *order, (F.octet_length("record") + F.lit(len(END))).cast("long").alias("length"))
-        .withColumn("offset", F.coalesce(F.sum("length").over(before), F.lit(0)))
+        made.select("file", *order, F.octet_length("record").cast("long").alias("length"))
+        .withColumn("offset", F.coalesce(F.sum(F.col("length") + len(BETWEEN)).over(before), F.lit(0)))
         .select("file", "offset", "length", "page_id", "url", "digest")
     )
     index = written(index, "warc-index")
     path = scratch_path(spark, "warc")
-    write_files(made, path, file="file", order=order, content="record", end=END)
+    write_files(made, path, file="file", order=order, content="record", end=BETWEEN)
     return index, path
 
 
@@ -186,7 +207,7 @@ def read_records(index: DataFrame, path: str, *, payloads: bool = True) -> DataF
                     chunk = f.read_at(one["end"] - one["start"], one["start"])
                 for place in one["records"]:
                     at = place["offset"] - one["start"]
-                    named, http, payload = parsed(chunk[at : at + place["length"]])
+                    named, http, payload = parsed(zlib.decompress(chunk[at : at + place["length"]], 31))
                     digest = named["WARC-Payload-Digest"].removeprefix("sha1:")
                     kind = named["WARC-Type"]
                     if kind == "response" and hashlib.sha1(payload).hexdigest() != digest:
