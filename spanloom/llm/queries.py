@@ -156,3 +156,10 @@ def _(spark, sf_dir):
 
     folder = write_ids(table(spark, sf_dir, "documents"), vocabulary_path())
     return read_ids(spark, folder, ids=False).drop("ids")
+
+
+@query("op8_jaccard_components")
+def _(spark, sf_dir):
+    from .jaccard_join import joined
+
+    return joined(table(spark, sf_dir, "documents"))
