@@ -163,3 +163,18 @@ def _(spark, sf_dir):
     from .jaccard_join import joined
 
     return joined(table(spark, sf_dir, "documents"))
+
+
+@query("op1_url_models")
+def _(spark, sf_dir):
+    from .url_model import filtered
+
+    return filtered(table(spark, sf_dir, "pages"))
+
+
+@query("op2_adaptive_scan")
+def _(spark, sf_dir):
+    from .ann import search
+
+    vectors = table(spark, sf_dir, "embeddings")
+    return search(vectors, vectors.where(F.pmod("vec_id", F.lit(50)) == 0))
