@@ -94,7 +94,7 @@ def class_key(shingles: np.ndarray) -> bytes:
     return hashlib.blake2b(shingles.tobytes(), digest_size=16).digest()
 
 
-SKETCH = "doc_id long, n int, class binary, first array<long>"
+SKETCH = "doc_id long, fingerprint long, n int, class binary, first array<long>"
 
 
 def sketches(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -109,14 +109,18 @@ def sketches(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> Dat
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc_id"),
+                    batch.column("fingerprint"),
                     pa.array([len(s) for s in sets], pa.int32()),
                     pa.array([class_key(s) for s in sets], pa.binary()),
                     pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*first, np.zeros(0, np.int64)]))),
                 ],
-                ["doc_id", "n", "class", "first"],
+                ["doc_id", "fingerprint", "n", "class", "first"],
             )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(sketch, SKETCH)
+    rows = docs.select(
+        F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("fingerprint"), "text"
+    )
+    return rows.mapInArrow(sketch, SKETCH)
 
 
 def _dropped(n: Column, percent: int) -> Column:
@@ -328,13 +332,15 @@ def _cells(held: DataFrame, chosen: DataFrame, measured: DataFrame, percent: int
 
 
 def joined(docs: DataFrame, *, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """``doc_id, n_shingles, component_id``: one row per document.
+    """``doc_id, fingerprint, n_shingles, component_id, component``: one row per document.
 
     ``docs`` has ``doc_id`` and ``text``; other columns are ignored. Null and
     empty texts, and texts without words, have no shingles and link with nothing;
     a null id links with nothing and its component is null. Equal sets are linked
-    through their class; rows that repeat an id are rows of their own, and the
-    component of a row is the smallest id of any row it reaches.
+    through their class; rows that repeat an id are rows of their own (told apart
+    by ``fingerprint``, a hash of the text), and ``component_id`` is the smallest
+    id of any row they reach. ``component`` numbers components, null for rows
+    that can't link.
     """
     small_batches(docs.sparkSession)
     sketched = written(sketches(docs, words, percent), "jaccard-sketches")
@@ -348,14 +354,17 @@ def joined(docs: DataFrame, *, words: int = WORDS, percent: int = PERCENT) -> Da
     _, labels = links(classes, docs, words=words, percent=percent)
     known = _labelled(classes.select("class", "node", "low"), labels)
     least = known.groupBy("component").agg(F.min("low").alias("component_id"))
-    of_class = known.join(least, "component").select("class", "component_id")
+    of_class = known.join(least, "component").select("class", "component", "component_id")
+    able = F.col("doc_id").isNotNull() & (F.col("n") > 0)
     return (
-        sketched.withColumn("class", F.when(F.col("doc_id").isNotNull() & (F.col("n") > 0), F.col("class")))
+        sketched.withColumn("class", F.when(able, F.col("class")))
         .join(of_class, "class", "left")
         .select(
             "doc_id",
+            "fingerprint",
             F.col("n").cast("long").alias("n_shingles"),
             F.coalesce("component_id", "doc_id").alias("component_id"),
+            "component",
         )
     )
 
@@ -363,21 +372,17 @@ def joined(docs: DataFrame, *, words: int = WORDS, percent: int = PERCENT) -> Da
 def representatives(docs: DataFrame, *, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """The documents left when one of each group of linked ones stays, with all columns.
 
-    The smallest id of a group stays; of rows that repeat it, one with the least
-    hash of its text. Documents without words and without ids all stay.
+    The smallest id of a group stays, of rows that repeat it the one with the
+    least fingerprint. Documents without words or without an id all stay.
     """
-    found = joined(docs, words=words, percent=percent)
-    stay = found.where((F.col("doc_id") == F.col("component_id")) | F.col("doc_id").isNull())
-    ids = stay.select("doc_id", (F.col("n_shingles") == 0).alias("_empty")).distinct()
-    return _with_ids(docs, ids)
-
-
-def _with_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
     columns = docs.columns
-    bare = F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]")), F.lit(0)) == 0
-    free = docs.where(F.col("doc_id").isNull() | bare)
-    held = docs.where(F.col("doc_id").isNotNull() & ~bare).join(
-        ids.where(F.col("doc_id").isNotNull() & ~F.col("_empty")).select("doc_id"), "doc_id", "left_semi"
+    found = joined(docs, words=words, percent=percent).where(F.col("component").isNotNull())
+    stay = found.groupBy("component").agg(F.min(F.struct("doc_id", "fingerprint")).alias("k"))
+    keys = stay.select(F.col("k.doc_id").alias("doc_id"), F.col("k.fingerprint").alias("_fingerprint"))
+    marked = docs.withColumn("_fingerprint", F.xxhash64("text"))
+    bare = F.col("doc_id").isNull() | (
+        F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]")), F.lit(0)) == 0
     )
-    once = held.withColumn("_h", F.xxhash64("text")).dropDuplicates(["doc_id"]).drop("_h")
-    return once.select(*columns).unionByName(free.select(*columns))
+    held = marked.where(~bare).join(keys, ["doc_id", "_fingerprint"], "left_semi")
+    once = held.dropDuplicates(["doc_id", "_fingerprint"])
+    return once.select(*columns).unionByName(docs.where(bare))

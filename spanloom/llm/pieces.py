@@ -274,12 +274,7 @@ def encoded(docs: DataFrame, path: str) -> DataFrame:
 DIGESTS = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, spans_crc32 long"
 
 
-def digests(docs: DataFrame, path: str) -> DataFrame:
-    """Token count and digests of the ids, the decoded text and the spans of each text.
-
-    Encodes, projects and decodes as ``encoded`` does, but what leaves the task
-    is one thin row per document.
-    """
+def _digested(docs: DataFrame, path: str, *, ids_too: bool) -> DataFrame:
     small_batches(docs.sparkSession)
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -292,14 +287,32 @@ def digests(docs: DataFrame, path: str) -> DataFrame:
             hashed = [hashlib.sha256(str(x.tolist())[1:-1].replace(" ", "").encode()).hexdigest() for x in ids]
             decoded = [hashlib.sha256(x.encode()).hexdigest() for x in pieces.decode(ids)]
             spans = [crc32(pieces.spans(x, i).astype("<i8").tobytes()) for x, i in zip(texts, ids)]
-            yield pa.RecordBatch.from_pydict(
-                {
-                    "doc_id": batch.column("doc_id"),
-                    "n_tokens": pa.array([len(x) for x in ids], pa.int64()),
-                    "ids_sha256": hashed,
-                    "decoded_sha256": decoded,
-                    "spans_crc32": pa.array(spans, pa.int64()),
-                }
-            )
+            columns = {
+                "doc_id": batch.column("doc_id"),
+                "n_tokens": pa.array([len(x) for x in ids], pa.int64()),
+                "ids_sha256": pa.array(hashed, pa.string()),
+                "decoded_sha256": pa.array(decoded, pa.string()),
+                "spans_crc32": pa.array(spans, pa.int64()),
+            }
+            if ids_too:
+                ends = np.concatenate([[0], np.cumsum([len(i) for i in ids])]).astype(np.int32)
+                flat = np.concatenate([*ids, np.zeros(0, dtype=np.int32)])
+                columns["ids"] = pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))
+            yield pa.RecordBatch.from_pydict(columns)
+
+    thin = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return thin.mapInArrow(digest, DIGESTS + ", ids array<int>" * ids_too)
+
+
+def digests(docs: DataFrame, path: str) -> DataFrame:
+    """Token count and digests of the ids, the decoded text and the spans of each text.
+
+    Encodes, projects and decodes as ``encoded`` does, but what leaves the task
+    is one thin row per document.
+    """
+    return _digested(docs, path, ids_too=False)
+
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(digest, DIGESTS)
+def encoded_digests(docs: DataFrame, path: str) -> DataFrame:
+    """The rows of ``digests`` with the ids themselves."""
+    return _digested(docs, path, ids_too=True)
