@@ -6,22 +6,16 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 # The C and C++ library names that count as input/output calls.
 IO_CALLS = (
-    "fopen freopen fclose fflush fwide setbuf setvbuf "
-    "fread fwrite "
-    "getc fgetc fgets putc fputc fputs getchar gets "
-    "putchar puts ungetc "
-    "fgetwc getwc fgetws fputwc putwc fputws ungetwc "
-    "getwchar putwchar "
-    "scanf fscanf sscanf printf fprintf sprintf snprintf "
-    "vprintf vfprintf vsprintf vsnprintf vscanf vfscanf vsscanf "
-    "wscanf fwscanf swscanf wprintf fwprintf swprintf "
-    "vfwprintf vswprintf vwprintf vwscanf vfwscanf vswscanf "
-    "ftell fseek rewind fgetpos fsetpos "
-    "clearerr feof ferror perror "
-    "remove rename tmpfile tmpnam tmpnam_r "
-    "read write open close lseek ioctl "
-    "cin cout cerr clog getline ifstream ofstream"
-).split()
+    "fopen", "freopen", "fclose", "fflush", "fwide", "setbuf", "setvbuf", "fread", "fwrite", "getc",
+    "fgetc", "fgets", "putc", "fputc", "fputs", "getchar", "gets", "putchar", "puts", "ungetc",
+    "fgetwc", "getwc", "fgetws", "fputwc", "putwc", "fputws", "ungetwc", "getwchar", "putwchar",
+    "scanf", "fscanf", "sscanf", "printf", "fprintf", "sprintf", "snprintf", "vprintf", "vfprintf",
+    "vsprintf", "vsnprintf", "vscanf", "vfscanf", "vsscanf", "wscanf", "fwscanf", "swscanf",
+    "wprintf", "fwprintf", "swprintf", "vfwprintf", "vswprintf", "vwprintf", "vwscanf", "vfwscanf",
+    "vswscanf", "ftell", "fseek", "rewind", "fgetpos", "fsetpos", "clearerr", "feof", "ferror",
+    "perror", "remove", "rename", "tmpfile", "tmpnam", "tmpnam_r", "read", "write", "open", "close",
+    "lseek", "ioctl", "cin", "cout", "cerr", "clog", "getline", "ifstream", "ofstream",
+)
 
 # Every code point Python's str.strip() removes, as a regex class
 # that Java and RE2 both read.
@@ -80,7 +74,7 @@ def path_sort_key(path: Column, missing: int = 999999) -> Column:
 
 def is_io_call(name: Column) -> Column:
     """True for a name in the fixed list of input/output calls."""
-    return name.isin(IO_CALLS)
+    return name.isin(*IO_CALLS)
 
 
 def function_filter(df: DataFrame, name: str, wanted: DataFrame | None) -> DataFrame:

@@ -6,10 +6,10 @@ A run is ``program, input_id, iteration, is_regression``. Paths carry a
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.units import unit_interval
-from .ordered import ROWS_PER_SLICE, percentiles, ranked, with_following, with_previous
+from .ordered import percentiles, ranked, with_following, with_previous
 
 RUN = ["program", "input_id", "iteration", "is_regression"]
 RESOURCES = ("cpu", "memory", "io")
@@ -20,38 +20,36 @@ def _first(column: str) -> Column:
 
 
 def weighted_path_duration(paths: DataFrame, *, jitter: float = 0.0) -> DataFrame:
-    """Rank-weighted mean duration per run.
+    """Mean duration per run, weighted by a path's place in the run's list.
 
-    The first path counts fully; another counts 1/rank unless its duration is
-    not positive or equals the first. Injected runs keep the raw first duration.
-    ``jitter`` scales normal runs by up to that fraction, from a hash of the run.
+    The list is ordered by ``path_rank, path_id``. The first path counts fully;
+    the one in place p counts 1/p unless its duration is not positive or equals
+    the first. Injected runs keep the raw first duration. ``jitter`` scales
+    normal runs by up to that fraction, from a hash of the run. A run has few
+    paths (the top k), so its window is small.
     """
-    first = paths.groupBy(*RUN).agg(
-        F.struct(
-            F.min(F.struct("path_rank", "path_id", "critical_duration_ns")).alias("head"),
-            F.count(F.lit(1)).alias("n"),
-        ).alias("_first")
-    )
-    lead = F.col("_first.head.critical_duration_ns")
+    listed = Window.partitionBy(*RUN).orderBy("path_rank", "path_id")
     duration = F.col("critical_duration_ns")
-    weight = F.lit(1.0) / F.col("path_rank")
-    other = (
-        (F.col("path_id") != F.col("_first.head.path_id")) & (duration > 0) & (duration != lead)
+    placed = paths.withColumns(
+        {
+            "_place": F.row_number().over(listed),
+            "_lead": F.first("critical_duration_ns").over(listed),
+        }
     )
-    sums = (
-        paths.join(first, RUN)
-        .groupBy(*RUN)
-        .agg(
-            F.max("_first").alias("_first"),
-            F.sum(F.when(other, duration * weight).otherwise(F.lit(0.0))).alias("_sum"),
-            F.sum(F.when(other, weight).otherwise(F.lit(0.0))).alias("_weights"),
-        )
+    weight = F.lit(1.0) / F.col("_place")
+    other = (F.col("_place") > 1) & (duration > 0) & (duration != F.col("_lead"))
+    sums = placed.groupBy(*RUN).agg(
+        F.max("_lead").alias("_lead"),
+        F.count(F.lit(1)).alias("_n"),
+        F.sum(F.when(other, duration * weight).otherwise(F.lit(0.0))).alias("_sum"),
+        F.sum(F.when(other, weight).otherwise(F.lit(0.0))).alias("_weights"),
     )
+    lead = F.col("_lead")
     mean = (lead + F.col("_sum")) / (1 + F.col("_weights"))
     if jitter:
         key = F.concat_ws("_", "program", "input_id", "iteration", F.lit("duration"))
         mean = mean * (1 - jitter + 2 * jitter * unit_interval(key))
-    plain = F.col("is_regression") | (lead <= 0) | (F.col("_first.n") == 1)
+    plain = F.col("is_regression") | (lead <= 0) | (F.col("_n") == 1)
     weighted = F.when(plain, lead.cast("double")).otherwise(mean)
     # The sum has no fixed order, so its last bits must not decide the whole part.
     return sums.select(
@@ -178,7 +176,7 @@ def split_by_input(
     share: float = 0.7,
     *,
     at_least: int = 10,
-    rows_per_slice: int | None = ROWS_PER_SLICE,
+    slices: int | None = None,
 ) -> DataFrame:
     """Add ``is_baseline``: true for the first share of each program's inputs.
 
@@ -190,7 +188,7 @@ def split_by_input(
         .agg(F.count(F.lit(1)).alias("_runs"))
         .join(inputs.groupBy("program").agg(F.count(F.lit(1)).alias("_inputs")), "program")
     )
-    placed = ranked(inputs, ["program"], ["input_id"], "_place", rows_per_slice=rows_per_slice)
+    placed = ranked(inputs, ["program"], ["input_id"], "_place", slices=slices)
     chosen = placed.join(sizes, "program").select(
         "program",
         "input_id",
@@ -257,7 +255,7 @@ def bottleneck_model(runs: DataFrame) -> DataFrame:
     )
 
 
-def resource_model(runs: DataFrame, *, rows_per_slice: int | None = ROWS_PER_SLICE) -> DataFrame:
+def resource_model(runs: DataFrame, *, slices: int | None = None) -> DataFrame:
     """Mean, population deviation, p95 and p99 per program and resource."""
     long = runs.select(
         "program",
@@ -272,7 +270,7 @@ def resource_model(runs: DataFrame, *, rows_per_slice: int | None = ROWS_PER_SLI
     ).where(F.col("_v").isNotNull())
     keys = ["program", "resource"]
     basic = long.groupBy(*keys).agg(F.avg("_v").alias("mean"), F.stddev_pop("_v").alias("std"))
-    tails = percentiles(long, keys, "_v", {"p95": 0.95, "p99": 0.99}, rows_per_slice=rows_per_slice)
+    tails = percentiles(long, keys, "_v", {"p95": 0.95, "p99": 0.99}, slices=slices)
     return basic.join(tails, keys)
 
 
@@ -294,7 +292,7 @@ def archetype_model(runs: DataFrame) -> DataFrame:
     )
 
 
-def archetype_transitions(runs: DataFrame, *, rows_per_slice: int | None = ROWS_PER_SLICE) -> DataFrame:
+def archetype_transitions(runs: DataFrame, *, slices: int | None = None) -> DataFrame:
     """Counts of archetype changes between successive iterations of an input."""
     stepped = with_previous(
         runs.select("program", "input_id", "iteration", "archetype"),
@@ -302,13 +300,13 @@ def archetype_transitions(runs: DataFrame, *, rows_per_slice: int | None = ROWS_
         ["iteration"],
         ["archetype"],
         "_before",
-        rows_per_slice=rows_per_slice,
+        slices=slices,
     ).where(F.col("_before").isNotNull())
     move = F.concat_ws("->", F.col("_before.archetype"), F.col("archetype"))
     return stepped.groupBy("program", move.alias("transition")).agg(F.count(F.lit(1)).alias("count"))
 
 
-def bounds_model(runs: DataFrame, *, rows_per_slice: int | None = ROWS_PER_SLICE) -> DataFrame:
+def bounds_model(runs: DataFrame, *, slices: int | None = None) -> DataFrame:
     """Duration and length statistics per program."""
     basic = runs.groupBy("program").agg(
         F.avg("path_duration_ns").alias("duration_mean"),
@@ -329,7 +327,7 @@ def bounds_model(runs: DataFrame, *, rows_per_slice: int | None = ROWS_PER_SLICE
             "duration_p95": 0.95,
             "duration_p99": 0.99,
         },
-        rows_per_slice=rows_per_slice,
+        slices=slices,
     )
     return (
         basic.join(levels, "program")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .grouping import chunked_lists
-from .ordered import ROWS_PER_SLICE, ranked
+from .ordered import ranked
 
 INPUT_RUN = ["program", "input_id", "iteration"]
 
@@ -84,10 +84,10 @@ def slice_inputs(
     size: int,
     range_index: int | Column = 0,
     *,
-    rows_per_slice: int | None = ROWS_PER_SLICE,
+    slices: int | None = None,
 ) -> DataFrame:
     """Inputs ``range * size`` to ``(range + 1) * size`` in the given order."""
-    placed = ranked(inputs, [], order, "position", rows_per_slice=rows_per_slice)
+    placed = ranked(inputs, [], order, "position", slices=slices)
     first = F.lit(range_index) * size if isinstance(range_index, int) else range_index * size
     return placed.where((F.col("position") > first) & (F.col("position") <= first + size))
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .ordered import ROWS_PER_SLICE, latest_before, running_sum, sliced_running_sum
+from .ordered import latest_before, running_sum, sliced_running_sum
 from .storage import written
 
 THREAD = ["run", "tid"]
@@ -30,7 +30,7 @@ def clean_events(events: DataFrame) -> DataFrame:
     )
 
 
-def pair_calls(events: DataFrame, *, rows_per_slice: int | None = ROWS_PER_SLICE) -> DataFrame:
+def pair_calls(events: DataFrame, *, slices: int | None = None) -> DataFrame:
     """One row per completed call, from events ``run, tid, ts, seq, ph, name``.
 
     The running count of open calls gives each event its level; at one level of
@@ -47,7 +47,7 @@ def pair_calls(events: DataFrame, *, rows_per_slice: int | None = ROWS_PER_SLICE
         ["ts", "seq"],
         step,
         "_open",
-        rows_per_slice=rows_per_slice,
+        slices=slices,
     )
     level = F.when(F.col("ph") == "B", F.col("_open")).otherwise(F.col("_open") + 1)
     within = Window.partitionBy(*THREAD, "_slice", "level").orderBy("ts", "seq")
@@ -61,7 +61,7 @@ def pair_calls(events: DataFrame, *, rows_per_slice: int | None = ROWS_PER_SLICE
     )
     across = Window.partitionBy(*THREAD, "level").orderBy("ts", "seq")
     at_edges = (
-        placed.where(F.col("_cut") & edge).withColumn("_begin", F.lag(begin).over(across)).where(closes)
+        placed.where(edge).withColumn("_begin", F.lag(begin).over(across)).where(closes)
     )
     return (
         placed.where(closes)
@@ -93,7 +93,7 @@ def unmatched_events(events: DataFrame, calls: DataFrame) -> DataFrame:
     )
 
 
-def call_parents(calls: DataFrame, *, rows_per_slice: int | None = ROWS_PER_SLICE) -> DataFrame:
+def call_parents(calls: DataFrame, *, slices: int | None = None) -> DataFrame:
     """Add ``parent_id``: the latest call one level up in the same thread."""
     states = calls.select(*THREAD, "level", F.col("start_ts").alias("ts"), F.col("call_id").alias("seq"))
     probes = calls.withColumns(
@@ -106,7 +106,7 @@ def call_parents(calls: DataFrame, *, rows_per_slice: int | None = ROWS_PER_SLIC
         ["ts", "seq"],
         ["seq"],
         "_parent",
-        rows_per_slice=rows_per_slice,
+        slices=slices,
     )
     return found.withColumn("level", F.col("_level")).select(
         *calls.columns, F.col("_parent.seq").alias("parent_id")
@@ -149,7 +149,7 @@ def hotspots(
     )
 
 
-def chain_scores(calls: DataFrame, *, rows_per_slice: int | None = ROWS_PER_SLICE) -> DataFrame:
+def chain_scores(calls: DataFrame, *, slices: int | None = None) -> DataFrame:
     """Add ``score``: summed durations from below the root down to the call.
 
     While a call is open its duration is counted, so a running sum over begins
@@ -177,13 +177,13 @@ def chain_scores(calls: DataFrame, *, rows_per_slice: int | None = ROWS_PER_SLIC
         ),
     )
     summed = running_sum(
-        edges, THREAD, ["ts", "seq"], "_delta", "score", rows_per_slice=rows_per_slice
+        edges, THREAD, ["ts", "seq"], "_delta", "score", slices=slices
     )
     return summed.where(F.col("_call").isNotNull()).select(*THREAD, "_call.*", "score")
 
 
 def critical_paths(
-    stats: DataFrame, k: int = 10, *, rows_per_slice: int | None = ROWS_PER_SLICE
+    stats: DataFrame, k: int = 10, *, slices: int | None = None
 ) -> DataFrame:
     """The ``k`` heaviest root-to-leaf chains per run, one row per function.
 
@@ -193,7 +193,7 @@ def critical_paths(
     """
     best = Window.partitionBy("run").orderBy(F.desc("score"), "start_ts", "tid", "call_id")
     leaves = (
-        chain_scores(stats, rows_per_slice=rows_per_slice)
+        chain_scores(stats, slices=slices)
         .where(F.col("num_children") == 0)
         .withColumn("rank", F.row_number().over(best))
         .where(F.col("rank") <= k)
@@ -214,7 +214,7 @@ def critical_paths(
         ["ts", "seq"],
         ["call_id", "function_name", "duration", "self_time", "start_ts", "end_ts"],
         "_f",
-        rows_per_slice=rows_per_slice,
+        slices=slices,
     )
     return chain.select(
         "run", "rank", "tid", "score", (F.col("level") - 1).alias("pos"), "_f.*"
@@ -237,7 +237,7 @@ def path_bottlenecks(
     by: list[str],
     duration: str = "duration",
     *,
-    rows_per_slice: int | None = ROWS_PER_SLICE,
+    slices: int | None = None,
 ) -> DataFrame:
     """Non-root functions, longest first, with their percentage of the path."""
     inner = functions.where(F.col("pos") > 0)
@@ -249,7 +249,7 @@ def path_bottlenecks(
         ["_neg", "pos"],
         F.lit(1).cast("long"),
         "bottleneck_rank",
-        rows_per_slice=rows_per_slice,
+        slices=slices,
     )
     return (
         ordered.join(totals, by)

@@ -12,7 +12,7 @@ from ..functions.inference import (
     normal_upper_tail,
     polynomial,
 )
-from .ordered import ROWS_PER_SLICE, ranked, running_sum
+from .ordered import ranked, running_sum
 
 # Royston's (1995) polynomials for the Shapiro-Wilk test,
 # constant term first.
@@ -26,11 +26,11 @@ SMALL_GAMMA = (-2.273, 0.459)
 
 
 def average_ranks(
-    df: DataFrame, by: list[str], value: str, out: str, *, rows_per_slice: int | None = ROWS_PER_SLICE
+    df: DataFrame, by: list[str], value: str, out: str, *, slices: int | None = None
 ) -> DataFrame:
     """1-based rank within the group; equal values share their mean rank."""
     counts = df.groupBy(*by, value).agg(F.count(F.lit(1)).alias("_count"))
-    upto = running_sum(counts, by, [value], "_count", "_upto", rows_per_slice=rows_per_slice)
+    upto = running_sum(counts, by, [value], "_count", "_upto", slices=slices)
     ranks = upto.select(*by, value, (F.col("_upto") - (F.col("_count") - 1) / 2).alias(out))
     return df.join(ranks, [*by, value])
 
@@ -45,11 +45,11 @@ def pearson(df: DataFrame, by: list[str], a: str, b: str) -> DataFrame:
 
 
 def spearman(
-    df: DataFrame, by: list[str], a: str, b: str, *, rows_per_slice: int | None = ROWS_PER_SLICE
+    df: DataFrame, by: list[str], a: str, b: str, *, slices: int | None = None
 ) -> DataFrame:
     """Spearman's rho per group of more than two rows, ties by mean rank."""
-    ranks = average_ranks(df.select(*by, a, b), by, a, "_a", rows_per_slice=rows_per_slice)
-    ranks = average_ranks(ranks, by, b, "_b", rows_per_slice=rows_per_slice)
+    ranks = average_ranks(df.select(*by, a, b), by, a, "_a", slices=slices)
+    ranks = average_ranks(ranks, by, b, "_b", slices=slices)
     return pearson(ranks, by, "_a", "_b")
 
 
@@ -122,7 +122,7 @@ def shapiro_wilk(
     tie: str,
     *,
     alpha: float = 0.05,
-    rows_per_slice: int | None = ROWS_PER_SLICE,
+    slices: int | None = None,
 ) -> DataFrame:
     """Shapiro-Wilk W and p by Royston's approximation, for n >= 3.
 
@@ -134,7 +134,7 @@ def shapiro_wilk(
     sizes = (
         data.groupBy(*by).agg(F.count(F.lit(1)).cast("double").alias("_n")).where(F.col("_n") >= 3)
     )
-    placed = ranked(data, by, [value, tie], "_i", rows_per_slice=rows_per_slice).join(sizes, by)
+    placed = ranked(data, by, [value, tie], "_i", slices=slices).join(sizes, by)
     n, i, x = F.col("_n"), F.col("_i"), F.col(value).cast("double")
     m = normal_quantile((i - 0.375) / (n + 0.25))
     scored = placed.withColumn("_m", m)
@@ -209,7 +209,7 @@ def normality_verdict(
     tie: str,
     *,
     alpha: float = 0.05,
-    rows_per_slice: int | None = ROWS_PER_SLICE,
+    slices: int | None = None,
 ) -> DataFrame:
     """Both tests and their joint verdict; too few values are not normal."""
     sizes = df.groupBy(*by).agg(
@@ -220,7 +220,7 @@ def normality_verdict(
             & (F.abs(F.col(value)) < float("inf"))
         ).alias("n"),
     )
-    shapiro = shapiro_wilk(df, by, value, tie, alpha=alpha, rows_per_slice=rows_per_slice)
+    shapiro = shapiro_wilk(df, by, value, tie, alpha=alpha, slices=slices)
     omnibus = dagostino(df, by, value, alpha=alpha)
     reason = F.when(F.col("_rows") < 3, "insufficient_data").when(
         F.col("n") < 3, "insufficient_valid_data"
@@ -247,7 +247,7 @@ def normality_verdict(
 
 
 def correlation_report(
-    classified: DataFrame, *, alpha: float = 0.05, rows_per_slice: int | None = ROWS_PER_SLICE
+    classified: DataFrame, *, alpha: float = 0.05, slices: int | None = None
 ) -> DataFrame:
     """Pearson on scores, Spearman on ranks, and whether Pearson is apt.
 
@@ -256,11 +256,11 @@ def correlation_report(
     by = ["program"]
     scores = with_p_value(pearson(classified, by, "complexity", "criticality"))
     ranks = with_p_value(
-        spearman(classified, by, "static_rank", "dynamic_rank", rows_per_slice=rows_per_slice)
+        spearman(classified, by, "static_rank", "dynamic_rank", slices=slices)
     )
     verdicts = [
         normality_verdict(
-            classified, by, value, "function_name", alpha=alpha, rows_per_slice=rows_per_slice
+            classified, by, value, "function_name", alpha=alpha, slices=slices
         ).select(*by, F.col("is_normal").alias(out))
         for value, out in (("complexity", "_static"), ("criticality", "_dynamic"))
     ]

@@ -15,9 +15,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.units import unit_interval
 from .baseline import RESOURCES, RUN
-from .ordered import ROWS_PER_SLICE, percentiles, ranked, slicing
+from .ordered import percentiles, ranked
 from .scoring import widen_resource_model
-from .storage import written_counted
+from .storage import written
 
 # Feature sets of the learned detectors.
 PATH_FEATURES = ["path_duration_ns", "path_length", "cpu_avg", "memory_avg", "io_avg"]
@@ -34,20 +34,20 @@ def _flag(judged: DataFrame, name: str, flagged: Column) -> DataFrame:
 
 def duration_threshold(runs: DataFrame, bounds: DataFrame) -> DataFrame:
     """Duration above the baseline's 95th percentile."""
-    judged = runs.join(bounds, "program")
+    judged = runs.join(bounds, "program", "left")
     return _flag(judged, "threshold", F.col("path_duration_ns") > F.col("duration_p95"))
 
 
 def control_chart(runs: DataFrame, bounds: DataFrame) -> DataFrame:
     """Duration outside mean +- 3 population deviations."""
-    judged = runs.join(bounds, "program")
+    judged = runs.join(bounds, "program", "left")
     distance = F.abs(F.col("path_duration_ns") - F.col("duration_mean"))
     return _flag(judged, "statistical_control", distance > 3 * F.col("duration_std"))
 
 
 def resource_threshold(runs: DataFrame, model: DataFrame) -> DataFrame:
     """Any resource average above its 95th percentile."""
-    judged = runs.join(widen_resource_model(model), "program")
+    judged = runs.join(widen_resource_model(model), "program", "left")
     over = F.lit(False)
     for r in RESOURCES:
         over = over | F.coalesce(F.col(f"{r}_avg") > F.col(f"_{r}_p95"), F.lit(False))
@@ -151,7 +151,7 @@ def isolation_forest(
     seed: int = 42,
     at_least: int = 10,
     chunk_rows: int = 50_000,
-    rows_per_slice: int | None = ROWS_PER_SLICE,
+    slices: int | None = None,
 ) -> DataFrame:
     """Isolation forest per program, flagging the top share of baseline scores.
 
@@ -173,7 +173,7 @@ def isolation_forest(
         .select(*RUN, "x", F.md5(drawn).alias("_hash"))
     )
     pool_sizes = pool.groupBy("program").agg(F.count(F.lit(1)).alias("_pool"))
-    pool = ranked(pool, ["program"], ["_hash"], "_place", rows_per_slice=rows_per_slice)
+    pool = ranked(pool, ["program"], ["_hash"], "_place", slices=slices)
     pool = pool.withColumn("_r", F.col("_place") - 1)
     stretch = F.filter(
         F.sequence(F.lit(0), F.lit(trees - 1)),
@@ -211,13 +211,13 @@ def isolation_forest(
         .applyInPandas(_score_chunk, f"{run_types}, _base boolean, score double")
     )
     # Read by the cut and by the flags; growing and scoring should happen once.
-    scored, rows = written_counted(scored, "isolation-scores")
+    scored = written(scored, "isolation-scores")
     cut = percentiles(
         scored.where("_base").select("program", "score"),
         ["program"],
         "score",
         {"_cut": 1 - contamination},
-        rows_per_slice=None if rows_per_slice is None else slicing(rows),
+        slices=slices,
     )
     judged = (
         scored.where(~F.col("_base"))
@@ -244,7 +244,7 @@ def one_class_kernel(
     frequencies: int = 32,
     seed: int = 42,
     at_least: int = 10,
-    rows_per_slice: int | None = ROWS_PER_SLICE,
+    slices: int | None = None,
 ) -> DataFrame:
     """One-class detector: mean RBF kernel to the whole baseline, cut at ``nu``.
 
@@ -300,7 +300,7 @@ def one_class_kernel(
         ["program"],
         "score",
         {"_cut": nu},
-        rows_per_slice=rows_per_slice,
+        slices=slices,
     )
     judged = (
         runs.select(*RUN).join(scored(projected(runs)), RUN, "left").join(cut, "program", "left")

@@ -18,6 +18,9 @@ from .storage import written
 LOOPS = ("for", "while", "do")
 EXTENSIONS = (".cpp", ".cxx", ".cc", ".c", ".h", ".hpp", ".hxx")
 
+#: Pointer doublings; they reach 2 ** 40 ancestors, so more of them mean a cycle.
+MAX_ROUNDS = 40
+
 
 def element_counts(elements: DataFrame) -> DataFrame:
     """Parameters, loops, statements and branches per function.
@@ -60,7 +63,9 @@ def nested_loop_pairs(elements: DataFrame) -> DataFrame:
         "loop-jumps",
     )
     # ``passed`` counts loops among ancestors strictly below ``jump``.
-    while not jumps.where(F.col("jump").isNotNull()).isEmpty():
+    for _ in range(MAX_ROUNDS + 1):
+        if jumps.where(F.col("jump").isNotNull()).isEmpty():
+            break
         target = jumps.select(
             "function_id",
             F.col("element_id").alias("jump"),
@@ -80,6 +85,8 @@ def nested_loop_pairs(elements: DataFrame) -> DataFrame:
             ),
             "loop-jumps",
         )
+    else:
+        raise ValueError("parents of elements form a cycle")
     return jumps.groupBy("function_id").agg(
         F.sum(F.col("loop") * F.col("passed")).alias("nested_loops")
     )

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .ordered import ROWS_PER_SLICE, running_sum
+from .ordered import running_sum
 from .scoring import without_signals
 
 # How many features each comparison detector looks at, and
@@ -55,7 +55,7 @@ def roc_auc(
     score: str = "combined_score",
     truth: str = "is_regression",
     *,
-    rows_per_slice: int | None = ROWS_PER_SLICE,
+    slices: int | None = None,
 ) -> DataFrame:
     """Area under the ROC curve with half credit for ties; 0 with one class.
 
@@ -66,7 +66,7 @@ def roc_auc(
     counts = results.groupBy(*by, value.alias("_score")).agg(
         F.count_if(F.col(truth)).alias("_pos"), F.count_if(~F.col(truth)).alias("_neg")
     )
-    upto = running_sum(counts, by, ["_score"], "_neg", "_upto", rows_per_slice=rows_per_slice)
+    upto = running_sum(counts, by, ["_score"], "_neg", "_upto", slices=slices)
     won = F.col("_pos") * (F.col("_upto") - F.col("_neg") / 2)
     sums = upto.groupBy(*by).agg(
         F.sum(won).alias("_won"), F.sum("_pos").alias("_p"), F.sum("_neg").alias("_n")
@@ -104,14 +104,14 @@ def ablation(scored: DataFrame) -> DataFrame:
     return rates.select("excluded_signal", *metrics, *[c.alias(n) for n, c in drops.items()])
 
 
-def compare_detectors(flags: DataFrame, *, rows_per_slice: int | None = ROWS_PER_SLICE) -> DataFrame:
+def compare_detectors(flags: DataFrame, *, slices: int | None = None) -> DataFrame:
     """Rates and AUC per detector from rows ``(run, detector, flagged)``."""
     rates = precision_recall_f1(confusion_matrix(flags, ["detector"], "flagged"))
     areas = roc_auc(
         flags.withColumn("_flag", F.col("flagged").cast("int")),
         ["detector"],
         "_flag",
-        rows_per_slice=rows_per_slice,
+        slices=slices,
     )
     features = F.create_map(*[F.lit(v) for n, (c, _) in DETECTORS.items() for v in (n, c)])
     uses = F.create_map(*[F.lit(v) for n, (_, u) in DETECTORS.items() for v in (n, u)])

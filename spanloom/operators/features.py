@@ -13,7 +13,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.names import name_prefix
-from .ordered import ROWS_PER_SLICE, percentiles, running_sum, with_following
+from .ordered import percentiles, running_sum, with_following
 from .telemetry import RESOURCE_FEATURES, resource_features
 
 # Names and order of the feature vector.
@@ -90,7 +90,7 @@ def structural_features(functions: DataFrame, key: list[str], static: DataFrame,
 
 
 def temporal_features(
-    functions: DataFrame, key: list[str], *, rows_per_slice: int | None = ROWS_PER_SLICE
+    functions: DataFrame, key: list[str], *, slices: int | None = None
 ) -> DataFrame:
     """Total, Gini, top-1 and top-3 share, self share, place of the peak."""
     negated = functions.select(*key, "pos", "duration_ns", "self_time_ns").withColumn(
@@ -98,19 +98,20 @@ def temporal_features(
     )
     # Rank 1 is the longest function; the ascending rank is n + 1 - rank.
     placed = running_sum(
-        negated, key, ["_neg", "pos"], F.lit(1).cast("long"), "_rank", rows_per_slice=rows_per_slice
+        negated, key, ["_neg", "pos"], F.lit(1).cast("long"), "_rank", slices=slices
     )
     duration = F.col("duration_ns")
     sums = placed.groupBy(*key).agg(
         F.count(F.lit(1)).alias("_n"),
-        F.sum(duration).alias("_total"),
-        F.sum("self_time_ns").alias("_self"),
+        F.sum(duration.cast("decimal(20,0)")).alias("_total"),
+        F.sum(F.col("self_time_ns").cast("decimal(20,0)")).cast("double").alias("_self"),
         F.sum(F.col("_rank") * duration.cast("double")).alias("_ranked"),
         F.max(duration).alias("_max"),
         F.sum(F.when(F.col("_rank") <= 3, duration)).alias("_top3"),
         F.min(F.when(F.col("_rank") == 1, F.col("pos"))).alias("_peak"),
     )
-    n, total = F.col("_n"), F.col("_total")
+    # products of counts and nanoseconds exceed 64 bits
+    n, total = F.col("_n").cast("double"), F.col("_total").cast("double")
     some = total > 0
     ascending = (n + 1) * total - F.col("_ranked")
     gini = 2 * ascending / (n * total) - (n + 1) / n
@@ -191,7 +192,7 @@ def phase_features(
     key: list[str],
     *,
     width: int,
-    rows_per_slice: int | None = ROWS_PER_SLICE,
+    slices: int | None = None,
 ) -> DataFrame:
     """How resources change across the phases of a path.
 
@@ -205,7 +206,7 @@ def phase_features(
         run,
         [*key, "phase"],
         width=width,
-        rows_per_slice=rows_per_slice,
+        slices=slices,
     )
     vector = F.array(*[F.col(n) for n in names])
     folded = measured.groupBy(*key).agg(
@@ -284,7 +285,7 @@ def path_metadata(functions: DataFrame, key: list[str], columns: dict[str, str])
 
 
 def resource_thresholds(
-    features: DataFrame, *, compat: bool = False, rows_per_slice: int | None = ROWS_PER_SLICE
+    features: DataFrame, *, compat: bool = False, slices: int | None = None
 ) -> DataFrame:
     """Largest depth and the 80th/40th percentiles of three resource features.
 
@@ -308,7 +309,7 @@ def resource_thresholds(
         )
     )
     levels = percentiles(
-        long, ["resource"], "_v", {"high": 0.8, "medium": 0.4}, rows_per_slice=rows_per_slice
+        long, ["resource"], "_v", {"high": 0.8, "medium": 0.4}, slices=slices
     )
 
     def level(resource: str, name: str) -> Column:

@@ -1,41 +1,26 @@
 """Ordered scans over groups of any size.
 
-A plain window puts a whole group into one task. Here a large group is first cut
-into slices along its sort order, each slice is one window partition, and only
-one row per slice is combined across slices.
-
-The cut points are rows picked by a hash of group and sort key, about one in
-``ROWS_PER_SLICE``: the same rows on every evaluation, so a recomputed task cuts
-in the same places. A group with fewer than two picked rows is left whole, and
-a huge one keeps ``MAX_CUTS`` evenly spread points, so its slices grow instead of
-its list. A row finds its slice in two short steps, not by reading the list. The
-cut points are found first, by a job that reads only the key columns, and
-written to the shared folder. If there are none, no group is large and the plain
-window runs as it is. Otherwise their counted number decides whether they are
-broadcast or joined. Results are exact for any choice of cuts.
-
-``rows_per_slice=None`` states that the whole input is proven to fit one slice
-(see ``slicing``); no cut points are looked for then.
+A plain window puts a whole group into one task. Here rows are dealt by range of
+group and sort key and written once; the slice of a row is the partition it fell
+into, fixed from then on. A window runs inside each slice, and what earlier
+slices of a group contribute is carried over: only the first group of a slice
+can have begun before it, so at most one row per slice is carried, and that
+table is broadcast. Slices follow the data: their number is that of a shuffle's
+partitions, which adaptive execution merges where they are small. Every input
+takes this path, whatever its size, and results are exact for any slices.
+
+``slices`` fixes their number, for tests and for known sizes.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .storage import written_counted
-
-ROWS_PER_SLICE = 200_000
-# Cut-point rows are a few dozen bytes; this many stay within a few megabytes.
-BROADCAST_ROWS = 50_000
-MAX_CUTS = 4096
-CUT_STRIDE = 64
-
-
-def slicing(rows: int) -> int | None:
-    """``rows_per_slice`` for an input of at most ``rows`` rows in all."""
-    return None if rows <= ROWS_PER_SLICE else ROWS_PER_SLICE
+from .storage import written
 
 
 def _column(name_or_column: str | Column) -> Column:
@@ -46,60 +31,30 @@ def _order_key(order: Sequence[str]) -> Column:
     return F.struct(*[F.col(name) for name in order])
 
 
-def _small(table: DataFrame, rows: int) -> DataFrame:
-    """Broadcast a table of counted size if it is small; otherwise leave the join open."""
-    return F.broadcast(table) if rows <= BROADCAST_ROWS else table
+def _sliced(
+    df: DataFrame, by: Sequence[str], order: Sequence[str], slices: int | None
+) -> DataFrame:
+    """Add ``_slice``: slices are ranges of ``(by, order)``, ascending by number."""
+    keys = [*by, *order]
+    dealt = df.repartitionByRange(*keys) if slices is None else df.repartitionByRange(slices, *keys)
+    return written(dealt.withColumn("_slice", F.spark_partition_id()), "slices")
 
 
-def _with_slice(
-    df: DataFrame, by: Sequence[str], order: Sequence[str], rows_per_slice: int | None
-) -> tuple[DataFrame, int] | None:
-    """Add ``_slice``, the 0-based slice of a row, and ``_cut``: is its group cut?
+def _earlier(by: Sequence[str]) -> Window:
+    """Slices of a group before the current one; one row per group and slice."""
+    return Window.partitionBy(*by).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
 
-    Returns the frame and the number of cut points, or None if no group is cut.
-    """
-    if rows_per_slice is None:
-        return None
-    key = _order_key(order)
-    picked = F.pmod(F.xxhash64(*by, *order), F.lit(rows_per_slice)) == 0
-    found = (
-        df.where(picked)
-        .select(*by, key.alias("_key"))
-        .groupBy(*by)
-        .agg(F.array_sort(F.collect_set("_key")).alias("_all"))
-        .where(F.size("_all") > 1)
-        .withColumn("_step", F.ceil(F.size("_all") / F.lit(MAX_CUTS)))
-        .withColumn("_cuts", F.filter("_all", lambda _, i: i % F.col("_step") == 0))
-        .withColumn("_coarse", F.filter("_cuts", lambda _, i: i % CUT_STRIDE == 0))
-        .drop("_all", "_step")
-    )
-    cuts, rows = written_counted(found, "cut-points")
-    if rows == 0:
-        return None
-    points = cuts.agg(F.sum(F.size("_cuts"))).head()[0]
-    if by:
-        joined = df.join(_small(cuts, points), list(by), "left")
-    else:
-        # One group: the cut points arrive as a scalar subquery, not as a cross join.
-        folded = cuts.select(F.struct("_cuts", "_coarse")).scalar()
-        joined = df.withColumn("_found", folded).select(*df.columns, "_found.*")
-
-    def passed(points_column: Column) -> Column:
-        return F.size(F.filter(points_column, lambda cut: cut <= key))
-
-    start = (F.col("_block") - 1) * CUT_STRIDE
-    inside = passed(F.slice("_cuts", start + 1, F.lit(CUT_STRIDE)))
-    sliced = joined.withColumn("_block", passed(F.col("_coarse"))).select(
-        *df.columns,
-        F.when(F.col("_block") > 0, start + inside).otherwise(F.lit(0)).alias("_slice"),
-        F.col("_cuts").isNotNull().alias("_cut"),
-    )
-    return sliced, points
 
+def _carried(local: DataFrame, per_slice: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Join what earlier slices of its group contribute to each row.
 
-def _carried(local: DataFrame, per_slice: DataFrame, by: Sequence[str], points: int) -> DataFrame:
-    """Join what earlier slices of a cut group contribute to each row."""
-    return local.join(_small(per_slice, 2 * points), [*by, "_slice"], "left")
+    ``per_slice`` holds only groups that began in an earlier slice: one row per
+    slice at most, which bounds the broadcast.
+    """
+    keys = [*by, "_slice"]
+    renamed = per_slice.withColumnsRenamed({k: f"_on_{k}" for k in keys})
+    same = [local[k].eqNullSafe(renamed[f"_on_{k}"]) for k in keys]
+    return local.join(F.broadcast(renamed), same, "left").drop(*[f"_on_{k}" for k in keys])
 
 
 def sliced_running_sum(
@@ -109,41 +64,27 @@ def sliced_running_sum(
     value: str | Column,
     out: str,
     *,
-    rows_per_slice: int | None = ROWS_PER_SLICE,
+    slices: int | None = None,
 ) -> DataFrame:
-    """``running_sum`` that keeps ``_slice`` and ``_cut`` for further windows.
+    """``running_sum`` that keeps ``_slice`` for further windows.
 
     A window by ``[*by, "_slice", ...]`` after it needs no other shuffle.
     """
-    valued = df.withColumn("_value", _column(value))
-    cut = _with_slice(valued, by, order, rows_per_slice)
-    if cut is None:
-        whole = Window.partitionBy(*by).orderBy(*order)
-        summed = F.sum("_value").over(whole.rowsBetween(Window.unboundedPreceding, 0))
-        return valued.select(
-            *df.columns, F.lit(0).alias("_slice"), F.lit(False).alias("_cut"), summed.alias(out)
-        )
-    sliced, points = cut
-    slices = Window.partitionBy(*by).orderBy("_slice")
+    sliced = _sliced(df.withColumn("_value", _column(value)), by, order, slices)
     before = (
-        sliced.where("_cut")
-        .groupBy(*by, "_slice")
+        sliced.groupBy(*by, "_slice")
         .agg(F.sum("_value").alias("_total"))
-        .withColumn(
-            "_before",
-            F.sum("_total").over(slices.rowsBetween(Window.unboundedPreceding, -1)),
-        )
+        .withColumn("_before", F.sum("_total").over(_earlier(by)))
         .drop("_total")
+        .where(F.col("_before").isNotNull())
     )
     within = Window.partitionBy(*by, "_slice").orderBy(*order)
     local = sliced.withColumn(
         "_local", F.sum("_value").over(within.rowsBetween(Window.unboundedPreceding, 0))
     )
-    return _carried(local, before, by, points).select(
-        *df.columns,
-        "_slice",
-        "_cut",
-        (F.col("_local") + F.coalesce(F.col("_before"), F.lit(0))).alias(out),
+    total = F.col("_local") + F.col("_before")
+    return _carried(local, before, by).select(
+        *df.columns, "_slice", F.coalesce(total, F.col("_local"), F.col("_before")).alias(out)
     )
 
 
@@ -154,15 +95,15 @@ def running_sum(
     value: str | Column,
     out: str,
     *,
-    rows_per_slice: int | None = ROWS_PER_SLICE,
+    slices: int | None = None,
 ) -> DataFrame:
     """Inclusive running sum of ``value`` per group, in ascending ``order``.
 
     ``order`` must be unique within a group for a deterministic result.
     """
     return sliced_running_sum(
-        df, by, order, value, out, rows_per_slice=rows_per_slice
-    ).drop("_slice", "_cut")
+        df, by, order, value, out, slices=slices
+    ).drop("_slice")
 
 
 def ranked(
@@ -171,11 +112,11 @@ def ranked(
     order: Sequence[str],
     out: str,
     *,
-    rows_per_slice: int | None = ROWS_PER_SLICE,
+    slices: int | None = None,
 ) -> DataFrame:
     """1-based row number per group in ascending ``order``."""
     return running_sum(
-        df, by, order, F.lit(1).cast("long"), out, rows_per_slice=rows_per_slice
+        df, by, order, F.lit(1).cast("long"), out, slices=slices
     )
 
 
@@ -185,14 +126,11 @@ def ranked_descending(
     order: Sequence[str],
     out: str,
     *,
-    rows_per_slice: int | None = ROWS_PER_SLICE,
+    slices: int | None = None,
 ) -> DataFrame:
     """1-based row number per group with every column of ``order`` descending."""
-    if rows_per_slice is None:
-        down = Window.partitionBy(*by).orderBy(*[F.desc(name) for name in order])
-        return df.withColumn(out, F.row_number().over(down).cast("long"))
     size = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_size"))
-    up = ranked(df, by, order, "_up", rows_per_slice=rows_per_slice)
+    up = ranked(df, by, order, "_up", slices=slices)
     sized = up.join(size, list(by)) if by else up.withColumn("_size", size.scalar())
     return sized.select(
         *df.columns, (F.col("_size") + 1 - F.col("_up")).alias(out)
@@ -206,24 +144,20 @@ def with_previous(
     columns: Sequence[str],
     out: str,
     *,
-    rows_per_slice: int | None = ROWS_PER_SLICE,
+    slices: int | None = None,
 ) -> DataFrame:
     """Add ``out``: a struct of ``columns`` of the row before, null on the first."""
     payload = F.struct(*columns)
-    cut = _with_slice(df, by, order, rows_per_slice)
-    if cut is None:
-        return df.withColumn(out, F.lag(payload).over(Window.partitionBy(*by).orderBy(*order)))
-    sliced, points = cut
-    slices = Window.partitionBy(*by).orderBy("_slice")
+    sliced = _sliced(df, by, order, slices)
     tails = (
-        sliced.where("_cut")
-        .groupBy(*by, "_slice")
+        sliced.groupBy(*by, "_slice")
         .agg(F.max_by(payload, _order_key(order)).alias("_tail"))
-        .withColumn("_tail", F.lag("_tail").over(slices))
+        .withColumn("_tail", F.lag("_tail").over(Window.partitionBy(*by).orderBy("_slice")))
+        .where(F.col("_tail").isNotNull())
     )
     within = Window.partitionBy(*by, "_slice").orderBy(*order)
     local = sliced.withColumn("_local", F.lag(payload).over(within))
-    return _carried(local, tails, by, points).select(
+    return _carried(local, tails, by).select(
         *df.columns, F.coalesce(F.col("_local"), F.col("_tail")).alias(out)
     )
 
@@ -236,7 +170,7 @@ def latest_before(
     columns: Sequence[str],
     out: str,
     *,
-    rows_per_slice: int | None = ROWS_PER_SLICE,
+    slices: int | None = None,
 ) -> DataFrame:
     """As-of join: for each probe the last state at or before it, else null.
 
@@ -251,37 +185,23 @@ def latest_before(
     )
     scan_order = [*order, "_kind"]
     merged = state_rows.unionByName(probe_rows, allowMissingColumns=True)
-    cut = _with_slice(merged, by, scan_order, rows_per_slice)
-    if cut is None:
-        whole = Window.partitionBy(*by).orderBy(*scan_order)
-        latest = F.last("_state", ignorenulls=True).over(
-            whole.rowsBetween(Window.unboundedPreceding, 0)
-        )
-        found = merged.withColumn(out, latest).where(F.col("_probe").isNotNull())
-        return found.select("_probe.*", out)
-    sliced, points = cut
-    slices = Window.partitionBy(*by).orderBy("_slice")
+    sliced = _sliced(merged, by, scan_order, slices)
     carried = (
-        sliced.where("_cut")
-        .groupBy(*by, "_slice")
+        sliced.groupBy(*by, "_slice")
         .agg(
             F.max_by(
                 "_state", F.when(F.col("_state").isNotNull(), _order_key(scan_order))
             ).alias("_carry")
         )
-        .withColumn(
-            "_carry",
-            F.last("_carry", ignorenulls=True).over(
-                slices.rowsBetween(Window.unboundedPreceding, -1)
-            ),
-        )
+        .withColumn("_carry", F.last("_carry", ignorenulls=True).over(_earlier(by)))
+        .where(F.col("_carry").isNotNull())
     )
     within = Window.partitionBy(*by, "_slice").orderBy(*scan_order)
     local = sliced.withColumn(
         "_local",
         F.last("_state", ignorenulls=True).over(within.rowsBetween(Window.unboundedPreceding, 0)),
     ).where(F.col("_probe").isNotNull())
-    return _carried(local, carried, by, points).select(
+    return _carried(local, carried, by).select(
         "_probe.*", F.coalesce(F.col("_local"), F.col("_carry")).alias(out)
     )
 
@@ -292,21 +212,13 @@ def fill_forward(
     order: Sequence[str],
     columns: Sequence[str],
     *,
-    rows_per_slice: int | None = ROWS_PER_SLICE,
+    slices: int | None = None,
 ) -> DataFrame:
     """Replace nulls in ``columns`` by the last earlier value of the group."""
-    cut = _with_slice(df, by, order, rows_per_slice)
-    if cut is None:
-        upto = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-        return df.withColumns({c: F.last(c, ignorenulls=True).over(upto) for c in columns})
     key = _order_key(order)
-    sliced, points = cut
-    earlier = (
-        Window.partitionBy(*by).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    )
+    sliced = _sliced(df, by, order, slices)
     carried = (
-        sliced.where("_cut")
-        .groupBy(*by, "_slice")
+        sliced.groupBy(*by, "_slice")
         .agg(
             *[
                 F.max_by(c, F.when(F.col(c).isNotNull(), key)).alias(f"_carry_{c}")
@@ -314,15 +226,19 @@ def fill_forward(
             ]
         )
         .withColumns(
-            {f"_carry_{c}": F.last(f"_carry_{c}", ignorenulls=True).over(earlier) for c in columns}
+            {
+                f"_carry_{c}": F.last(f"_carry_{c}", ignorenulls=True).over(_earlier(by))
+                for c in columns
+            }
         )
+        .where(reduce(or_, [F.col(f"_carry_{c}").isNotNull() for c in columns]))
     )
     within = (
         Window.partitionBy(*by, "_slice").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     )
     local = sliced.withColumns({c: F.last(c, ignorenulls=True).over(within) for c in columns})
     return (
-        _carried(local, carried, by, points)
+        _carried(local, carried, by)
         .withColumns({c: F.coalesce(F.col(c), F.col(f"_carry_{c}")) for c in columns})
         .select(*df.columns)
     )
@@ -363,7 +279,7 @@ def percentiles(
     value: str,
     probabilities: dict[str, float],
     *,
-    rows_per_slice: int | None = ROWS_PER_SLICE,
+    slices: int | None = None,
 ) -> DataFrame:
     """Exact percentiles with linear interpolation, one row per group.
 
@@ -377,7 +293,7 @@ def percentiles(
         .agg(F.count(F.lit(1)).alias("_count"))
     )
     sizes = counts.groupBy(*by).agg(F.sum("_count").alias("_n"))
-    upto = running_sum(counts, by, ["_x"], "_count", "_upto", rows_per_slice=rows_per_slice)
+    upto = running_sum(counts, by, ["_x"], "_count", "_upto", slices=slices)
     located = upto.join(sizes, list(by)) if by else upto.withColumn("_n", sizes.scalar())
     first = F.col("_upto") - F.col("_count")
     aggregates = []

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .ordered import ROWS_PER_SLICE, ranked, ranked_descending
+from .ordered import ranked, ranked_descending
 
 FUNCTION = ["program", "function_name"]
 
@@ -26,17 +26,17 @@ def static_complexity() -> Column:
     )
 
 
-def _score_rank(df: DataFrame, score: str, out: str, rows_per_slice: int | None) -> DataFrame:
+def _score_rank(df: DataFrame, score: str, out: str, slices: int | None) -> DataFrame:
     keyed = df.withColumn("_score", F.round(score, 9))
     return ranked_descending(
-        keyed, ["program"], ["_score", "function_name"], out, rows_per_slice=rows_per_slice
+        keyed, ["program"], ["_score", "function_name"], out, slices=slices
     ).drop("_score")
 
 
-def static_rank(static: DataFrame, *, rows_per_slice: int | None = ROWS_PER_SLICE) -> DataFrame:
+def static_rank(static: DataFrame, *, slices: int | None = None) -> DataFrame:
     """Rank functions by complexity, then name, both descending."""
     scored = static.withColumn("complexity", static_complexity())
-    return _score_rank(scored, "complexity", "static_rank", rows_per_slice)
+    return _score_rank(scored, "complexity", "static_rank", slices)
 
 
 def dynamic_stats(functions: DataFrame, bottlenecks: DataFrame, paths: DataFrame) -> DataFrame:
@@ -101,7 +101,7 @@ def executed_not_critical(
     stats: DataFrame,
     critical: DataFrame,
     *,
-    rows_per_slice: int | None = ROWS_PER_SLICE,
+    slices: int | None = None,
 ) -> DataFrame:
     """Functions that ran but are neither on a path nor a bottleneck.
 
@@ -111,7 +111,7 @@ def executed_not_critical(
     quiet = executed.select(*FUNCTION).distinct().join(stats.select(*FUNCTION), FUNCTION, "left_anti")
     worst = critical.groupBy("program").agg(F.max("avg_rank").alias("_worst"))
     fallback = stats.groupBy("program").agg((F.max("total_paths") + 1.0).alias("_fallback"))
-    placed = ranked(quiet, ["program"], ["function_name"], "_place", rows_per_slice=rows_per_slice)
+    placed = ranked(quiet, ["program"], ["function_name"], "_place", slices=slices)
     base = F.coalesce("_worst", "_fallback", F.lit(1.0))
     return (
         placed.join(worst, "program", "left")
@@ -129,9 +129,9 @@ def executed_not_critical(
     )
 
 
-def dynamic_rank(scores: DataFrame, *, rows_per_slice: int | None = ROWS_PER_SLICE) -> DataFrame:
+def dynamic_rank(scores: DataFrame, *, slices: int | None = None) -> DataFrame:
     """Rank functions by criticality, then name, both descending."""
-    return _score_rank(scores, "criticality", "dynamic_rank", rows_per_slice)
+    return _score_rank(scores, "criticality", "dynamic_rank", slices)
 
 
 def percentile_ranks(
@@ -139,7 +139,7 @@ def percentile_ranks(
     dynamic_ranked: DataFrame,
     *,
     at_least: int = 10,
-    rows_per_slice: int | None = ROWS_PER_SLICE,
+    slices: int | None = None,
 ) -> DataFrame:
     """Functions with both ranks, each re-ranked to (0, 1] within its program.
 
@@ -149,7 +149,7 @@ def percentile_ranks(
     sizes = common.groupBy("program").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= at_least)
     for side in ("static", "dynamic"):
         common = ranked(
-            common, ["program"], [f"{side}_rank"], f"_{side}_place", rows_per_slice=rows_per_slice
+            common, ["program"], [f"{side}_rank"], f"_{side}_place", slices=slices
         )
     return (
         common.join(sizes, "program")

@@ -60,7 +60,7 @@ def score_path(
     )
     joined = (
         runs.select(*RUN, "path_length")
-        .join(lengths, "program")
+        .join(lengths, "program", "left")
         .join(per_function, RUN, "left")
         .join(unseen, RUN, "left")
     )
@@ -107,7 +107,7 @@ def score_resource(runs: DataFrame, model: DataFrame) -> DataFrame:
         return F.when(usable, F.greatest(by_z, by_level)).otherwise(F.lit(0.0))
 
     wide = widen_resource_model(model)
-    return runs.join(wide, "program").select(
+    return runs.join(wide, "program", "left").select(
         *RUN, F.greatest(*[one(r) for r in RESOURCES]).alias("resource_score")
     )
 
@@ -118,14 +118,15 @@ def score_archetype(runs: DataFrame, model: DataFrame) -> DataFrame:
         F.max("archetypes").alias("_archetypes"), F.max("max_frequency").alias("_most")
     )
     own = model.select("program", "archetype", F.col("frequency").alias("_own"))
-    joined = runs.join(per_program, "program").join(own, ["program", "archetype"], "left")
+    joined = runs.join(per_program, "program", "left").join(own, ["program", "archetype"], "left")
     actual = F.coalesce("_own", F.lit(0.0))
     rare = ladder(actual, [(0.05, 0.7), (0.10, 0.5), (0.15, 0.3)], below=True)
     expected = F.lit(1.0) / F.col("_archetypes")
     uniform = ladder(actual / expected, [(0.5, 0.6), (0.7, 0.4)], below=True)
     relative = ladder(actual / F.col("_most"), [(0.3, 0.5), (0.5, 0.3)], below=True)
     score = F.greatest(F.when(F.col("_own").isNull(), F.lit(1.0)).otherwise(rare), uniform, relative)
-    return joined.select(*RUN, score.alias("archetype_score"))
+    known = F.col("_archetypes").isNotNull()
+    return joined.select(*RUN, F.when(known, score).otherwise(F.lit(0.0)).alias("archetype_score"))
 
 
 def score_bounds(runs: DataFrame, model: DataFrame) -> DataFrame:
@@ -151,7 +152,7 @@ def score_bounds(runs: DataFrame, model: DataFrame) -> DataFrame:
         ladder(ratio(length, F.col("length_mean")), [(1.5, 0.5), (1.3, 0.3)])
     )
     score = F.greatest(by_mean, by_median, by_level, by_iqr, by_z, by_length)
-    return runs.join(model, "program").select(*RUN, score.alias("bounds_score"))
+    return runs.join(model, "program", "left").select(*RUN, score.alias("bounds_score"))
 
 
 def combined_score(present: list[Column], count: Column | int) -> tuple[Column, Column, Column]:
@@ -165,14 +166,17 @@ def combine_signals(runs: DataFrame, scores: list[DataFrame]) -> DataFrame:
     """Join the four signals and decide; threshold 0.65 on the combined score.
 
     Scores are compared as rounded to nine decimals: 0.65 itself is no detection.
+    A signal without a baseline model scores 0; the run stays.
     """
     joined = runs.select(*RUN, "regression_type")
     for score in scores:
-        joined = joined.join(score, RUN)
-    signals = [F.col(f"{name}_score") for name in SIGNALS]
+        joined = joined.join(score, RUN, "left")
+    signals = [F.coalesce(F.col(f"{name}_score"), F.lit(0.0)) for name in SIGNALS]
     weighted, strongest, combined = combined_score(signals, 4)
+    kept = [c for c in joined.columns if c not in {f"{name}_score" for name in SIGNALS}]
     return joined.select(
-        "*",
+        *kept,
+        *[s.alias(f"{name}_score") for s, name in zip(signals, SIGNALS)],
         weighted.alias("weighted_score"),
         strongest.alias("max_signal"),
         combined.alias("combined_score"),

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .ordered import ROWS_PER_SLICE, fill_forward, percentiles, with_previous
+from .ordered import fill_forward, percentiles, with_previous
 
 METRICS = ("cpu", "mem", "disk")
 
@@ -52,7 +52,7 @@ def combine_series(
     *,
     metrics: tuple[str, ...] = METRICS,
     carry: bool = False,
-    rows_per_slice: int | None = ROWS_PER_SLICE,
+    slices: int | None = None,
 ) -> DataFrame:
     """Rows ``(ts, metric, value)`` to one row per bucket with a column per metric.
 
@@ -65,7 +65,7 @@ def combine_series(
     )
     if not carry:
         return wide
-    return fill_forward(wide, by, ["ts"], metrics, rows_per_slice=rows_per_slice)
+    return fill_forward(wide, by, ["ts"], metrics, slices=slices)
 
 
 def telemetry_aggregates(
@@ -73,7 +73,7 @@ def telemetry_aggregates(
     by: list[str],
     *,
     metrics: tuple[str, ...] = METRICS,
-    rows_per_slice: int | None = ROWS_PER_SLICE,
+    slices: int | None = None,
 ) -> DataFrame:
     """Peak, average and exact median of the positive samples; -1 without any."""
     names = F.array(*[F.lit(m) for m in metrics])
@@ -84,7 +84,7 @@ def telemetry_aggregates(
     )
     keys = [*by, "metric"]
     basic = positive.groupBy(*keys).agg(F.max("value").alias("peak"), F.avg("value").alias("average"))
-    middle = percentiles(positive, keys, "value", {"median": 0.5}, rows_per_slice=rows_per_slice)
+    middle = percentiles(positive, keys, "value", {"median": 0.5}, slices=slices)
     return basic.join(middle, keys, "left").select(
         *keys, *[F.coalesce(c, F.lit(-1.0)).alias(c) for c in ("peak", "average", "median")]
     )
@@ -156,17 +156,19 @@ def samples_or_run(
 
 def _moments(inside_step: Column) -> list[Column]:
     """The nine resource features over a group of samples."""
-    disk = F.col("disk")
-    first, last = F.min_by("mem", "ts"), F.max_by("mem", "ts")
-    volatility = F.stddev_pop(F.when(inside_step, F.col("mem") - F.col("_before.mem")))
+    cpu, disk = without_nan(F.col("cpu")), without_nan(F.col("disk"))
+    mem = without_nan(F.col("mem"))
+    timed = F.when(mem.isNotNull(), F.col("ts"))
+    first, last = F.min_by(mem, timed), F.max_by(mem, timed)
+    volatility = F.stddev_pop(F.when(inside_step, mem - without_nan(F.col("_before.mem"))))
     zero = F.lit(0.0)
     mb = F.lit(1e6)
     return [
-        F.avg("cpu").alias("cpu_mean"),
-        F.stddev_pop("cpu").alias("cpu_std"),
-        F.max("cpu").alias("cpu_max"),
+        F.avg(cpu).alias("cpu_mean"),
+        F.stddev_pop(cpu).alias("cpu_std"),
+        F.max(cpu).alias("cpu_max"),
         ((last - first) / mb).alias("memory_growth"),
-        (F.avg("mem") / mb).alias("memory_mean"),
+        (F.avg(mem) / mb).alias("memory_mean"),
         (F.coalesce(volatility, zero) / mb).alias("memory_volatility"),
         (F.avg(disk) / mb).alias("io_intensity"),
         F.when(F.avg(disk) > 0, F.stddev_pop(disk) / mb).otherwise(zero).alias("io_burstiness"),
@@ -183,7 +185,7 @@ def resource_features(
     width: int,
     start: str = "start_ns",
     end: str = "end_ns",
-    rows_per_slice: int | None = ROWS_PER_SLICE,
+    slices: int | None = None,
 ) -> DataFrame:
     """Nine resource features per interval, keyed by ``key``.
 
@@ -192,7 +194,7 @@ def resource_features(
     without samples take the run's features, runs without telemetry zeros.
     """
     stepped = with_previous(
-        series, run, ["ts"], ["ts", "mem"], "_before", rows_per_slice=rows_per_slice
+        series, run, ["ts"], ["ts", "mem"], "_before", slices=slices
     )
     inside = (
         interval_join(intervals, stepped, run, width=width, start=start, end=end)

@@ -283,7 +283,7 @@ class Tables:
         """Parsed elements: a function per path, parents as in a binary heap."""
         tags = ("for", "while", "if", "else", "call", "block", "expr_stmt", "switch")
         tag = F.get(F.array(*[F.lit(t) for t in tags]), (F.col("duration_ns") % 8).cast("int"))
-        own = F.concat(F.lit("int fn_"), (F.col("path_id") % 400).cast("string"), F.lit("(void)"))
+        own = F.concat(F.lit("fn_"), (F.col("path_id") % 400).cast("string"))
         io_names = F.array(F.lit("printf"), F.lit("fopen"), F.lit("helper"))
         callee = F.when(
             F.col("duration_ns") % 5 == 0, F.get(io_names, (F.col("self_time_ns") % 3).cast("int"))

@@ -8,8 +8,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame
 
 from ..operators import correlation, ranking
-from ..operators.ordered import slicing
-from ..operators.storage import written, written_counted
+from ..operators.storage import written
 
 
 @dataclass
@@ -40,36 +39,19 @@ class StaticDynamic:
 
     @cached_property
     def dynamic_ranked(self) -> DataFrame:
-        scores, rows = written_counted(self.criticality.unionByName(self.quiet), "criticality")
-        return ranking.dynamic_rank(scores, rows_per_slice=slicing(rows))
+        return ranking.dynamic_rank(self.criticality.unionByName(self.quiet))
 
     @cached_property
     def static_ranked(self) -> DataFrame:
-        metrics, rows = written_counted(self.static, "static-metrics")
-        return ranking.static_rank(metrics, rows_per_slice=slicing(rows))
+        return ranking.static_rank(self.static)
 
     @cached_property
-    def _ranks(self) -> tuple[DataFrame, DataFrame, int]:
-        static, rows = written_counted(self.static_ranked, "static-ranks")
-        return static, written(self.dynamic_ranked, "dynamic-ranks"), rows
-
-    @property
     def ranks(self) -> tuple[DataFrame, DataFrame]:
-        return self._ranks[:2]
-
-    @cached_property
-    def _normed(self) -> tuple[DataFrame, int]:
-        static, dynamic = self.ranks
-        normed = ranking.percentile_ranks(static, dynamic, rows_per_slice=slicing(self._ranks[2]))
-        return written_counted(normed, "normed-ranks")
+        return written(self.static_ranked, "static-ranks"), written(self.dynamic_ranked, "dynamic-ranks")
 
     @cached_property
     def normed(self) -> DataFrame:
-        return self._normed[0]
-
-    @property
-    def normed_slicing(self) -> int | None:
-        return slicing(self._normed[1])
+        return written(ranking.percentile_ranks(*self.ranks), "normed-ranks")
 
     @cached_property
     def classified(self) -> DataFrame:
@@ -86,5 +68,5 @@ class StaticDynamic:
     @cached_property
     def correlations(self) -> DataFrame:
         return correlation.correlation_report(
-            self.classified, rows_per_slice=self.normed_slicing
+            self.classified
         )

@@ -120,7 +120,7 @@ def spearman(t: Tables) -> DataFrame:
     # Lines of code have many ties, so mean ranks matter here.
     flow = analysis(t)
     return correlation.spearman(
-        flow.classified, ["program"], "loc", "dynamic_rank", rows_per_slice=flow.normed_slicing
+        flow.classified, ["program"], "loc", "dynamic_rank"
     )
 
 
@@ -161,7 +161,7 @@ def dagostino_normality(t: Tables) -> DataFrame:
 def shapiro_wilk(t: Tables) -> DataFrame:
     flow = analysis(t)
     return correlation.shapiro_wilk(
-        flow.classified, ["program"], "complexity", "function_name", rows_per_slice=flow.normed_slicing
+        flow.classified, ["program"], "complexity", "function_name"
     )
 
 
@@ -169,7 +169,7 @@ def shapiro_wilk(t: Tables) -> DataFrame:
 def normality_verdict(t: Tables) -> DataFrame:
     flow = analysis(t)
     return correlation.normality_verdict(
-        flow.classified, ["program"], "complexity", "function_name", rows_per_slice=flow.normed_slicing
+        flow.classified, ["program"], "complexity", "function_name"
     )
 
 

@@ -67,9 +67,9 @@ def weighted_path_duration(t: Tables) -> DataFrame:
     f"""SELECT {RUN_SQL}, round(CASE WHEN is_regression OR n = 1 OR lead <= 0 THEN weighted
        ELSE weighted * (0.9::DOUBLE + 0.2::DOUBLE * (CAST('0x' || right(md5(concat_ws('_', program, input_id, iteration, 'duration')), 8) AS BIGINT) / 4294967296.0)) END, 3) AS weighted_duration_ns
     FROM (SELECT {RUN_SQL}, max(f.lead) AS lead, count(*) AS n, CASE WHEN is_regression OR max(f.lead) <= 0 OR count(*) = 1 THEN max(f.lead)
-       ELSE (max(f.lead) + coalesce(sum(p.critical_duration_ns * (1.0::DOUBLE / p.path_rank)) FILTER (p.path_id <> f.path_id AND p.critical_duration_ns > 0 AND p.critical_duration_ns <> f.lead), 0))
-            / (1 + coalesce(sum(1.0::DOUBLE / p.path_rank) FILTER (p.path_id <> f.path_id AND p.critical_duration_ns > 0 AND p.critical_duration_ns <> f.lead), 0)) END AS weighted
-       FROM b_paths p JOIN h_first f USING ({RUN_SQL}) GROUP BY {RUN_SQL}) x""",
+       ELSE (max(f.lead) + coalesce(sum(p.critical_duration_ns * (1.0::DOUBLE / p.place)) FILTER (p.place > 1 AND p.critical_duration_ns > 0 AND p.critical_duration_ns <> f.lead), 0))
+            / (1 + coalesce(sum(1.0::DOUBLE / p.place) FILTER (p.place > 1 AND p.critical_duration_ns > 0 AND p.critical_duration_ns <> f.lead), 0)) END AS weighted
+       FROM (SELECT *, row_number() OVER (PARTITION BY {RUN_SQL} ORDER BY path_rank, path_id) AS place FROM b_paths) p JOIN h_first f USING ({RUN_SQL}) GROUP BY {RUN_SQL}) x""",
 )
 def weighted_path_duration_jitter(t: Tables) -> DataFrame:
     return baseline.weighted_path_duration(t.paths, jitter=0.1)
@@ -345,6 +345,14 @@ _GAINS = ", ".join(
 @query(
     "h28_path_benefit",
     "rival detector ~rival_f1 ~own_f1 ~f1_score_gain_pct ~precision_gain_pct ~recall_gain_pct",
+)
+def path_benefit_all(t: Tables) -> DataFrame:
+    return analysis(t).benefit
+
+
+@query(
+    "h28_path_benefit_exact",
+    "rival detector ~rival_f1 ~own_f1 ~f1_score_gain_pct ~precision_gain_pct ~recall_gain_pct",
     f"""SELECT CASE WHEN uses_critical_paths THEN 'best_path_based' ELSE 'best_resource_only' END AS rival, detector, r.f1_score AS rival_f1,
     o.f1_score AS own_f1, {_GAINS}
     FROM (SELECT *, row_number() OVER (PARTITION BY uses_critical_paths ORDER BY round(f1_score, 9) DESC, detector) AS place FROM ({_COMPARE_SQL}) q) r,

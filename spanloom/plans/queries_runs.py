@@ -17,13 +17,28 @@ from .views import VIEWS
 _IO_LIST = ", ".join(f"'{n}'" for n in IO_CALLS)
 
 
+_COUNTS_SQL = """SELECT function_id, count(*) FILTER (tag = 'parameter') AS parameters, count(*) FILTER (tag IN ('for', 'while', 'do')) AS loops,
+    count(*) FILTER (tag = 'expr_stmt') AS expression_statements, count(*) FILTER (tag = 'decl_stmt') AS declaration_statements,
+    count(*) FILTER (tag = 'empty_stmt') AS empty_statements, count(*) FILTER (tag IN ('if', 'else')) AS ifs,
+    count(*) FILTER (tag = 'switch') AS switches, count(*) FILTER (tag IN ('if', 'else', 'elif')) AS all_branches FROM b_elements GROUP BY 1"""
+_NESTED_SQL = """SELECT f.function_id, count(p.function_id) AS nested_loops FROM (SELECT DISTINCT function_id FROM b_elements) f LEFT JOIN
+    (SELECT u.function_id FROM i_ancestors u JOIN b_elements i ON i.function_id = u.function_id AND i.element_id = u.element_id AND i.tag IN ('for', 'while', 'do')
+     JOIN b_elements o ON o.function_id = u.function_id AND o.element_id = u.ancestor AND o.tag IN ('for', 'while', 'do')) p
+    ON p.function_id = f.function_id GROUP BY 1"""
+_LOC_SQL = """SELECT function_id, sum(CASE WHEN in_control THEN 0 ELSE length(text) - length(replace(text, ';', '')) END)
+      + count(*) FILTER (tag = 'block') - 1 AS loc FROM b_elements GROUP BY 1"""
+_CALLS_SQL = """SELECT function_id, count(*) FILTER (tag = 'call') AS calls,
+    bool_or(tag = 'call' AND callee = concat('fn_', CAST(function_id % 400 AS VARCHAR))) AS is_recursive FROM b_elements GROUP BY 1"""
+_HAS_IO_SQL = f"SELECT function_id, bool_or(tag = 'call' AND callee IN ({_IO_LIST})) AS has_io FROM b_elements GROUP BY 1"
+_CALLERS_SQL = """SELECT function_id, function_name, coalesce(n, 0) AS callers FROM
+    (SELECT DISTINCT function_id, function_name FROM b_elements) f
+    LEFT JOIN (SELECT callee AS function_name, count(*) AS n FROM b_elements WHERE tag = 'call' GROUP BY 1) c USING (function_name)"""
+
+
 @query(
     "i01_element_counts",
     "#function_id #parameters #loops #expression_statements #declaration_statements #empty_statements #ifs #switches #all_branches",
-    """SELECT function_id, count(*) FILTER (tag = 'parameter') AS parameters, count(*) FILTER (tag IN ('for', 'while', 'do')) AS loops,
-    count(*) FILTER (tag = 'expr_stmt') AS expression_statements, count(*) FILTER (tag = 'decl_stmt') AS declaration_statements,
-    count(*) FILTER (tag = 'empty_stmt') AS empty_statements, count(*) FILTER (tag IN ('if', 'else')) AS ifs,
-    count(*) FILTER (tag = 'switch') AS switches, count(*) FILTER (tag IN ('if', 'else', 'elif')) AS all_branches FROM b_elements GROUP BY 1""",
+    _COUNTS_SQL,
 )
 def element_counts(t: Tables) -> DataFrame:
     return ops.element_counts(t.elements)
@@ -40,10 +55,7 @@ SELECT * FROM up"""
 @query(
     "i02_nested_loop_pairs",
     "#function_id #nested_loops",
-    """SELECT f.function_id, count(p.function_id) AS nested_loops FROM (SELECT DISTINCT function_id FROM b_elements) f LEFT JOIN
-    (SELECT u.function_id FROM i_ancestors u JOIN b_elements i ON i.function_id = u.function_id AND i.element_id = u.element_id AND i.tag IN ('for', 'while', 'do')
-     JOIN b_elements o ON o.function_id = u.function_id AND o.element_id = u.ancestor AND o.tag IN ('for', 'while', 'do')) p
-    ON p.function_id = f.function_id GROUP BY 1""",
+    _NESTED_SQL,
 )
 def nested_loop_pairs(t: Tables) -> DataFrame:
     return ops.nested_loop_pairs(t.elements)
@@ -52,8 +64,7 @@ def nested_loop_pairs(t: Tables) -> DataFrame:
 @query(
     "i03_logical_loc",
     "#function_id #loc",
-    """SELECT function_id, sum(CASE WHEN in_control THEN 0 ELSE length(text) - length(replace(text, ';', '')) END)
-      + count(*) FILTER (tag = 'block') - 1 AS loc FROM b_elements GROUP BY 1""",
+    _LOC_SQL,
 )
 def logical_loc(t: Tables) -> DataFrame:
     return ops.logical_loc(t.elements)
@@ -62,7 +73,7 @@ def logical_loc(t: Tables) -> DataFrame:
 @query(
     "i04_has_io",
     "#function_id has_io",
-    f"SELECT function_id, bool_or(tag = 'call' AND callee IN ({_IO_LIST})) AS has_io FROM b_elements GROUP BY 1",
+    _HAS_IO_SQL,
 )
 def has_io(t: Tables) -> DataFrame:
     return ops.has_io(t.elements)
@@ -71,8 +82,7 @@ def has_io(t: Tables) -> DataFrame:
 @query(
     "i05_call_counts",
     "#function_id #calls is_recursive",
-    """SELECT function_id, count(*) FILTER (tag = 'call') AS calls,
-    bool_or(tag = 'call' AND callee = concat('fn_', CAST(function_id % 400 AS VARCHAR))) AS is_recursive FROM b_elements GROUP BY 1""",
+    _CALLS_SQL,
 )
 def call_counts(t: Tables) -> DataFrame:
     return ops.call_counts(t.elements)
@@ -81,16 +91,10 @@ def call_counts(t: Tables) -> DataFrame:
 @query(
     "i06_caller_counts",
     "#function_id function_name #callers",
-    """SELECT function_id, function_name, coalesce(n, 0) AS callers FROM
-    (SELECT DISTINCT function_id, concat('fn_', CAST(function_id % 500 AS VARCHAR)) AS function_name FROM b_elements) f
-    LEFT JOIN (SELECT callee AS function_name, count(*) AS n FROM b_elements WHERE tag = 'call' GROUP BY 1) c USING (function_name)""",
+    _CALLERS_SQL,
 )
 def caller_counts(t: Tables) -> DataFrame:
-    functions = t.elements.select(
-        "function_id",
-        F.concat(F.lit("fn_"), (F.col("function_id") % 500).cast("string")).alias("function_name"),
-    ).distinct()
-    return ops.caller_counts(functions, t.elements)
+    return ops.caller_counts(t.elements.select("function_id", "function_name").distinct(), t.elements)
 
 
 @query(
@@ -109,7 +113,12 @@ def functions_by_file(t: Tables) -> DataFrame:
     )
 
 
-@query("i08_function_metrics", "#function_id simple_name #loops #nested_loops #loc has_io #calls is_recursive #callers")
+@query(
+    "i08_function_metrics",
+    "#function_id simple_name #loops #nested_loops #loc has_io #calls is_recursive #callers",
+    f"""SELECT * , function_name AS simple_name FROM ({_COUNTS_SQL}) JOIN ({_NESTED_SQL}) USING (function_id) JOIN ({_LOC_SQL}) USING (function_id)
+    JOIN ({_HAS_IO_SQL}) USING (function_id) JOIN ({_CALLS_SQL}) USING (function_id) JOIN ({_CALLERS_SQL}) USING (function_id)""",
+)
 def function_metrics(t: Tables) -> DataFrame:
     return ops.function_metrics(written(t.elements, "elements"))
 

@@ -9,8 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..operators import baseline, detectors, evaluation, scoring
 from ..operators.baseline import RUN
-from ..operators.ordered import slicing
-from ..operators.storage import written, written_counted
+from ..operators.storage import written
 
 
 @dataclass
@@ -26,18 +25,9 @@ class Regression:
     functions: DataFrame
 
     @cached_property
-    def _split(self) -> tuple[DataFrame, int]:
-        normal = self.runs.where(~F.col("is_regression"))
-        return written_counted(baseline.split_by_input(normal), "split-runs")
-
-    @property
     def split(self) -> DataFrame:
-        return self._split[0]
-
-    @property
-    def rows_per_slice(self) -> int | None:
-        # The widest model scan sees three resources per run.
-        return slicing(3 * self._split[1])
+        normal = self.runs.where(~F.col("is_regression"))
+        return written(baseline.split_by_input(normal), "split-runs")
 
     @cached_property
     def base(self) -> DataFrame:
@@ -46,7 +36,9 @@ class Regression:
     @cached_property
     def judged(self) -> DataFrame:
         tests = self.split.where(~F.col("is_baseline")).drop("is_baseline")
-        return baseline.label_union(tests, self.runs.where("is_regression"))
+        judged = baseline.label_union(tests, self.runs.where("is_regression"))
+        # only a program without any baseline is skipped
+        return judged.join(self.base.select("program").distinct(), "program", "left_semi")
 
     @cached_property
     def base_functions(self) -> DataFrame:
@@ -70,7 +62,7 @@ class Regression:
 
     @cached_property
     def resources(self) -> DataFrame:
-        return baseline.resource_model(self.base, rows_per_slice=self.rows_per_slice)
+        return baseline.resource_model(self.base)
 
     @cached_property
     def archetypes(self) -> DataFrame:
@@ -78,7 +70,7 @@ class Regression:
 
     @cached_property
     def bounds(self) -> DataFrame:
-        return baseline.bounds_model(self.base, rows_per_slice=self.rows_per_slice)
+        return baseline.bounds_model(self.base)
 
     @cached_property
     def path_scores(self) -> DataFrame:
@@ -129,12 +121,12 @@ class Regression:
 
     def one_class(self, columns: list[str], name: str) -> DataFrame:
         return detectors.one_class_kernel(
-            self.base, self.judged, columns, name, rows_per_slice=self.rows_per_slice
+            self.base, self.judged, columns, name
         )
 
     def forest(self, columns: list[str], name: str) -> DataFrame:
         return detectors.isolation_forest(
-            self.base, self.judged, columns, name, rows_per_slice=self.rows_per_slice
+            self.base, self.judged, columns, name
         )
 
     @cached_property

@@ -134,7 +134,7 @@ FROM c_ranked r JOIN c_chain ch USING (run, tid, leaf_id) WHERE r.rank <= 10"""
 
 VIEWS["b_elements"] = """
 SELECT concat('src/f', CAST(input_id AS VARCHAR), CASE input_id % 4 WHEN 0 THEN '.c' WHEN 1 THEN '.h' WHEN 2 THEN '.cpp' ELSE '.txt' END) AS file,
-       path_id AS function_id, concat('int fn_', CAST(path_id % 400 AS VARCHAR), '(void)') AS function_name, pos AS element_id,
+       path_id AS function_id, concat('fn_', CAST(path_id % 400 AS VARCHAR)) AS function_name, pos AS element_id,
        CASE WHEN pos > 0 THEN (pos - 1) // 2 END AS parent_id,
        CASE duration_ns % 8 WHEN 0 THEN 'for' WHEN 1 THEN 'while' WHEN 2 THEN 'if' WHEN 3 THEN 'else' WHEN 4 THEN 'call'
             WHEN 5 THEN 'block' WHEN 6 THEN 'expr_stmt' ELSE 'switch' END AS tag,
@@ -216,9 +216,9 @@ SELECT {RUN}, path_id, critical_duration_ns AS lead FROM
 
 VIEWS["h_durations"] = f"""
 SELECT {RUN}, round(CASE WHEN is_regression OR max(f.lead) <= 0 OR count(*) = 1 THEN max(f.lead)
-       ELSE (max(f.lead) + coalesce(sum(p.critical_duration_ns * (1.0::DOUBLE / p.path_rank)) FILTER (p.path_id <> f.path_id AND p.critical_duration_ns > 0 AND p.critical_duration_ns <> f.lead), 0))
-            / (1 + coalesce(sum(1.0::DOUBLE / p.path_rank) FILTER (p.path_id <> f.path_id AND p.critical_duration_ns > 0 AND p.critical_duration_ns <> f.lead), 0)) END, 3) AS weighted_duration_ns
-FROM b_paths p JOIN h_first f USING ({RUN}) GROUP BY {RUN}"""
+       ELSE (max(f.lead) + coalesce(sum(p.critical_duration_ns * (1.0::DOUBLE / p.place)) FILTER (p.place > 1 AND p.critical_duration_ns > 0 AND p.critical_duration_ns <> f.lead), 0))
+            / (1 + coalesce(sum(1.0::DOUBLE / p.place) FILTER (p.place > 1 AND p.critical_duration_ns > 0 AND p.critical_duration_ns <> f.lead), 0)) END, 3) AS weighted_duration_ns
+FROM (SELECT *, row_number() OVER (PARTITION BY {RUN} ORDER BY path_rank, path_id) AS place FROM b_paths) p JOIN h_first f USING ({RUN}) GROUP BY {RUN}"""
 
 VIEWS["h_functions"] = f"""
 SELECT c.* REPLACE (lower(c.function_name) AS function_name) FROM b_calls c JOIN h_first f USING ({RUN}, path_id)"""

@@ -1,9 +1,6 @@
 """Run registered queries against DuckDB.
 
-    python tests/compare.py [--slice N] [sf] [name prefix ...]
-
-``--slice N`` cuts groups every N rows or so instead of every 200,000, so that
-whole queries go through the sliced scans.
+    python tests/compare.py [sf] [name prefix ...]
 """
 
 from __future__ import annotations
@@ -72,22 +69,8 @@ def difference(df, con, sql: str) -> str | None:
     return f"{len(wrong)} of {len(mine)} rows differ: {wrong[:2]}" if wrong else None
 
 
-def cut_every(rows: int) -> None:
-    """Set the slice length before anything else imports it."""
-    from spanloom.operators import ordered
-
-    ordered.ROWS_PER_SLICE = rows
-    for name in dir(ordered):
-        defaults = getattr(getattr(ordered, name), "__kwdefaults__", None)
-        if defaults and "rows_per_slice" in defaults:
-            defaults["rows_per_slice"] = rows
-
-
 def main() -> None:
     args = sys.argv[1:]
-    if args[:1] == ["--slice"]:
-        cut_every(int(args[1]))
-        args = args[2:]
     from spanloom.plans import catalog
 
     sf = args[0] if args else "sf0.01"

@@ -40,8 +40,8 @@ def random_trace(seed: int, calls: int = 120):
 def test_tree_is_rebuilt(spark, seed, cut):
     events, expected = random_trace(seed)
     df = spark.createDataFrame(events, EVENTS)
-    calls = ops.pair_calls(df, rows_per_slice=cut).cache()
-    stats = ops.call_stats(ops.call_parents(calls, rows_per_slice=cut)).cache()
+    calls = ops.pair_calls(df, slices=cut).cache()
+    stats = ops.call_stats(ops.call_parents(calls, slices=cut)).cache()
     got = {
         (r["tid"], r["call_id"]): [r["function_name"], r["parent_id"], r["level"], r["start_ts"], r["end_ts"]]
         for r in stats.collect()
@@ -54,7 +54,7 @@ def test_tree_is_rebuilt(spark, seed, cut):
     ).collect()}
     assert all(own == roots for own, roots in sums.values())
 
-    paths = ops.critical_paths(stats, 4, rows_per_slice=cut).collect()
+    paths = ops.critical_paths(stats, 4, slices=cut).collect()
     chains = []
     for (tid, call), (name, _, _, start, _) in expected.items():
         if any(other[1] == call and t == tid for (t, _), other in expected.items()):
@@ -82,7 +82,7 @@ def test_unmatched_begin_is_dropped_and_counted(spark):
     ]
     for cut in (None, 2):
         df = spark.createDataFrame(events, EVENTS)
-        calls = ops.pair_calls(df, rows_per_slice=cut)
+        calls = ops.pair_calls(df, slices=cut)
         assert sorted(r["function_name"] for r in calls.collect()) == ["a", "b"]
         row = ops.unmatched_events(df, calls).head()
         assert (row["open_begins"], row["stray_ends"]) == (1, 0)

@@ -79,7 +79,7 @@ def test_shapiro_accepts_normal_scores(spark, n):
     scores = [NormalDist().inv_cdf((i + 0.5) / n) for i in range(n)]
     df = spark.createDataFrame([("g", s, i) for i, s in enumerate(scores)], "g string, x double, i int")
     whole = correlation.shapiro_wilk(df, ["g"], "x", "i").head()
-    cut = correlation.shapiro_wilk(df, ["g"], "x", "i", rows_per_slice=2).head()
+    cut = correlation.shapiro_wilk(df, ["g"], "x", "i", slices=2).head()
     assert whole["w"] > 0.95 and whole["w_p"] > 0.5 and whole["w_normal"]
     assert cut["w"] == pytest.approx(whole["w"])
 
@@ -110,5 +110,5 @@ def test_spearman_shares_ranks(spark):
     expected = top / math.sqrt(sum((x - ma) ** 2 for x in a) * sum((y - mb) ** 2 for y in b))
     df = spark.createDataFrame(data, "g string, a int, b int")
     for cut in (None, 2):
-        got = correlation.spearman(df, ["g"], "a", "b", rows_per_slice=cut).head()
+        got = correlation.spearman(df, ["g"], "a", "b", slices=cut).head()
         assert got["r"] == pytest.approx(expected)

@@ -129,7 +129,7 @@ def test_rates_and_auc(spark):
     df = spark.createDataFrame(data, "is_regression boolean, combined_score double")
     wins = [(p > n) + (p == n) / 2 for t, p in data if t for u, n in data if not u]
     for cut in (None, 1):
-        got = evaluation.roc_auc(df, rows_per_slice=cut).head()["auc"]
+        got = evaluation.roc_auc(df, slices=cut).head()["auc"]
         assert got == pytest.approx(sum(wins) / len(wins))
     assert evaluation.roc_auc(df.where("is_regression")).head()["auc"] == 0.0
     flagged = df.withColumn("detected", F.lit(False))
@@ -142,7 +142,7 @@ def test_few_runs_are_all_baseline(spark):
     many = [("many", i // 2, i % 2, False) for i in range(20)]
     df = spark.createDataFrame(few + many, RUN_SCHEMA)
     for cut in (None, 2):
-        rows = baseline.split_by_input(df, rows_per_slice=cut).collect()
+        rows = baseline.split_by_input(df, slices=cut).collect()
         assert all(r["is_baseline"] for r in rows if r["program"] == "few")
         assert {r["input_id"] for r in rows if r["program"] == "many" and r["is_baseline"]} == set(range(7))
 
