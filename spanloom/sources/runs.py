@@ -33,6 +33,15 @@ def _located(df: DataFrame, *columns: Column | str) -> DataFrame:
     return df.select(*run_key(F.col("_metadata.file_path")), *columns)
 
 
+def _parsed() -> Column:
+    """Rows of files that parse.
+
+    Spark refuses to read the column of corrupt records alone, as counting rows
+    would; the second term, true of every row, keeps another column in the scan.
+    """
+    return F.col("_corrupt_record").isNull() & (F.xxhash64("summary") >= F.lit(-(2**63)))
+
+
 def _glob(root: str, mode: str, pattern: str, name: str) -> str:
     return f"{root.rstrip('/')}/*/{mode}/{pattern}/iter-*/{name}"
 
@@ -52,7 +61,7 @@ def read_critical_paths(spark: SparkSession, root: str, mode: str = "analysis")
     expected = F.lit(PATHS_FILE)
     for program, name in PATHS_FILE_BY_PROGRAM.items():
         expected = F.when(run_key(F.col("_metadata.file_path"))[0] == program, name).otherwise(expected)
-    kept = raw.where(F.col("_corrupt_record").isNull() & (file_name == expected))
+    kept = raw.where(_parsed() & (file_name == expected))
     runs = _located(kept, "summary", "top_k_critical_paths", "executed_functions")
     return runs.where(F.col("input_id").isNotNull() & F.col("iteration").isNotNull())
 
@@ -65,7 +74,7 @@ def read_regressions(spark: SparkSession, root: str, mode: str = "analysis") ->
         .json(f"{root.rstrip('/')}/*/{mode}/*_itself_regression_*/iter-0/critical_paths*.json")
     )
     kept = _located(
-        raw.where(F.col("_corrupt_record").isNull()),
+        raw.where(_parsed()),
         "summary",
         "top_k_critical_paths",
         "executed_functions",
@@ -163,6 +172,32 @@ def executed_rows(documents: DataFrame, key: list[str] | None = None) -> DataFra
     ).withColumn("function_name", clean_name(F.col("function_name")))
 
 
+def write_files(df: DataFrame, root: str) -> int:
+    """Write each row's ``content`` to ``path`` below ``root``; the number of files.
+
+    Tasks write the files themselves, under the names that readers look for. A
+    task that runs again writes the same bytes to the same places.
+    """
+
+    def write(batches):
+        import re
+
+        import pyarrow as pa
+        from pyarrow import fs
+
+        place, inside = fs.FileSystem.from_uri(re.sub(r"^file:/+", "file:///", root))
+        for batch in batches:
+            names, contents = (batch.column(c).to_pylist() for c in ("path", "content"))
+            for name, content in zip(names, contents):
+                target = f"{inside}/{name}"
+                place.create_dir(target.rpartition("/")[0], recursive=True)
+                with place.open_output_stream(target) as out:
+                    out.write(content.encode())
+            yield pa.RecordBatch.from_pydict({"files": pa.array([len(names)], pa.int64())})
+
+    return df.select("path", "content").mapInArrow(write, "files long").agg(F.sum("files")).first()[0] or 0
+
+
 def list_files(spark: SparkSession, pattern: str) -> DataFrame:
     """Path and length of files; their contents are not read."""
     return spark.read.format("binaryFile").load(pattern).select("path", "length")

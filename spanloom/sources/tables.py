@@ -9,10 +9,11 @@ from . import schemas
 
 
 def read_static_metrics(spark: SparkSession, path: str) -> DataFrame:
-    """A metrics file, with ``file_pos``: the place of each entry in its file."""
+    """Metrics files, with ``file_pos``: the path of the file and an entry's place in it."""
     raw = spark.read.schema(schemas.STATIC_METRICS).option("multiLine", True).json(path)
     # A multi-line file is read by one task, so ids grow in document order.
-    return raw.withColumn("file_pos", F.monotonically_increasing_id())
+    place = F.struct(F.col("_metadata.file_path").alias("path"), F.monotonically_increasing_id().alias("id"))
+    return raw.select("*", place.alias("file_pos"))
 
 
 def flatten_static_metrics(documents: DataFrame, by: list[str] | None = None, *, lower: bool = False) -> DataFrame:
