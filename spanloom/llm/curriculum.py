@@ -15,7 +15,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import WORD, joined_null_safe, running_total
+from .common import WORD, free_name, joined_null_safe, running_total
 
 
 @dataclass(frozen=True)
@@ -167,24 +167,15 @@ def training_order(
     is multiplied; of their other columns the first row's stay.
     """
     columns = docs.columns
-    key = ["doc_id", "_fingerprint"]
+    mark, place = free_name(docs, "_fingerprint"), free_name(docs, "_position")
+    key = ["doc_id", mark]
     plan = mixed(docs, schedules=schedules, max_epochs=max_epochs).where(F.col("copies") > 0)
-    placed = (
-        plan.select(
-            "doc_id",
-            F.col("fingerprint").alias("_fingerprint"),
-            F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("_copy"),
-            "_start", "source_size", "target", "schedule",
-        )
-        .withColumn(
-            "_position",
-            _position(F.col("_start") + F.col("_copy") * F.col("source_size"), schedules),
-        )
-        .select(*key, "_position")
+    copies = plan.select(
+        "*", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("_copy")
     )
-    own = docs.withColumn("_fingerprint", F.xxhash64("source", "text")).dropDuplicates(key)
-    return (
-        joined_null_safe(own, placed, key)
-        .orderBy("_position", "doc_id", "_fingerprint")
-        .select(*columns)
+    demand = F.col("_start") + F.col("_copy") * F.col("source_size")
+    placed = copies.select(
+        "doc_id", F.col("fingerprint").alias(mark), _position(demand, schedules).alias(place)
     )
+    own = docs.withColumn(mark, F.xxhash64("source", "text")).dropDuplicates(key)
+    return joined_null_safe(own, placed, key).orderBy(place, *key).select(*columns)

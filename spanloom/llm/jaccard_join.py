@@ -11,12 +11,19 @@ copying each document to the regions of its first ``n - ceil(0.85 n) + 1``
 pivots makes every linked pair meet in a region. (Whole documents as first-level
 pivots would not tell texts apart: unrelated texts are all at distance 1.)
 
-Further levels. Regions are joined through documents as pivots. Exact distances
-to some pivots of a region assign each document to the cell of the nearest one
-and to a shell of width 0.15 around it. A document is copied to another cell if
-its distance there exceeds its nearest by at most twice 0.15, and to the next
-shell: by the triangle inequality linked documents share a cell. Cells whose
-documents are linked already are done; the others are regions of the next level.
+Further levels. Each document is compared with the most central document that
+shares a region with it; that links most near copies to their source. Regions
+whose documents are linked already are done. Large ones are joined through
+documents as pivots: exact distances to some pivots assign each document to the
+cell of the nearest one and to a shell of width 0.15 around it. A document is
+copied to another cell if its distance there exceeds its nearest by at most twice
+0.15, and to the next shell: by the triangle inequality linked documents share a
+cell. Cells are regions of the next level. In small regions, and in cells that
+pivots no longer divide, documents of different components are paired; pairs
+whose sizes, or whose counts of shingles per hash bucket, lie further apart than
+linked sets can are left out, and the others are measured exactly. The distance
+of bucket counts never exceeds the number of shingles that two sets don't share,
+so no link is lost.
 
 What leaves the join is a set of verified links that connects every component;
 links inside a component that others imply are not looked for.
@@ -26,22 +33,31 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..operators.storage import written, written_counted
-from .common import Remembered, small_batches, words_of
+from .common import Remembered, free_name, small_batches, words_of
 
 WORDS = 4
 PERCENT = 85
 #: Words whose hashes a task remembers, in each of two generations.
 REMEMBERED = 150_000
-#: Pivots of a region from the second level on.
-PIVOTS = 4
+#: Pivots of a large region.
+PIVOTS = 8
 #: Regions of so many documents are joined pair by pair.
-LEAF = 16
+LEAF = 4096
+#: Documents of a block in a region.
+BLOCK = 256
+#: A cell that keeps more than this share of its region is joined pair by pair too.
+STUCK = 0.75
+#: Hash buckets whose shingle counts bound a distance from below.
+BUCKETS = 128
+#: Ids of at most so many documents are broadcast (8 bytes each, counted).
+BROADCAST_ROWS = 500_000
 
 
 def missing(n: int, percent: int = PERCENT) -> int:
@@ -50,9 +66,9 @@ def missing(n: int, percent: int = PERCENT) -> int:
 
 
 def spare(n: int, percent: int = PERCENT) -> int:
-    """Further first pivots that linked documents are sure to share, up to a quarter of those needed."""
+    """Further first pivots that linked documents are sure to share, up to half of those needed."""
     needed = missing(n, percent) + 1
-    return max(0, min(-(-needed // 4), n - needed))
+    return max(0, min(-(-needed // 2), n - needed))
 
 
 class Shingling:
@@ -86,6 +102,12 @@ class Shingling:
         return np.unique((out ^ (out >> np.uint64(31))).view(np.int64))
 
 
+@lru_cache(maxsize=2)
+def shingling_of(words: int) -> Shingling:
+    """One per Python worker: its next tasks know the words of earlier ones."""
+    return Shingling(words)
+
+
 LOWER = {upper: upper + 32 for upper in range(65, 91)}
 
 
@@ -101,7 +123,7 @@ def sketches(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> Dat
     """Set size, class and first pivots, in hash order, of each document."""
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingling = Shingling(words)
+        shingling = shingling_of(words)
         for batch in batches:
             sets = [shingling.of_text(x) for x in batch.column("text").to_pylist()]
             first = [s[: missing(len(s), percent) + 1 + spare(len(s), percent)] for s in sets]
@@ -127,36 +149,43 @@ def _dropped(n: Column, percent: int) -> Column:
     """Common pivots that may be passed over: ``spare`` of the smallest set linked to one of ``n``."""
     least = F.ceil(n * percent / 100)
     needed = least - F.ceil(least * percent / 100) + 1
-    return F.greatest(F.lit(0), F.least(F.ceil(needed / 4), least - needed)).cast("int")
+    return F.greatest(F.lit(0), F.least(F.ceil(needed / 2), least - needed)).cast("int")
 
 
 def first_regions(classes: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """``region, node``: first-level regions of all classes that share enough pivots.
+    """``region, node, apart``: first-level regions of all classes that share enough pivots.
+
+    ``apart`` is the share of a class's first pivots that no other class has; the
+    source of many near copies has the least.
 
     ``classes`` has ``node, n, first``. The pivots at hand are the first in hash
     order, ``spare`` more than needed, so linked sets share that many more. Put
     in order of frequency, the most frequent of them can be passed over: common
     passages make no region.
     """
-    pivots = classes.select("node", "n", F.explode("first").alias("pivot"))
+    pivots = classes.select("node", "n", F.size("first").alias("held"), F.explode("first").alias("pivot"))
     often = pivots.groupBy("pivot").agg(F.count(F.lit(1)).alias("often")).where("often > 1")
     shared = pivots.join(often, "pivot")
-    kept = shared.groupBy("node", "n").agg(
+    kept = shared.groupBy("node", "n", "held").agg(
         F.array_sort(F.collect_list(F.struct("often", "pivot"))).alias("shared")
     )  # at most the first pivots of one set
     left = F.size("shared") - _dropped(F.col("n"), percent)
-    kept = kept.where(left > 0).select("node", F.explode(F.slice("shared", 1, left)).alias("s"))
-    return kept.select(F.col("s.pivot").alias("region"), "node")
+    apart = (1 - F.size("shared") / F.col("held")).alias("apart")
+    kept = kept.where(left > 0).select("node", apart, F.explode(F.slice("shared", 1, left)).alias("s"))
+    return kept.select(F.col("s.pivot").alias("region"), "node", "apart")
 
 
-SETS = "doc_id long, class binary, shingles array<long>"
+def bucket_counts(shingles: np.ndarray, buckets: int = BUCKETS) -> bytes:
+    """Shingles in each hash bucket, 255 at most."""
+    counts = np.bincount(shingles & np.int64(buckets - 1), minlength=buckets)
+    return np.minimum(counts, 255).astype(np.uint8).tobytes()
 
 
 def shingle_sets(docs: DataFrame, wanted: DataFrame, words: int = WORDS) -> DataFrame:
-    """``node, shingles`` of the classes in ``wanted`` (``node, class, low``)."""
+    """``node, shingles, counts`` of the classes in ``wanted`` (``node, class, low``)."""
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingling = Shingling(words)
+        shingling = shingling_of(words)
         for batch in batches:
             sets = [shingling.of_text(x) for x in batch.column("text").to_pylist()]
             ends = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
@@ -166,16 +195,38 @@ def shingle_sets(docs: DataFrame, wanted: DataFrame, words: int = WORDS) -> Data
                     batch.column("class"),
                     pa.array([class_key(s) for s in sets], pa.binary()),
                     pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*sets, np.zeros(0, np.int64)]))),
+                    pa.array([bucket_counts(s) for s in sets], pa.binary()),
                 ],
-                ["node", "class", "found", "shingles"],
+                ["node", "class", "found", "shingles", "counts"],
             )
 
     texts = docs.select(F.col("doc_id").cast("long").alias("low"), "text").join(wanted, "low")
     made = texts.select("node", "class", "text").mapInArrow(
-        measure, "node long, class binary, found binary, shingles array<long>"
+        measure, "node long, class binary, found binary, shingles array<long>, counts binary"
     )
     # of rows that repeat an id, those with the class's own text
-    return made.where(F.col("class") == F.col("found")).select("node", "shingles")
+    return made.where(F.col("class") == F.col("found")).select("node", "shingles", "counts")
+
+
+def maybe_linked(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """Pairs ``a, b`` whose bucket counts don't rule a link out, as in ``_near``."""
+    thin = sets.select("node", F.size("shingles").alias("n"), "counts")
+    left = thin.select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("counts").alias("c_a"))
+    right = thin.select(F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("counts").alias("c_b"))
+
+    def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not len(batch):
+                continue
+            a, b = (
+                np.frombuffer(b"".join(batch.column(c).to_pylist()), dtype=np.uint8).reshape(len(batch), -1).astype(np.int64)
+                for c in ("c_a", "c_b")
+            )
+            sizes = batch.column("n_a").to_numpy().astype(np.int64) + batch.column("n_b").to_numpy()
+            near = np.abs(a - b).sum(axis=1) * (100 + percent) <= sizes * (100 - percent)
+            yield batch.select(["a", "b"]).filter(pa.array(near))
+
+    return pairs.join(right, "b").join(left, "a").mapInArrow(test, "a long, b long")
 
 
 def distances(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -205,6 +256,7 @@ def components(links: DataFrame) -> DataFrame:
     """
     edges = links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct()
     edges = written(edges, "jaccard-edges")
+    after = _fingerprint(edges)
     while True:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("least"))
@@ -221,18 +273,23 @@ def components(links: DataFrame) -> DataFrame:
             .distinct()
         )
         small = written(small, "jaccard-edges")
-        changed = small.exceptAll(edges).isEmpty() and edges.exceptAll(small).isEmpty()
-        edges = small
-        if changed:
+        edges, before = small, after
+        after = _fingerprint(edges)
+        if after == before:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
 
 
+def _fingerprint(edges: DataFrame) -> tuple:
+    """Number and hash of distinct edges: one row."""
+    return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first())
+
+
 def _labelled(members: DataFrame, labels: DataFrame) -> DataFrame:
     return members.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
 
 
 def _open(members: DataFrame, labels: DataFrame, name: str) -> tuple[DataFrame, int]:
-    """Members of regions that hold two components and a core document."""
+    """Members of regions that hold two components and a core document, with their components."""
     marked = written(_labelled(members, labels), name)
     alive = (
         marked.groupBy("region")
@@ -248,59 +305,146 @@ def _open(members: DataFrame, labels: DataFrame, name: str) -> tuple[DataFrame,
     return written_counted(marked.join(alive, "region"), f"{name}-open")
 
 
-def _pivots(regions: DataFrame, count: int) -> DataFrame:
-    """``region, pivots``: core documents with the least of ``count`` hashes."""
-    chosen = [F.min_by("node", F.xxhash64("node", F.lit(i))) for i in range(count)]
-    return regions.where("core").groupBy("region").agg(F.array_distinct(F.array(*chosen)).alias("pivots"))
+def _central() -> Column:
+    """Order of documents as pivots: those that share most come first."""
+    return F.struct("apart", F.xxhash64("node").alias("h"), "node")
+
+
+def _pivots(regions: DataFrame) -> DataFrame:
+    """``region, pivots``: the most central core document of each of PIVOTS hash classes."""
+    part = F.pmod(F.xxhash64("node"), F.lit(PIVOTS))
+    return (
+        regions.where("core")
+        .groupBy("region", part.alias("_part"))
+        .agg(F.min(_central()).alias("p"))
+        .groupBy("region")
+        .agg(F.collect_list("p.node").alias("pivots"))
+    )
+
+
+def _cross_pairs(regions: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs of different components in a region, one of them core, that may be linked.
+
+    A region's documents travel with their bucket counts in blocks of about
+    BLOCK; blocks meet inside Python, so only pairs that pass sizes and counts
+    become rows.
+    """
+    salts = F.ceil(F.col("size") / BLOCK).cast("int")
+    member = F.struct("node", "component", "n", "core", "counts")
+    blocks = (
+        regions.join(sets.select("node", "counts"), "node")
+        .groupBy("region", salts.alias("salts"), F.pmod(F.xxhash64("node"), salts).alias("salt"))
+        .agg(F.collect_list(member).alias("one"))
+    )
+    other = blocks.select("region", F.col("salt").alias("_salt"), F.col("one").alias("two"))
+    several = blocks.where("salts > 1").join(other, "region").where("salt < _salt")
+    rows = blocks.select("one", F.lit(None).cast(blocks.schema["one"].dataType).alias("two")).unionByName(
+        several.select("one", "two")
+    )
+
+    def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            one, two = (_Blocks(batch.column(c)) for c in ("one", "two"))
+            found = []
+            for row in range(len(batch)):
+                left = one.row(row)
+                right = left if two.absent(row) else two.row(row)
+                found.append(_near(left, right, right is left, percent))
+            a, b = (np.concatenate([f[i] for f in found] or [np.zeros(0, np.int64)]) for i in (0, 1))
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+    return rows.mapInArrow(test, "a long, b long").distinct()
+
+
+class _Blocks:
+    """A column of blocks as flat arrays."""
+
+    def __init__(self, column: pa.ListArray):
+        self.column = column
+        self.offsets = column.offsets.to_numpy()
+        values = column.values
+        self.flat = [values.field(i).to_numpy(zero_copy_only=False) for i in range(4)]
+        joined = b"".join(values.field(4).to_pylist())
+        self.counts = np.frombuffer(joined, dtype=np.uint8).reshape(len(values), -1) if len(values) else None
+
+    def absent(self, row: int) -> bool:
+        return not self.column[row].is_valid
+
+    def row(self, row: int) -> tuple[np.ndarray, ...]:
+        part = slice(self.offsets[row], self.offsets[row + 1])
+        return *(f[part] for f in self.flat), self.counts[part]
+
+
+def _near(one: tuple, two: tuple, same: bool, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Smaller and larger node of each pair across two blocks that may be linked.
+
+    Linked sets of ``n`` and ``m`` shingles differ in ``(n + m) (100 - p) / (100 + p)``
+    at most, and the distance of their bucket counts is no larger than that.
+    """
+    node, component, n, core, counts = one
+    node2, component2, n2, core2, counts2 = two
+    open_ = (component[:, None] != component2[None, :]) & (core[:, None] | core2[None, :])
+    open_ &= 100 * np.minimum(n[:, None], n2[None, :]) >= percent * np.maximum(n[:, None], n2[None, :])
+    i, j = np.nonzero(np.triu(open_) if same else open_)
+    found = []
+    for at in range(0, len(i), 4096):  # some MB of counts at a time
+        x, y = i[at : at + 4096], j[at : at + 4096]
+        apart = np.abs(counts[x].astype(np.int16) - counts2[y]).sum(axis=1)
+        found.append(apart * (100 + percent) <= (n[x].astype(np.int64) + n2[y]) * (100 - percent))
+    if not found:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    near = np.concatenate(found)
+    x, y = node[i[near]], node2[j[near]]
+    return np.minimum(x, y), np.maximum(x, y)
 
 
 def links(
     classes: DataFrame, docs: DataFrame, *, words: int = WORDS, percent: int = PERCENT
 ) -> tuple[DataFrame, DataFrame]:
     """Verified links that connect all components, and ``node, component`` of linked nodes."""
-    spark = docs.sparkSession
     members = written(first_regions(classes, percent), "jaccard-regions")
-    near = members.groupBy("region").agg(
-        F.min(F.struct(F.xxhash64("node").alias("h"), F.col("node").alias("node"))).alias("pivot"),
-        F.count(F.lit(1)).alias("size"),
+    near = members.groupBy("region").agg(F.min(_central()).alias("pivot"), F.count(F.lit(1)).alias("size"))
+    members = written(members.join(near.where("size > 1"), "region"), "jaccard-members")
+    # each document with the most central document of all its regions
+    star = members.groupBy("node").agg(F.min("pivot").alias("pivot"))
+    star, count = written_counted(
+        star.select(F.col("pivot.node").alias("a"), F.col("node").alias("b")), "jaccard-star"
     )
-    members = members.join(near.where("size > 1"), "region")
-    # each document with the pivot of all its regions that comes first in hash order
-    star = (
-        members.groupBy("node")
-        .agg(F.min("pivot").alias("pivot"))
-        .select(F.col("pivot.node").alias("a"), F.col("node").alias("b"))
+    wanted = classes.select("node", "class", "low", "n").join(
+        star.select(F.col("b").alias("node")), "node", "left_semi"
+    )
+    wanted = written(wanted, "jaccard-wanted")
+    few = wanted.select("node", "class", "low")
+    sets = shingle_sets(docs, F.broadcast(few) if count <= BROADCAST_ROWS else few, words)
+    sets = written(sets, "jaccard-sets")
+    found = written(
+        distances(maybe_linked(star.where("a <> b"), sets, percent), sets).where(_linked(percent)).select("a", "b"),
+        "jaccard-links",
     )
-    star = written(star, "jaccard-star")
-    wanted = star.select(F.col("b").alias("node"), F.col("a")).join(classes.select("node", "class", "low"), "node")
-    sets = written(shingle_sets(docs, wanted.select("node", "class", "low"), words), "jaccard-sets")
-    found = written(distances(star.where("a <> b"), sets).where(_linked(percent)).select("a", "b"), "jaccard-links")
     labels = components(found)
-    regions = members.select("region", "node", F.lit(True).alias("core"))
+    regions = members.join(wanted.select("node", "n"), "node").select(
+        "region", "node", "n", "apart", F.lit(True).alias("core"), F.lit(False).alias("stuck")
+    )
     level = 0
     while True:
         regions, count = _open(regions, labels, "jaccard-level")
         if not count:
             return found, labels
         level += 1
-        leaves = regions.where(F.col("size") <= LEAF)
-        one = leaves.select("region", F.col("node").alias("a"), F.col("component").alias("_c"), F.col("core").alias("_core"))
-        two = leaves.select("region", F.col("node").alias("b"), F.col("component"), F.col("core"))
-        pairs = (
-            one.join(two, "region")
-            .where("a < b and _c <> component and (core or _core)")
-            .select("a", "b")
-            .distinct()
-        )
-        rest = regions.where(F.col("size") > LEAF)
-        chosen = written(_pivots(rest, PIVOTS), "jaccard-pivots")
-        held = rest.join(chosen, "region").select("region", "node", "core", F.explode("pivots").alias("pivot"))
-        far = held.where("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
-        measured = written(distances(pairs.unionByName(far).distinct(), sets), "jaccard-distances")
-        found = written(
-            found.unionByName(measured.where(_linked(percent)).select("a", "b")).distinct(), "jaccard-links"
-        )
+        small = (F.col("size") <= LEAF) | F.col("stuck")
+        pairs = _cross_pairs(regions.where(small), sets, percent)
+        more = distances(pairs, sets).where(_linked(percent)).select("a", "b")
+        large, rest = written_counted(regions.where(~small).drop("stuck"), "jaccard-large")
+        if rest:
+            chosen = written(_pivots(large), "jaccard-pivots")
+            held = large.join(chosen, "region").withColumn("pivot", F.explode("pivots")).drop("pivots")
+            far = held.where("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
+            measured = written(distances(far, sets), "jaccard-distances")
+            more = more.unionByName(measured.where(_linked(percent)).select("a", "b"))
+        found = written(found.unionByName(more).distinct(), "jaccard-links")
         labels = components(found)
+        if not rest:
+            return found, labels
         regions = _cells(held, chosen, measured, percent, level)
 
 
@@ -313,12 +457,12 @@ def _cells(held: DataFrame, chosen: DataFrame, measured: DataFrame, percent: int
         .join(measured.select(F.col("a").alias("pivot"), F.col("b").alias("node"), "both", "either"), ["pivot", "node"])
         .withColumn("far", (F.col("either") - F.col("both")) / F.col("either"))
     )
-    nearest = placed.groupBy("region", "node", "core").agg(
+    nearest = placed.groupBy("region", "node", "n", "apart", "core", "size").agg(
         F.min(F.struct("far", F.xxhash64("node", "pivot").alias("h"), "pivot")).alias("home"),
         F.collect_list(F.struct("pivot", "both", "either", "far")).alias("all"),
     )  # at most PIVOTS entries
     window = 2 * width / 100 + 1e-9
-    cells = nearest.select("region", "node", "core", "home", F.explode("all").alias("p")).where(
+    cells = nearest.select("region", "node", "n", "apart", "core", "size", "home", F.explode("all").alias("p")).where(
         F.col("p.far") <= F.col("home.far") + window
     )
     shell = F.floor((F.col("p.either") - F.col("p.both")) * 100 / (F.col("p.either") * width) + 1e-9)
@@ -326,9 +470,12 @@ def _cells(held: DataFrame, chosen: DataFrame, measured: DataFrame, percent: int
     shells = F.array(
         F.struct(shell.alias("shell"), own.alias("core")), F.struct((shell + 1).alias("shell"), F.lit(False).alias("core"))
     )
-    return cells.select("region", "node", F.col("p.pivot").alias("pivot"), F.explode(shells).alias("s")).select(
-        F.xxhash64("region", "pivot", "s.shell", F.lit(level)).alias("region"), "node", F.col("s.core").alias("core")
+    members = cells.select("region", "node", "n", "apart", "size", F.col("p.pivot").alias("pivot"), F.explode(shells).alias("s")).select(
+        F.xxhash64("region", "pivot", "s.shell", F.lit(level)).alias("region"), "node", "n", "apart", "size", F.col("s.core").alias("core")
     )
+    members = written(members, "jaccard-cells")
+    sizes = members.groupBy("region").agg((F.count(F.lit(1)) > STUCK * F.max("size")).alias("stuck"))
+    return members.drop("size").join(sizes, "region")
 
 
 def joined(docs: DataFrame, *, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -378,11 +525,12 @@ def representatives(docs: DataFrame, *, words: int = WORDS, percent: int = PERCE
     columns = docs.columns
     found = joined(docs, words=words, percent=percent).where(F.col("component").isNotNull())
     stay = found.groupBy("component").agg(F.min(F.struct("doc_id", "fingerprint")).alias("k"))
-    keys = stay.select(F.col("k.doc_id").alias("doc_id"), F.col("k.fingerprint").alias("_fingerprint"))
-    marked = docs.withColumn("_fingerprint", F.xxhash64("text"))
+    mark = free_name(docs, "_fingerprint")
+    keys = stay.select(F.col("k.doc_id").alias("doc_id"), F.col("k.fingerprint").alias(mark))
+    marked = docs.withColumn(mark, F.xxhash64("text"))
     bare = F.col("doc_id").isNull() | (
         F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]")), F.lit(0)) == 0
     )
-    held = marked.where(~bare).join(keys, ["doc_id", "_fingerprint"], "left_semi")
-    once = held.dropDuplicates(["doc_id", "_fingerprint"])
+    held = marked.where(~bare).join(keys, ["doc_id", mark], "left_semi")
+    once = held.dropDuplicates(["doc_id", mark])
     return once.select(*columns).unionByName(docs.where(bare))
