@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
+from functools import lru_cache
 from itertools import chain
 from zlib import crc32
 
@@ -64,6 +65,12 @@ class Hashing:
         return np.array(sorted(found), dtype=np.int64)
 
 
+@lru_cache(maxsize=2)
+def hashing_of(buckets: int) -> Hashing:
+    """One per Python worker: its next tasks know the words of earlier ones."""
+    return Hashing(buckets)
+
+
 def _csr(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     lengths = np.array([len(r) for r in rows], dtype=np.int64)
     flat = np.concatenate(rows) if rows else np.zeros(0, dtype=np.int64)
@@ -168,7 +175,7 @@ def train(docs: DataFrame, labels: DataFrame, *, sample: int = SAMPLE) -> Ordina
     rows = labelled_sample(docs, graded, "grade", sample)
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashing = Hashing()
+        hashing = hashing_of(BUCKETS)
         for batch in batches:
             found = [hashing.of_text(x).astype(np.int32).tobytes() for x in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_pydict(
@@ -217,7 +224,7 @@ def scored(docs: DataFrame, model: Ordinal | None) -> DataFrame:
     shared = _shared(docs, model)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashing = Hashing()
+        hashing = hashing_of(BUCKETS)
         for batch in batches:
             expected, tail, kept = _score(shared, hashing, batch.column("text").to_pylist())
             yield pa.RecordBatch.from_pydict(
@@ -239,7 +246,7 @@ def accepted(docs: DataFrame, model: Ordinal | None) -> DataFrame:
     place = docs.columns.index("text")
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashing = Hashing()
+        hashing = hashing_of(BUCKETS)
         for batch in batches:
             yield batch.filter(pa.array(_score(shared, hashing, batch.column(place).to_pylist())[2]))
 

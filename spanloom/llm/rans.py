@@ -24,6 +24,7 @@ import struct
 import zlib
 from collections import ChainMap
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -43,7 +44,9 @@ LANES = 512
 #: A file is cut at the first document that begins after so many ids.
 FILE_IDS = 1 << 22
 #: Words a task remembers in each of two generations.
-REMEMBERED = 150_000
+REMEMBERED = 80_000
+#: Words encoded as one text.
+WORDS_AT_ONCE = 2000
 
 LOW = np.uint64(1 << 31)
 WORD_BITS = np.uint64(32)
@@ -76,8 +79,10 @@ class Encoder:
 
         self.model = Tokenizer.from_file(path)
         self.known = Remembered(REMEMBERED)
-        self.odd = Remembered(REMEMBERED)  # what stands between seams and isn't a word alone
-        self.parts = Remembered(REMEMBERED)
+        self.letters = Remembered(REMEMBERED)
+        names = self.model.get_vocab()
+        self.spaced = np.zeros(max(names.values()) + 1, dtype=bool)
+        self.spaced[[i for name, i in names.items() if name.startswith("Ġ")]] = True
         # The seams rest on this pattern; other pre-tokenizers encode whole texts.
         self.by_word = (
             self.model.normalizer is None
@@ -91,17 +96,37 @@ class Encoder:
             for x in self.model.encode_batch(texts, add_special_tokens=False)
         ]
 
-    def _learn(self, words: list[str], known: Remembered) -> None:
-        """Remember the ids of words with a space in front."""
-        split, parts = {}, set()
+    def _spaced(self, words: list[str]) -> list[bytes]:
+        """Ids of words with a space in front, many words in one text.
+
+        All words begin and end in printing characters and hold no space, so a
+        token begins with a space exactly where a word begins.
+        """
+        out: list[bytes] = []
+        for at in range(0, len(words), WORDS_AT_ONCE):
+            some = words[at : at + WORDS_AT_ONCE]
+            (made,) = self.model.encode_batch_fast([" " + " ".join(some)], add_special_tokens=False)
+            ids = np.array(made.ids, dtype="<u4")
+            begins = np.flatnonzero(self.spaced[ids])
+            if len(begins) != len(some):
+                raise ValueError("tokens and words differ in number")
+            data, edges = ids.tobytes(), (4 * np.append(begins, len(ids))).tolist()
+            out += [data[i:j] for i, j in zip(edges, edges[1:])]
+        return out
+
+    def _learn(self, words: list[str]) -> None:
+        """Remember the ids of words with a space in front, by their letters and marks."""
+        split, letters, marks = {}, set(), set()
         for word in words:
             plain = PLAIN.fullmatch(word)
-            split[word] = (" " + plain[1], plain[2]) if plain else (" " + word, "")
-            parts.update(split[word])
-        fresh = self.parts.missing(parts)
-        self.parts.update(zip(fresh, self._whole(fresh)))
-        for word, (front, marks) in split.items():
-            known[word] = self.parts[front] + self.parts[marks]
+            split[word] = plain.groups() if plain else (word, "")
+            letters.add(split[word][0])
+            marks.add(split[word][1])
+        fresh = self.letters.missing(letters)
+        self.letters.update(zip(fresh, self._spaced(fresh)))
+        ids = dict(zip(marks, self._whole(list(marks))))
+        for word, (front, end) in split.items():
+            self.known[word] = self.letters[front] + ids[end]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian 32-bit integers."""
@@ -111,15 +136,15 @@ class Encoder:
         fresh = self.known.missing(set().union(*(words[1:] for words in split)))
         alone = [word for word in fresh if ALONE.fullmatch(word)]
         unsafe = set(fresh).difference(alone)
-        self._learn(alone, self.known)
+        self._learn(alone)
         odd: set[str] = set()
         for i, (text, words) in enumerate(zip(texts, split)):
             if not unsafe.isdisjoint(words[1:]) or words[0] and not ALONE.fullmatch(words[0][-1]):
                 split[i] = SEAM.split(text)
                 odd.update(split[i][1:])
-        self._learn(self.odd.missing(odd.difference(self.known)), self.odd)
+        rest = list(odd.difference(self.known))  # whole stretches of text: not remembered
+        known = ChainMap(self.known, dict(zip(rest, self._whole([" " + x for x in rest]))))
         first = self._whole([words[0] for words in split])
-        known = ChainMap(self.known, self.odd)
         out = []
         for ids, words in zip(first, split):
             try:
@@ -129,6 +154,12 @@ class Encoder:
         return out
 
 
+@lru_cache(maxsize=2)
+def encoder_of(path: str) -> Encoder:
+    """One per Python worker: its next tasks know the words of earlier ones."""
+    return Encoder(path)
+
+
 # Coding
 
 
@@ -196,6 +227,8 @@ class Coder:
             x[:] = self.size[now] * (x >> self.bits) + slot - self.first[now]
             short = np.flatnonzero(x < LOW)
             if len(short):
+                if read + len(short) > len(words):
+                    raise ValueError("a block's words end early, so its checksum differs")
                 x[short] = (x[short] << WORD_BITS) | words[read : read + len(short)]
                 read += len(short)
         return out
@@ -260,7 +293,7 @@ def _staged(docs: DataFrame, path: str, block: int, file_ids: int) -> DataFrame:
     """Blocks of plain ids, in order of document within each range slice."""
 
     def stage(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(path)
+        encoder = encoder_of(path)
         end = np.array([END_ID], dtype="<u4").tobytes()
         part = None
         file = number = first = 0
