@@ -26,12 +26,16 @@ SAMPLE = 16_384
 LEAST_LISTS, MOST_LISTS = 8, 4096
 #: Share of lists a query visits, and at least this many. Vectors spread evenly over
 #: all directions have their neighbours in many lists; clustered ones need far fewer.
-PROBED, LEAST_PROBED = 0.6, 16
+PROBED, LEAST_PROBED = 0.6, 32
 #: Rows nearest in the first block that are measured in full to set the bound.
 FULLY = 64
 #: Vectors of a chunk, queries of a block.
 CHUNK = 1024
 QUERIES = 128
+#: Queries whose best a task holds before it hands them on.
+HELD_QUERIES = 50_000
+#: Tasks that share a list's chunks when they are packed.
+SALTS = 8
 #: Columns of a block.
 COLUMNS = 16
 #: Width of the test in standard errors: larger drops fewer candidates by mistake.
@@ -196,6 +200,37 @@ def _chunks(vectors: DataFrame, quantiser: Quantiser, probed: int, size: int) ->
     return vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").mapInArrow(deal, LISTED)
 
 
+def _packed(chunks: DataFrame, width: int, size: int) -> DataFrame:
+    """Chunks of ``size`` vectors again, from what many tasks have dealt to a list."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[bytes, np.ndarray, bytes]] = []
+        current = count = 0
+
+        def out() -> pa.RecordBatch:
+            ids, rotated, vectors = zip(*held)
+            joined = np.concatenate(rotated, axis=1).astype("<f4").tobytes()
+            return pa.RecordBatch.from_arrays(
+                [pa.array([current], pa.int32()), pa.array([b"".join(ids)]), pa.array([joined]), pa.array([b"".join(vectors)])],
+                ["list", "ids", "rotated", "vectors"],
+            )
+
+        for batch in batches:
+            rows = zip(*(batch.column(c).to_pylist() for c in ("list", "ids", "rotated", "vectors")))
+            for number, ids, rotated, vectors in rows:
+                if held and (number != current or count >= size):
+                    yield out()
+                    held, count = [], 0
+                current, count = number, count + len(ids) // 8
+                held.append((ids, np.frombuffer(rotated, dtype="<f4").reshape(width, -1), vectors))
+        if held:
+            yield out()
+
+    salted = chunks.withColumn("_salt", F.pmod(F.xxhash64("ids"), F.lit(SALTS)))
+    dealt = salted.repartition(shuffle_width(chunks.sparkSession), "list", "_salt")
+    return dealt.sortWithinPartitions("list").drop("_salt").mapInArrow(pack, LISTED)
+
+
 FOUND = "query_id long, vec_id long, score double"
 
 
@@ -236,7 +271,7 @@ def search(
     fits = F.size("embedding") == width
     lists = len(quantiser.centres)
     visits = min(lists, max(LEAST_PROBED, round(probed * lists)))
-    chunks = written(_chunks(vectors.where(fits), quantiser, 1, CHUNK), "ann-chunks")
+    chunks = written(_packed(_chunks(vectors.where(fits), quantiser, 1, CHUNK), width, CHUNK), "ann-chunks")
     asked = queries.where(fits)
     found = written(_found(chunks, _chunks(asked, quantiser, visits, QUERIES), width, keep, epsilon, ["list"]), "ann-found")
     short = asked.join(
@@ -265,6 +300,14 @@ def _found(
     """The ``keep`` nearest to each query in each chunk of the lists it visits."""
 
     def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best: dict[int, list[tuple[float, int]]] = {}  # of each query, over all chunks of the task
+
+        def out() -> pa.RecordBatch:
+            rows = [(q, i, -score) for q, found in best.items() for score, i in found]
+            best.clear()
+            columns = [pa.array(list(c), k) for c, k in zip(zip(*rows), (pa.int64(), pa.int64(), pa.float64()))]
+            return pa.RecordBatch.from_arrays(columns, ["query_id", "vec_id", "score"])
+
         for batch in batches:
             for row in range(len(batch)):
                 one = {c: batch.column(c)[row].as_py() for c in batch.schema.names}
@@ -274,20 +317,22 @@ def _found(
                 query_ids = np.frombuffer(one["q_ids"], dtype="<i8")
                 query_rotated = np.frombuffer(one["q_rotated"], dtype="<f4").reshape(width, -1).T
                 query_vectors = np.frombuffer(one["q_vectors"], dtype="<f8").reshape(-1, width)
-                rows: list[tuple] = []
                 for q, near, exact in zip(query_ids.tolist(), query_rotated, query_vectors):
+                    held = best.get(q, [])
+                    # the distance of unit vectors follows from the cosine
+                    bound = 2 + 2 * held[-1][0] + SLACK if len(held) == keep else float("inf")
                     # one more, as the query's own row may be among them
-                    at = scan(rotated, near, keep + 1, float("inf"), epsilon)
+                    at = scan(rotated, near, keep + 1, bound, epsilon)
                     at = at[ids[at] != q]
-                    score = cosines(vectors[at], exact) if len(at) else np.zeros(0)
-                    first = np.lexsort((ids[at], -score))[:keep]
-                    rows += [(q, int(ids[at[k]]), float(score[k])) for k in first]
-                if rows:
-                    columns = list(zip(*rows))
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.float64())],
-                        ["query_id", "vec_id", "score"],
-                    )
+                    if len(at):
+                        score = cosines(vectors[at], exact)
+                        first = np.lexsort((ids[at], -score))[:keep]
+                        found = [(-float(score[k]), int(ids[at[k]])) for k in first]
+                        best[q] = sorted(held + found)[:keep]
+            if len(best) > HELD_QUERIES:
+                yield out()
+        if best:
+            yield out()
 
     asked = asked.select(
         "list", F.col("ids").alias("q_ids"), F.col("rotated").alias("q_rotated"), F.col("vectors").alias("q_vectors")
