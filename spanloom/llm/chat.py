@@ -81,7 +81,7 @@ def _asked(df: DataFrame, key: str) -> DataFrame:
 
 
 def _rows(df: DataFrame, key: str) -> DataFrame:
-    """One row per turn; rows that tie in ``turn`` go by role, then text."""
+    """One row per turn, null turns first; rows that tie in ``turn`` go by role, then text."""
     thin = df.select(F.col(key).alias("conv_id"), F.struct("turn", _turn(F.col("role"), F.col("text")).alias("t")).alias("r"))
     return thin.groupBy("conv_id").agg(
         F.transform(F.array_sort(F.collect_list("r")), lambda r: r["t"]).alias("turns")
