@@ -8,10 +8,15 @@ joined, crossed or paired with another.
 
 from __future__ import annotations
 
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.functions import array_to_vector
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+#: Rows that starting centres are drawn from, at most; every row is clustered.
+SEED_ROWS = 4096
+
 
 def mean_vector(column: str, dim: int) -> Column:
     return F.array(*[F.avg(F.get(column, F.lit(i))) for i in range(dim)])
@@ -186,31 +191,118 @@ def davies_bouldin(df: DataFrame, dim: int, column: str = "z", label: str = "arc
     return folded.agg(F.avg(worst).alias("davies_bouldin"), F.count(F.lit(1)).alias("k"))
 
 
+def _matrix(column: pa.Array) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
+
+
+def _squares(x: np.ndarray, centers: np.ndarray) -> np.ndarray:
+    """Squared distances of rows to centres."""
+    return np.maximum(
+        (x * x).sum(axis=1)[:, None] - 2 * x @ centers.T + (centers * centers).sum(axis=1), 0
+    )
+
+
+def _starting_centers(rows: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
+    """k rows, each drawn by its squared distance to those drawn before."""
+    chosen = [rows[rng.integers(len(rows))]]
+    nearest = _squares(rows, np.array(chosen))[:, 0]
+    for _ in range(k - 1):
+        total = nearest.sum()
+        odds = nearest / total if total > 0 else None
+        chosen.append(rows[rng.choice(len(rows), p=odds)])
+        nearest = np.minimum(nearest, _squares(rows, np.array(chosen[-1:]))[:, 0])
+    return np.array(chosen)
+
+
+def _step(df: DataFrame, column: str, centers: list[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray, float]]:
+    """New centres, sizes and cost of every centre set, in one pass over the rows.
+
+    Tasks add up their rows per set and cluster, Spark adds up the tasks; one row
+    per set and cluster comes back.
+    """
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = [np.zeros((len(c), c.shape[1] + 2)) for c in centers]
+        for batch in batches:
+            if not len(batch):
+                continue
+            x = _matrix(batch.column(0))
+            for part, own in zip(parts, centers):
+                far = _squares(x, own)
+                label = far.argmin(axis=1)
+                one = np.zeros((len(x), len(own)))
+                one[np.arange(len(x)), label] = 1
+                part[:, :-2] += one.T @ x
+                part[:, -2] += one.sum(axis=0)
+                part[:, -1] += one.T @ far.min(axis=1)
+        rows = [(i, j, part[j].tolist()) for i, part in enumerate(parts) for j in range(len(part))]
+        columns = [pa.array(list(c), k) for c, k in zip(zip(*rows), (pa.int32(), pa.int32(), pa.list_(pa.float64())))]
+        yield pa.RecordBatch.from_arrays(columns, ["set", "cluster", "sums"])
+
+    width = centers[0].shape[1] + 2
+    added = (
+        df.select(column)
+        .mapInArrow(sums, "set int, cluster int, sums array<double>")
+        .groupBy("set", "cluster")
+        .agg(F.array(*[F.sum(F.get("sums", F.lit(i))) for i in range(width)]).alias("sums"))
+    )
+    out = [(c.copy(), np.zeros(len(c)), 0.0) for c in centers]
+    costs = np.zeros(len(centers))
+    for row in added.collect():
+        total = np.array(row["sums"])
+        new, sizes, _ = out[row["set"]]
+        if total[-2] > 0:  # an empty cluster stays where it is
+            new[row["cluster"]] = total[:-2] / total[-2]
+        sizes[row["cluster"]] = total[-2]
+        costs[row["set"]] += total[-1]
+    return [(new, sizes, float(cost)) for (new, sizes, _), cost in zip(out, costs)]
+
+
+def _fitted(
+    df: DataFrame, column: str, sizes: list[int], *, seed: int, starts: int, max_iter: int
+) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """For each k the centres and cluster sizes of the cheapest of ``starts`` fits.
+
+    All fits advance together, one pass over the rows for each iteration; those
+    that have settled take no part in later passes. Starting centres are drawn
+    from the ``SEED_ROWS`` rows with the least hash.
+    """
+    drawn = df.select(column).orderBy(F.xxhash64(column, F.lit(seed)), column).limit(SEED_ROWS).toArrow()
+    rows = _matrix(drawn.column(0).combine_chunks())
+    rng = np.random.default_rng(seed)
+    sets = [(k, _starting_centers(rows, k, rng)) for k in sizes for _ in range(starts)]
+    done: list[tuple[int, np.ndarray, np.ndarray, float]] = []
+    for iteration in range(max_iter + 1):
+        moved = _step(df, column, [c for _, c in sets])
+        ahead = []
+        for (k, old), (new, counts, cost) in zip(sets, moved):
+            if iteration == max_iter or np.sqrt(((new - old) ** 2).sum(axis=1)).max() <= 1e-4:
+                done.append((k, old, counts, cost))
+            else:
+                ahead.append((k, new))
+        sets = ahead
+        if not sets:
+            break
+    best = {k: min((d for d in done if d[0] == k), key=lambda d: d[3]) for k in sizes}
+    return {k: (found[1], found[2]) for k, found in best.items()}
+
+
+def _numbered(df: DataFrame, centers: np.ndarray, sizes: np.ndarray) -> DataFrame:
+    """Centres numbered by size, largest first, then by centre."""
+    found = sorted(zip(sizes.tolist(), centers.tolist()), key=lambda t: (-t[0], t[1]))
+    rows = [(index, center, int(size)) for index, (size, center) in enumerate(found)]
+    return df.sparkSession.createDataFrame(rows, "id int, center array<double>, size long")
+
+
 def fit_centers(
     df: DataFrame, k: int, *, column: str = "z", seed: int = 42, starts: int = 20, max_iter: int = 300
 ) -> DataFrame:
     """k-means centres ``(id, center, size)`` of the cheapest of several starts.
 
-    Clusters are numbered by size, largest first, then by centre, so that ids
-    do not depend on the start. Only k centres reach the driver.
+    Ids do not depend on the start. Only centres and their sums reach the driver.
     """
-    vectors = df.select(array_to_vector(F.col(column)).alias("_v")).persist()
-    try:
-        best = None
-        for start in range(starts):
-            model = KMeans(
-                k=k, seed=seed + start, maxIter=max_iter, tol=1e-4, featuresCol="_v", initMode="k-means||"
-            ).fit(vectors)
-            if best is None or model.summary.trainingCost < best.summary.trainingCost:
-                best = model
-        sizes = best.summary.clusterSizes
-        found = sorted(
-            zip(sizes, (c.tolist() for c in best.clusterCenters())), key=lambda t: (-t[0], t[1])
-        )
-    finally:
-        vectors.unpersist()
-    rows = [(index, center, int(size)) for index, (size, center) in enumerate(found)]
-    return df.sparkSession.createDataFrame(rows, "id int, center array<double>, size long")
+    best = _fitted(df, column, [k], seed=seed, starts=starts, max_iter=max_iter)
+    return _numbered(df, *best[k])
 
 
 def choose_k(
@@ -218,20 +310,17 @@ def choose_k(
 ) -> DataFrame:
     """Silhouette for each k in [2, min(largest, n // 5)); the first best is chosen.
 
-    With too few rows for any candidate, k = 2 is chosen without a score.
+    All candidates are fitted together. With too few rows for any candidate,
+    k = 2 is chosen without a score.
     """
     spark = df.sparkSession
     rows = df.count()
-    candidates = range(2, min(largest, rows // 5)) if rows >= 10 else range(0)
-    data = df.select(column).persist()
-    try:
-        scores = []
-        for k in candidates:
-            centers = fit_centers(data, k, column=column, seed=seed, starts=starts)
-            labelled = assign_nearest(data, centers, column)
-            scores.append((k, silhouette(labelled, dim, column).head()["silhouette_sq"]))
-    finally:
-        data.unpersist()
+    candidates = list(range(2, min(largest, rows // 5))) if rows >= 10 else []
+    scores = []
+    fits = _fitted(df, column, candidates, seed=seed, starts=starts, max_iter=300) if candidates else {}
+    for k in candidates:
+        labelled = assign_nearest(df.select(column), _numbered(df, *fits[k]), column)
+        scores.append((k, silhouette(labelled, dim, column).head()["silhouette_sq"]))
     best = max(scores, key=lambda s: s[1])[0] if scores else 2
     table = scores or [(2, None)]
     return spark.createDataFrame(

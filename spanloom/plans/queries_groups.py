@@ -54,12 +54,12 @@ def inverse_standardize(t: Tables) -> DataFrame:
 @query("g03_choose_k", "#k ~silhouette_sq chosen")
 def choose_k(t: Tables) -> DataFrame:
     groups = PathGroups(written(event_path_features(t), "features"))
-    return vectors.choose_k(groups.scaled, len(FEATURES), starts=1)
+    return vectors.choose_k(groups.scaled, len(FEATURES))
 
 
 @query("g04_fit_archetypes", "#id #size")
 def fit_archetypes(t: Tables) -> DataFrame:
-    return PathGroups(written(event_path_features(t), "features"), k=6, starts=3).centers
+    return PathGroups(written(event_path_features(t), "features")).centers
 
 
 @query("g05_assign_archetypes", "#vec_id #archetype ~distance_to_center", "g_assigned")
