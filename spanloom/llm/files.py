@@ -20,11 +20,19 @@ def write_files(
 ) -> None:
     """One file per value of ``file``: its rows' ``content`` by ``order``, each followed by ``end``.
 
-    ``end`` has one character per byte. All rows of a file meet in one task, so files must be of bounded size.
+    ``end`` has one character per byte. All rows of a file meet in one task, so
+    files must be of bounded size.
     """
+    dealt = df.repartition(shuffle_width(df.sparkSession), file)
+    append_files(dealt, path, file=file, order=order, content=content, end=end)
+
+
+def append_files(
+    df: DataFrame, path: str, *, file: str, order: Sequence[str], content: str, end: str
+) -> None:
+    """Like ``write_files`` without moving rows: a task writes those it has of a file to a part of its own."""
     (
         df.select(F.col(file).alias("file"), *order, F.col(content).cast("string").alias("value"))
-        .repartition(shuffle_width(df.sparkSession), "file")
         .sortWithinPartitions("file", *order)
         .select("file", "value")
         .write.partitionBy("file")

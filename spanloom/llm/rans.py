@@ -2,19 +2,17 @@
 
 One table of symbol frequencies, counted over all documents, is shared by all
 blocks. A block of ids is coded on its own by interleaved lanes, so blocks decode
-in parallel; a footer of checkpoints gives each block's place, first token and
+in parallel; an index of checkpoints gives each block's place, first id and
 checksum.
 
-A file is a run of records, each followed by a line feed:
+Blocks stand in files, one record after another, each followed by a line feed:
 
-    header    b"RNST", format, start of the file's ids among all ids
-    blocks    b"RNSB", ids, lanes' words, documents, CRC-32 of the ids; documents
-              (id, null flag, ids) that begin in the block; lane states; words
-    footer    b"RNSF", blocks; checkpoints (offset, first id, ids, CRC-32)
-    tail      length of the footer, b"RNSE"
+    block     b"RNSB", file, block, ids, lanes, words, documents, CRC-32 of the ids;
+              documents (id, null flag, ids) that begin in the block; lane states; words
 
-The table is a file of its own: ``b"RNST"``-style records keep every file
-readable without Spark.
+A stretch of documents has a number, ``file``, and its blocks are numbered from 0,
+so the order of all ids is that of ``file, block``, whatever part file holds a
+block. The table is a file of its own: b"RNSQ", length, compressed frequencies.
 """
 
 from __future__ import annotations
@@ -31,8 +29,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..operators.storage import scratch_path, written
-from .common import Remembered, joined_null_safe, shuffle_width, small_batches
-from .files import list_files, opened, write_files
+from .common import Remembered, shuffle_width, small_batches
+from .files import append_files, list_files, opened
 
 VOCABULARY = "byte_bpe_50k.json"
 END_ID = 2
@@ -44,13 +42,12 @@ LANES = 512
 #: A file is cut at the first document that begins after so many ids.
 FILE_IDS = 1 << 22
 #: Words a task remembers in each of two generations.
-REMEMBERED = 80_000
+REMEMBERED = 300_000
 #: Words encoded as one text.
 WORDS_AT_ONCE = 2000
 
 LOW = np.uint64(1 << 31)
 WORD_BITS = np.uint64(32)
-TABLE_FILE = -1
 
 
 def vocabulary_path(name: str = VOCABULARY) -> str:
@@ -234,59 +231,58 @@ class Coder:
         return out
 
 
-HEAD = struct.Struct("<4sIq")
-BLOCK_HEAD = struct.Struct("<4sIIIII")
+BLOCK_HEAD = struct.Struct("<4sqIIIIII")
 DOC = struct.Struct("<qBI")
-POINT = struct.Struct("<qqII")
-TAIL = struct.Struct("<I4s")
-FORMAT = 1
 
 
 def doc_entry(doc: int | None, count: int) -> bytes:
     return DOC.pack(doc or 0, doc is None, count)
 
 
-def framed(start: int, blocks: list[dict]) -> list[bytes]:
-    """Header and footer of a file with these blocks."""
-    offset, points = HEAD.size + 1, b""
-    for b in blocks:
-        points += POINT.pack(offset, b["first"], b["n_ids"], b["crc"])
-        offset += b["size"] + 1
-    footer = struct.pack("<4sI", b"RNSF", len(blocks)) + points
-    return [HEAD.pack(b"RNST", FORMAT, start), footer + TAIL.pack(len(footer), b"RNSE")]
-
-
-def checksum(record: bytes) -> int:
-    """CRC-32 of a block's ids, from its head."""
-    return BLOCK_HEAD.unpack_from(record)[5]
-
-
-def block_record(coder: Coder, ids: np.ndarray, docs: bytes) -> bytes:
+def block_record(coder: Coder, ids: np.ndarray, docs: bytes, file: int = 0, block: int = 0) -> bytes:
     lanes = min(LANES, max(1, len(ids)))
     state, words = coder.encode(ids, lanes)
-    head = BLOCK_HEAD.pack(
-        b"RNSB", len(ids), len(words), lanes, len(docs) // DOC.size, zlib.crc32(ids.astype("<u4").tobytes())
-    )
+    crc = zlib.crc32(ids.astype("<u4").tobytes())
+    head = BLOCK_HEAD.pack(b"RNSB", file, block, len(ids), lanes, len(words), len(docs) // DOC.size, crc)
     return head + docs + state.astype("<u8").tobytes() + words.astype("<u4").tobytes()
 
 
+def block_head(head: bytes) -> dict[str, int]:
+    """What a block says of itself, with the bytes of its whole record."""
+    mark, file, block, count, lanes, n_words, n_docs, crc = BLOCK_HEAD.unpack(head)
+    if mark != b"RNSB":
+        raise ValueError("no block begins here")
+    length = BLOCK_HEAD.size + n_docs * DOC.size + 8 * lanes + 4 * n_words
+    return {"file": file, "block": block, "n_ids": count, "lanes": lanes, "n_docs": n_docs, "n_words": n_words, "crc": crc, "length": length}
+
+
 def read_block(coder: Coder, record: bytes) -> tuple[np.ndarray, list[tuple[int | None, int]]]:
     """Ids of a block, checked, and the documents that begin in it."""
-    mark, count, n_words, lanes, n_docs, crc = BLOCK_HEAD.unpack_from(record)
+    head = block_head(record[: BLOCK_HEAD.size])
     at = BLOCK_HEAD.size
-    docs = [DOC.unpack_from(record, at + i * DOC.size) for i in range(n_docs)]
-    at += n_docs * DOC.size
-    state = np.frombuffer(record, dtype="<u8", count=lanes, offset=at).astype(np.uint64)
-    words = np.frombuffer(record, dtype="<u4", count=n_words, offset=at + 8 * lanes).astype(np.uint64)
-    ids = coder.decode(count, state, words)
-    if mark != b"RNSB" or zlib.crc32(ids.astype("<u4").tobytes()) != crc:
+    docs = [DOC.unpack_from(record, at + i * DOC.size) for i in range(head["n_docs"])]
+    at += head["n_docs"] * DOC.size
+    state = np.frombuffer(record, dtype="<u8", count=head["lanes"], offset=at).astype(np.uint64)
+    words = np.frombuffer(record, dtype="<u4", count=head["n_words"], offset=at + 8 * head["lanes"]).astype(np.uint64)
+    ids = coder.decode(head["n_ids"], state, words)
+    if zlib.crc32(ids.astype("<u4").tobytes()) != head["crc"]:
         raise ValueError("a block's checksum differs")
     return ids, [(None if null else doc, n) for doc, null, n in docs]
 
 
 # Writing
 
-STAGED = "file long, block int, first long, n_ids int, ids binary, docs binary, symbols array<int>, counts array<long>"
+STAGED = "file long, block int, ids binary, docs binary, symbols array<int>, counts array<long>"
+
+
+def narrow(ids: np.ndarray) -> bytes:
+    """Ids in 16 bits each if all fit, behind a byte that says so."""
+    small = not len(ids) or int(ids.max()) < 1 << 16
+    return b"\x02" + ids.astype("<u2").tobytes() if small else b"\x04" + ids.astype("<u4").tobytes()
+
+
+def widened(data: bytes) -> np.ndarray:
+    return np.frombuffer(data, dtype=f"<u{data[0]}", offset=1).astype(np.uint32)
 
 
 def _staged(docs: DataFrame, path: str, block: int, file_ids: int) -> DataFrame:
@@ -308,9 +304,7 @@ def _staged(docs: DataFrame, path: str, block: int, file_ids: int) -> DataFrame:
                 {
                     "file": pa.array([(part << 24) + file], pa.int64()),
                     "block": pa.array([number], pa.int32()),
-                    "first": pa.array([first], pa.int64()),
-                    "n_ids": pa.array([len(ids)], pa.int32()),
-                    "ids": [ids.tobytes()],
+                    "ids": [narrow(ids)],
                     "docs": [b"".join(entries)],
                     "symbols": pa.array([symbols.astype(np.int32)], pa.list_(pa.int32())),
                     "counts": pa.array([counts], pa.list_(pa.int64())),
@@ -360,11 +354,13 @@ def write_ids(
     their text; each ends with id ``END_ID``; null text is empty. Files hold
     whole documents and follow each other in the same order. The symbol counts
     of all blocks are summed by Spark; only the table, bounded by the
-    vocabulary, reaches the driver. An empty table writes the table file alone.
+    vocabulary, reaches the driver. An empty table writes no blocks.
     """
     spark = docs.sparkSession
     small_batches(spark)
-    blocks = written(_staged(docs, path, block, file_ids), "ids-staged")
+    stage = scratch_path(spark, "ids-staged")
+    _staged(docs, path, block, file_ids).write.option("compression", "zstd").parquet(stage)
+    blocks = spark.read.schema(STAGED).parquet(stage)
     counted = (
         blocks.select(F.explode(F.arrays_zip("symbols", "counts")).alias("s"))
         .groupBy(F.col("s.symbols").alias("symbol"))
@@ -380,65 +376,60 @@ def write_ids(
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = Coder(shared.value)
         for batch in batches:
-            made = [
-                block_record(coder, np.frombuffer(ids, dtype="<u4"), docs)
-                for ids, docs in zip(batch.column("ids").to_pylist(), batch.column("docs").to_pylist())
-            ]
-            crcs = [checksum(x) for x in made]
+            rows = zip(*(batch.column(c).to_pylist() for c in ("file", "block", "ids", "docs")))
+            made = [block_record(coder, widened(ids), docs, file, block) for file, block, ids, docs in rows]
             yield pa.RecordBatch.from_arrays(
-                [*(batch.column(c) for c in ("file", "block", "first", "n_ids")), pa.array(crcs, pa.int64()), pa.array(made, pa.binary())],
-                ["file", "block", "first", "n_ids", "crc", "record"],
+                [batch.column("file"), batch.column("block"), pa.array(made, pa.binary())], ["file", "block", "record"]
             )
 
-    coded = blocks.select("file", "block", "first", "n_ids", "ids", "docs").mapInArrow(
-        code, "file long, block int, first long, n_ids int, crc long, record binary"
-    )
-    coded = written(coded, "ids-coded")
+    coded = blocks.select("file", "block", "ids", "docs").mapInArrow(code, "file long, block int, record binary")
     out = scratch_path(spark, "ids")
-    rows = coded.select("file", "block", "record").unionByName(_frames(coded))
-    rows = rows.unionByName(_table_row(docs, table))
-    write_files(rows, out, file="file", order=["block"], content="record", end="\n")
+    append_files(coded, f"{out}/blocks", file="file", order=["block"], content="record", end="\n")
+    packed = b"RNSQ" + struct.pack("<I", len(table)) + zlib.compress(table.astype("<u4").tobytes())
+    one = pa.table({"file": pa.array([0], pa.int64()), "block": pa.array([0], pa.int32()), "record": [packed]})
+    append_files(spark.createDataFrame(one), f"{out}/table", file="file", order=["block"], content="record", end="\n")
+    _checkpoints(spark, f"{out}/blocks").write.parquet(f"{out}/index")
     return out
 
 
-def _table_row(docs: DataFrame, table: np.ndarray) -> DataFrame:
-    """The table as the one record of a file of its own."""
-    packed = b"RNSQ" + struct.pack("<I", len(table)) + zlib.compress(table.astype("<u4").tobytes())
-    one = pa.table({"file": pa.array([TABLE_FILE], pa.int64()), "block": pa.array([0], pa.int32()), "record": [packed]})
-    return docs.sparkSession.createDataFrame(one)
+POINTS = "file long, block int, path string, offset long, length long, n_ids long, crc long"
 
 
-def _frames(coded: DataFrame) -> DataFrame:
-    """Header (block -1) and footer with checkpoints (block after the last) of each file.
+def _checkpoints(spark, folder: str) -> DataFrame:
+    """The index: every block's place and checksum, and its first id among all ids.
 
-    Starts of files are running sums: inside each range slice over its files,
-    then over the slices, which are as many as a shuffle has partitions.
+    Tasks step from head to head through the files. First ids are running sums:
+    over the blocks of a stretch, over the stretches of a range slice, and over
+    the slices, which are as many as a shuffle has partitions.
     """
-    files = coded.groupBy("file").agg(
-        F.sum("n_ids").cast("long").alias("total"),
-        F.array_sort(F.collect_list(F.struct("block", "first", "n_ids", "crc", F.octet_length("record").alias("size")))).alias("blocks"),
-    )
-    files = files.withColumn("part", F.shiftright("file", 24))
-    sums = files.groupBy("part").agg(F.sum("total").alias("whole"))
-    earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.select("part", F.coalesce(F.sum("whole").over(earlier), F.lit(0)).alias("base"))
-    inside = Window.partitionBy("part").orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
-    files = joined_null_safe(files, sums, ["part"]).withColumn(
-        "start", F.col("base") + F.coalesce(F.sum("total").over(inside), F.lit(0))
-    )
 
-    def frame(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for one in batch.to_pylist():
-                yield pa.RecordBatch.from_pydict(
-                    {
-                        "file": pa.array([one["file"]] * 2, pa.int64()),
-                        "block": pa.array([-1, len(one["blocks"])], pa.int32()),
-                        "record": framed(one["start"], one["blocks"]),
-                    }
-                )
-
-    return files.select("file", "start", "blocks").mapInArrow(frame, "file long, block int, record binary")
+            for path, size in zip(batch.column("path").to_pylist(), batch.column("bytes").to_pylist()):
+                rows = heads(path, size)
+                names = ["file", "block", "offset", "length", "n_ids", "crc"]
+                columns = {n: [r[n] for r in rows] for n in names} | {"path": [path] * len(rows)}
+                yield pa.RecordBatch.from_pydict(columns, schema=schema)
+
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import _parse_datatype_string
+
+    schema = to_arrow_schema(_parse_datatype_string(POINTS))
+    files = list_files(spark, folder).select("path", "bytes").repartition(shuffle_width(spark), "path")
+    points = written(files.mapInArrow(walk, POINTS), "ids-points")
+
+    def before(*by: str, order: str) -> Window:
+        return Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+
+    part = F.shiftright("file", 24).alias("part")
+    stretches = points.groupBy("file", part).agg(F.sum("n_ids").alias("n"))
+    slices = stretches.groupBy("part").agg(F.sum("n").alias("n"))
+    slices = slices.select("part", F.coalesce(F.sum("n").over(before(order="part")), F.lit(0)).alias("base"))
+    stretches = stretches.join(slices, "part").select(
+        "file", (F.col("base") + F.coalesce(F.sum("n").over(before("part", order="file")), F.lit(0))).alias("base")
+    )
+    inside = F.coalesce(F.sum("n_ids").over(before("file", order="block")), F.lit(0))
+    return points.join(stretches, "file").select("*", (F.col("base") + inside).alias("start")).drop("base")
 
 
 # Reading
@@ -451,39 +442,37 @@ def read_table(path: str) -> np.ndarray:
     return np.frombuffer(zlib.decompressobj().decompress(data[8:]), dtype="<u4", count=count)
 
 
-def checkpoints(f, size: int) -> list[tuple[int, int, int, int]]:
-    """Offset, first id, ids and checksum of each block, from the end of an open file."""
-    length, mark = TAIL.unpack(f.read_at(TAIL.size, size - 1 - TAIL.size))
-    if mark != b"RNSE":
-        raise ValueError("the file has no footer")
-    footer = f.read_at(length, size - 1 - TAIL.size - length)
-    return [POINT.unpack_from(footer, 8 + i * POINT.size) for i in range(struct.unpack_from("<I", footer, 4)[0])]
+def heads(path: str, size: int) -> list[dict[str, int]]:
+    """The blocks of a file, from head to head."""
+    out, at = [], 0
+    with opened(path) as f:
+        while at < size:
+            head = block_head(f.read_at(BLOCK_HEAD.size, at))
+            out.append(head | {"offset": at})
+            at += head["length"] + 1
+    return out
 
 
-def read_file(coder: Coder, path: str, size: int) -> Iterator[tuple[int | None, int, np.ndarray]]:
-    """``doc_id, start, ids`` of a file's documents in order, one block in memory at a time."""
-    with opened(path) as f:
-        points = checkpoints(f, size)
-        start = HEAD.unpack(f.read_at(HEAD.size, 0))[2]
-        ends = [p[0] for p in points[1:]]
-        waiting: list[tuple[int | None, int]] = []
-        held: list[np.ndarray] = []
-        have = 0
-        for i, point in enumerate(points):
-            until = ends[i] if i < len(ends) else size
-            ids, docs = read_block(coder, f.read_at(until - point[0], point[0]))
-            waiting += docs
-            held.append(ids)
-            have += len(ids)
-            done = 0
-            if have >= waiting[0][1] if waiting else False:
-                flat, at = np.concatenate(held), 0
-                for doc, count in waiting:
-                    if at + count > have:
-                        break
-                    yield doc, start, flat[at : at + count]
-                    at, start, done = at + count, start + count, done + 1
-                held, have, waiting = [flat[at:]], have - at, waiting[done:]
+def read_stretch(coder: Coder, points: list[dict]) -> Iterator[tuple[int | None, int, np.ndarray]]:
+    """``doc_id, start, ids`` of a stretch's documents in order, one block in memory at a time."""
+    start = points[0]["start"]
+    waiting: list[tuple[int | None, int]] = []
+    held: list[np.ndarray] = []
+    have = 0
+    for point in points:
+        with opened(point["path"]) as f:
+            ids, docs = read_block(coder, f.read_at(point["length"], point["offset"]))
+        waiting += docs
+        held.append(ids)
+        have += len(ids)
+        if waiting and have >= waiting[0][1]:
+            flat, at, done = np.concatenate(held), 0, 0
+            for doc, count in waiting:
+                if at + count > have:
+                    break
+                yield doc, start, flat[at : at + count]
+                at, start, done = at + count, start + count, done + 1
+            held, have, waiting = [flat[at:]], have - at, waiting[done:]
 
 
 READ = "doc_id long, start long, n_tokens long, ids_crc32 long, ids array<long>"
@@ -492,15 +481,14 @@ READ = "doc_id long, start long, n_tokens long, ids_crc32 long, ids array<long>"
 def read_ids(spark, folder: str, *, ids: bool = True) -> DataFrame:
     """Documents read back from the files below ``folder``; ``ids`` null if not asked for."""
     small_batches(spark)
-    files = list_files(spark, folder)
-    table_path = files.where(F.col("file") == TABLE_FILE).first().path
+    table_path = list_files(spark, f"{folder}/table").first().path
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = Coder(read_table(table_path))
         for batch in batches:
-            for path, size in zip(batch.column("path").to_pylist(), batch.column("bytes").to_pylist()):
+            for points in batch.column("points").to_pylist():
                 rows: list[tuple] = []
-                for doc, start, found in read_file(coder, path, size):
+                for doc, start, found in read_stretch(coder, points):
                     crc = zlib.crc32(found.astype("<u4").tobytes())
                     rows.append((doc, start, len(found), crc, found if ids else None))
                     if len(rows) == 1024:
@@ -513,5 +501,8 @@ def read_ids(spark, folder: str, *, ids: bool = True) -> DataFrame:
         kinds = [pa.int64()] * 4 + [pa.list_(pa.int64())]
         return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds)], ["doc_id", "start", "n_tokens", "ids_crc32", "ids"])
 
-    found = files.where(F.col("file") != TABLE_FILE).select("path", "bytes")
-    return found.repartition(shuffle_width(spark), "path").mapInArrow(read, READ)
+    # a stretch holds at most FILE_IDS ids and one more document, so few points
+    index = spark.read.schema(POINTS + ", start long").parquet(f"{folder}/index")
+    point = F.struct("block", "path", "offset", "length", "start")
+    stretches = index.groupBy("file").agg(F.array_sort(F.collect_list(point)).alias("points"))
+    return stretches.select("points").mapInArrow(read, READ)
