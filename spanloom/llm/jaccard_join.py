@@ -20,10 +20,10 @@ copied to another cell if its distance there exceeds its nearest by at most twic
 0.15, and to the next shell: by the triangle inequality linked documents share a
 cell. Cells are regions of the next level. In small regions, and in cells that
 pivots no longer divide, documents of different components are paired; pairs
-whose sizes, or whose counts of shingles per hash bucket, lie further apart than
-linked sets can are left out, and the others are measured exactly. The distance
-of bucket counts never exceeds the number of shingles that two sets don't share,
-so no link is lost.
+whose sizes, or whose parities or counts of shingles per hash bucket, lie further
+apart than linked sets can are left out, and the others are measured exactly.
+Neither distance exceeds the number of shingles that two sets don't share, so no
+link is lost.
 
 What leaves the join is a set of verified links that connects every component;
 links inside a component that others imply are not looked for.
@@ -50,12 +50,14 @@ REMEMBERED = 150_000
 PIVOTS = 8
 #: Regions of so many documents are joined pair by pair.
 LEAF = 4096
-#: Documents of a block in a region.
-BLOCK = 256
+#: Documents that one task compares with those of a family.
+BLOCK = 512
 #: A cell that keeps more than this share of its region is joined pair by pair too.
 STUCK = 0.75
 #: Hash buckets whose shingle counts bound a distance from below.
 BUCKETS = 128
+#: 64-bit words of parities that do so without leaving a join.
+PARITY_WORDS = 8
 #: Ids of at most so many documents are broadcast (8 bytes each, counted).
 BROADCAST_ROWS = 500_000
 
@@ -181,8 +183,19 @@ def bucket_counts(shingles: np.ndarray, buckets: int = BUCKETS) -> bytes:
     return np.minimum(counts, 255).astype(np.uint8).tobytes()
 
 
+def parities(shingles: np.ndarray) -> np.ndarray:
+    """Of each of 64 PARITY_WORDS hash buckets, whether it holds an odd number of shingles.
+
+    A shingle that one of two sets lacks turns one bit, so parities differ in no
+    more bits than sets differ in shingles.
+    """
+    buckets = (shingles >> np.int64(20)) & np.int64(64 * PARITY_WORDS - 1)
+    odd = (np.bincount(buckets, minlength=64 * PARITY_WORDS) & 1).astype(np.uint8)
+    return np.packbits(odd).view(np.int64)
+
+
 def shingle_sets(docs: DataFrame, wanted: DataFrame, words: int = WORDS) -> DataFrame:
-    """``node, shingles, counts`` of the classes in ``wanted`` (``node, class, low``)."""
+    """``node, shingles, counts, parity`` of the classes in ``wanted`` (``node, class, low``)."""
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingling = shingling_of(words)
@@ -196,20 +209,25 @@ def shingle_sets(docs: DataFrame, wanted: DataFrame, words: int = WORDS) -> Data
                     pa.array([class_key(s) for s in sets], pa.binary()),
                     pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*sets, np.zeros(0, np.int64)]))),
                     pa.array([bucket_counts(s) for s in sets], pa.binary()),
+                    pa.array([parities(s) for s in sets], pa.list_(pa.int64())),
                 ],
-                ["node", "class", "found", "shingles", "counts"],
+                ["node", "class", "found", "shingles", "counts", "parity"],
             )
 
     texts = docs.select(F.col("doc_id").cast("long").alias("low"), "text").join(wanted, "low")
     made = texts.select("node", "class", "text").mapInArrow(
-        measure, "node long, class binary, found binary, shingles array<long>, counts binary"
+        measure, "node long, class binary, found binary, shingles array<long>, counts binary, parity array<long>"
     )
     # of rows that repeat an id, those with the class's own text
-    return made.where(F.col("class") == F.col("found")).select("node", "shingles", "counts")
+    return made.where(F.col("class") == F.col("found")).select("node", "shingles", "counts", "parity")
 
 
 def maybe_linked(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """Pairs ``a, b`` whose bucket counts don't rule a link out, as in ``_near``."""
+    """Pairs ``a, b`` whose bucket counts don't rule a link out.
+
+    Linked sets of ``n`` and ``m`` shingles differ in ``(n + m) (100 - p) / (100 + p)``
+    at most, and the counts' distance is no larger than that difference.
+    """
     thin = sets.select("node", F.size("shingles").alias("n"), "counts")
     left = thin.select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("counts").alias("c_a"))
     right = thin.select(F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("counts").alias("c_b"))
@@ -322,80 +340,55 @@ def _pivots(regions: DataFrame) -> DataFrame:
     )
 
 
-def _cross_pairs(regions: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs of different components in a region, one of them core, that may be linked.
+def _parity_columns(side: str) -> list[Column]:
+    return [F.get("parity", F.lit(i)).alias(f"{side}{i}") for i in range(PARITY_WORDS)]
 
-    A region's documents travel with their bucket counts in blocks of about
-    BLOCK; blocks meet inside Python, so only pairs that pass sizes and counts
-    become rows.
-    """
-    salts = F.ceil(F.col("size") / BLOCK).cast("int")
-    member = F.struct("node", "component", "n", "core", "counts")
-    blocks = (
-        regions.join(sets.select("node", "counts"), "node")
-        .groupBy("region", salts.alias("salts"), F.pmod(F.xxhash64("node"), salts).alias("salt"))
-        .agg(F.collect_list(member).alias("one"))
-    )
-    other = blocks.select("region", F.col("salt").alias("_salt"), F.col("one").alias("two"))
-    several = blocks.where("salts > 1").join(other, "region").where("salt < _salt")
-    rows = blocks.select("one", F.lit(None).cast(blocks.schema["one"].dataType).alias("two")).unionByName(
-        several.select("one", "two")
-    )
 
-    def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            one, two = (_Blocks(batch.column(c)) for c in ("one", "two"))
-            found = []
-            for row in range(len(batch)):
-                left = one.row(row)
-                right = left if two.absent(row) else two.row(row)
-                found.append(_near(left, right, right is left, percent))
-            a, b = (np.concatenate([f[i] for f in found] or [np.zeros(0, np.int64)]) for i in (0, 1))
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
-
-    return rows.mapInArrow(test, "a long, b long").distinct()
-
-
-class _Blocks:
-    """A column of blocks as flat arrays."""
+def _may_link(percent: int) -> Column:
+    """Whether the open documents ``a`` and ``b`` of a join may be linked.
 
-    def __init__(self, column: pa.ListArray):
-        self.column = column
-        self.offsets = column.offsets.to_numpy()
-        values = column.values
-        self.flat = [values.field(i).to_numpy(zero_copy_only=False) for i in range(4)]
-        joined = b"".join(values.field(4).to_pylist())
-        self.counts = np.frombuffer(joined, dtype=np.uint8).reshape(len(values), -1) if len(values) else None
+    They are of different components and one is core. Linked sets of ``n`` and
+    ``m`` shingles have sizes in proportion and differ in ``(n + m) (100 - p) /
+    (100 + p)`` shingles at most; parities never differ in more.
+    """
+    sizes = F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent
+    bits = sum((F.bit_count(F.col(f"a{i}").bitwiseXOR(F.col(f"b{i}"))) for i in range(PARITY_WORDS)), F.lit(0))
+    near = bits * (100 + percent) <= (F.col("n_a") + F.col("n_b")) * (100 - percent)
+    return (F.col("c_a") != F.col("c_b")) & (F.col("core_a") | F.col("core_b")) & sizes & near
 
-    def absent(self, row: int) -> bool:
-        return not self.column[row].is_valid
 
-    def row(self, row: int) -> tuple[np.ndarray, ...]:
-        part = slice(self.offsets[row], self.offsets[row + 1])
-        return *(f[part] for f in self.flat), self.counts[part]
+def _side(rows: DataFrame, side: str, *keys: str) -> DataFrame:
+    named = [F.col(c).alias(f"{n}_{side}") for c, n in (("n", "n"), ("component", "c"), ("core", "core"), ("family", "f"))]
+    return rows.select(*keys, F.col("node").alias(side), *named, *_parity_columns(side))
 
 
-def _near(one: tuple, two: tuple, same: bool, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Smaller and larger node of each pair across two blocks that may be linked.
+def _cross_pairs(regions: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs of different components that share a region or a family and may be linked.
 
-    Linked sets of ``n`` and ``m`` shingles differ in ``(n + m) (100 - p) / (100 + p)``
-    at most, and the distance of their bucket counts is no larger than that.
+    A family is the documents that were compared with the same central document.
+    Documents of one family meet there, once; only those of different families
+    are looked for region by region.
     """
-    node, component, n, core, counts = one
-    node2, component2, n2, core2, counts2 = two
-    open_ = (component[:, None] != component2[None, :]) & (core[:, None] | core2[None, :])
-    open_ &= 100 * np.minimum(n[:, None], n2[None, :]) >= percent * np.maximum(n[:, None], n2[None, :])
-    i, j = np.nonzero(np.triu(open_) if same else open_)
-    found = []
-    for at in range(0, len(i), 4096):  # some MB of counts at a time
-        x, y = i[at : at + 4096], j[at : at + 4096]
-        apart = np.abs(counts[x].astype(np.int16) - counts2[y]).sum(axis=1)
-        found.append(apart * (100 + percent) <= (n[x].astype(np.int64) + n2[y]) * (100 - percent))
-    if not found:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    near = np.concatenate(found)
-    x, y = node[i[near]], node2[j[near]]
-    return np.minimum(x, y), np.maximum(x, y)
+    parity = sets.select("node", "parity")
+    mixed = (
+        regions.groupBy("region")
+        .agg(F.min("family").alias("_low"), F.max("family").alias("_high"))
+        .where("_low <> _high")
+        .select("region")
+    )
+    rows = regions.join(mixed, "region").join(parity, "node")
+    apart = _side(rows, "a", "region").join(_side(rows, "b", "region"), "region").where(
+        (F.col("a") < F.col("b")) & (F.col("f_a") != F.col("f_b")) & _may_link(percent)
+    )
+    kin = regions.groupBy("node", "n", "component", "family").agg(F.max("core").alias("core"))
+    parts = F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("parts")
+    families = kin.groupBy("family").agg(parts, F.min("component").alias("_low"), F.max("component").alias("_high"))
+    kin = kin.join(families.where("_low <> _high").select("family", "parts"), "family").join(parity, "node")
+    one = _side(kin.withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts"))), "a", "family", "part")
+    two = _side(kin.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))), "b", "family", "part")
+    one, two = one.withColumn("part", F.col("part").cast("int")), two.withColumn("part", F.col("part").cast("int"))
+    close = one.join(two, ["family", "part"]).where((F.col("a") < F.col("b")) & _may_link(percent))
+    return apart.select("a", "b").unionByName(close.select("a", "b")).distinct()
 
 
 def links(
@@ -422,8 +415,9 @@ def links(
         "jaccard-links",
     )
     labels = components(found)
-    regions = members.join(wanted.select("node", "n"), "node").select(
-        "region", "node", "n", "apart", F.lit(True).alias("core"), F.lit(False).alias("stuck")
+    families = star.select(F.col("a").alias("family"), F.col("b").alias("node"))
+    regions = members.join(wanted.select("node", "n").join(families, "node"), "node").select(
+        "region", "node", "n", "apart", "family", F.lit(True).alias("core"), F.lit(False).alias("stuck")
     )
     level = 0
     while True:
@@ -433,7 +427,7 @@ def links(
         level += 1
         small = (F.col("size") <= LEAF) | F.col("stuck")
         pairs = _cross_pairs(regions.where(small), sets, percent)
-        more = distances(pairs, sets).where(_linked(percent)).select("a", "b")
+        more = distances(maybe_linked(pairs, sets, percent), sets).where(_linked(percent)).select("a", "b")
         large, rest = written_counted(regions.where(~small).drop("stuck"), "jaccard-large")
         if rest:
             chosen = written(_pivots(large), "jaccard-pivots")
@@ -457,12 +451,12 @@ def _cells(held: DataFrame, chosen: DataFrame, measured: DataFrame, percent: int
         .join(measured.select(F.col("a").alias("pivot"), F.col("b").alias("node"), "both", "either"), ["pivot", "node"])
         .withColumn("far", (F.col("either") - F.col("both")) / F.col("either"))
     )
-    nearest = placed.groupBy("region", "node", "n", "apart", "core", "size").agg(
+    nearest = placed.groupBy("region", "node", "n", "apart", "family", "core", "size").agg(
         F.min(F.struct("far", F.xxhash64("node", "pivot").alias("h"), "pivot")).alias("home"),
         F.collect_list(F.struct("pivot", "both", "either", "far")).alias("all"),
     )  # at most PIVOTS entries
     window = 2 * width / 100 + 1e-9
-    cells = nearest.select("region", "node", "n", "apart", "core", "size", "home", F.explode("all").alias("p")).where(
+    cells = nearest.select("region", "node", "n", "apart", "family", "core", "size", "home", F.explode("all").alias("p")).where(
         F.col("p.far") <= F.col("home.far") + window
     )
     shell = F.floor((F.col("p.either") - F.col("p.both")) * 100 / (F.col("p.either") * width) + 1e-9)
@@ -470,8 +464,8 @@ def _cells(held: DataFrame, chosen: DataFrame, measured: DataFrame, percent: int
     shells = F.array(
         F.struct(shell.alias("shell"), own.alias("core")), F.struct((shell + 1).alias("shell"), F.lit(False).alias("core"))
     )
-    members = cells.select("region", "node", "n", "apart", "size", F.col("p.pivot").alias("pivot"), F.explode(shells).alias("s")).select(
-        F.xxhash64("region", "pivot", "s.shell", F.lit(level)).alias("region"), "node", "n", "apart", "size", F.col("s.core").alias("core")
+    members = cells.select("region", "node", "n", "apart", "family", "size", F.col("p.pivot").alias("pivot"), F.explode(shells).alias("s")).select(
+        F.xxhash64("region", "pivot", "s.shell", F.lit(level)).alias("region"), "node", "n", "apart", "family", "size", F.col("s.core").alias("core")
     )
     members = written(members, "jaccard-cells")
     sizes = members.groupBy("region").agg((F.count(F.lit(1)) > STUCK * F.max("size")).alias("stuck"))
