@@ -38,7 +38,7 @@ END_ID = 2
 PRECISION = 18
 #: Ids of a block, and lanes that share its words.
 BLOCK = 1 << 17
-LANES = 512
+LANES = 1024
 #: A file is cut at the first document that begins after so many ids.
 FILE_IDS = 1 << 22
 #: Words a task remembers in each of two generations.
@@ -299,7 +299,8 @@ def _staged(docs: DataFrame, path: str, block: int, file_ids: int) -> DataFrame:
 
         def cut(ids: np.ndarray, entries: list[bytes]) -> pa.RecordBatch:
             nonlocal number, first
-            symbols, counts = np.unique(ids, return_counts=True)
+            counts = np.bincount(ids)
+            symbols = np.flatnonzero(counts)
             made = pa.RecordBatch.from_pydict(
                 {
                     "file": pa.array([(part << 24) + file], pa.int64()),
@@ -307,7 +308,7 @@ def _staged(docs: DataFrame, path: str, block: int, file_ids: int) -> DataFrame:
                     "ids": [narrow(ids)],
                     "docs": [b"".join(entries)],
                     "symbols": pa.array([symbols.astype(np.int32)], pa.list_(pa.int32())),
-                    "counts": pa.array([counts], pa.list_(pa.int64())),
+                    "counts": pa.array([counts[symbols]], pa.list_(pa.int64())),
                 }
             )
             number, first = number + 1, first + len(ids)
