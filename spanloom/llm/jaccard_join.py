@@ -461,8 +461,9 @@ def _cells(held: DataFrame, chosen: DataFrame, measured: DataFrame, percent: int
     )
     shell = F.floor((F.col("p.either") - F.col("p.both")) * 100 / (F.col("p.either") * width) + 1e-9)
     own = F.col("core") & (F.col("p.pivot") == F.col("home.pivot"))
+    # linked documents x and y, x at home here, share the larger of their shells: x is core in both of its own
     shells = F.array(
-        F.struct(shell.alias("shell"), own.alias("core")), F.struct((shell + 1).alias("shell"), F.lit(False).alias("core"))
+        F.struct(shell.alias("shell"), own.alias("core")), F.struct((shell + 1).alias("shell"), own.alias("core"))
     )
     members = cells.select("region", "node", "n", "apart", "family", "size", F.col("p.pivot").alias("pivot"), F.explode(shells).alias("s")).select(
         F.xxhash64("region", "pivot", "s.shell", F.lit(level)).alias("region"), "node", "n", "apart", "family", "size", F.col("s.core").alias("core")

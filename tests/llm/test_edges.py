@@ -339,6 +339,20 @@ def test_regions_recurse_exactly(spark, monkeypatch, leaf, block):
     assert got == components(rows)
 
 
+def test_cells_lose_no_link_across_a_boundary(spark):
+    """Linked documents on both sides of a boundary share a cell in which one is core."""
+    p, q, x, y = range(4)
+    far = {(p, x): 387, (q, x): 462, (p, y): 462, (q, y): 387, (p, q): 600, (q, p): 600}
+    rows = [(7, n, 1000, 0.1, 0, True, 4, v) for n in (p, q, x, y) for v in (p, q)]
+    held = spark.createDataFrame(rows, "region long, node long, n int, apart double, family long, core boolean, size long, pivot long")
+    chosen = spark.createDataFrame([(7, [p, q])], "region long, pivots array<long>")
+    measured = spark.createDataFrame([(a, b, 1000 - d, 1000) for (a, b), d in far.items()], "a long, b long, both int, either int")
+    cells = {}
+    for r in jaccard_join._cells(held, chosen, measured, 85, 1).collect():
+        cells.setdefault(r["region"], {})[r["node"]] = r["core"]
+    assert any({x, y} <= set(c) and (c[x] or c[y]) for c in cells.values())
+
+
 def test_first_regions_lose_no_link():
     """Linked sets keep a common pivot whatever the order passes over."""
     rng = np.random.default_rng(8)
