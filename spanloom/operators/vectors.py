@@ -14,8 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-#: Rows that starting centres are drawn from, at most; every row is clustered.
-SEED_ROWS = 4096
+from .storage import written
 
 
 def mean_vector(column: str, dim: int) -> Column:
@@ -202,16 +201,55 @@ def _squares(x: np.ndarray, centers: np.ndarray) -> np.ndarray:
     )
 
 
-def _starting_centers(rows: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
-    """k rows, each drawn by its squared distance to those drawn before."""
-    chosen = [rows[rng.integers(len(rows))]]
-    nearest = _squares(rows, np.array(chosen))[:, 0]
-    for _ in range(k - 1):
-        total = nearest.sum()
-        odds = nearest / total if total > 0 else None
-        chosen.append(rows[rng.choice(len(rows), p=odds)])
-        nearest = np.minimum(nearest, _squares(rows, np.array(chosen[-1:]))[:, 0])
-    return np.array(chosen)
+def _uniform(hashes: np.ndarray, salt: int) -> np.ndarray:
+    """Numbers between 0 and 1 that follow from 64-bit hashes and a salt."""
+    x = hashes.view(np.uint64) + np.uint64(salt * 0x9E3779B97F4A7C15 % 2**64)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return ((x ^ (x >> np.uint64(31))) >> np.uint64(11)).astype(np.float64) / 2**53 + 2**-54
+
+
+def _starting_centers(df: DataFrame, column: str, k: int, *, seed: int, starts: int) -> list[np.ndarray]:
+    """For each start k rows, each drawn from all rows by its squared distance to those drawn before.
+
+    One pass over the distinct vectors for each draw, all starts together. A
+    vector's waiting time is exponential, its rate the number of its rows times
+    the squared distance; the first to come is drawn. The times follow from
+    hashes of vector, seed, start and draw, so the draw does not depend on how
+    rows are dealt out. The first j of k rows are a draw of j.
+    """
+    vectors = df.groupBy(column).agg(F.count(F.lit(1)).alias("_many"))
+    vectors = written(vectors.withColumn("_hash", F.xxhash64(column, F.lit(seed))), "distinct-vectors")
+    chosen: list[list[list[float]]] = [[] for _ in range(starts)]
+    for draw in range(k):
+        before = [np.array(c) for c in chosen]
+
+        def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            least: dict[int, tuple[float, list[float]]] = {}
+            for batch in batches:
+                if not len(batch):
+                    continue
+                x = _matrix(batch.column(0))
+                many, hashes = batch.column(1).to_numpy(), batch.column(2).to_numpy()
+                for i, own in enumerate(before):
+                    rate = many * _squares(x, own).min(axis=1) if len(own) else many.astype(np.float64)
+                    wait = np.full(len(x), np.inf)
+                    np.divide(-np.log(_uniform(hashes, draw * starts + i + 1)), rate, out=wait, where=rate > 0)
+                    j = wait.argmin()
+                    if wait[j] < least.get(i, (np.inf,))[0]:
+                        least[i] = (wait[j], x[j].tolist())
+            kinds = pa.int32(), pa.float64(), pa.list_(pa.float64())
+            columns = zip(*[(i, *found) for i, found in least.items()]) if least else ([], [], [])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(list(c), kind) for c, kind in zip(columns, kinds)], ["start", "wait", "center"]
+            )
+
+        times = vectors.mapInArrow(first, "start int, wait double, center array<double>")
+        found = times.groupBy("start").agg(F.min(F.struct("wait", "center")).alias("first")).collect()
+        drawn = {r["start"]: r["first"]["center"] for r in found}
+        for i, own in enumerate(chosen):
+            own.append(drawn.get(i, own[-1] if own else None))  # no vector is left: one of them again
+    return [np.array(c) for c in chosen]
 
 
 def _step(df: DataFrame, column: str, centers: list[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray, float]]:
@@ -265,12 +303,10 @@ def _fitted(
 
     All fits advance together, one pass over the rows for each iteration; those
     that have settled take no part in later passes. Starting centres are drawn
-    from the ``SEED_ROWS`` rows with the least hash.
+    from all rows, for every start anew.
     """
-    drawn = df.select(column).orderBy(F.xxhash64(column, F.lit(seed)), column).limit(SEED_ROWS).toArrow()
-    rows = _matrix(drawn.column(0).combine_chunks())
-    rng = np.random.default_rng(seed)
-    sets = [(k, _starting_centers(rows, k, rng)) for k in sizes for _ in range(starts)]
+    drawn = _starting_centers(df, column, max(sizes), seed=seed, starts=starts)
+    sets = [(k, centers[:k]) for k in sizes for centers in drawn]
     done: list[tuple[int, np.ndarray, np.ndarray, float]] = []
     for iteration in range(max_iter + 1):
         moved = _step(df, column, [c for _, c in sets])

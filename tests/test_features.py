@@ -151,3 +151,15 @@ def test_lists_have_bounded_length(spark):
     rows = chunked_lists(df, ["g"], "x", "xs", per_row=100).collect()
     assert len(rows) == 50 and max(len(r["xs"]) for r in rows) < 200
     assert sorted(x for r in rows for x in r["xs"]) == list(range(5000))
+
+
+def test_starting_centers_come_from_all_rows(spark):
+    """Vectors that thousands of rows share, and a cluster of three rows."""
+    hot = spark.range(15_000).select(F.when(F.col("id") < 3, F.array(F.lit(90.0), F.col("id") / 10)).otherwise(
+        F.array((F.col("id") % 3).cast("double") * 10, F.lit(0.0))).alias("z"))
+    found = vectors.fit_centers(hot, 4, starts=2).collect()
+    assert sorted(r["size"] for r in found) == [3, 4999, 4999, 4999]
+    drawn = vectors._starting_centers(hot, "z", 4, seed=1, starts=6)
+    again = vectors._starting_centers(hot.repartition(5), "z", 4, seed=1, starts=6)
+    assert [c.tolist() for c in drawn] == [c.tolist() for c in again]
+    assert len({tuple(c[0]) for c in drawn}) > 1
