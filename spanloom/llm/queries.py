@@ -162,7 +162,7 @@ def _(spark, sf_dir):
 def _(spark, sf_dir):
     from .jaccard_join import joined
 
-    return joined(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+    return joined(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "n_links")
 
 
 @query("op1_url_models")

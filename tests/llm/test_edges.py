@@ -353,6 +353,28 @@ def test_cells_lose_no_link_across_a_boundary(spark):
     assert any({x, y} <= set(c) and (c[x] or c[y]) for c in cells.values())
 
 
+@pytest.mark.parametrize("leaf", [4, 4096])
+def test_all_links_are_counted(spark, monkeypatch, leaf):
+    """Brute force over families of near copies, chains between them and equal texts."""
+    monkeypatch.setattr(jaccard_join, "LEAF", leaf)
+    rng = np.random.default_rng(4)
+    rows = []
+    for family in range(3):
+        base = [f"f{family}w{i}" for i in range(100)]
+        for _ in range(30):
+            if len(rows) % 10 == 9:
+                base[int(rng.integers(100))] = f"m{len(rows)}"
+            words = [w if rng.random() > 0.05 else f"n{rng.integers(10**6)}" for w in base]
+            rows.append((len(rows), " ".join(words)))
+        rows.append((len(rows), rows[-1][1]))
+    sets = [set(t.split()) for _, t in rows]
+    near = lambda a, b: 100 * len(a & b) >= 85 * len(a | b)
+    expected = {i: sum(near(s, t) for t in sets) - 1 for i, s in enumerate(sets)}
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["n_links"] for r in jaccard_join.joined(df, words=1).collect()}
+    assert got == expected and sum(expected.values()) > 300
+
+
 def test_first_regions_lose_no_link():
     """Linked sets keep a common pivot whatever the order passes over."""
     rng = np.random.default_rng(8)
