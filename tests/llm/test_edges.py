@@ -315,7 +315,7 @@ def test_regions_recurse_exactly(spark, monkeypatch, leaf, block):
     """A source with many near copies, chains, and a shared passage; small leaves go through pivots."""
     import random
 
-    from test_queries import components
+    from plain_components import components
 
     monkeypatch.setattr(jaccard_join, "LEAF", leaf)
     monkeypatch.setattr(jaccard_join, "BLOCK", block)
