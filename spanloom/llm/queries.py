@@ -178,3 +178,10 @@ def _(spark, sf_dir):
 
     vectors = table(spark, sf_dir, "embeddings")
     return search(vectors, vectors.where(F.pmod("vec_id", F.lit(50)) == 0))
+
+
+@query("op11_paragraph_sketch")
+def _(spark, sf_dir):
+    from .paragraph_sketch import fingerprinted
+
+    return fingerprinted(table(spark, sf_dir, "documents"))
