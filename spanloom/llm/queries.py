@@ -185,3 +185,10 @@ def _(spark, sf_dir):
     from .paragraph_sketch import fingerprinted
 
     return fingerprinted(table(spark, sf_dir, "documents"))
+
+
+@query("op12_structure_repair")
+def _(spark, sf_dir):
+    from .repair import damaged, repaired
+
+    return repaired(damaged(table(spark, sf_dir, "conversations")))
