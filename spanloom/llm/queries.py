@@ -192,3 +192,10 @@ def _(spark, sf_dir):
     from .repair import damaged, repaired
 
     return repaired(damaged(table(spark, sf_dir, "conversations")))
+
+
+@query("op13_prefix_trie")
+def _(spark, sf_dir):
+    from .prefix_trie import prefix_nodes, sequences
+
+    return prefix_nodes(sequences(table(spark, sf_dir, "conversations")))
