@@ -24,9 +24,10 @@ from .common import shuffle_width, small_batches
 SAMPLE = 16_384
 #: Lists: about the square root of the rows, within these.
 LEAST_LISTS, MOST_LISTS = 8, 4096
-#: Share of lists a query visits, and at least this many. Vectors spread evenly over
-#: all directions have their neighbours in many lists; clustered ones need far fewer.
-PROBED, LEAST_PROBED = 0.6, 32
+#: A query visits as many of its nearest lists as hold this share of the neighbours
+#: that up to ASKED vectors of the sample have in it. A sample's neighbours lie
+#: further away than those among all vectors, so the number errs to the safe side.
+COVERED, ASKED = 0.97, 512
 #: Rows nearest in the first block that are measured in full to set the bound.
 FULLY = 64
 #: Vectors of a chunk, queries of a block.
@@ -106,18 +107,41 @@ def fit(x: np.ndarray, lists: int, *, rounds: int = 12, seed: int = 7) -> Quanti
     return Quantiser(rotation, centres)
 
 
-def train(vectors: DataFrame, *, sample: int = SAMPLE) -> tuple[Quantiser, int] | None:
-    """Quantiser and width of ``vectors`` (``vec_id, embedding``), none without usable rows.
-
-    Fitted on at most ``sample`` vectors, those with the least hash of their id.
+def visits(quantiser: Quantiser, x: np.ndarray, keep: int, *, covered: float = COVERED, asked: int = ASKED) -> int:
+    """Lists to visit for ``covered`` of the ``keep`` nearest of some vectors of ``x`` among the others."""
+    lists = len(quantiser.centres)
+    keep = min(keep, len(x) - 1)
+    if not keep:
+        return lists
+    units = _units(x)
+    near = units[:asked] @ units.T
+    near[np.arange(len(near)), np.arange(len(near))] = -np.inf
+    found = np.argpartition(-near, keep - 1, axis=1)[:, :keep]
+    placed = quantiser.placed(x)
+    home = (placed @ quantiser.centres.T).argmax(axis=1)
+    order = np.argsort(-(placed[:asked] @ quantiser.centres.T), axis=1)
+    place = np.empty_like(order)
+    np.put_along_axis(place, order, np.arange(lists)[None, :], axis=1)
+    needed = np.take_along_axis(place, home[found], axis=1) + 1
+    return int(np.quantile(needed, covered, method="higher"))
+
+
+def train(vectors: DataFrame, *, keep: int = 5, sample: int = SAMPLE) -> tuple[Quantiser, int, int] | None:
+    """Quantiser, width and lists to visit for ``vectors``; none without usable rows.
+
+    Those of the commonest width (the least of several) count. Fitted on at most
+    ``sample`` of them, those with the least hash of their id.
     """
-    rows = vectors.count()
-    taken = vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).select("embedding").toArrow()
-    if not taken.num_rows:
+    widths = vectors.groupBy(F.size("embedding").alias("width")).agg(F.count(F.lit(1)).alias("rows"))
+    common = widths.orderBy(F.desc("rows"), "width").first()
+    if common is None:
         return None
+    of_width = vectors.where(F.size("embedding") == common["width"])
+    order = [F.xxhash64("vec_id"), "vec_id", F.xxhash64("embedding")]
+    taken = of_width.orderBy(*order).limit(sample).select("embedding").toArrow()
     x = _matrix(taken.column("embedding").combine_chunks())
-    lists = int(min(MOST_LISTS, max(LEAST_LISTS, np.sqrt(rows))))
-    return fit(x, lists), x.shape[1]
+    made = fit(x, int(min(MOST_LISTS, max(LEAST_LISTS, np.sqrt(common["rows"])))))
+    return made, common["width"], visits(made, x, keep)
 
 
 def scan(
@@ -239,7 +263,7 @@ def search(
     queries: DataFrame,
     *,
     keep: int = 5,
-    probed: float = PROBED,
+    probed: int | None = None,
     sample: int = SAMPLE,
     epsilon: float = EPSILON,
 ) -> DataFrame:
@@ -249,9 +273,10 @@ def search(
     are ignored. Nearness is the cosine of the original vectors in double
     precision, ties go to the smaller id, and a query's own row is no candidate.
     Null vectors, zero vectors, those with null or non-finite parts, with a null
-    id or of another width than the first of the sample take no part. An empty
-    table gives an empty result; rows that repeat an id are candidates of their
-    own.
+    id or of another width than the commonest take no part. An empty table gives
+    an empty result; rows that repeat an id are candidates of their own, but none
+    for queries of that id. ``probed`` lists are visited, by default as many as
+    ``visits`` finds.
 
     Both sides are dealt to lists in chunks of bounded size. A list meets the
     queries that probe it chunk by chunk, so a list of any size spreads over
@@ -264,16 +289,16 @@ def search(
     small_batches(spark)
     vectors = vectors.select("vec_id", "embedding").where(F.col("vec_id").isNotNull() & usable(F.col("embedding")))
     queries = queries.select("vec_id", "embedding").where(F.col("vec_id").isNotNull() & usable(F.col("embedding")))
-    trained = train(vectors, sample=sample)
+    trained = train(vectors, keep=keep, sample=sample)
     if trained is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    quantiser, width = trained
+    quantiser, width, found_enough = trained
     fits = F.size("embedding") == width
     lists = len(quantiser.centres)
-    visits = min(lists, max(LEAST_PROBED, round(probed * lists)))
+    most = min(lists, found_enough if probed is None else probed)
     chunks = written(_packed(_chunks(vectors.where(fits), quantiser, 1, CHUNK), width, CHUNK), "ann-chunks")
     asked = queries.where(fits)
-    found = written(_found(chunks, _chunks(asked, quantiser, visits, QUERIES), width, keep, epsilon, ["list"]), "ann-found")
+    found = written(_found(chunks, _chunks(asked, quantiser, most, QUERIES), width, keep, epsilon, ["list"]), "ann-found")
     short = asked.join(
         found.groupBy("query_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= keep),
         F.col("vec_id") == F.col("query_id"),

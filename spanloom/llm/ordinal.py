@@ -154,10 +154,16 @@ def fit(
 def calibrated(
     rows: list[np.ndarray], grades: np.ndarray, *, keep_top: float = KEEP_TOP, folds: int = 5
 ) -> Ordinal | None:
-    """A model whose tail limit keeps ``keep_top`` of the held-out top grade, and is 0.5 at most."""
-    if len(grades) < 50 or len(set(grades.tolist())) < 2:
+    """A model whose tail limit keeps ``keep_top`` of the held-out top grade, and is 0.5 at most.
+
+    None without two grades, however many documents there are; where those left
+    after holding some out are of one grade, none is held out and the limit is 0.5.
+    """
+    if len(set(grades.tolist())) < 2:
         return None
     held = np.arange(len(grades)) % folds == 0
+    if len(set(grades[~held].tolist())) < 2:
+        held[:] = False
     model = fit([r for r, out in zip(rows, held) if not out], grades[~held])
     top = [r for r, out, g in zip(rows, held, grades) if out and g == GRADES - 1]
     if not top:

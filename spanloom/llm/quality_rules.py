@@ -203,14 +203,16 @@ def fitted(
 ) -> Trees | None:
     """Trees whose threshold keeps ``keep_good`` of the good documents held out.
 
-    The threshold is never above even odds. None without documents of both kinds.
+    The threshold is never above even odds. None without documents of both kinds,
+    however many there are; where those left after holding some out are of one
+    kind, none is held out and the threshold is even odds.
     """
-    if len(y) < 50 or y.min() == y.max():
+    if not len(y) or y.min() == y.max():
         return None
     direction = np.array([d for _, d in FEATURES])
     held = np.arange(len(y)) % folds == 0
-    if y[~held].min() == y[~held].max():
-        return None
+    if held.all() or y[~held].min() == y[~held].max():
+        held[:] = False
     trees = fit_trees(x[~held], y[~held], direction)
     good = trees.probability(x[held & (y == 1)])
     edge = float(np.quantile(good, 1 - keep_good)) if len(good) else 0.5
@@ -221,7 +223,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, most: int) -
     """``doc_id, text, label`` of at most ``most`` labelled documents, by a hash of the id.
 
     Labels that are null are left out and of several the largest counts. The
-    sample's ids are few enough to broadcast: ``most`` is the proven bound.
+    sample's ids are few enough to broadcast: ``most`` is the proven bound. Of rows
+    that repeat an id the text with the least hash counts, so rows are bounded, too.
     """
     chosen = (
         labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull())
@@ -230,7 +233,9 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, most: int) -
         .orderBy(F.xxhash64("doc_id"), "doc_id")
         .limit(most)
     )
-    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    found = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    one = F.min(F.struct(F.xxhash64("text").alias("_hash"), "text")).alias("_one")
+    return found.groupBy("doc_id", "label").agg(one).select("doc_id", "_one.text", "label")
 
 
 def train(docs: DataFrame, labels: DataFrame, *, sample: int = SAMPLE) -> Trees | None:

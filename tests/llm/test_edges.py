@@ -204,6 +204,35 @@ def test_rules(spark, docs, no_docs):
     assert quality_rules.train(docs, odd) is None
 
 
+def test_few_labels_and_repeated_ids(spark):
+    """Ten labelled documents make models; a thousand rows of one id are one row of the sample."""
+    good = "The clerk counts every sheet of paper twice before the evening bell rings out over town. "
+    bad = "# $ % & | buy now # $ % buy now "
+    texts = [(i, (good if i % 2 else bad) * 5 + f" number {i}") for i in range(10)]
+    docs = spark.createDataFrame([*texts, *((3, f"{good} copy {i}") for i in range(1000))], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(10)], LABELS)
+    sample = quality_rules.labelled_sample(docs, labels, "quality", 50).collect()
+    assert sorted(r["doc_id"] for r in sample) == list(range(10))
+    assert len(quality_rules.labelled_sample(docs, labels, "quality", 4).collect()) == 4
+    assert quality_rules.train(docs, labels) is not None
+    model = ordinal.train(docs, labels)
+    tails = {r["doc_id"]: r["tail_probability"] for r in ordinal.scored(docs.limit(10), model).collect()}
+    assert min(t for i, t in tails.items() if i % 2) > max(t for i, t in tails.items() if not i % 2)
+
+
+def test_mixed_widths_and_visits(spark):
+    rng = np.random.default_rng(11)
+    rows = [(i, rng.standard_normal(3).tolist()) for i in range(91)] + [(200 + i, [1.0, float(i)]) for i in range(4)]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    out = ann.search(vectors, vectors.where("vec_id % 50 = 0")).collect()
+    assert {r["query_id"] for r in out} == {0, 50}
+    x = rng.standard_normal((3000, 24))
+    clustered = np.repeat(rng.standard_normal((30, 24)) * 9, 100, axis=0) + rng.standard_normal((3000, 24))
+    spread, tight = (ann.visits(ann.fit(m, 50), m, 5) for m in (x, clustered))
+    assert tight <= 5 < spread <= 50
+    assert ann.visits(ann.fit(x[:1], 8), x[:1], 5) == 1
+
+
 def test_trees_learn_and_keep_their_direction():
     rng = np.random.default_rng(5)
     x = rng.random((2000, len(quality_rules.FEATURES)))
@@ -353,10 +382,13 @@ def test_cells_lose_no_link_across_a_boundary(spark):
     assert any({x, y} <= set(c) and (c[x] or c[y]) for c in cells.values())
 
 
-@pytest.mark.parametrize("leaf", [4, 4096])
-def test_all_links_are_counted(spark, monkeypatch, leaf):
+@pytest.mark.parametrize("leaf", [4, jaccard_join.LEAF, 4096])
+def test_links_are_true_and_connect(spark, monkeypatch, leaf):
     """Brute force over families of near copies, chains between them and equal texts."""
     monkeypatch.setattr(jaccard_join, "LEAF", leaf)
+    entered = []
+    cells = jaccard_join._cells
+    monkeypatch.setattr(jaccard_join, "_cells", lambda *a: entered.append(a[4]) or cells(*a))
     rng = np.random.default_rng(4)
     rows = []
     for family in range(3):
@@ -369,10 +401,13 @@ def test_all_links_are_counted(spark, monkeypatch, leaf):
         rows.append((len(rows), rows[-1][1]))
     sets = [set(t.split()) for _, t in rows]
     near = lambda a, b: 100 * len(a & b) >= 85 * len(a | b)
-    expected = {i: sum(near(s, t) for t in sets) - 1 for i, s in enumerate(sets)}
+    least = list(range(len(sets)))
+    for _ in sets:
+        least = [min(l for l, t in zip(least, sets) if near(s, t)) for s in sets]
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    got = {r["doc_id"]: r["n_links"] for r in jaccard_join.joined(df, words=1).collect()}
-    assert got == expected and sum(expected.values()) > 300
+    got = {r["doc_id"]: r["component_id"] for r in jaccard_join.joined(df, words=1).collect()}
+    assert got == dict(enumerate(least))
+    assert bool(entered) == (leaf < 30)
 
 
 def test_first_regions_lose_no_link():

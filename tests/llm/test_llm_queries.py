@@ -58,13 +58,14 @@ def test_url_rules(spark, duck):
         assert r["verdict"] == rule[1] if rule else r["verdict"] in ("allow", "block")
 
 
-def test_nearest(spark, duck):
-    found = duck.execute("SELECT vec_id, embedding FROM embeddings ORDER BY vec_id").fetchall()
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.1"])
+def test_nearest(spark, duck, sf):
+    found = duck.execute(f"SELECT vec_id, embedding FROM '{DATA}/{sf}/embeddings.parquet' ORDER BY vec_id").fetchall()
     ids = np.array([v for v, _ in found])
     x = np.array([e for _, e in found], dtype=float)
     norms = np.sqrt((x * x).sum(axis=1))
     got = defaultdict(list)
-    for r in queries.QUERIES["op2_adaptive_scan"](spark, SF).orderBy("query_id", "rank").collect():
+    for r in queries.QUERIES["op2_adaptive_scan"](spark, f"{DATA}/{sf}").orderBy("query_id", "rank").collect():
         got[r["query_id"]].append((r["vec_id"], r["score"]))
     hit = 0
     for at in np.flatnonzero(ids % 50 == 0):
