@@ -12,20 +12,23 @@ pivots makes every linked pair meet in a region. (Whole documents as first-level
 pivots would not tell texts apart: unrelated texts are all at distance 1.)
 
 Further levels. Each document is compared with the most central document that
-shares a region with it; that links most near copies to their source. Large
-regions are joined through
+shares a region with it, the pivot of its family; that links most near copies to
+their source. Regions of the second level are families, and first-level regions that
+hold several. Regions whose documents are linked already are done. Those of more
+than ``LEAF`` documents are joined through
 documents as pivots: exact distances to some pivots assign each document to the
 cell of the nearest one and to a shell of width 0.15 around it. A document is
 copied to another cell if its distance there exceeds its nearest by at most twice
 0.15, and to the next shell: by the triangle inequality linked documents share a
 cell. Cells are regions of the next level. In small regions, and in cells that
-pivots no longer divide, all documents are paired; pairs
+pivots no longer divide, documents of different components are paired; pairs
 whose sizes, or whose parities or counts of shingles per hash bucket, lie further
 apart than linked sets can are left out, and the others are measured exactly.
 Neither distance exceeds the number of shingles that two sets don't share, so no
 link is lost.
 
-What leaves the join is every link between different classes, verified.
+What leaves the join is a set of verified links that connects every component;
+links inside a component that others imply are not looked for.
 """
 
 from __future__ import annotations
@@ -48,11 +51,11 @@ REMEMBERED = 150_000
 #: Pivots of a large region.
 PIVOTS = 8
 #: Regions of so many documents are joined pair by pair.
-LEAF = 4096
-#: Documents that one task compares with those of a family.
+LEAF = 16
+#: Documents of a region that one task compares with the others.
 BLOCK = 512
 #: A cell that keeps more than this share of its region is joined pair by pair too.
-STUCK = 0.75
+STUCK = 0.5
 #: Hash buckets whose shingle counts bound a distance from below.
 BUCKETS = 128
 #: 64-bit words of parities that do so without leaving a join.
@@ -305,16 +308,21 @@ def _labelled(members: DataFrame, labels: DataFrame) -> DataFrame:
     return members.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
 
 
-def _open(members: DataFrame, name: str) -> tuple[DataFrame, int]:
-    """Members of regions that hold two documents and a core one, with the region's size."""
-    members = written(members, name)
+def _open(members: DataFrame, labels: DataFrame, name: str) -> tuple[DataFrame, int]:
+    """Members of regions that hold two components and a core document, with their components."""
+    marked = written(_labelled(members, labels), name)
     alive = (
-        members.groupBy("region")
-        .agg(F.max("core").alias("_core"), F.count(F.lit(1)).alias("size"))
-        .where("size > 1 and _core")
+        marked.groupBy("region")
+        .agg(
+            F.min("component").alias("_low"),
+            F.max("component").alias("_high"),
+            F.max("core").alias("_core"),
+            F.count(F.lit(1)).alias("size"),
+        )
+        .where("_low <> _high and _core")
         .select("region", "size")
     )
-    return written_counted(members.join(alive, "region"), f"{name}-open")
+    return written_counted(marked.join(alive, "region"), f"{name}-open")
 
 
 def _central() -> Column:
@@ -341,54 +349,56 @@ def _parity_columns(side: str) -> list[Column]:
 def _may_link(percent: int) -> Column:
     """Whether the open documents ``a`` and ``b`` of a join may be linked.
 
-    One is core. Linked sets of ``n`` and
+    They are of different components and one is core. Linked sets of ``n`` and
     ``m`` shingles have sizes in proportion and differ in ``(n + m) (100 - p) /
     (100 + p)`` shingles at most; parities never differ in more.
     """
     sizes = F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent
     bits = sum((F.bit_count(F.col(f"a{i}").bitwiseXOR(F.col(f"b{i}"))) for i in range(PARITY_WORDS)), F.lit(0))
     near = bits * (100 + percent) <= (F.col("n_a") + F.col("n_b")) * (100 - percent)
-    return (F.col("core_a") | F.col("core_b")) & sizes & near
+    return (F.col("c_a") != F.col("c_b")) & (F.col("core_a") | F.col("core_b")) & sizes & near
 
 
 def _side(rows: DataFrame, side: str, *keys: str) -> DataFrame:
-    named = [F.col(c).alias(f"{n}_{side}") for c, n in (("n", "n"), ("core", "core"), ("family", "f"))]
+    named = [F.col(c).alias(f"{n}_{side}") for c, n in (("n", "n"), ("component", "c"), ("core", "core"), ("family", "f"))]
     return rows.select(*keys, F.col("node").alias(side), *named, *_parity_columns(side))
 
 
 def _cross_pairs(regions: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs that share a region or a family and may be linked.
+    """Pairs of different components and families that share a region and may be linked.
 
-    A family is the documents that were compared with the same central document.
-    Documents of one family meet there, once; only those of different families
-    are looked for region by region.
+    A region of more than BLOCK documents meets itself in as many parts.
     """
-    parity = sets.select("node", "parity")
-    mixed = (
-        regions.groupBy("region")
-        .agg(F.min("family").alias("_low"), F.max("family").alias("_high"))
-        .where("_low <> _high")
-        .select("region")
-    )
-    rows = regions.join(mixed, "region").join(parity, "node")
-    apart = _side(rows, "a", "region").join(_side(rows, "b", "region"), "region").where(
-        (F.col("a") < F.col("b")) & (F.col("f_a") != F.col("f_b")) & _may_link(percent)
+    rows = regions.join(sets.select("node", "parity"), "node")
+    parts = F.ceil(F.col("size") / BLOCK).cast("int")
+    one = _side(rows.withColumn("part", F.pmod(F.xxhash64("node"), parts).cast("int")), "a", "region", "part")
+    two = _side(rows.withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))), "b", "region", "part")
+    apart = (F.col("a") < F.col("b")) & (F.col("f_a") != F.col("f_b"))
+    return one.join(two, ["region", "part"]).where(apart & _may_link(percent)).select("a", "b").distinct()
+
+
+def _second_level(members: DataFrame, families: DataFrame) -> DataFrame:
+    """Regions after each document was assigned to its most central neighbour, the pivot of its family.
+
+    A family is a region: near copies share dozens of first-level regions but
+    one family, in which each counts as a family of its own. First-level regions
+    stay where they hold several families, for links between these.
+    """
+    known = members.join(families, "node")
+    core = [F.lit(True).alias("core"), F.lit(False).alias("stuck")]
+    kin = known.groupBy("node", "n", "family").agg(F.min("apart").alias("apart"))
+    kin = kin.select(F.xxhash64(F.lit(1), "family").alias("region"), "node", "n", "apart", F.col("node").alias("family"), *core)
+    mixed = known.groupBy("region").agg(F.min("family").alias("_low"), F.max("family").alias("_high"))
+    between = known.join(mixed.where("_low <> _high").select("region"), "region")
+    return kin.unionByName(
+        between.select(F.xxhash64(F.lit(0), "region").alias("region"), "node", "n", "apart", "family", *core)
     )
-    kin = regions.groupBy("node", "n", "family").agg(F.max("core").alias("core"))
-    parts = F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("parts")
-    families = kin.groupBy("family").agg(parts, F.count(F.lit(1)).alias("_size"))
-    kin = kin.join(families.where("_size > 1").select("family", "parts"), "family").join(parity, "node")
-    one = _side(kin.withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts"))), "a", "family", "part")
-    two = _side(kin.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))), "b", "family", "part")
-    one, two = one.withColumn("part", F.col("part").cast("int")), two.withColumn("part", F.col("part").cast("int"))
-    close = one.join(two, ["family", "part"]).where((F.col("a") < F.col("b")) & _may_link(percent))
-    return apart.select("a", "b").unionByName(close.select("a", "b")).distinct()
 
 
 def links(
     classes: DataFrame, docs: DataFrame, *, words: int = WORDS, percent: int = PERCENT
 ) -> tuple[DataFrame, DataFrame]:
-    """All links ``a, b`` (each once, ``a < b``), and ``node, component`` of linked nodes."""
+    """Verified links that connect all components, and ``node, component`` of linked nodes."""
     members = written(first_regions(classes, percent), "jaccard-regions")
     near = members.groupBy("region").agg(F.min(_central()).alias("pivot"), F.count(F.lit(1)).alias("size"))
     members = written(members.join(near.where("size > 1"), "region"), "jaccard-members")
@@ -408,15 +418,14 @@ def links(
         distances(maybe_linked(star.where("a <> b"), sets, percent), sets).where(_linked(percent)).select("a", "b"),
         "jaccard-links",
     )
+    labels = components(found)
     families = star.select(F.col("a").alias("family"), F.col("b").alias("node"))
-    regions = members.join(wanted.select("node", "n").join(families, "node"), "node").select(
-        "region", "node", "n", "apart", "family", F.lit(True).alias("core"), F.lit(False).alias("stuck")
-    )
+    regions = _second_level(members.select("region", "node", "apart"), wanted.select("node", "n").join(families, "node"))
     level = 0
     while True:
-        regions, count = _open(regions, "jaccard-level")
+        regions, count = _open(regions, labels, "jaccard-level")
         if not count:
-            break
+            return found, labels
         level += 1
         small = (F.col("size") <= LEAF) | F.col("stuck")
         pairs = _cross_pairs(regions.where(small), sets, percent)
@@ -428,13 +437,11 @@ def links(
             far = held.where("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
             measured = written(distances(far, sets), "jaccard-distances")
             more = more.unionByName(measured.where(_linked(percent)).select("a", "b"))
-        found = written(found.unionByName(more), "jaccard-links")
+        found = written(found.unionByName(more).distinct(), "jaccard-links")
+        labels = components(found)
         if not rest:
-            break
+            return found, labels
         regions = _cells(held, chosen, measured, percent, level)
-    once = found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    found = written(once, "jaccard-links")
-    return found, components(found)
 
 
 def _cells(held: DataFrame, chosen: DataFrame, measured: DataFrame, percent: int, level: int) -> DataFrame:
@@ -469,7 +476,7 @@ def _cells(held: DataFrame, chosen: DataFrame, measured: DataFrame, percent: int
 
 
 def joined(docs: DataFrame, *, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """``doc_id, fingerprint, n_shingles, component_id, component, n_links``: one row per document.
+    """``doc_id, fingerprint, n_shingles, component_id, component``: one row per document.
 
     ``docs`` has ``doc_id`` and ``text``; other columns are ignored. Null and
     empty texts, and texts without words, have no shingles and link with nothing;
@@ -477,26 +484,21 @@ def joined(docs: DataFrame, *, words: int = WORDS, percent: int = PERCENT) -> Da
     through their class; rows that repeat an id are rows of their own (told apart
     by ``fingerprint``, a hash of the text), and ``component_id`` is the smallest
     id of any row they reach. ``component`` numbers components, null for rows
-    that can't link. ``n_links`` counts the other rows linked to a row, those of
-    equal sets included.
+    that can't link.
     """
     small_batches(docs.sparkSession)
     sketched = written(sketches(docs, words, percent), "jaccard-sketches")
     classes = (
         sketched.where("n > 0 and doc_id is not null")
         .groupBy("class")
-        .agg(F.min("doc_id").alias("low"), F.first("n").alias("n"), F.first("first").alias("first"), F.count(F.lit(1)).alias("many"))
+        .agg(F.min("doc_id").alias("low"), F.first("n").alias("n"), F.first("first").alias("first"))
         .withColumn("node", F.monotonically_increasing_id())
     )
     classes = written(classes, "jaccard-classes")  # the node numbers are fixed from here on
-    found, labels = links(classes, docs, words=words, percent=percent)
-    both = found.unionByName(found.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    others = both.join(classes.select(F.col("node").alias("b"), "many"), "b").groupBy(F.col("a").alias("node"))
-    others = others.agg(F.sum("many").alias("others"))
-    known = _labelled(classes.select("class", "node", "low", "many"), labels).join(others, "node", "left")
-    known = known.withColumn("n_links", F.col("many") - 1 + F.coalesce("others", F.lit(0)))
+    _, labels = links(classes, docs, words=words, percent=percent)
+    known = _labelled(classes.select("class", "node", "low"), labels)
     least = known.groupBy("component").agg(F.min("low").alias("component_id"))
-    of_class = known.join(least, "component").select("class", "component", "component_id", "n_links")
+    of_class = known.join(least, "component").select("class", "component", "component_id")
     able = F.col("doc_id").isNotNull() & (F.col("n") > 0)
     return (
         sketched.withColumn("class", F.when(able, F.col("class")))
@@ -507,7 +509,6 @@ def joined(docs: DataFrame, *, words: int = WORDS, percent: int = PERCENT) -> Da
             F.col("n").cast("long").alias("n_shingles"),
             F.coalesce("component_id", "doc_id").alias("component_id"),
             "component",
-            F.coalesce("n_links", F.lit(0)).alias("n_links"),
         )
     )
 
