@@ -382,7 +382,7 @@ def test_cells_lose_no_link_across_a_boundary(spark):
     assert any({x, y} <= set(c) and (c[x] or c[y]) for c in cells.values())
 
 
-@pytest.mark.parametrize("leaf", [4, jaccard_join.LEAF, 4096])
+@pytest.mark.parametrize("leaf", [4, jaccard_join.LEAF])
 def test_links_are_true_and_connect(spark, monkeypatch, leaf):
     """Brute force over families of near copies, chains between them and equal texts."""
     monkeypatch.setattr(jaccard_join, "LEAF", leaf)
