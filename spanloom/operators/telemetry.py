@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .ordered import fill_forward, percentiles, with_previous
+from .storage import written
 
 METRICS = ("cpu", "mem", "disk")
 
@@ -96,6 +97,63 @@ def trace_span(series: DataFrame, by: list[str]) -> DataFrame:
     )
 
 
+def _spans(series: DataFrame, run: list[str], width: int) -> DataFrame:
+    """First and last leaf of each run's samples, levels above them and centres of two metrics.
+
+    A leaf is a stretch of ``width``; a node of level ``l`` covers ``2**l`` leaves.
+    """
+    leaf = F.floor(F.col("ts") / F.lit(width)).cast("long")
+    spans = series.select(*run, leaf.alias("_leaf"), *[F.col(c) for c in ("cpu", "disk") if c in series.columns])
+    centres = [F.avg(without_nan(F.col(c))).alias(f"_mid_{c}") for c in ("cpu", "disk") if c in series.columns]
+    ends = spans.groupBy(*run).agg(F.min("_leaf").alias("_low"), F.max("_leaf").alias("_high"), *centres)
+    return ends.withColumn("_levels", F.length(F.bin(F.col("_high") - F.col("_low") + 1)))
+
+
+_NODES = "array<struct<level:int,bin:bigint>>"
+
+
+def _cover(first: Column, last: Column, levels: Column) -> Column:
+    """The fewest nodes that cover the leaves ``first..last``: two a level at most."""
+    none = F.array().cast(_NODES)
+
+    def node(taken: Column, level: Column, number: Column) -> Column:
+        here = F.struct(level.cast("int").alias("level"), number.cast("long").alias("bin"))
+        return F.when(taken, F.array(here)).otherwise(none)
+
+    def climb(acc: Column, level: Column) -> Column:
+        low, high = acc["low"], acc["high"]
+        left = (low < high) & (F.pmod(low, F.lit(2)) == 1)
+        right = (low < high) & (F.pmod(high, F.lit(2)) == 1)
+        return F.struct(
+            F.shiftright(low + left.cast("long"), 1).alias("low"),
+            F.shiftright(high - right.cast("long"), 1).alias("high"),
+            F.concat(acc["nodes"], node(left, level, low), node(right, level, high - 1)).alias("nodes"),
+        )
+
+    start = F.struct(first.alias("low"), (last + 1).alias("high"), none.alias("nodes"))
+    return F.aggregate(F.sequence(F.lit(0), levels), start, climb)["nodes"]
+
+
+def _pieces(
+    intervals: DataFrame, spans: DataFrame, run: list[str], width: int, start: str, end: str
+) -> DataFrame:
+    """``intervals`` with ``_edges``, the leaves they begin and end in, and ``_inner``, nodes in between.
+
+    Intervals are clipped to their run's samples, so neither holds more than two
+    entries a level of the run.
+    """
+    low, high = (F.floor(F.col(c) / F.lit(width)).cast("long") for c in (start, end))
+    joined = intervals.where(F.col(start) <= F.col(end)).join(
+        spans.select(*run, "_low", "_high", "_levels"), run
+    )
+    placed = joined.withColumn("_from", low).withColumn("_to", high)
+    first = F.greatest(F.col("_from") + 1, F.col("_low"))
+    last = F.least(F.col("_to") - 1, F.col("_high"))
+    inner = F.when(first <= last, _cover(first, last, F.col("_levels"))).otherwise(F.array().cast(_NODES))
+    edges = F.array_distinct(F.array("_from", "_to"))
+    return placed.withColumn("_inner", inner).withColumn("_edges", edges).drop("_low", "_high", "_levels", "_from", "_to")
+
+
 def interval_join(
     intervals: DataFrame,
     series: DataFrame,
@@ -107,21 +165,100 @@ def interval_join(
 ) -> DataFrame:
     """Samples with ``start <= ts <= end`` in the interval's run.
 
-    An interval is sent to each time bin it touches and meets only the samples
-    of that bin, so a long run is spread over as many tasks as it has bins.
+    An interval is cut into dyadic stretches of its run's time, two a level at
+    most, and meets the samples of each there: a long run spreads over many tasks
+    and a long interval over few rows.
     """
-    bins = F.sequence(
-        bucket(F.col(start), width), bucket(F.col(end), width), F.lit(width).cast("long")
-    )
-    left = intervals.where(F.col(start) <= F.col(end)).withColumn("_bin", F.explode(bins))
-    right = series.withColumn("_bin", bucket(F.col("ts"), width))
+    spans = _spans(series.select(*run, "ts"), run, width)
+    edge = F.transform("_edges", lambda b: F.struct(F.lit(0).alias("level"), b.alias("bin")))
+    cut = _pieces(intervals, spans, run, width, start, end)
+    cut = cut.withColumn("_node", F.explode(F.concat(edge, F.col("_inner")))).drop("_edges", "_inner")
+    cut = cut.select("*", F.col("_node.level").alias("_level"), F.col("_node.bin").alias("_bin")).drop("_node")
+    leaf = F.floor(F.col("ts") / F.lit(width)).cast("long")
+    placed = series.join(spans.select(*run, "_levels"), run)
+    placed = placed.withColumn("_level", F.explode(F.sequence(F.lit(0), "_levels"))).drop("_levels")
+    placed = placed.withColumn("_bin", F.call_function("shiftright", leaf, F.col("_level")))
     return (
-        left.join(right, [*run, "_bin"])
+        cut.join(placed, [*run, "_level", "_bin"])
         .where((F.col("ts") >= F.col(start)) & (F.col("ts") <= F.col(end)))
-        .drop("_bin")
+        .drop("_level", "_bin")
+    )
+
+
+def _sample_states(stepped: DataFrame, run: list[str], spans: DataFrame) -> DataFrame:
+    """Each sample as the state of one sample; states merge by ``_merged``.
+
+    Squares are taken about the run's mean, so large values lose no digits.
+    """
+    cpu, disk, mem = (without_nan(F.col(c)) for c in ("cpu", "disk", "mem"))
+    step = mem - without_nan(F.col("_before.mem"))
+
+    def spread(value: Column, name: str, middle: str) -> list[Column]:
+        off = value - F.col(middle)
+        return [
+            value.isNotNull().cast("long").alias(f"{name}_n"),
+            value.alias(f"{name}_sum"),
+            off.alias(f"{name}_off"),
+            (off * off).alias(f"{name}_square"),
+            value.alias(f"{name}_max"),
+        ]
+
+    timed = F.when(mem.isNotNull(), F.struct(F.col("ts").alias("ts"), mem.alias("mem")))
+    return stepped.join(spans.select(*run, "_mid_cpu", "_mid_disk"), run).select(
+        *run,
+        "ts",
+        F.lit(1).cast("long").alias("samples"),
+        *spread(cpu, "cpu", "_mid_cpu"),
+        *spread(disk, "disk", "_mid_disk"),
+        mem.isNotNull().cast("long").alias("mem_n"),
+        mem.alias("mem_sum"),
+        timed.alias("mem_first"),
+        timed.alias("mem_last"),
+        F.lit(0).cast("long").alias("step_n"),
+        F.lit(0.0).alias("step_sum"),
+        F.lit(0.0).alias("step_square"),
+        F.struct(F.col("ts").alias("ts"), F.col("_before.ts").alias("before"), step.alias("step")).alias("first"),
+    )
+
+
+#: How the parts of a state merge; the steps need the stretch's start as well.
+_SUMS = ("samples", "mem_n", "mem_sum") + tuple(f"{m}_{p}" for m in ("cpu", "disk") for p in ("n", "sum", "off", "square"))
+_MOST, _LEAST = ("cpu_max", "disk_max", "mem_last"), ("mem_first", "first")
+_STEPS = ("step_n", "step_sum", "step_square")
+_STATE = _SUMS + _MOST + _LEAST + _STEPS
+
+
+def _merged(states: DataFrame, by: list[str], bound: Column | None) -> DataFrame:
+    """One state per group of states that follow each other from ``bound`` on.
+
+    A state holds the steps inside its own stretch. The step to its first sample
+    comes in when the sample before is inside the merged stretch, too.
+    """
+    step = F.col("first.step")
+    if bound is not None:
+        step = F.when(F.col("first.before") >= bound, step)
+    joins = {"step_n": step.isNotNull().cast("long"), "step_sum": step, "step_square": step * step}
+    zero = {"step_n": F.lit(0).cast("long"), "step_sum": F.lit(0.0), "step_square": F.lit(0.0)}
+    return states.groupBy(*by).agg(
+        *[F.sum(c).alias(c) for c in _SUMS],
+        *[F.max(c).alias(c) for c in _MOST],
+        *[F.min(c).alias(c) for c in _LEAST],
+        *[F.sum(F.col(c) + F.coalesce(joins[c], zero[c])).alias(c) for c in _STEPS],
     )
 
 
+def _node_states(samples: DataFrame, run: list[str], spans: DataFrame, width: int) -> DataFrame:
+    """States of all nodes that hold samples: leaves first, then every leaf into its ancestors."""
+    leaf = F.floor(F.col("ts") / F.lit(width)).cast("long")
+    leaves = _merged(samples.withColumn("_bin", leaf), [*run, "_bin"], F.col("_bin") * width)
+    above = leaves.join(spans.select(*run, "_levels"), run)
+    above = above.withColumn("_level", F.explode(F.sequence(F.lit(0), "_levels"))).withColumn(
+        "_bin", F.call_function("shiftright", F.col("_bin"), F.col("_level"))
+    )
+    began = F.call_function("shiftleft", F.col("_bin"), F.col("_level")) * width
+    return _merged(above, [*run, "_level", "_bin"], began)
+
+
 def samples_or_run(
     intervals: DataFrame,
     series: DataFrame,
@@ -134,16 +271,29 @@ def samples_or_run(
 ) -> DataFrame:
     """Number of samples each interval uses, and whether it fell back to its run.
 
-    An interval that catches no sample uses all samples of its run.
+    An interval that catches no sample uses all samples of its run. Samples are
+    counted per node; an interval adds up its nodes and the samples of its edges.
     """
-    inside = (
-        interval_join(intervals, series, run, width=width, start=start, end=end)
-        .groupBy(*key)
-        .agg(F.count(F.lit(1)).alias("_inside"))
+    spans = _spans(series.select(*run, "ts"), run, width)
+    leaf = F.floor(F.col("ts") / F.lit(width)).cast("long")
+    placed = series.select(*run, "ts", leaf.alias("_bin"))
+    leaves = placed.groupBy(*run, "_bin").agg(F.count(F.lit(1)).alias("_n"))
+    nodes = (
+        leaves.join(spans.select(*run, "_levels"), run)
+        .withColumn("_level", F.explode(F.sequence(F.lit(0), "_levels")))
+        .groupBy(*run, "_level", F.call_function("shiftright", F.col("_bin"), F.col("_level")).alias("_bin"))
+        .agg(F.sum("_n").alias("_n"))
     )
-    whole = series.groupBy(*run).agg(F.count(F.lit(1)).alias("_whole"))
+    columns = list(dict.fromkeys([*run, *key]))
+    cut = _pieces(intervals.select(*columns, start, end), spans, run, width, start, end)
+    inner = cut.select(*columns, F.inline("_inner").alias("_level", "_bin")).join(nodes, [*run, "_level", "_bin"])
+    edges = cut.select(*columns, start, end, F.explode("_edges").alias("_bin")).join(placed, [*run, "_bin"])
+    edges = edges.where((F.col("ts") >= F.col(start)) & (F.col("ts") <= F.col(end))).withColumn("_n", F.lit(1).cast("long"))
+    both = inner.select(*key, "_n").unionByName(edges.select(*key, "_n"))
+    inside = both.groupBy(*key).agg(F.sum("_n").alias("_inside"))
+    whole = leaves.groupBy(*run).agg(F.sum("_n").alias("_whole"))
     return (
-        intervals.select(*dict.fromkeys([*run, *key]))
+        intervals.select(*columns)
         .join(inside, key, "left")
         .join(whole, run, "left")
         .select(
@@ -154,25 +304,30 @@ def samples_or_run(
     )
 
 
-def _moments(inside_step: Column) -> list[Column]:
-    """The nine resource features over a group of samples."""
-    cpu, disk = without_nan(F.col("cpu")), without_nan(F.col("disk"))
-    mem = without_nan(F.col("mem"))
-    timed = F.when(mem.isNotNull(), F.col("ts"))
-    first, last = F.min_by(mem, timed), F.max_by(mem, timed)
-    volatility = F.stddev_pop(F.when(inside_step, mem - without_nan(F.col("_before.mem"))))
-    zero = F.lit(0.0)
-    mb = F.lit(1e6)
+def _spread(name: str) -> Column:
+    """Population standard deviation of a metric from its merged state."""
+    n = F.col(f"{name}_n")
+    mean = F.col(f"{name}_off") / n
+    return F.sqrt(F.greatest(F.col(f"{name}_square") / n - mean * mean, F.lit(0.0)))
+
+
+def _features() -> list[Column]:
+    """The nine resource features of a merged state."""
+    zero, mb = F.lit(0.0), F.lit(1e6)
+    steps = F.col("step_n")
+    drift = F.col("step_sum") / steps
+    volatility = F.sqrt(F.greatest(F.col("step_square") / steps - drift * drift, zero))
+    io = F.col("disk_sum") / F.col("disk_n")
     return [
-        F.avg(cpu).alias("cpu_mean"),
-        F.stddev_pop(cpu).alias("cpu_std"),
-        F.max(cpu).alias("cpu_max"),
-        ((last - first) / mb).alias("memory_growth"),
-        (F.avg(mem) / mb).alias("memory_mean"),
-        (F.coalesce(volatility, zero) / mb).alias("memory_volatility"),
-        (F.avg(disk) / mb).alias("io_intensity"),
-        F.when(F.avg(disk) > 0, F.stddev_pop(disk) / mb).otherwise(zero).alias("io_burstiness"),
-        (F.max(disk) / mb).alias("io_peak"),
+        (F.col("cpu_sum") / F.col("cpu_n")).alias("cpu_mean"),
+        _spread("cpu").alias("cpu_std"),
+        F.col("cpu_max").alias("cpu_max"),
+        ((F.col("mem_last.mem") - F.col("mem_first.mem")) / mb).alias("memory_growth"),
+        (F.col("mem_sum") / F.col("mem_n") / mb).alias("memory_mean"),
+        (F.when(steps > 0, volatility).otherwise(zero) / mb).alias("memory_volatility"),
+        (io / mb).alias("io_intensity"),
+        F.when(io > 0, _spread("disk") / mb).otherwise(zero).alias("io_burstiness"),
+        (F.col("disk_max") / mb).alias("io_peak"),
     ]
 
 
@@ -189,23 +344,33 @@ def resource_features(
 ) -> DataFrame:
     """Nine resource features per interval, keyed by ``key``.
 
-    Steps between consecutive samples are taken once along the run; a step
-    counts for an interval when the sample before it is inside too. Intervals
-    without samples take the run's features, runs without telemetry zeros.
+    Samples are folded once into states of dyadic nodes (counts, sums, squares,
+    extremes, first and last sample, steps), which merge. An interval takes the
+    states of the nodes inside it, two a level at most, and the samples of the
+    leaves it begins and ends in. Steps between consecutive samples are taken once
+    along the run; a step counts for an interval when the sample before it is
+    inside too. Intervals without samples take the run's features, runs without
+    telemetry zeros.
     """
-    stepped = with_previous(
-        series, run, ["ts"], ["ts", "mem"], "_before", slices=slices
-    )
-    inside = (
-        interval_join(intervals, stepped, run, width=width, start=start, end=end)
-        .groupBy(*key)
-        .agg(*_moments(F.col("_before.ts") >= F.col(start)))
-    )
-    whole = stepped.groupBy(*run).agg(*_moments(F.lit(True)))
-    names = RESOURCE_FEATURES
-    whole = whole.select(*run, *[F.col(n).alias(f"_run_{n}") for n in names])
+    series = series.select(*run, "ts", *METRICS)
+    spans = written(_spans(series, run, width), "spans")
+    stepped = with_previous(series, run, ["ts"], ["ts", "mem"], "_before", slices=slices)
+    samples = _sample_states(stepped, run, spans)
+    nodes = written(_node_states(samples, run, spans, width), "nodes")
     columns = list(dict.fromkeys([*run, *key]))
-    found = inside.withColumn("_found", F.lit(True))
+    cut = _pieces(intervals.select(*columns, start, end), spans, run, width, start, end)
+    inner = cut.select(*columns, start, F.inline("_inner").alias("_level", "_bin")).join(nodes, [*run, "_level", "_bin"])
+    leaf = F.floor(F.col("ts") / F.lit(width)).cast("long")
+    edges = cut.select(*columns, start, end, F.explode("_edges").alias("_bin"))
+    edges = edges.join(samples.withColumn("_bin", leaf), [*run, "_bin"])
+    edges = edges.where((F.col("ts") >= F.col(start)) & (F.col("ts") <= F.col(end)))
+    parts = [side.select(*key, F.col(start).alias("_start"), *_STATE) for side in (inner, edges)]
+    inside = _merged(parts[0].unionByName(parts[1]), key, F.col("_start"))
+    found = inside.select(*key, *_features()).withColumn("_found", F.lit(True))
+    leaves = nodes.where("_level = 0")
+    whole = _merged(leaves, run, None)
+    names = RESOURCE_FEATURES
+    whole = whole.select(*run, *_features()).select(*run, *[F.col(n).alias(f"_run_{n}") for n in names])
     return (
         intervals.select(*columns)
         .join(found, key, "left")

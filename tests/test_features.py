@@ -78,6 +78,47 @@ def test_resources_fall_back_to_the_run(spark, functions):
     assert phases["one"]["phase_distance"] == 0.0 and phases["one"]["memory_monotonic"] == 0
 
 
+def test_long_intervals_over_fine_samples(spark):
+    """An hour over 10 us leaves: few pieces, and the same features as over all samples."""
+    import random
+
+    rng = random.Random(7)
+    hour, run = 3_600_000_000_000, ["program"]
+    times = sorted(rng.sample(range(0, 2 * hour, 10_000_000), 3000))
+    rows = [("p", ts, rng.choice([None, float("nan"), 1e6 + rng.random() * 50]), 1e9 + rng.random(), rng.random() * 1e9) for ts in times]
+    rows += [("hole", ts, 5.0, float(ts), 0.0) for ts in (0, 10 * hour)]
+    series = spark.createDataFrame(rows, "program string, ts long, cpu double, mem double, disk double").cache()
+    spans = [(0, hour), (5, 5), (times[10], times[10]), (times[3] + 1, times[2990]), (hour // 3, 2 * hour), (-hour, 5 * hour), (times[7], times[8])]
+    made = [("p", i, a, b) for i, (a, b) in enumerate(spans)] + [("hole", 90, 1, 11 * hour), ("hole", 91, 1, 9 * hour)]
+    intervals = spark.createDataFrame(made, "program string, id int, start_ns long, end_ns long")
+    cut = telemetry._pieces(intervals, telemetry._spans(series, run, 10_000), run, 10_000, "start_ns", "end_ns").collect()
+    assert max(len(r["_inner"]) + len(r["_edges"]) for r in cut) <= 64
+    features_of = {r["id"]: r for r in telemetry.resource_features(intervals, series, run, ["id"], width=10_000).collect()}
+    counts = {r["id"]: r for r in telemetry.samples_or_run(intervals, series, run, ["id"], width=10_000).collect()}
+    met = {r["id"]: r["n"] for r in telemetry.interval_join(intervals, series, run, width=10_000).groupBy("id").agg(F.count("ts").alias("n")).collect()}
+    for program, i, low, high in made:
+        every = [r for r in rows if r[0] == program]
+        mine = [r for r in every if low <= r[1] <= high]
+        assert met.get(i, 0) == len(mine)
+        assert (counts[i]["samples"], counts[i]["whole_run"]) == (len(mine or every), not mine)
+        mine = mine or every
+        cpu = [r[2] for r in mine if r[2] is not None and r[2] == r[2]]
+        steps = [b[3] - a[3] for a, b in zip(mine, mine[1:])]
+        disk = [r[4] for r in mine]
+
+        def mean(x):
+            return math.fsum(x) / len(x)
+
+        def std(x):
+            return math.sqrt(mean([(v - mean(x)) ** 2 for v in x]))
+
+        want = [
+            mean(cpu) if cpu else 0, std(cpu) if cpu else 0, max(cpu, default=0), (mine[-1][3] - mine[0][3]) / 1e6, mean([r[3] for r in mine]) / 1e6,
+            std(steps) / 1e6 if steps else 0, mean(disk) / 1e6, std(disk) / 1e6 if mean(disk) > 0 else 0, max(disk) / 1e6,
+        ]
+        assert [features_of[i][n] for n in telemetry.RESOURCE_FEATURES] == pytest.approx(want, rel=1e-9, abs=1e-9)
+
+
 def test_complexity_of_a_stub(spark):
     """Published value for one line, one call, no branches, no I/O."""
     df = spark.createDataFrame([(1, 0, 0, 0, 0, 1, False), (-1, 0, 0, 0, 0, 1, False)], "loc int, ifs int, switches int, loops int, nested_loops int, calls int, has_io boolean")
