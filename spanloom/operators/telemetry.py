@@ -98,14 +98,13 @@ def trace_span(series: DataFrame, by: list[str]) -> DataFrame:
 
 
 def _spans(series: DataFrame, run: list[str], width: int) -> DataFrame:
-    """First and last leaf of each run's samples, levels above them and centres of two metrics.
+    """First and last leaf of each run's samples, and the levels above them.
 
     A leaf is a stretch of ``width``; a node of level ``l`` covers ``2**l`` leaves.
     """
     leaf = F.floor(F.col("ts") / F.lit(width)).cast("long")
-    spans = series.select(*run, leaf.alias("_leaf"), *[F.col(c) for c in ("cpu", "disk") if c in series.columns])
-    centres = [F.avg(without_nan(F.col(c))).alias(f"_mid_{c}") for c in ("cpu", "disk") if c in series.columns]
-    ends = spans.groupBy(*run).agg(F.min("_leaf").alias("_low"), F.max("_leaf").alias("_high"), *centres)
+    spans = series.select(*run, leaf.alias("_leaf"))
+    ends = spans.groupBy(*run).agg(F.min("_leaf").alias("_low"), F.max("_leaf").alias("_high"))
     return ends.withColumn("_levels", F.length(F.bin(F.col("_high") - F.col("_low") + 1)))
 
 
@@ -185,73 +184,107 @@ def interval_join(
     )
 
 
-def _sample_states(stepped: DataFrame, run: list[str], spans: DataFrame) -> DataFrame:
-    """Each sample as the state of one sample; states merge by ``_merged``.
+#: What a stretch of samples is folded to. Three values have a count, a mean and the sum
+#: of squares about that mean; steps are those whose sample before is in the stretch.
+_SPREAD = ("cpu", "disk", "step")
+_STATE = (
+    "samples", "mem_n", "mem_sum", "cpu_max", "disk_max", "mem_first", "mem_last", "first",
+    *(f"{value}_{part}" for value in _SPREAD for part in ("n", "mean", "square")),
+)
 
-    Squares are taken about the run's mean, so large values lose no digits.
-    """
+
+def _sample_states(stepped: DataFrame, run: list[str]) -> DataFrame:
+    """Each sample as the state of a stretch of its own."""
     cpu, disk, mem = (without_nan(F.col(c)) for c in ("cpu", "disk", "mem"))
     step = mem - without_nan(F.col("_before.mem"))
-
-    def spread(value: Column, name: str, middle: str) -> list[Column]:
-        off = value - F.col(middle)
-        return [
-            value.isNotNull().cast("long").alias(f"{name}_n"),
-            value.alias(f"{name}_sum"),
-            off.alias(f"{name}_off"),
-            (off * off).alias(f"{name}_square"),
-            value.alias(f"{name}_max"),
-        ]
-
     timed = F.when(mem.isNotNull(), F.struct(F.col("ts").alias("ts"), mem.alias("mem")))
-    return stepped.join(spans.select(*run, "_mid_cpu", "_mid_disk"), run).select(
+    none = F.lit(None).cast("double")
+    single = []
+    for name, value in (("cpu", cpu), ("disk", disk), ("step", none)):
+        known = value.isNotNull()
+        square = F.when(known, F.lit(0.0)).alias(f"{name}_square")
+        single += [known.cast("long").alias(f"{name}_n"), value.alias(f"{name}_mean"), square]
+    return stepped.select(
         *run,
         "ts",
         F.lit(1).cast("long").alias("samples"),
-        *spread(cpu, "cpu", "_mid_cpu"),
-        *spread(disk, "disk", "_mid_disk"),
         mem.isNotNull().cast("long").alias("mem_n"),
         mem.alias("mem_sum"),
+        cpu.alias("cpu_max"),
+        disk.alias("disk_max"),
         timed.alias("mem_first"),
         timed.alias("mem_last"),
-        F.lit(0).cast("long").alias("step_n"),
-        F.lit(0.0).alias("step_sum"),
-        F.lit(0.0).alias("step_square"),
         F.struct(F.col("ts").alias("ts"), F.col("_before.ts").alias("before"), step.alias("step")).alias("first"),
+        *single,
     )
 
 
-#: How the parts of a state merge; the steps need the stretch's start as well.
-_SUMS = ("samples", "mem_n", "mem_sum") + tuple(f"{m}_{p}" for m in ("cpu", "disk") for p in ("n", "sum", "off", "square"))
-_MOST, _LEAST = ("cpu_max", "disk_max", "mem_last"), ("mem_first", "first")
-_STEPS = ("step_n", "step_sum", "step_square")
-_STATE = _SUMS + _MOST + _LEAST + _STEPS
+def _plain() -> list[Column]:
+    """The parts of a state that merge in one pass."""
+    return [
+        *[F.sum(c).alias(c) for c in ("samples", "mem_n", "mem_sum")],
+        *[F.max(c).alias(c) for c in ("cpu_max", "disk_max", "mem_last")],
+        *[F.min(c).alias(c) for c in ("mem_first", "first")],
+    ]
+
+
+def _joined_step(bound: Column | None) -> Column:
+    """The step to a stretch's first sample, if the sample before lies behind ``bound``, too."""
+    step = F.col("first.step")
+    return step if bound is None else F.when(F.col("first.before") >= bound, step)
+
+
+def _leaf_states(samples: DataFrame, by: list[str], bound: Column) -> DataFrame:
+    """States of leaves, from single samples."""
+    values = {"cpu": F.col("cpu_mean"), "disk": F.col("disk_mean"), "step": _joined_step(bound)}
+    spread = []
+    for name, value in values.items():
+        n = F.count(value)
+        spread += [n.alias(f"{name}_n"), F.avg(value).alias(f"{name}_mean"), (F.var_pop(value) * n).alias(f"{name}_square")]
+    return samples.groupBy(*by).agg(*_plain(), *spread)
 
 
 def _merged(states: DataFrame, by: list[str], bound: Column | None) -> DataFrame:
     """One state per group of states that follow each other from ``bound`` on.
 
-    A state holds the steps inside its own stretch. The step to its first sample
-    comes in when the sample before is inside the merged stretch, too.
+    Means are merged first and come back to the states of their group, so squares
+    are taken about the group's own mean: differences of large sums would lose the
+    digits of small spreads. The step to a state's first sample is a value more if
+    the sample before it is inside the merged stretch.
     """
-    step = F.col("first.step")
-    if bound is not None:
-        step = F.when(F.col("first.before") >= bound, step)
-    joins = {"step_n": step.isNotNull().cast("long"), "step_sum": step, "step_square": step * step}
-    zero = {"step_n": F.lit(0).cast("long"), "step_sum": F.lit(0.0), "step_square": F.lit(0.0)}
-    return states.groupBy(*by).agg(
-        *[F.sum(c).alias(c) for c in _SUMS],
-        *[F.max(c).alias(c) for c in _MOST],
-        *[F.min(c).alias(c) for c in _LEAST],
-        *[F.sum(F.col(c) + F.coalesce(joins[c], zero[c])).alias(c) for c in _STEPS],
-    )
+    states = states.withColumn("_joined", _joined_step(bound))
+    joined = F.col("_joined").isNotNull().cast("long")
+
+    def weighted(name: str) -> tuple[Column, Column]:
+        n, mean = F.col(f"{name}_n"), F.coalesce(F.col(f"{name}_mean"), F.lit(0.0))
+        if name != "step":
+            return F.sum(n), F.sum(n * mean)
+        return F.sum(n + joined), F.sum(n * mean + F.coalesce("_joined", F.lit(0.0)))
+
+    means = []
+    for name in _SPREAD:
+        n, total = weighted(name)
+        means.append(F.when(n > 0, total / n).alias(f"_mean_{name}"))
+    back = states.groupBy(*by).agg(*means)
+    back = back.withColumnsRenamed({k: f"_by_{k}" for k in by})
+    same = [states[k].eqNullSafe(back[f"_by_{k}"]) for k in by]
+    spread = []
+    for name in _SPREAD:
+        n, mean, square = (F.col(f"{name}_{part}") for part in ("n", "mean", "square"))
+        off = mean - F.col(f"_mean_{name}")
+        apart = F.when(n > 0, square + n * off * off).otherwise(F.lit(0.0))
+        if name == "step":
+            own = F.col("_joined") - F.col("_mean_step")
+            apart = apart + F.coalesce(own * own, F.lit(0.0))
+        spread += [weighted(name)[0].alias(f"{name}_n"), F.max(f"_mean_{name}").alias(f"{name}_mean"), F.sum(apart).alias(f"{name}_square")]
+    return states.join(back, same).groupBy(*by).agg(*_plain(), *spread)
 
 
 def _node_states(samples: DataFrame, run: list[str], spans: DataFrame, width: int) -> DataFrame:
     """States of all nodes that hold samples: leaves first, then every leaf into its ancestors."""
     leaf = F.floor(F.col("ts") / F.lit(width)).cast("long")
-    leaves = _merged(samples.withColumn("_bin", leaf), [*run, "_bin"], F.col("_bin") * width)
-    above = leaves.join(spans.select(*run, "_levels"), run)
+    leaves = _leaf_states(samples.withColumn("_bin", leaf), [*run, "_bin"], F.col("_bin") * width)
+    above = written(leaves, "leaves").join(spans.select(*run, "_levels"), run)
     above = above.withColumn("_level", F.explode(F.sequence(F.lit(0), "_levels"))).withColumn(
         "_bin", F.call_function("shiftright", F.col("_bin"), F.col("_level"))
     )
@@ -304,29 +337,23 @@ def samples_or_run(
     )
 
 
-def _spread(name: str) -> Column:
-    """Population standard deviation of a metric from its merged state."""
-    n = F.col(f"{name}_n")
-    mean = F.col(f"{name}_off") / n
-    return F.sqrt(F.greatest(F.col(f"{name}_square") / n - mean * mean, F.lit(0.0)))
-
-
 def _features() -> list[Column]:
     """The nine resource features of a merged state."""
     zero, mb = F.lit(0.0), F.lit(1e6)
-    steps = F.col("step_n")
-    drift = F.col("step_sum") / steps
-    volatility = F.sqrt(F.greatest(F.col("step_square") / steps - drift * drift, zero))
-    io = F.col("disk_sum") / F.col("disk_n")
+
+    def deviation(name: str) -> Column:
+        return F.sqrt(F.col(f"{name}_square") / F.col(f"{name}_n"))
+
+    io = F.col("disk_mean")
     return [
-        (F.col("cpu_sum") / F.col("cpu_n")).alias("cpu_mean"),
-        _spread("cpu").alias("cpu_std"),
-        F.col("cpu_max").alias("cpu_max"),
+        F.col("cpu_mean"),
+        F.when(F.col("cpu_n") > 0, deviation("cpu")).alias("cpu_std"),
+        F.col("cpu_max"),
         ((F.col("mem_last.mem") - F.col("mem_first.mem")) / mb).alias("memory_growth"),
         (F.col("mem_sum") / F.col("mem_n") / mb).alias("memory_mean"),
-        (F.when(steps > 0, volatility).otherwise(zero) / mb).alias("memory_volatility"),
+        (F.when(F.col("step_n") > 0, deviation("step")).otherwise(zero) / mb).alias("memory_volatility"),
         (io / mb).alias("io_intensity"),
-        F.when(io > 0, _spread("disk") / mb).otherwise(zero).alias("io_burstiness"),
+        F.when(io > 0, deviation("disk") / mb).otherwise(zero).alias("io_burstiness"),
         (F.col("disk_max") / mb).alias("io_peak"),
     ]
 
@@ -344,8 +371,8 @@ def resource_features(
 ) -> DataFrame:
     """Nine resource features per interval, keyed by ``key``.
 
-    Samples are folded once into states of dyadic nodes (counts, sums, squares,
-    extremes, first and last sample, steps), which merge. An interval takes the
+    Samples are folded once into states of dyadic nodes (counts, means, squares
+    about them, extremes, first and last sample, steps), which merge. An interval takes the
     states of the nodes inside it, two a level at most, and the samples of the
     leaves it begins and ends in. Steps between consecutive samples are taken once
     along the run; a step counts for an interval when the sample before it is
@@ -355,7 +382,7 @@ def resource_features(
     series = series.select(*run, "ts", *METRICS)
     spans = written(_spans(series, run, width), "spans")
     stepped = with_previous(series, run, ["ts"], ["ts", "mem"], "_before", slices=slices)
-    samples = _sample_states(stepped, run, spans)
+    samples = _sample_states(stepped, run)
     nodes = written(_node_states(samples, run, spans, width), "nodes")
     columns = list(dict.fromkeys([*run, *key]))
     cut = _pieces(intervals.select(*columns, start, end), spans, run, width, start, end)
@@ -365,7 +392,8 @@ def resource_features(
     edges = edges.join(samples.withColumn("_bin", leaf), [*run, "_bin"])
     edges = edges.where((F.col("ts") >= F.col(start)) & (F.col("ts") <= F.col(end)))
     parts = [side.select(*key, F.col(start).alias("_start"), *_STATE) for side in (inner, edges)]
-    inside = _merged(parts[0].unionByName(parts[1]), key, F.col("_start"))
+    pieces = written(parts[0].unionByName(parts[1]), "pieces")
+    inside = _merged(pieces, key, F.col("_start"))
     found = inside.select(*key, *_features()).withColumn("_found", F.lit(True))
     leaves = nodes.where("_level = 0")
     whole = _merged(leaves, run, None)
