@@ -1,18 +1,14 @@
-"""Distribution tails used on one row per group.
+"""Distribution tails and quantiles as column expressions.
 
-Spark has no incomplete beta, normal quantile or error function. The normal
-quantile runs on data rows, so it is a column expression; the tails run on a
-handful of result rows, so small Arrow functions do.
+Spark has no incomplete beta, normal quantile or error function. All are written
+as expressions here, with series and continued fractions folded by ``aggregate``.
 """
 
 from __future__ import annotations
 
 import math
 
-import pandas as pd
 from pyspark.sql import Column, functions as F
-from pyspark.sql.functions import pandas_udf
-from pyspark.sql.types import DoubleType
 
 # Wichura's algorithm AS 241 (1988) for the normal quantile,
 # numerator and denominator per region, constant term first.
@@ -104,60 +100,91 @@ def normal_quantile(p: Column) -> Column:
     return F.when(F.abs(q) <= 0.425, central).otherwise(F.signum(q) * tail)
 
 
-def _beta_fraction(a: float, b: float, x: float) -> float:
-    """Continued fraction of the incomplete beta function (modified Lentz)."""
-    tiny = 1e-300
-    c, d = 1.0, 1.0 - (a + b) * x / (a + 1.0)
-    d = 1.0 / (d if abs(d) > tiny else tiny)
-    value = d
-    for m in range(1, 500):
-        even = m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m))
-        odd = -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))
-        for term in (even, odd):
-            d = 1.0 + term * d
-            d = 1.0 / (d if abs(d) > tiny else tiny)
-            c = 1.0 + term / c
-            c = c if abs(c) > tiny else tiny
-            value *= c * d
-        if abs(c * d - 1.0) < 1e-16:
-            break
-    return value
-
-
-def incomplete_beta(a: float, b: float, x: float) -> float:
-    """Regularised incomplete beta function."""
-    if x <= 0.0 or x >= 1.0:
-        return 0.0 if x <= 0.0 else 1.0
-    log_front = (
-        math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x)
-    )
-    front = math.exp(log_front)
-    if x < (a + 1.0) / (a + b + 2.0):
-        return front * _beta_fraction(a, b, x) / a
-    return 1.0 - front * _beta_fraction(b, a, 1.0 - x) / b
+#: Steps of the recurrence before Stirling's series is used.
+SHIFTED = 20
+
+
+def _log_gamma_step(a: Column) -> Column:
+    """``ln(gamma(a + 1/2) / gamma(a))`` for a > 0.
+
+    Stirling's series at ``a + SHIFTED``, brought down by the recurrence.
+    """
+
+    def stirling(z: Column) -> Column:
+        z2 = z * z
+        series = (1 / 12 - (1 / 360 - (1 / 1260 - (1 / 1680) / z2) / z2) / z2) / z
+        return (z - 0.5) * F.log(z) - z + series
+
+    factors = F.sequence(F.lit(0), F.lit(SHIFTED - 1))
+    down = F.aggregate(factors, F.lit(0.0), lambda acc, k: acc + F.log1p(F.lit(0.5) / (a + k)))
+    top = a + F.lit(float(SHIFTED))
+    return stirling(top + 0.5) - stirling(top) - down
 
 
-def t_two_sided(t: float, df: float) -> float:
-    """P(|T| >= |t|) for Student's t."""
-    return incomplete_beta(df / 2.0, 0.5, df / (df + t * t))
+def half_beta(a: Column, x: Column, rest: Column) -> Column:
+    """Regularised incomplete beta function of ``a > 0`` and 1/2 at ``0 < x < 1``.
+
+    ``rest`` is ``1 - x``, given apart so that it keeps its digits. The continued
+    fraction is evaluated by Lentz's method on the side where it converges fast;
+    the number of terms follows the square root of ``a``.
+    """
+    half = F.lit(0.5)
+    direct = x < (a + 1) / (a + 2.5)
+    first, second = F.when(direct, a).otherwise(half), F.when(direct, half).otherwise(a)
+    at = F.when(direct, x).otherwise(rest)
+
+    def lentz(acc: Column, j: Column) -> Column:
+        p, q, y, m = acc["p"], acc["q"], acc["y"], F.floor(j / 2)
+        even = m * (q - m) * y / ((p + 2 * m - 1) * (p + 2 * m))
+        odd = -(p + m) * (p + q + m) * y / ((p + 2 * m) * (p + 2 * m + 1))
+        term = F.when(j % 2 == 0, even).otherwise(odd)
+        c, d = 1 + term / acc["c"], 1 / (1 + term * acc["d"])
+        value = acc["value"] * c * d
+        return F.struct(p.alias("p"), q.alias("q"), y.alias("y"), c.alias("c"), d.alias("d"), value.alias("value"))
+
+    begin = 1 / (1 - (first + second) * at / (first + 1))
+    start = F.struct(
+        first.alias("p"), second.alias("q"), at.alias("y"), F.lit(1.0).alias("c"), begin.alias("d"), begin.alias("value")
+    )
+    terms = F.sequence(F.lit(2), (F.lit(200) + 8 * F.sqrt(a)).cast("int"))
+    fraction = F.aggregate(terms, start, lentz)["value"]
+    # 1 / beta(a, 1/2) = gamma(a + 1/2) / gamma(a) / sqrt(pi)
+    log_front = a * F.log(x) + 0.5 * F.log(rest) + _log_gamma_step(a) - F.lit(0.5 * math.log(math.pi))
+    value = F.exp(log_front) * fraction / first
+    return F.when(direct, value).otherwise(1 - value)
+
+
+def correlation_tail(r: Column, n: Column) -> Column:
+    """Two-sided p-value of a correlation ``r`` over ``n`` pairs, by Student's t."""
+    square = r * r
+    inside = half_beta((n - 2) / 2, 1 - square, square)
+    return (
+        F.when(r.isNull() | F.isnan(r) | (n < 3), F.lit(None).cast("double"))
+        .when(F.abs(r) >= 1, F.lit(0.0))
+        .when(r == 0, F.lit(1.0))
+        .otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), inside)))
+    )
 
 
-@pandas_udf(DoubleType())
-def correlation_tail(r: pd.Series, n: pd.Series) -> pd.Series:
-    """Two-sided p-value of a correlation ``r`` over ``n`` pairs."""
+#: Beyond this many standard deviations the tail is a continued fraction, before it a series.
+NEAR = 2.5
 
-    def tail(value: float, count: float) -> float | None:
-        if pd.isna(value) or count < 3:
-            return None
-        if abs(value) >= 1.0:
-            return 0.0
-        freedom = count - 2
-        return t_two_sided(value * math.sqrt(freedom / (1.0 - value * value)), freedom)
 
-    return pd.Series([tail(a, b) for a, b in zip(r, n)], dtype="float64")
+def normal_upper_tail(z: Column) -> Column:
+    """P(Z >= z) for a standard normal, to nearly all digits in either tail."""
+    far = F.abs(z)
+    density = F.exp(-far * far / 2) / F.lit(math.sqrt(2 * math.pi))
 
+    def series(acc: Column, k: Column) -> Column:
+        term = acc["term"] * acc["x2"] / (2 * k + 1)
+        return F.struct(acc["x2"].alias("x2"), term.alias("term"), (acc["sum"] + term).alias("sum"))
 
-@pandas_udf(DoubleType())
-def normal_upper_tail(z: pd.Series) -> pd.Series:
-    """P(Z >= z) for a standard normal."""
-    return z.map(lambda v: 0.5 * math.erfc(v / math.sqrt(2.0)), na_action="ignore")
+    start = F.struct((far * far).alias("x2"), far.alias("term"), far.alias("sum"))
+    near = 0.5 - density * F.aggregate(F.sequence(F.lit(1), F.lit(60)), start, series)["sum"]
+    fraction = F.aggregate(
+        F.sequence(F.lit(120), F.lit(1), F.lit(-1)),
+        F.struct(far.alias("x"), far.alias("value")),
+        lambda acc, k: F.struct(acc["x"].alias("x"), (acc["x"] + k / acc["value"]).alias("value")),
+    )["value"]
+    tail = F.when(far < NEAR, near).otherwise(density / fraction)
+    return F.when(z >= 0, tail).otherwise(1 - tail)

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from ..functions import inference
 from ..operators import correlation, ranking
 from .bindings import Tables
 from .disconnect import StaticDynamic
 from .registry import query
+from .views import VIEWS
 
 FN = "program function_name"
 
@@ -133,15 +135,30 @@ def correlation_t(t: Tables) -> DataFrame:
     return correlation.with_p_value(pearson(t))
 
 
-@query("f14_correlation_p_value", "program ~r #n p_value")
+# The tail of Student's t as an integral over the angle whose sine is the correlation, by Simpson's rule.
+STEPS = 20_000
+
+
+def _tail_sql(r: str, n: str) -> str:
+    weight = f"(CASE WHEN i IN (0, {STEPS}) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END)"
+
+    def area(start: str) -> str:
+        angle = f"({start} + (pi() / 2 - {start}) * i / {STEPS}.0)"
+        return f"(sum({weight} * pow(cos({angle}), {n} - 3)) * (pi() / 2 - {start}))"
+
+    return f"(SELECT {area(f'asin(abs({r}))')} / {area('0')} FROM range(0, {STEPS + 1}) steps(i))"
+
+
+@query(
+    "f14_correlation_p_value",
+    "program ~r #n ~p_value",
+    f"SELECT program, r, n, {_tail_sql('r', 'n')} AS p_value FROM ({T_SQL}) x",
+)
 def correlation_p_value(t: Tables) -> DataFrame:
     return correlation.with_p_value(pearson(t))
 
 
-@query(
-    "f15_dagostino_normality",
-    "program #n ~k2 ~k2_p k2_normal",
-    """SELECT program, n, z1 * z1 + z2 * z2 AS k2, exp(-(z1 * z1 + z2 * z2) / 2) AS k2_p, exp(-(z1 * z1 + z2 * z2) / 2) > 0.05 AS k2_normal FROM
+OMNIBUS_SQL = """SELECT program, n, z1 * z1 + z2 * z2 AS k2, exp(-(z1 * z1 + z2 * z2) / 2) AS k2_p, exp(-(z1 * z1 + z2 * z2) / 2) > 0.05 AS k2_normal FROM
     (SELECT *, ln(s + sqrt(s * s + 1)) / sqrt(0.5 * ln(w2)) AS z1,
             (1 - 2 / (9 * a) - sign(1 + x * sqrt(2 / (a - 4))) * cbrt((1 - 2 / a) / abs(1 + x * sqrt(2 / (a - 4))))) / sqrt(2 / (9 * a)) AS z2
      FROM (SELECT *, y / sqrt(2 / (w2 - 1)) AS s, 6 + 8 / b1 * (2 / b1 + sqrt(1 + 4 / (b1 * b1))) AS a
@@ -151,13 +168,76 @@ def correlation_p_value(t: Tables) -> DataFrame:
                    6 * (n * n - 5 * n + 2) / ((n + 7) * (n + 9)) * sqrt(6 * (n + 3) * (n + 5) / (n * (n - 2) * (n - 3))) AS b1
        FROM (SELECT program, CAST(count(*) AS DOUBLE) AS n, avg(pow(v - m, 3)) / pow(avg(pow(v - m, 2)), 1.5) AS g1,
                     avg(pow(v - m, 4)) / pow(avg(pow(v - m, 2)), 2) AS b2
-        FROM (SELECT program, criticality AS v, avg(criticality) OVER (PARTITION BY program) AS m FROM f_classified) q GROUP BY 1) m1) m2) m3) m4""",
-)
+        FROM (SELECT program, criticality AS v, avg(criticality) OVER (PARTITION BY program) AS m FROM f_classified) q GROUP BY 1) m1) m2) m3) m4"""
+
+
+@query("f15_dagostino_normality", "program #n ~k2 ~k2_p k2_normal", OMNIBUS_SQL)
 def dagostino_normality(t: Tables) -> DataFrame:
     return correlation.dagostino(analysis(t).classified, ["program"], "criticality")
 
 
-@query("f16_shapiro_wilk", "program #n ~w w_p w_normal")
+def _poly_sql(x: str, coefficients: tuple[float, ...]) -> str:
+    terms = " + ".join(f"({c!r}::DOUBLE) * pow({x}, {i})" for i, c in enumerate(coefficients))
+    return f"({terms})"
+
+
+def _quantile_sql(p: str) -> str:
+    """The normal quantile by the same published approximation, power by power."""
+
+    def ratio(x: str, region) -> str:
+        return f"{_poly_sql(x, region[0])} / {_poly_sql(x, region[1])}"
+
+    root = f"sqrt(-ln(least({p}, 1 - {p})))"
+    return f"""CASE WHEN abs({p} - 0.5) <= 0.425 THEN ({p} - 0.5) * {ratio(f"(0.180625 - pow({p} - 0.5, 2))", inference.CENTRAL)}
+        ELSE sign({p} - 0.5) * CASE WHEN {root} <= 5 THEN {ratio(f"({root} - 1.6)", inference.MIDDLE)} ELSE {ratio(f"({root} - 5)", inference.FAR)} END END"""
+
+
+def _normal_tail_sql(z: str) -> str:
+    """Simpson's rule over the density, from the middle out."""
+    weight = f"(CASE WHEN i IN (0, {STEPS}) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END)"
+    far = f"least(abs({z}), 12)"
+    area = f"(SELECT sum({weight} * exp(-pow({far} * i / {STEPS}.0, 2) / 2)) * {far} / {STEPS} / 3 / sqrt(2 * pi()) FROM range(0, {STEPS + 1}) steps(i))"
+    return f"(0.5 - sign({z}) * {area})"
+
+
+def _shapiro_view(value: str) -> str:
+    """Royston's W and p per program, for samples of any size from 3 on."""
+    c = correlation
+    return f"""SELECT program, n, w, w_p, w_p > 0.05 AS w_normal FROM
+    (SELECT *, CASE WHEN w >= 1 THEN 1.0 WHEN n = 3 THEN greatest(0, 6 / pi() * (asin(sqrt(w)) - asin(sqrt(0.75))))
+                    WHEN n <= 11 AND ln(1 - w) >= gamma THEN 0 ELSE {_normal_tail_sql("z")} END AS w_p FROM
+     (SELECT *, CASE WHEN n <= 11 THEN (-ln(gamma - ln(1 - w)) - {_poly_sql("n", c.SMALL_MEAN)}) / exp({_poly_sql("n", c.SMALL_LOG_STD)})
+                     ELSE (ln(1 - w) - {_poly_sql("ln(n)", c.LARGE_MEAN)}) / exp({_poly_sql("ln(n)", c.LARGE_LOG_STD)}) END AS z FROM
+      (SELECT *, {_poly_sql("n", c.SMALL_GAMMA)} AS gamma, CASE WHEN ss > 0 THEN least(pow(b, 2) / ss, 1) ELSE 1 END AS w FROM
+       (SELECT program, any_value(n) AS n, sum(pow(x - mean, 2)) AS ss, sum(x *
+          CASE WHEN i = n THEN a1 WHEN i = 1 THEN -a1 WHEN n > 5 AND i = n - 1 THEN a2 WHEN n > 5 AND i = 2 THEN -a2
+               WHEN n = 3 THEN 0 WHEN n > 5 THEN m / sqrt((mm - 2 * top * top - 2 * second * second) / (1 - 2 * a1 * a1 - 2 * a2 * a2))
+               ELSE m / sqrt((mm - 2 * top * top) / (1 - 2 * a1 * a1)) END) AS b FROM
+        (SELECT *, CASE WHEN n = 3 THEN sqrt(0.5) ELSE top / sqrt(mm) + {_poly_sql("(1 / sqrt(n))", c.EXTREME_1)} END AS a1,
+                second / sqrt(mm) + {_poly_sql("(1 / sqrt(n))", c.EXTREME_2)} AS a2 FROM
+         (SELECT *, sum(m * m) OVER p AS mm, avg(x) OVER p AS mean, max(m) OVER p AS top, max(m) FILTER (i < n) OVER p AS second FROM
+          (SELECT *, {_quantile_sql("((i - 0.375) / (n + 0.25))")} AS m FROM
+           (SELECT program, {value} AS x, row_number() OVER (PARTITION BY program ORDER BY {value}, function_name)::DOUBLE AS i,
+                   (count(*) OVER (PARTITION BY program))::DOUBLE AS n FROM f_classified) r1) r2
+          WINDOW p AS (PARTITION BY program)) r3) r4 GROUP BY program) r5) r6) r7) r8 WHERE n >= 3"""
+
+
+VIEWS["f_shapiro_static"], VIEWS["f_shapiro_dynamic"] = _shapiro_view("complexity"), _shapiro_view("criticality")
+VIEWS["f_omnibus_dynamic"] = OMNIBUS_SQL
+VIEWS["f_omnibus_static"] = OMNIBUS_SQL.replace("criticality", "complexity")
+
+
+def _verdict_sql(which: str) -> str:
+    return f"""SELECT program, n, w, w_p, k2, k2_p, coalesce(w_normal AND coalesce(k2_normal, true), false) AS is_normal
+    FROM (SELECT program, count(*) AS n FROM f_classified GROUP BY 1) sizes
+    LEFT JOIN (SELECT program, w, w_p, w_normal FROM f_shapiro_{which}) s USING (program)
+    LEFT JOIN (SELECT program, k2, k2_p, k2_normal FROM f_omnibus_{which} WHERE n >= 8) o USING (program)"""
+
+
+VIEWS["f_verdict_static"], VIEWS["f_verdict_dynamic"] = _verdict_sql("static"), _verdict_sql("dynamic")
+
+
+@query("f16_shapiro_wilk", "program #n ~w ~w_p w_normal", "f_shapiro_static")
 def shapiro_wilk(t: Tables) -> DataFrame:
     flow = analysis(t)
     return correlation.shapiro_wilk(
@@ -165,7 +245,7 @@ def shapiro_wilk(t: Tables) -> DataFrame:
     )
 
 
-@query("f17_normality_verdict", "program #n ~w w_p ~k2 k2_p is_normal")
+@query("f17_normality_verdict", "program #n ~w ~w_p ~k2 ~k2_p is_normal", "f_verdict_static")
 def normality_verdict(t: Tables) -> DataFrame:
     flow = analysis(t)
     return correlation.normality_verdict(
@@ -173,7 +253,16 @@ def normality_verdict(t: Tables) -> DataFrame:
     )
 
 
-@query("f17_correlation_report", "program #n ~pearson pearson_p ~spearman spearman_p pearson_appropriate")
+@query(
+    "f17_correlation_report",
+    "program #n ~pearson ~pearson_p ~spearman ~spearman_p pearson_appropriate",
+    f"""SELECT program, n, a AS pearson, {_tail_sql("a", "n")} AS pearson_p, b AS spearman, {_tail_sql("b", "n")} AS spearman_p,
+    s.is_normal OR d.is_normal AS pearson_appropriate FROM
+    (SELECT program, count(*) AS n, corr(complexity, criticality) AS a, corr(x, y) AS b FROM
+     (SELECT *, rank() OVER (PARTITION BY program ORDER BY static_rank) AS x, rank() OVER (PARTITION BY program ORDER BY dynamic_rank) AS y FROM f_classified) r
+     GROUP BY 1 HAVING count(*) > 2) c
+    JOIN (SELECT program, is_normal FROM f_verdict_static) s USING (program) JOIN (SELECT program, is_normal FROM f_verdict_dynamic) d USING (program)""",
+)
 def correlation_report(t: Tables) -> DataFrame:
     return analysis(t).correlations
 

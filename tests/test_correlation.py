@@ -7,7 +7,7 @@ from statistics import NormalDist
 import pytest
 from pyspark.sql import functions as F
 
-from spanloom.functions.inference import incomplete_beta, normal_quantile, t_two_sided
+from spanloom.functions.inference import half_beta, normal_quantile, normal_upper_tail
 from spanloom.operators import correlation
 
 # Published (r, n, p) of correlations over four programs.
@@ -51,9 +51,39 @@ def test_k2_tail():
         assert math.exp(-k2 / 2) == pytest.approx(p, rel=1e-12)
 
 
-def test_incomplete_beta():
-    assert incomplete_beta(2.0, 3.0, 0.4) == pytest.approx(0.5248)
-    assert t_two_sided(2.228138852, 10) == pytest.approx(0.05, rel=1e-7)
+def test_incomplete_beta(spark):
+    """Student's t with 1, 2 and 4 degrees of freedom has closed forms; 10 has a table."""
+    def t_tail(t, df):
+        s = math.sqrt(t * t + df)
+        if df == 1:
+            return 1 - 2 * math.atan(t) / math.pi
+        if df == 2:
+            return 1 - t / s
+        return 1 - t / s * (1 + 2 / (t * t + 4))
+
+    cases = [(t, df) for t in (0.01, 0.5, 1.0, 3.0, 40.0) for df in (1, 2, 4)]
+    rows = [(t, df, df / 2, df / (df + t * t), t * t / (df + t * t)) for t, df in [*cases, (2.228138852, 10)]]
+    df = spark.createDataFrame(rows, "t double, df long, a double, x double, rest double")
+    got = {(r["t"], r["df"]): r["p"] for r in df.withColumn("p", half_beta(F.col("a"), F.col("x"), F.col("rest"))).collect()}
+    for case in cases:
+        assert got[case] == pytest.approx(t_tail(*case), rel=1e-7, abs=1e-13)
+    assert got[2.228138852, 10] == pytest.approx(0.05, rel=1e-7)
+
+
+def test_normal_tail(spark):
+    zs = [-40.0, -5.0, -2.5, -0.3, 0.0, 1e-9, 0.7, 2.49, 2.5, 2.51, 6.0, 20.0, 37.0]
+    df = spark.createDataFrame([(z,) for z in zs], "z double")
+    got = {r["z"]: r["q"] for r in df.withColumn("q", normal_upper_tail(F.col("z"))).collect()}
+    for z in zs:
+        assert got[z] == pytest.approx(0.5 * math.erfc(z / math.sqrt(2)), rel=1e-11)
+
+
+def test_many_pairs(spark):
+    """Tails over a million pairs, against the normal limit."""
+    n = 1_000_000
+    df = spark.createDataFrame([(z / math.sqrt(n), n) for z in (0.1, 1.0, 2.0, 3.0)], "r double, n long")
+    for row in correlation.with_p_value(df).collect():
+        assert row["p_value"] == pytest.approx(math.erfc(row["r"] * math.sqrt(n / 2)), rel=1e-4)
 
 
 def test_normal_quantile(spark):
