@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .grouping import chunked_lists
@@ -113,3 +115,49 @@ def sample_grid(grid: DataFrame, n: int, seed: int = 42) -> DataFrame:
     """``n`` combinations without replacement, in the order of a seeded hash."""
     key = F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.col(c).cast("string") for c in grid.columns]))
     return grid.withColumn("_key", key).orderBy("_key").limit(n).drop("_key")
+
+
+#: Rounds of the permutation of combination numbers.
+ROUNDS = 4
+
+
+def _keyed(seed: int, turn: int, x: Column) -> Column:
+    """A number below 2**60 from the seed, the round and ``x``."""
+    digest = F.md5(F.concat_ws("|", F.lit(str(seed)), F.lit(str(turn)), x.cast("string")).cast("binary"))
+    return F.conv(F.right(digest, F.lit(15)), 16, 10).cast("long")
+
+
+def sample_combinations(options: dict[str, DataFrame], n: int, seed: int = 42) -> DataFrame:
+    """``n`` different combinations of one value from each option list, drawn by a seeded permutation.
+
+    Each frame of ``options`` has one column of values; repeats and nulls don't
+    count. A combination is a number in mixed radix, one digit per list. The
+    numbers ``0..n-1`` go through a keyed permutation of all of them (two halves
+    that add a hash of the other in turn, each modulo its own size, which is one to
+    one for any sizes), and are decoded by division: ``n`` rows are made, never the
+    product. ``draw`` numbers them. All combinations are returned if there are
+    fewer than ``n``; none if a list is empty. The product must be below 2**62.
+    """
+    names = list(options)
+    lists = {}
+    for name, values in options.items():
+        distinct = values.select(F.col(values.columns[0]).alias(name)).where(F.col(name).isNotNull()).distinct()
+        lists[name] = ranked(distinct, [], [name], "_digit").withColumn("_digit", F.col("_digit") - 1)
+    sizes = [lists[name].count() for name in names]
+    total = math.prod(sizes)
+    if total >= 1 << 62:
+        raise ValueError("more than 2**62 combinations")
+    high, low = math.prod(sizes[: len(sizes) // 2]), math.prod(sizes[len(sizes) // 2 :])
+    drawn = options[names[0]].sparkSession.range(min(n, total)).withColumnRenamed("id", "draw")
+    # one row per number; its halves below high and low
+    halves = drawn.select("draw", F.expr(f"draw div {max(low, 1)}").alias("_a"), F.expr(f"draw % {max(low, 1)}").alias("_b"))
+    for turn in range(ROUNDS):
+        half, other, size = ("_a", "_b", high) if turn % 2 == 0 else ("_b", "_a", low)
+        moved = F.col(half) + F.pmod(_keyed(seed, turn, F.col(other)), F.lit(max(size, 1)))
+        halves = halves.withColumn(half, F.pmod(moved, F.lit(max(size, 1))))
+    out = halves.withColumn("_left", F.col("_a") * low + F.col("_b"))
+    for name, size in reversed(list(zip(names, sizes))):
+        radix = max(size, 1)
+        out = out.withColumn("_digit", F.pmod("_left", F.lit(radix))).withColumn("_left", F.expr(f"_left div {radix}"))
+        out = out.join(lists[name], "_digit").drop("_digit")
+    return out.select("draw", *names)

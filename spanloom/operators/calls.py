@@ -133,17 +133,19 @@ def hotspots(
     stats: DataFrame, n: int = 100, *, duration: str = "duration", self_time: str = "self_time"
 ) -> DataFrame:
     """The ``n`` functions with most self time, with their share of all of it."""
+    # sums of nanoseconds exceed 64 bits
+    longs = [F.sum(F.col(c).cast("decimal(20,0)")) for c in (duration, self_time)]
     per_function = stats.groupBy("function_name").agg(
         F.count(F.lit(1)).alias("calls"),
-        F.sum(duration).alias("total_duration"),
-        F.sum(self_time).alias("total_self_time"),
+        longs[0].alias("total_duration"),
+        longs[1].alias("total_self_time"),
     )
-    everything = stats.agg(F.sum(self_time)).scalar()
+    everything = per_function.agg(F.sum("total_self_time").cast("double")).scalar()
     top = per_function.orderBy(F.desc("total_self_time"), "function_name").limit(n)
     return top.select(
         "*",
-        (F.col("total_duration") / F.col("calls")).alias("avg_duration"),
-        F.when(everything > 0, F.col("total_self_time") / everything)
+        (F.col("total_duration").cast("double") / F.col("calls")).alias("avg_duration"),
+        F.when(everything > 0, F.col("total_self_time").cast("double") / everything)
         .otherwise(F.lit(0.0))
         .alias("self_share"),
     )

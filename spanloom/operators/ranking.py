@@ -48,8 +48,9 @@ def dynamic_stats(functions: DataFrame, bottlenecks: DataFrame, paths: DataFrame
     """
     on_paths = functions.groupBy(*FUNCTION).agg(
         F.count(F.lit(1)).alias("appearances"),
-        F.sum("duration_ns").alias("total_duration_ns"),
-        F.sum("self_time_ns").alias("total_self_time_ns"),
+        # sums of nanoseconds exceed 64 bits
+        F.sum(F.col("duration_ns").cast("decimal(20,0)")).alias("total_duration_ns"),
+        F.sum(F.col("self_time_ns").cast("decimal(20,0)")).alias("total_self_time_ns"),
         F.sum("path_rank").alias("rank_sum"),
     )
     slow = bottlenecks.groupBy(*FUNCTION).agg(F.count(F.lit(1)).alias("bottleneck_count"))
@@ -72,8 +73,8 @@ def dynamic_criticality(stats: DataFrame) -> DataFrame:
     seen = stats.where(apps > 0).select(
         *FUNCTION,
         "appearances",
-        (F.col("total_duration_ns") / apps).alias("avg_duration_ns"),
-        (F.col("total_self_time_ns") / apps).alias("avg_self_time_ns"),
+        (F.col("total_duration_ns").cast("double") / apps).alias("avg_duration_ns"),
+        (F.col("total_self_time_ns").cast("double") / apps).alias("avg_self_time_ns"),
         (apps / F.col("total_paths") * 100).alias("appearance_rate"),
         (F.col("rank_sum") / apps).alias("avg_rank"),
         (apps / F.col("total_paths")).alias("_rate"),

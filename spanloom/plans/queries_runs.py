@@ -177,6 +177,40 @@ def sample_parameter_grid(t: Tables) -> DataFrame:
     return bookkeeping.sample_grid(grid, 100)
 
 
+def _turn_sql(source: str, half: str, other: str, size: str, turn: int) -> str:
+    keyed = f"('0x' || right(md5(concat_ws('|', '42', '{turn}', {other}::VARCHAR)), 15))::BIGINT"
+    kept = f"{half}, {other}, draw, ks, bs, ss"
+    return f"SELECT {kept.replace(half + ',', f'({half} + {keyed} % {size}) % {size} AS {half},', 1)} FROM ({source})"
+
+
+_NUMBERS = """SELECT i // (bs * ss) AS a, i % (bs * ss) AS b, i AS draw, ks, bs, ss FROM range(0, 5000) r(i),
+    (SELECT count(DISTINCT p_type) AS ks, count(DISTINCT p_brand) AS bs FROM part) p, (SELECT count(DISTINCT o_orderstatus) AS ss FROM orders) o
+    WHERE i < ks * bs * ss"""
+for _turn in range(bookkeeping.ROUNDS):
+    _NUMBERS = _turn_sql(_NUMBERS, *(("a", "b", "ks") if _turn % 2 == 0 else ("b", "a", "(bs * ss)")), _turn)
+
+
+def _values_sql(column: str, table: str) -> str:
+    return f"(SELECT v, row_number() OVER (ORDER BY v) - 1 AS i FROM (SELECT DISTINCT {column} AS v FROM {table}))"
+
+
+@query(
+    "j04_sample_combinations",
+    "#draw kind brand status",
+    f"""SELECT draw, k.v AS kind, x.v AS brand, s.v AS status FROM ({_NUMBERS}) n
+    JOIN {_values_sql('p_type', 'part')} k ON k.i = a JOIN {_values_sql('p_brand', 'part')} x ON x.i = b // ss
+    JOIN {_values_sql('o_orderstatus', 'orders')} s ON s.i = b % ss""",
+)
+def sample_combinations(t: Tables) -> DataFrame:
+    """5,000 of the combinations, without making the others."""
+    options = {
+        "kind": t.table("part").select("p_type"),
+        "brand": t.table("part").select("p_brand"),
+        "status": t.table("orders").select("o_orderstatus"),
+    }
+    return bookkeeping.sample_combinations(options, 5000)
+
+
 @query(
     "k01_stream_telemetry",
     "event_type #window_s #samples ~value_avg ~value_peak",
