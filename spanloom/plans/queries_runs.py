@@ -8,6 +8,7 @@ from ..functions.names import IO_CALLS
 from ..operators import bookkeeping, elements as ops, scoring
 from ..operators.baseline import RUN
 from ..operators.storage import scratch_path, written
+from ..streaming import live
 from ..streaming.live import stream_scores, stream_telemetry
 from .bindings import Tables
 from .queries_regression import analysis as regression_analysis
@@ -259,3 +260,37 @@ def stream_score(t: Tables) -> DataFrame:
     stream = t.spark.readStream.schema(flow.judged.schema).parquet(source)
     stream_scores(stream, score, out, scratch_path(t.spark, "scores-state")).awaitTermination()
     return t.spark.read.parquet(out)
+
+
+def run_records(flow) -> tuple[DataFrame, DataFrame]:
+    """Paths and telemetry of the runs to judge, each with the time it arrived."""
+    names = flow.judged_functions.groupBy(*RUN).agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("pos", "function_name"))), lambda f: f["function_name"]).alias("names")
+    )
+    arrived = F.timestamp_seconds(F.lit(1_600_000_000) + F.col("input_id") * 60 + F.col("iteration"))
+    runs = flow.judged.join(names, RUN, "left").withColumn("arrived", arrived)
+    sides = live.telemetry_columns()
+    return runs.drop(*sides), runs.select(*RUN, *sides, arrived.alias("arrived"))
+
+
+@query(
+    "k02_stream_detections",
+    "program #input_id #iteration is_regression regression_type ~path_score ~resource_score ~archetype_score ~bounds_score "
+    "~weighted_score ~max_signal ~combined_score detected model_version",
+    "SELECT *, 'v1' AS model_version FROM s_scores",
+)
+def stream_detections(t: Tables) -> DataFrame:
+    """Paths and telemetry as two file streams, joined and judged by all four signals."""
+    flow = regression_analysis(t)
+    folder, version = scratch_path(t.spark, "models"), "v1"
+    live.save_models({name: getattr(flow, name) for name in live.MODELS}, folder, version)
+    models = live.load_models(t.spark, folder, version)
+    streams = []
+    for name, side in zip(("paths", "telemetry"), run_records(flow)):
+        source = scratch_path(t.spark, f"incoming-{name}")
+        side.write.parquet(source)
+        streams.append(t.spark.readStream.schema(side.schema).parquet(source))
+    out = scratch_path(t.spark, "detections")
+    arrivals = live.run_arrivals(*streams)
+    stream_scores(arrivals, lambda batch: live.detections(batch, models, version), out, scratch_path(t.spark, "detections-state")).awaitTermination()
+    return t.spark.read.parquet(out)

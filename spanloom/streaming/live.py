@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from ..operators import scoring
+from ..operators.baseline import RESOURCES, RUN
+
 
 def stream_telemetry(
     samples: DataFrame,
@@ -57,3 +60,56 @@ def stream_scores(
         .trigger(**(trigger or {"availableNow": True}))
         .start()
     )
+
+
+#: Tables that a run is scored with.
+MODELS = ("frequencies", "grams", "lengths", "resources", "archetypes", "bounds")
+
+
+def save_models(models: dict[str, DataFrame], folder: str, version: str) -> None:
+    """Write the model tables as one version; an existing version is never changed."""
+    for name in MODELS:
+        models[name].write.parquet(f"{folder}/{version}/{name}")
+
+
+def load_models(spark: SparkSession, folder: str, version: str) -> dict[str, DataFrame]:
+    return {name: spark.read.parquet(f"{folder}/{version}/{name}") for name in MODELS}
+
+
+def run_arrivals(
+    paths: DataFrame, telemetry: DataFrame, *, lateness: str = "10 minutes", apart: str = "10 minutes"
+) -> DataFrame:
+    """Runs whose paths and telemetry arrive apart, joined as streams.
+
+    Both carry the run's key and ``arrived``. Telemetry counts if it arrives within
+    ``apart`` of the paths; once the watermark is past that, a run without it is
+    handed on with null resources. Rows later than ``lateness`` are dropped, so
+    state is bounded by these two times.
+    """
+    left = paths.withWatermark("arrived", lateness)
+    renamed = {c: f"_{c}" for c in [*RUN, "arrived"]}
+    right = telemetry.withColumnsRenamed(renamed).withWatermark("_arrived", lateness)
+    same = F.expr(" AND ".join(f"{k} = _{k}" for k in RUN))
+    near = F.expr(f"_arrived BETWEEN arrived - INTERVAL {apart} AND arrived + INTERVAL {apart}")
+    return left.join(right, same & near, "left_outer").drop(*renamed.values())
+
+
+def detections(runs: DataFrame, models: dict[str, DataFrame], version: str) -> DataFrame:
+    """All four signals of each run and the decision, with the version of the models.
+
+    ``runs`` has the run's features and ``names``, the functions of its first path
+    in order. Without telemetry the resource signal is 0.
+    """
+    functions = runs.select(*RUN, F.posexplode("names").alias("pos", "function_name"))
+    signals = [
+        scoring.score_path(runs, functions, models["frequencies"], models["grams"], models["lengths"]),
+        scoring.score_resource(runs, models["resources"]),
+        scoring.score_archetype(runs, models["archetypes"]),
+        scoring.score_bounds(runs, models["bounds"]),
+    ]
+    return scoring.combine_signals(runs, signals).withColumn("model_version", F.lit(version))
+
+
+def telemetry_columns() -> list[str]:
+    """What the telemetry of a run adds to its features."""
+    return [f"{r}_avg" for r in RESOURCES]
