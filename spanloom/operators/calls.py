@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .ordered import latest_before, running_sum, sliced_running_sum
+from .ordered import running_sum
 from .storage import written
 
 THREAD = ["run", "tid"]
@@ -30,55 +30,6 @@ def clean_events(events: DataFrame) -> DataFrame:
     )
 
 
-def pair_calls(events: DataFrame, *, slices: int | None = None) -> DataFrame:
-    """One row per completed call, from events ``run, tid, ts, seq, ph, name``.
-
-    The running count of open calls gives each event its level; at one level of
-    one thread begins and ends alternate, so an end closes the event before it.
-    Pairs are looked for inside the slices of the running count, without another
-    shuffle; only what is left open or unopened at a slice's edge, at most one
-    event per level, is paired across slices. A begin without an end yields no
-    call.
-    """
-    step = F.when(F.col("ph") == "B", 1).otherwise(-1).cast("long")
-    opened = sliced_running_sum(
-        events.select(*THREAD, "ts", "seq", "ph", "name"),
-        THREAD,
-        ["ts", "seq"],
-        step,
-        "_open",
-        slices=slices,
-    )
-    level = F.when(F.col("ph") == "B", F.col("_open")).otherwise(F.col("_open") + 1)
-    within = Window.partitionBy(*THREAD, "_slice", "level").orderBy("ts", "seq")
-    begin = F.struct("ph", "ts", "seq", "name")
-    placed = opened.withColumn("level", level).withColumns(
-        {"_begin": F.lag(begin).over(within), "_last": F.lead("ph").over(within).isNull()}
-    )
-    closes = (F.col("ph") == "E") & (F.col("_begin.ph") == "B")
-    edge = ((F.col("ph") == "B") & F.col("_last")) | (
-        (F.col("ph") == "E") & F.col("_begin").isNull()
-    )
-    across = Window.partitionBy(*THREAD, "level").orderBy("ts", "seq")
-    at_edges = (
-        placed.where(edge).withColumn("_begin", F.lag(begin).over(across)).where(closes)
-    )
-    return (
-        placed.where(closes)
-        .unionByName(at_edges)
-        .select(
-            *THREAD,
-            F.col("_begin.seq").alias("call_id"),
-            F.col("_begin.name").alias("function_name"),
-            "level",
-            F.col("_begin.ts").alias("start_ts"),
-            F.col("ts").alias("end_ts"),
-            F.col("seq").alias("end_seq"),
-            (F.col("ts") - F.col("_begin.ts")).alias("duration"),
-        )
-    )
-
-
 def unmatched_events(events: DataFrame, calls: DataFrame) -> DataFrame:
     """Per thread, how many begins and ends belong to no call."""
     seen = events.groupBy(*THREAD).agg(
@@ -93,26 +44,6 @@ def unmatched_events(events: DataFrame, calls: DataFrame) -> DataFrame:
     )
 
 
-def call_parents(calls: DataFrame, *, slices: int | None = None) -> DataFrame:
-    """Add ``parent_id``: the latest call one level up in the same thread."""
-    states = calls.select(*THREAD, "level", F.col("start_ts").alias("ts"), F.col("call_id").alias("seq"))
-    probes = calls.withColumns(
-        {"_level": F.col("level"), "level": F.col("level") - 1, "ts": F.col("start_ts"), "seq": F.col("call_id")}
-    )
-    found = latest_before(
-        probes,
-        states,
-        [*THREAD, "level"],
-        ["ts", "seq"],
-        ["seq"],
-        "_parent",
-        slices=slices,
-    )
-    return found.withColumn("level", F.col("_level")).select(
-        *calls.columns, F.col("_parent.seq").alias("parent_id")
-    )
-
-
 def call_stats(calls: DataFrame) -> DataFrame:
     """Self time (never below zero) and number of children per call."""
     children = (
@@ -184,42 +115,36 @@ def chain_scores(calls: DataFrame, *, slices: int | None = None) -> DataFrame:
     return summed.where(F.col("_call").isNotNull()).select(*THREAD, "_call.*", "score")
 
 
-def critical_paths(
-    stats: DataFrame, k: int = 10, *, slices: int | None = None
-) -> DataFrame:
+def critical_paths(stats: DataFrame, k: int = 10) -> DataFrame:
     """The ``k`` heaviest root-to-leaf chains per run, one row per function.
 
-    Ties go to the earlier leaf, then thread, then call id. The row-number
-    filter lets each task keep only its ``k`` best before the shuffle; the few
-    leaves that remain are written out before their ancestors are looked up.
+    Takes calls with ``score``. Ties go to the earlier leaf, then thread, then
+    call id. The row-number filter lets each task keep only its ``k`` best before
+    the shuffle; the few leaves that remain are written out, and the calls around
+    them are their chains.
     """
     best = Window.partitionBy("run").orderBy(F.desc("score"), "start_ts", "tid", "call_id")
     leaves = (
-        chain_scores(stats, slices=slices)
-        .where(F.col("num_children") == 0)
+        stats.where(F.col("num_children") == 0)
         .withColumn("rank", F.row_number().over(best))
         .where(F.col("rank") <= k)
+        .select(
+            *[F.col(c).alias(f"_{c}") for c in THREAD],
+            F.struct("start_ts", "call_id").alias("_begin"),
+            F.struct("end_ts", "end_seq").alias("_end"),
+            "rank",
+            F.col("score").alias("_score"),
+        )
     )
-    probes = written(leaves, "leaves").select(
-        *THREAD,
-        "rank",
-        "score",
-        F.col("start_ts").alias("ts"),
-        F.col("call_id").alias("seq"),
-        F.explode(F.sequence(F.lit(1).cast("long"), F.col("level"))).alias("level"),
-    )
-    states = stats.withColumns({"ts": F.col("start_ts"), "seq": F.col("call_id")})
-    chain = latest_before(
-        probes,
-        states,
-        [*THREAD, "level"],
-        ["ts", "seq"],
-        ["call_id", "function_name", "duration", "self_time", "start_ts", "end_ts"],
-        "_f",
-        slices=slices,
+    around = (
+        F.col("run").eqNullSafe(F.col("_run"))
+        & F.col("tid").eqNullSafe(F.col("_tid"))
+        & (F.struct("start_ts", "call_id") <= F.col("_begin"))
+        & (F.struct("end_ts", "end_seq") >= F.col("_end"))
     )
-    return chain.select(
-        "run", "rank", "tid", "score", (F.col("level") - 1).alias("pos"), "_f.*"
+    return stats.join(written(leaves, "leaves"), around).select(
+        *["run", "rank", "tid", F.col("_score").alias("score"), (F.col("level") - 1).alias("pos")],
+        *["call_id", "function_name", "duration", "self_time", "start_ts", "end_ts"],
     )
 
 

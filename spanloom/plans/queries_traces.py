@@ -32,7 +32,7 @@ CALL = "#run #tid #call_id function_name #level #start_ts #end_ts #duration"
 
 @query("c01_pair_calls", CALL, "c_calls")
 def pair_calls(t: Tables) -> DataFrame:
-    return ops.pair_calls(t.trace_events)
+    return analysis(t).calls
 
 
 @query(
@@ -47,12 +47,12 @@ def unmatched_events(t: Tables) -> DataFrame:
 
 @query("c02_call_parents", f"{CALL} #parent_id", "c_parents")
 def call_parents(t: Tables) -> DataFrame:
-    return analysis(t).parents
+    return analysis(t).calls
 
 
 @query("c03_call_stats", f"{CALL} #self_time #num_children", "c_stats")
 def call_stats(t: Tables) -> DataFrame:
-    return analysis(t).stats
+    return analysis(t).calls
 
 
 @query(
@@ -63,7 +63,7 @@ def call_stats(t: Tables) -> DataFrame:
     FROM c_stats GROUP BY 1 ORDER BY total_self_time DESC, function_name LIMIT 100""",
 )
 def hotspots(t: Tables) -> DataFrame:
-    return ops.hotspots(analysis(t).stats)
+    return ops.hotspots(analysis(t).calls)
 
 
 @query(

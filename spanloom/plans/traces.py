@@ -8,6 +8,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame
 
 from ..operators import calls as ops
+from ..operators.stacks import call_tree
 from ..operators.storage import written
 
 
@@ -15,8 +16,8 @@ from ..operators.storage import written
 class TraceAnalysis:
     """Calls, statistics, hotspots and critical paths of recorded runs.
 
-    Paired calls and their statistics are each written once: both are scanned
-    several times by what follows.
+    The call tree comes from one ordered pass; it is written once where more than
+    one consumer scans it.
     """
 
     events: DataFrame
@@ -24,15 +25,12 @@ class TraceAnalysis:
 
     @cached_property
     def calls(self) -> DataFrame:
-        return written(ops.pair_calls(self.events), "calls")
-
-    @cached_property
-    def parents(self) -> DataFrame:
-        return ops.call_parents(self.calls)
+        """Completed calls with level, parent, self time, children and chain score."""
+        return call_tree(self.events)
 
     @cached_property
     def stats(self) -> DataFrame:
-        return written(ops.call_stats(written(self.parents, "parents")), "call-stats")
+        return written(self.calls, "call-stats")
 
     @cached_property
     def paths(self) -> DataFrame:
@@ -40,4 +38,4 @@ class TraceAnalysis:
 
     @cached_property
     def summary(self) -> DataFrame:
-        return ops.run_summary(self.calls, self.paths, self.top_k)
+        return ops.run_summary(self.stats, self.paths, self.top_k)

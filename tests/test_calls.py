@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from spanloom.operators import calls as ops
+from spanloom.operators.stacks import CHUNK, call_tree
 from spanloom.plans.traces import TraceAnalysis
 
 EVENTS = "run int, tid long, ts long, seq long, ph string, name string"
@@ -35,13 +36,12 @@ def random_trace(seed: int, calls: int = 120):
     return events, expected
 
 
-@pytest.mark.parametrize("cut", [3, 20, None])
+@pytest.mark.parametrize("cut, chunk", [(3, 1), (20, 16), (None, CHUNK)])
 @pytest.mark.parametrize("seed", [1, 5])
-def test_tree_is_rebuilt(spark, seed, cut):
+def test_tree_is_rebuilt(spark, seed, cut, chunk):
     events, expected = random_trace(seed)
     df = spark.createDataFrame(events, EVENTS)
-    calls = ops.pair_calls(df, slices=cut).cache()
-    stats = ops.call_stats(ops.call_parents(calls, slices=cut)).cache()
+    stats = call_tree(df, slices=cut, chunk=chunk).cache()
     got = {
         (r["tid"], r["call_id"]): [r["function_name"], r["parent_id"], r["level"], r["start_ts"], r["end_ts"]]
         for r in stats.collect()
@@ -54,7 +54,7 @@ def test_tree_is_rebuilt(spark, seed, cut):
     ).collect()}
     assert all(own == roots for own, roots in sums.values())
 
-    paths = ops.critical_paths(stats, 4, slices=cut).collect()
+    paths = ops.critical_paths(stats, 4).collect()
     chains = []
     for (tid, call), (name, _, _, start, _) in expected.items():
         if any(other[1] == call and t == tid for (t, _), other in expected.items()):
@@ -80,14 +80,77 @@ def test_unmatched_begin_is_dropped_and_counted(spark):
         (1, 1, 3, 3, "B", "b"),
         (1, 1, 4, 4, "E", "b"),
     ]
-    for cut in (None, 2):
+    for chunk in (CHUNK, 2):
         df = spark.createDataFrame(events, EVENTS)
-        calls = ops.pair_calls(df, slices=cut)
+        calls = call_tree(df, chunk=chunk)
         assert sorted(r["function_name"] for r in calls.collect()) == ["a", "b"]
         row = ops.unmatched_events(df, calls).head()
         assert (row["open_begins"], row["stray_ends"]) == (1, 0)
 
 
+def plain_tree(events):
+    """The same by one stack per thread, over whole lists."""
+    done, children = [], {}
+    for run, tid in sorted({(e[0], e[1]) for e in events}):
+        stack, calls = [], {}
+        for _, _, ts, seq, ph, name in sorted(e for e in events if e[:2] == (run, tid)):
+            if ph == "B":
+                stack.append(seq)
+                calls[seq] = [name, len(stack), ts, None, stack[-2] if len(stack) > 1 else None]
+            elif stack:
+                calls[stack.pop()][3] = ts
+        took = {c: v[3] - v[2] for c, v in calls.items() if v[3] is not None}
+        for call, (name, level, start, end, parent) in calls.items():
+            if end is None:
+                continue
+            inner = [took[c] for c in took if calls[c][4] == call]
+            score, at = 0, call
+            while calls[at][1] > 1:
+                score, at = score + took.get(at, 0), calls[at][4]
+            parent = parent if parent in took else None
+            own = max(0, took[call] - sum(inner))
+            done.append((tid, call, name, level, start, end, parent, own, len(inner), score))
+    return sorted(done, key=repr)
+
+
+TREE = "tid call_id function_name level start_ts end_ts parent_id self_time num_children score".split()
+
+
+@pytest.mark.parametrize("cut, chunk", [(4, 1), (3, 11), (None, CHUNK)])
+def test_torn_traces(spark, cut, chunk):
+    """Begins that never end, ends that never began, and a thread split over all slices."""
+    rng = random.Random(8)
+    events, clock = [], 0
+    for seq in range(400):
+        clock += rng.randrange(0, 3)
+        tid = 1 if rng.random() < 0.8 else None if rng.random() < 0.5 else 2
+        events.append((7, tid or 0, clock, seq, rng.choice("BE"), rng.choice("fgh")))
+    events += [(8, 5, t, t, "B", "open") for t in range(9)] + [(9, 5, t, t, "E", "stray") for t in range(9)]
+    df = spark.createDataFrame(events, EVENTS)
+    got = call_tree(df, slices=cut, chunk=chunk).where("run = 7").select(*TREE).collect()
+    assert sorted(map(tuple, got), key=repr) == plain_tree([e for e in events if e[0] == 7])
+    assert call_tree(df.where("run > 7"), slices=cut, chunk=chunk).isEmpty()
+
+
+def test_tree_of_text_keys_nulls_and_nothing(spark):
+    """Runs named by text, a thread without a number, rows that are no events, extra columns."""
+    rows = [
+        ("a", None, 1.5, 0, "B", "f", 1), ("a", None, 2.0, 1, "B", None, 1), ("a", None, None, 2, "E", "f", 1),
+        ("a", None, 2.5, 3, "X", "f", 1), ("a", None, 3.0, 4, "E", None, 1), ("a", None, 4.0, 5, "E", "f", 1),
+    ]
+    columns = "run string, tid string, ts double, seq long, ph string, name string, level int"
+    df = spark.createDataFrame(rows, columns)
+    for chunk in (1, 2, CHUNK):
+        got = sorted(map(tuple, call_tree(df, chunk=chunk).select(*TREE).collect()), key=repr)
+        assert got == [
+            (None, 0, "f", 1, 1.5, 4.0, None, 1.5, 1, 0.0),
+            (None, 1, None, 2, 2.0, 3.0, 0, 1.0, 0, 1.0),
+        ]
+        paths = ops.critical_paths(call_tree(df, chunk=chunk)).collect()
+        assert sorted(r["pos"] for r in paths) == [0, 1]
+    assert call_tree(df.limit(0)).isEmpty()
+
+
 # Durations along a recorded path, root first.
 PATH = [
     ("main", 7312000),
