@@ -282,7 +282,7 @@ def call_tree(events: DataFrame, *, slices: int | None = None, chunk: int = CHUN
     """
     folded = _folded(events, slices, chunk)
     edges = written(_settled(folded), "call-edges")
-    frames = written(_frames(edges, slices), "call-frames")
+    frames = _frames(edges, slices)
     around = frames.select(
         "frame",
         F.when(F.col("end_ts").isNotNull(), F.col("call_id")).alias("_parent"),
