@@ -279,18 +279,19 @@ def percentiles(
     value: str,
     probabilities: dict[str, float],
     *,
+    weight: str | None = None,
     slices: int | None = None,
 ) -> DataFrame:
     """Exact percentiles with linear interpolation, one row per group.
 
     Equal values are counted first; a running count then locates the two order
     statistics each percentile lies between. Nothing is buffered per group.
-    Nulls are ignored.
+    Nulls are ignored. ``weight`` names how often a row's value occurs.
     """
     counts = (
         df.where(F.col(value).isNotNull())
         .groupBy(*by, F.col(value).cast("double").alias("_x"))
-        .agg(F.count(F.lit(1)).alias("_count"))
+        .agg((F.sum(weight) if weight else F.count(F.lit(1))).alias("_count"))
     )
     sizes = counts.groupBy(*by).agg(F.sum("_count").alias("_n"))
     upto = running_sum(counts, by, ["_x"], "_count", "_upto", slices=slices)

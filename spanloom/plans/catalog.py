@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from . import (  # noqa: F401
     queries_groups,
+    queries_increments,
     queries_native,
     queries_ranking,
     queries_regression,

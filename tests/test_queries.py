@@ -8,6 +8,7 @@ from compare import DATA, difference
 from spanloom.plans import (
     catalog,
     queries_groups,
+    queries_increments,
     queries_ranking,
     queries_regression,
     queries_runs,
@@ -37,6 +38,7 @@ def shared_steps():
     patch.setattr(queries_sources, "ranking_analysis", ranking)
     patch.setattr(queries_regression, "analysis", regression)
     patch.setattr(queries_runs, "regression_analysis", regression)
+    patch.setattr(queries_increments, "store", once(queries_increments.store))
     patch.setattr(queries_traces, "analysis", once(queries_traces.analysis))
     features = once(queries_traces.event_path_features)
     patch.setattr(queries_traces, "event_path_features", features)
