@@ -6,12 +6,10 @@ baseline runs or their models.
 
 from __future__ import annotations
 
-import hashlib
 import math
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.units import unit_interval
 from .baseline import RESOURCES, RUN
@@ -55,88 +53,95 @@ def resource_threshold(runs: DataFrame, model: DataFrame) -> DataFrame:
 
 
 def _numeric(runs: DataFrame, columns: list[str]) -> DataFrame:
-    return runs.select(
-        *RUN,
-        F.array(*[F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in columns]).alias("x"),
-    )
+    """Feature vectors; fractions to ten decimals, so that no order of summing moves a cut."""
+    types = dict(runs.dtypes)
+    values = [
+        F.round(c, 10) if types[c] in ("double", "float") else F.col(c).cast("double")
+        for c in columns
+    ]
+    return runs.select(*RUN, F.array(*[F.coalesce(v, F.lit(0.0)) for v in values]).alias("x"))
 
 
 def _key() -> Column:
     return F.concat_ws("_", *[F.col(c).cast("string") for c in RUN])
 
 
-def _average_depth(n: np.ndarray | float) -> np.ndarray:
+def _average_depth(n: Column) -> Column:
     """Mean depth of an unsuccessful search in a binary tree of n items."""
-    n = np.asarray(n, dtype=float)
-    safe = np.maximum(n, 2.0)
-    large = 2.0 * (np.log(safe - 1.0) + EULER_GAMMA) - 2.0 * (safe - 1.0) / safe
-    return np.where(n > 2, large, np.where(n == 2, 1.0, 0.0))
-
-
-def _grow_tree(sample: pd.DataFrame) -> pd.DataFrame:
-    """One isolation tree over at most a few hundred rows."""
-    program, tree = sample["program"].iloc[0], int(sample["tree"].iloc[0])
-    rows = np.stack(sample.sort_values("_r")["x"].to_numpy())
-    digest = hashlib.md5(f"{program}|{tree}|{sample['seed'].iloc[0]}".encode()).digest()
-    rng = np.random.default_rng(int.from_bytes(digest[:8], "big"))
-    limit = math.ceil(math.log2(max(len(rows), 2)))
-    feature, split, left, right, depth = [], [], [], [], []
-
-    def grow(index: np.ndarray, level: int) -> int:
-        node = len(feature)
-        for column in (feature, split, left, right, depth):
-            column.append(-1)
-        part = rows[index]
-        low, high = part.min(axis=0), part.max(axis=0)
-        usable = np.flatnonzero(high > low)
-        if level >= limit or len(index) <= 1 or len(usable) == 0:
-            depth[node] = float(level + _average_depth(len(index)))
-            return node
-        chosen = int(rng.choice(usable))
-        cut = float(rng.uniform(low[chosen], high[chosen]))
-        below = part[:, chosen] <= cut
-        feature[node], split[node], depth[node] = chosen, cut, 0.0
-        left[node] = grow(index[below], level + 1)
-        right[node] = grow(index[~below], level + 1)
-        return node
-
-    grow(np.arange(len(rows)), 0)
-    return pd.DataFrame(
-        {
-            "program": [program],
-            "tree": [tree],
-            "rows": [len(rows)],
-            "feature": [feature],
-            "split": [[float(v) for v in split]],
-            "left": [left],
-            "right": [right],
-            "depth": [[float(v) for v in depth]],
-        }
+    large = 2 * (F.log(n - 1) + F.lit(EULER_GAMMA)) - 2 * (n - 1) / n
+    return F.when(n > 2, large).when(n == 2, F.lit(1.0)).otherwise(F.lit(0.0))
+
+
+def _draw(seed: int, purpose: str) -> Column:
+    """Number in [0, 1) fixed by program, tree and node."""
+    return unit_interval(F.concat_ws("|", F.lit(seed), "program", "tree", "node", F.lit(purpose)))
+
+
+def grow_trees(samples: DataFrame, dim: int, *, levels: int, seed: int = 42) -> DataFrame:
+    """Isolation trees from ``(program, tree, rows, x)``, one row per tree node.
+
+    All trees grow a level at a time: a window over the rows of a node finds the
+    span of every feature, and hashes of program, tree and node pick one that
+    varies and a cut inside its span. Nodes are numbered as in a heap (root 1,
+    children 2n and 2n + 1); a level splits while its width is below the tree's
+    ``rows``. Rows are dealt by tree once and every window keeps that, so a
+    forest takes one shuffle. Inner nodes have ``feature`` and ``cut``; leaves
+    have feature -1 and their depth in millionths as ``cut``.
+    """
+    node = Window.partitionBy("program", "tree", "node")
+    grown = samples.repartition("program", "tree").withColumn("node", F.lit(1))
+    passed = []
+    for level in range(levels):
+        spans = F.array(
+            *[
+                F.struct(
+                    F.lit(i).alias("feature"),
+                    F.min(F.get("x", F.lit(i))).over(node).alias("low"),
+                    F.max(F.get("x", F.lit(i))).over(node).alias("high"),
+                )
+                for i in range(dim)
+            ]
+        )
+        grown = grown.withColumn("_varied", F.filter(spans, lambda s: s["high"] > s["low"]))
+        place = F.floor(_draw(seed, "feature") * F.size("_varied")).cast("int")
+        inside = F.when(F.lit(2**level) < F.col("rows"), F.get("_varied", place))
+        grown = grown.withColumn("_span", inside)
+        low, high = F.col("_span.low"), F.col("_span.high")
+        cut = low + (high - low) * _draw(seed, "cut")
+        # between neighbouring doubles a cut may round up to the higher one
+        cut = F.when(cut < high, cut).otherwise(low)
+        split = F.struct(F.col("node"), F.col("_span.feature").alias("feature"), cut.alias("cut"))
+        passed.append(f"_split{level}")
+        grown = grown.withColumn(passed[-1], F.when(F.col("_span").isNotNull(), split))
+        above = F.get("x", F.col(f"{passed[-1]}.feature")) > F.col(f"{passed[-1]}.cut")
+        child = F.col("node") * 2 + above.cast("int")
+        grown = grown.withColumn("node", F.coalesce(child, "node")).drop("_varied", "_span")
+    depth = F.floor(F.log2("node") + 1e-9) + _average_depth(F.count(F.lit(1)).over(node))
+    leaf = F.struct(F.col("node"), F.lit(-1).alias("feature"), F.round(depth * 1e6).alias("cut"))
+    grown = grown.withColumn("_leaf", leaf)
+    return (
+        grown.select("program", "tree", "rows", F.inline(F.array_compact(F.array(*passed, "_leaf"))))
+        .groupBy("program", "tree", "node")
+        .agg(*[F.first(c).alias(c) for c in ("rows", "feature", "cut")])
     )
 
 
-def _score_chunk(chunk: pd.DataFrame, trees: pd.DataFrame) -> pd.DataFrame:
-    """Anomaly score of a bounded chunk of runs against all trees of its program."""
-    if chunk.empty or trees.empty:
-        return chunk[[*RUN, "_base"]].assign(score=0.0)
-    x = np.stack(chunk["x"].to_numpy())
-    place = np.arange(len(x))
-    total = np.zeros(len(x))
-    for tree in trees.sort_values("tree").itertuples():
-        feature, split = np.asarray(tree.feature), np.asarray(tree.split)
-        left, right = np.asarray(tree.left), np.asarray(tree.right)
-        node = np.zeros(len(x), dtype=int)
-        while True:
-            inner = feature[node] >= 0
-            if not inner.any():
-                break
-            here = node[inner]
-            below = x[place[inner], feature[here]] <= split[here]
-            node[inner] = np.where(below, left[here], right[here])
-        total += np.asarray(tree.depth)[node]
-    typical = float(_average_depth(float(trees["rows"].iloc[0])))
-    score = 2.0 ** (-(total / len(trees)) / max(typical, 1e-12))
-    return chunk[[*RUN, "_base"]].assign(score=score)
+def _fall(trees: Column, levels: int) -> Column:
+    """Summed leaf depths, in millionths, of the row's ``x`` in an array of trees."""
+
+    def step(tree: Column, node: Column) -> Column:
+        feature = F.get(tree["feature"], node)
+        above = F.get("x", feature) > F.get(tree["cut"], node)
+        return F.when(feature < 0, node).otherwise(node * 2 + above.cast("int"))
+
+    def reached(tree: Column) -> Column:
+        return F.aggregate(
+            F.sequence(F.lit(1), F.lit(levels)), F.lit(1), lambda node, _: step(tree, node)
+        )
+
+    return F.aggregate(
+        trees, F.lit(0.0), lambda total, tree: total + F.get(tree["cut"], reached(tree))
+    )
 
 
 def isolation_forest(
@@ -150,17 +155,21 @@ def isolation_forest(
     sample: int = 256,
     seed: int = 42,
     at_least: int = 10,
-    chunk_rows: int = 50_000,
+    block: int = 10,
     slices: int | None = None,
 ) -> DataFrame:
     """Isolation forest per program, flagging the top share of baseline scores.
 
     Trees are grown on samples of ``sample`` runs: a hash of the run picks a
     pool of about ``trees * sample`` and tree t takes its own stretch of it
-    (wrapping round a small pool), so each tree is one small group. Scoring
-    salts a program into chunks of bounded size and meets the program's trees by
-    a grouped join per chunk; no model is broadcast.
+    (wrapping round a small pool). A tree is two arrays over its heap numbers,
+    at most four times ``sample`` long. Runs meet the trees in blocks of
+    ``block``, joined on program and block, so a program with most of the runs
+    is spread over its blocks and no row holds a whole forest; depths are whole
+    millionths, whose sums do not depend on order. Nulls count as 0; programs
+    with fewer than ``at_least`` baseline runs have no forest and no flags.
     """
+    levels = math.ceil(math.log2(max(sample, 2)))
     sizes = baseline.groupBy("program").agg(F.count(F.lit(1)).alias("_n")).where(
         F.col("_n") >= at_least
     )
@@ -179,14 +188,22 @@ def isolation_forest(
         F.sequence(F.lit(0), F.lit(trees - 1)),
         lambda t: F.pmod(F.col("_r") - t * sample, F.col("_pool")) < sample,
     )
-    samples = (
-        pool.join(pool_sizes, "program")
-        .select("program", "x", "_r", F.lit(seed).alias("seed"), F.explode(stretch).alias("tree"))
+    samples = pool.join(pool_sizes, "program").select(
+        "program",
+        "x",
+        F.least(F.col("_pool"), F.lit(sample)).alias("rows"),
+        F.explode(stretch).alias("tree"),
     )
-    forest = samples.groupBy("program", "tree").applyInPandas(
-        _grow_tree,
-        "program string, tree int, rows int, feature array<int>, split array<double>, "
-        "left array<int>, right array<int>, depth array<double>",
+    nodes = grow_trees(samples, len(columns), levels=levels, seed=seed)
+    entries = F.map_from_entries(F.collect_list(F.struct("node", F.struct("feature", "cut"))))
+    numbers = F.sequence(F.lit(0), F.lit(2 ** (levels + 1) - 1))
+    forest = (
+        nodes.groupBy("program", "tree")
+        .agg(F.first("rows").alias("rows"), entries.alias("_nodes"))
+        .withColumn("_dense", F.transform(numbers, lambda n: F.try_element_at("_nodes", n)))
+        .withColumn("_tree", F.struct(F.col("_dense.feature").alias("feature"), F.col("_dense.cut").alias("cut")))
+        .groupBy("program", F.floor(F.col("tree") / block).cast("int").alias("_block"))
+        .agg(F.first("rows").alias("rows"), F.collect_list("_tree").alias("_trees"))
     )
 
     everything = (
@@ -194,24 +211,18 @@ def isolation_forest(
         .withColumn("_base", F.lit(True))
         .unionByName(_numeric(runs, columns).withColumn("_base", F.lit(False)))
     )
-    chunks = everything.groupBy("program").agg(
-        F.ceil(F.count(F.lit(1)) / F.lit(chunk_rows)).cast("int").alias("_chunks")
-    )
-    salted = everything.join(chunks, "program").withColumn(
-        "_salt", F.pmod(F.xxhash64(*RUN), F.col("_chunks")).cast("int")
-    )
-    spread = forest.join(chunks, "program").withColumn(
-        "_salt", F.explode(F.sequence(F.lit(0), F.col("_chunks") - 1))
-    )
-    run_types = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in salted.select(*RUN).schema)
-    scored = (
-        salted.select(*RUN, "_base", "x", "_salt")
-        .groupBy("program", "_salt")
-        .cogroup(spread.groupBy("program", "_salt"))
-        .applyInPandas(_score_chunk, f"{run_types}, _base boolean, score double")
+    blocks = F.sequence(F.lit(0), F.lit((trees - 1) // block))
+    fallen = (
+        everything.withColumn("_block", F.explode(blocks))
+        .join(forest, ["program", "_block"])
+        .select(*RUN, "_base", "rows", _fall(F.col("_trees"), levels).alias("_depth"))
     )
+    mean = F.sum("_depth") / F.lit(trees * 1e6)
+    score = F.pow(F.lit(2.0), -mean / _average_depth(F.first("rows")))
     # Read by the cut and by the flags; growing and scoring should happen once.
-    scored = written(scored, "isolation-scores")
+    scored = written(
+        fallen.groupBy(*RUN, "_base").agg(F.round(score, 9).alias("score")), "isolation-scores"
+    )
     cut = percentiles(
         scored.where("_base").select("program", "score"),
         ["program"],
@@ -219,12 +230,9 @@ def isolation_forest(
         {"_cut": 1 - contamination},
         slices=slices,
     )
-    judged = (
-        scored.where(~F.col("_base"))
-        .join(cut, "program", "left")
-        .join(sizes.select("program", F.lit(True).alias("_enough")), "program", "left")
-    )
-    return _flag(judged, name, F.col("_enough") & (F.col("score") > F.col("_cut")))
+    mine = scored.where(~F.col("_base")).select(*RUN, "score")
+    judged = runs.select(*RUN).join(mine, RUN, "left").join(cut, "program", "left")
+    return _flag(judged, name, F.col("score") > F.round("_cut", 9))
 
 
 def kernel_frequencies(dim: int, count: int, seed: int = 42) -> list[list[float]]:

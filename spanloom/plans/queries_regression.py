@@ -288,12 +288,14 @@ def detector_resource_threshold(t: Tables) -> DataFrame:
     return detectors.resource_threshold(flow.judged, flow.resources)
 
 
-@query("h25_isolation_forest", FLAG)
+@query("h25_isolation_forest", FLAG, "SELECT *, 'isolation_forest' AS detector FROM t5_flags")
 def isolation_forest(t: Tables) -> DataFrame:
     return analysis(t).forest(detectors.PATH_FEATURES, "isolation_forest")
 
 
-@query("h25_isolation_forest_resource_only", FLAG)
+@query(
+    "h25_isolation_forest_resource_only", FLAG, "SELECT *, 'resource_only_isolation_forest' AS detector FROM t6_flags"
+)
 def isolation_forest_resource_only(t: Tables) -> DataFrame:
     return analysis(t).forest(detectors.RESOURCE_ONLY, "resource_only_isolation_forest")
 
@@ -310,16 +312,21 @@ def one_class_resource_only(t: Tables) -> DataFrame:
 
 _FLAGS_SQL = f"""(SELECT * FROM d_plain UNION ALL SELECT {RUN_SQL}, 'one_class', flagged FROM k5_flags
     UNION ALL SELECT {RUN_SQL}, 'resource_only_one_class', flagged FROM k6_flags)"""
+_ALL_FLAGS_SQL = f"""(SELECT * FROM {_FLAGS_SQL} e UNION ALL SELECT {RUN_SQL}, 'isolation_forest', flagged FROM t5_flags
+    UNION ALL SELECT {RUN_SQL}, 'resource_only_isolation_forest', flagged FROM t6_flags)"""
 _FLAGGED = _COUNTS_SQL.format(f="flagged")
 _COMPARE_SQL = f"""SELECT detector, {_RATES_SQL}, CASE WHEN (true_positives + false_negatives) * (true_negatives + false_positives) > 0
     THEN (true_positives / (true_positives + false_negatives) + true_negatives / (true_negatives + false_positives)) / 2 ELSE 0 END AS auc,
-    CASE WHEN detector IN ('threshold', 'statistical_control') THEN 1 WHEN detector = 'one_class' THEN 5 ELSE 6 END AS num_features,
+    CASE WHEN detector IN ('threshold', 'statistical_control') THEN 1 WHEN detector IN ('one_class', 'isolation_forest') THEN 5 ELSE 6 END AS num_features,
     NOT starts_with(detector, 'resource_only') AS uses_critical_paths
     FROM (SELECT detector, {_FLAGGED} FROM {_FLAGS_SQL} f GROUP BY 1) c"""
 
 
+_COMPARE_ALL_SQL = _COMPARE_SQL.replace(_FLAGS_SQL, _ALL_FLAGS_SQL)
+
+
 def exact_flags(flow: Regression) -> DataFrame:
-    """The detectors that SQL can repeat; the full set is in ``h27_compare_all``."""
+    """The detectors without trees; the full set is in ``h27_compare_all``."""
     return written(flow.exact_flags, "flags")
 
 
@@ -331,7 +338,7 @@ def compare_detectors(t: Tables) -> DataFrame:
     return evaluation.compare_detectors(exact_flags(analysis(t)))
 
 
-@query("h27_compare_all", COMPARED)
+@query("h27_compare_all", COMPARED, _COMPARE_ALL_SQL)
 def compare_all(t: Tables) -> DataFrame:
     return analysis(t).comparison
 
@@ -342,22 +349,19 @@ _GAINS = ", ".join(
 )
 
 
-@query(
-    "h28_path_benefit",
-    "rival detector ~rival_f1 ~own_f1 ~f1_score_gain_pct ~precision_gain_pct ~recall_gain_pct",
-)
+_BENEFIT_SQL = f"""SELECT CASE WHEN uses_critical_paths THEN 'best_path_based' ELSE 'best_resource_only' END AS rival, detector, r.f1_score AS rival_f1,
+    o.f1_score AS own_f1, {_GAINS}
+    FROM (SELECT *, row_number() OVER (PARTITION BY uses_critical_paths ORDER BY round(f1_score, 9) DESC, detector) AS place FROM ({{compared}}) q) r,
+         (SELECT {_RATES_SQL} FROM (SELECT {_DETECTED} FROM s_scores) c) o WHERE place = 1"""
+BENEFIT = "rival detector ~rival_f1 ~own_f1 ~f1_score_gain_pct ~precision_gain_pct ~recall_gain_pct"
+
+
+@query("h28_path_benefit", BENEFIT, _BENEFIT_SQL.format(compared=_COMPARE_ALL_SQL))
 def path_benefit_all(t: Tables) -> DataFrame:
     return analysis(t).benefit
 
 
-@query(
-    "h28_path_benefit_exact",
-    "rival detector ~rival_f1 ~own_f1 ~f1_score_gain_pct ~precision_gain_pct ~recall_gain_pct",
-    f"""SELECT CASE WHEN uses_critical_paths THEN 'best_path_based' ELSE 'best_resource_only' END AS rival, detector, r.f1_score AS rival_f1,
-    o.f1_score AS own_f1, {_GAINS}
-    FROM (SELECT *, row_number() OVER (PARTITION BY uses_critical_paths ORDER BY round(f1_score, 9) DESC, detector) AS place FROM ({_COMPARE_SQL}) q) r,
-         (SELECT {_RATES_SQL} FROM (SELECT {_DETECTED} FROM s_scores) c) o WHERE place = 1""",
-)
+@query("h28_path_benefit_exact", BENEFIT, _BENEFIT_SQL.format(compared=_COMPARE_SQL))
 def path_benefit(t: Tables) -> DataFrame:
     flow = analysis(t)
     return evaluation.path_benefit(flow.quality, evaluation.compare_detectors(exact_flags(flow)))

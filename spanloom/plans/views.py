@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import re
 
-from ..operators.detectors import PATH_FEATURES, RESOURCE_ONLY, kernel_frequencies
+from ..operators.detectors import EULER_GAMMA, PATH_FEATURES, RESOURCE_ONLY, kernel_frequencies
 from .bindings import HOUR_NS, PROGRAMS, REGRESSION_TYPES, SPAN, WEEK_NS
 
 RUN = "program, input_id, iteration, is_regression"
@@ -386,6 +386,60 @@ LEFT JOIN (SELECT program, quantile_cont(score, 0.1) AS cut FROM {prefix}_base_s
 _kernel_views("k5", PATH_FEATURES)
 _kernel_views("k6", RESOURCE_ONLY)
 
+
+
+def _forest_views(
+    prefix: str, columns: list[str], trees: int = 100, sample: int = 256, seed: int = 42
+) -> None:
+    """Isolation trees, one view per level for their nodes and for the rows that fall."""
+    key, tree = f"concat_ws('_', {RUN})", "program, tree, node"
+    values = ", ".join(
+        f"coalesce({c}, 0)::DOUBLE" if c.startswith("path_") else f"coalesce(round({c}::DOUBLE, 10), 0)" for c in columns
+    )
+
+    def unit(text: str) -> str:
+        return f"(CAST('0x' || right(md5({text}), 8) AS BIGINT) / 4294967296.0::DOUBLE)"
+
+    def draw(purpose: str) -> str:
+        return unit(f"concat_ws('|', {seed}, {tree}, '{purpose}')")
+
+    def depth(n: str) -> str:
+        return f"CASE WHEN {n} > 2 THEN 2 * (ln({n} - 1) + {EULER_GAMMA}::DOUBLE) - 2 * ({n} - 1) / {n} WHEN {n} = 2 THEN 1 ELSE 0 END"
+
+    drawn = f"concat_ws('|', {seed}, {key})"
+    VIEWS[f"{prefix}_pool"] = f"""
+SELECT program, [{values}] AS x, row_number() OVER (PARTITION BY program ORDER BY md5({drawn})) - 1 AS r, count(*) OVER (PARTITION BY program) AS pool
+FROM h_base JOIN (SELECT program, count(*) AS n FROM h_base GROUP BY 1 HAVING count(*) >= 10) s USING (program) WHERE {unit(drawn)} < {trees * sample}::DOUBLE / n"""
+    VIEWS[f"{prefix}_grown0"] = f"""
+SELECT program, x, least(pool, {sample}) AS rows, tree, 1 AS node FROM {prefix}_pool, (SELECT unnest(range({trees})) AS tree) t
+WHERE ((r - tree * {sample}) % pool + pool) % pool < {sample}"""
+    VIEWS[f"{prefix}_fallen0"] = f"""
+SELECT {RUN}, base, x, tree, 1 AS node FROM (SELECT {RUN}, true AS base, [{values}] AS x FROM h_base
+  UNION ALL SELECT {RUN}, false, [{values}] FROM h_judged) e, (SELECT unnest(range({trees})) AS tree) t"""
+    levels = (sample - 1).bit_length()
+    for level in range(levels):
+        VIEWS[f"{prefix}_nodes{level}"] = f"""
+SELECT {tree}, i AS feature, CASE WHEN low + (high - low) * {draw('cut')} < high THEN low + (high - low) * {draw('cut')} ELSE low END AS cut FROM
+ (SELECT *, row_number() OVER (PARTITION BY {tree} ORDER BY i) - 1 AS place, count(*) OVER (PARTITION BY {tree}) AS varied FROM
+   (SELECT {tree}, i, min(x[i]) AS low, max(x[i]) AS high FROM {prefix}_grown{level}, (SELECT unnest(range(1, {len(columns) + 1})) AS i) f
+    WHERE {2**level} < rows GROUP BY {tree}, i HAVING max(x[i]) > min(x[i])) s) p WHERE place = floor({draw('feature')} * varied)"""
+        for kind in ("grown", "fallen"):
+            VIEWS[f"{prefix}_{kind}{level + 1}"] = f"""
+SELECT r.* REPLACE (CASE WHEN cut IS NULL THEN node ELSE 2 * node + CAST(x[feature] > cut AS INTEGER) END AS node)
+FROM {prefix}_{kind}{level} r LEFT JOIN {prefix}_nodes{level} USING ({tree})"""
+    VIEWS[f"{prefix}_leaves"] = f"""
+SELECT {tree}, max(rows) AS rows, round((length(bin(node)) - 1 + {depth('count(*)')}) * 1e6) AS depth FROM {prefix}_grown{levels} GROUP BY {tree}"""
+    VIEWS[f"{prefix}_scores"] = f"""
+SELECT {RUN}, base, round(pow(2, -(sum(depth) / {trees} / 1e6) / ({depth('max(rows)')})), 9) AS score FROM {prefix}_fallen{levels} JOIN {prefix}_leaves USING ({tree})
+GROUP BY {RUN}, base"""
+    VIEWS[f"{prefix}_flags"] = f"""
+SELECT {RUN}, coalesce(score > round(edge, 9), false) AS flagged FROM h_judged LEFT JOIN (SELECT * FROM {prefix}_scores WHERE NOT base) s USING ({RUN})
+LEFT JOIN (SELECT program, quantile_cont(score, 0.9) AS edge FROM {prefix}_scores WHERE base GROUP BY 1) q USING (program)"""
+
+
+_forest_views("t5", PATH_FEATURES)
+_forest_views("t6", RESOURCE_ONLY)
+
 # --- vectors -------------------------------------------------------------------------
 
 VIEWS["g_rows"] = """

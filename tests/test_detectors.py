@@ -21,29 +21,62 @@ def data(spark):
     return spark.createDataFrame(base, SCHEMA).cache(), spark.createDataFrame(judged, SCHEMA).cache()
 
 
-@pytest.mark.parametrize("chunk", [50, 50_000])
-def test_isolation_forest(data, chunk):
+@pytest.mark.parametrize("block", [7, 50])
+def test_isolation_forest(data, block):
     base, judged = data
-    flags = detectors.isolation_forest(base, judged, ["a", "b"], "f", trees=40, sample=64, chunk_rows=chunk)
+    flags = detectors.isolation_forest(base, judged, ["a", "b"], "f", trees=40, sample=64, block=block)
     got = {r["input_id"]: r["flagged"] for r in flags.collect()}
     assert len(got) == 202 and got[2000] and not got[5000]
     assert 0.04 < sum(got.values()) / 200 < 0.2
 
 
-def test_chunks_do_not_change_scores(data):
+def test_blocks_do_not_change_scores(data):
     base, judged = data
     few, many = (
         {
             r["input_id"]: r["flagged"]
             for r in detectors.isolation_forest(
-                base, judged, ["a", "b"], "f", trees=20, sample=32, chunk_rows=chunk
+                base, judged, ["a", "b"], "f", trees=20, sample=32, block=block
             ).collect()
         }
-        for chunk in (30, 10_000)
+        for block in (3, 20)
     )
     assert few == many
 
 
+def test_trees_split_as_a_walk_over_their_rows_says(spark):
+    rng = random.Random(5)
+    rows = [("p", t, 20, [float(rng.randint(0, 6)), 3.0, rng.random()]) for t in range(3) for _ in range(20)]
+    rows += [("q", 0, 2, [1.0, 1.0, 1.0])] * 2
+    samples = spark.createDataFrame(rows, "program string, tree int, rows long, x array<double>")
+    grown = {}
+    for r in detectors.grow_trees(samples, 3, levels=5).collect():
+        grown[r["program"], r["tree"], r["node"]] = (r["feature"], r["cut"])
+
+    def depth(n):
+        return 2 * (math.log(n - 1) + detectors.EULER_GAMMA) - 2 * (n - 1) / n if n > 2 else float(n == 2)
+
+    def walk(program, tree, node, level, part):
+        feature, cut = grown.pop((program, tree, node))
+        varied = [i for i in range(3) if len({x[i] for x in part}) > 1]
+        if level == 5 or 2**level >= len([r for r in rows if r[:2] == (program, tree)]) or not varied:
+            assert (feature, cut) == (-1, round((level + depth(len(part))) * 1e6))
+            return
+        assert feature in varied and min(x[feature] for x in part) <= cut < max(x[feature] for x in part)
+        walk(program, tree, 2 * node, level + 1, [x for x in part if x[feature] <= cut])
+        walk(program, tree, 2 * node + 1, level + 1, [x for x in part if x[feature] > cut])
+
+    for program, tree in (("p", 0), ("p", 1), ("p", 2), ("q", 0)):
+        walk(program, tree, 1, 0, [r[3] for r in rows if r[:2] == (program, tree)])
+    assert not grown
+
+
+def test_trees_grow_in_one_shuffle(spark):
+    samples = spark.createDataFrame([("p", 0, 2, [1.0])], "program string, tree int, rows long, x array<double>")
+    plan = detectors.grow_trees(samples, 1, levels=8)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "Python" not in plan
+
+
 def test_one_class(data):
     base, judged = data
     flags = detectors.one_class_kernel(base, judged, ["a", "b"], "o", frequencies=64)
