@@ -165,6 +165,30 @@ def archetype_purity(
     )
 
 
+def purity_euclidean(distances: DataFrame, label: str = "archetype") -> DataFrame:
+    """1 - mean Euclidean distance within the cluster / mean distance overall.
+
+    From ``cluster_distances``: over all rows and all pairs, none of them formed.
+    """
+    total = F.aggregate("distances", F.lit(0.0), lambda t, c: t + c["total"])
+    own = F.get(F.filter("distances", lambda c: c["id"] == F.col(label)), F.lit(0))
+    pairs = F.count(F.lit(1)).cast("double") * F.greatest(F.count(F.lit(1)) - 1, F.lit(1))
+    overall = distances.agg(F.sum(total) / pairs).scalar()
+    return (
+        distances.groupBy(label)
+        .agg(F.count(F.lit(1)).alias("size"), (F.sum(own["total"]) / pairs).alias("_inner"))
+        .withColumn("_all", overall)
+        .select(
+            label,
+            "size",
+            F.when(F.col("size") <= 1, F.lit(1.0))
+            .when(F.col("_all") > 0, 1 - F.col("_inner") / F.col("_all"))
+            .otherwise(F.lit(0.0))
+            .alias("purity"),
+        )
+    )
+
+
 def cross_program_archetypes(df: DataFrame, label: str = "archetype") -> DataFrame:
     """Archetypes in more than one program, with their share of all programs."""
     everyone = df.agg(F.count_distinct("program")).scalar()

@@ -106,6 +106,35 @@ def running_sum(
     ).drop("_slice")
 
 
+def running_sums(
+    df: DataFrame,
+    by: Sequence[str],
+    order: Sequence[str],
+    values: dict[str, Column],
+    *,
+    slices: int | None = None,
+) -> DataFrame:
+    """Several inclusive running sums in one ordered scan; values must not be null."""
+    names = list(values)
+    dealt = df.withColumns({f"_value_{n}": c for n, c in values.items()})
+    sliced = _sliced(dealt, by, order, slices)
+    before = (
+        sliced.groupBy(*by, "_slice")
+        .agg(*[F.sum(f"_value_{n}").alias(f"_total_{n}") for n in names])
+        .select(*by, "_slice", *[F.sum(f"_total_{n}").over(_earlier(by)).alias(f"_before_{n}") for n in names])
+        .where(F.col(f"_before_{names[0]}").isNotNull())
+    )
+    within = Window.partitionBy(*by, "_slice").orderBy(*order)
+    upto = within.rowsBetween(Window.unboundedPreceding, 0)
+    local = sliced.select(
+        *df.columns, "_slice", *[F.sum(f"_value_{n}").over(upto).alias(f"_local_{n}") for n in names]
+    )
+    totals = [
+        (F.col(f"_local_{n}") + F.coalesce(F.col(f"_before_{n}"), F.lit(0))).alias(n) for n in names
+    ]
+    return _carried(local, before, by).select(*df.columns, *totals)
+
+
 def ranked(
     df: DataFrame,
     by: Sequence[str],

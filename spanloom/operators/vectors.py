@@ -8,14 +8,20 @@ joined, crossed or paired with another.
 
 from __future__ import annotations
 
+import json
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from .ordered import running_sums
 from .storage import written
 
+# Clusters a distance table has columns for.
+MOST_CLUSTERS = 64
+
 
 def mean_vector(column: str, dim: int) -> Column:
     return F.array(*[F.avg(F.get(column, F.lit(i))) for i in range(dim)])
@@ -142,6 +148,98 @@ def silhouette(df: DataFrame, dim: int, column: str = "z", label: str = "archety
     return score.agg(F.avg("_s").alias("silhouette_sq"), F.count(F.lit(1)).alias("n"))
 
 
+def directions(dim: int, count: int, seed: int = 42) -> list[list[float]]:
+    """Random unit vectors, in orthogonal frames of ``dim`` at a time."""
+    rng = np.random.default_rng(seed)
+    frames = [np.linalg.qr(rng.normal(size=(dim, dim)))[0] for _ in range(-(-count // dim))]
+    return [[round(float(v), 6) for v in row] for row in np.concatenate(frames)[:count]]
+
+
+def mean_projection(dim: int) -> float:
+    """Mean length of a unit vector's projection on a random direction."""
+    return math.exp(math.lgamma(dim / 2) - math.lgamma((dim + 1) / 2)) / math.sqrt(math.pi)
+
+
+def cluster_distances(
+    df: DataFrame,
+    dim: int,
+    key: list[str],
+    column: str = "z",
+    label: str = "archetype",
+    *,
+    count: int = 64,
+    seed: int = 42,
+    slices: int | None = None,
+) -> DataFrame:
+    """Per row ``distances(id, n, total)``: summed Euclidean distance to each cluster.
+
+    A distance is its mean projection on random directions, over what a unit
+    vector projects to on average. Along one direction the differences to all
+    rows of a cluster follow from how many lie below and their sum, so one
+    ordered scan of all projections serves all rows and clusters: ``n log n``
+    work for every row, no pairs and no sample. ``key`` must be unique. Rows
+    without label or vector are left out; more than 64 clusters are an error.
+    """
+    rows = df.where(F.col(label).isNotNull() & F.col(column).isNotNull())
+    sizes = rows.groupBy(F.col(label).alias("id")).agg(F.count(F.lit(1)).alias("n"))
+    clusters = [(r["id"], r["n"]) for r in sizes.orderBy("id").limit(MOST_CLUSTERS + 1).collect()]
+    if len(clusters) > MOST_CLUSTERS:
+        raise ValueError(f"more than {MOST_CLUSTERS} clusters")
+    if not clusters:
+        kind = f"array<struct<id:{dict(rows.dtypes)[label]},n:bigint,total:double>>"
+        return rows.select(*key, label, F.array().cast(kind).alias("distances"))
+    axes = F.from_json(F.lit(json.dumps(directions(dim, count, seed))), "array<array<double>>")
+    projected = rows.select(
+        *key,
+        F.col(label).alias("_label"),
+        F.posexplode(F.transform(axes, lambda axis: dot(axis, F.col(column)))).alias("_axis", "_p"),
+    )
+    inside = [F.col("_label") == F.lit(c) for c, _ in clusters]
+    values = {}
+    for j, mine in enumerate(inside):
+        values[f"_n{j}"] = F.when(mine, F.lit(1)).otherwise(F.lit(0)).cast("long")
+        values[f"_s{j}"] = F.when(mine, F.col("_p")).otherwise(F.lit(0.0))
+    upto = running_sums(projected, ["_axis"], ["_p", *key], values, slices=slices)
+    sums = projected.groupBy("_axis").agg(
+        *[F.sum(values[f"_s{j}"]).alias(f"_all{j}") for j in range(len(clusters))]
+    )
+    # one row per direction
+    joined = upto.join(F.broadcast(sums), "_axis")
+    apart = [
+        F.col("_p") * (2 * F.col(f"_n{j}") - F.lit(n)) - 2 * F.col(f"_s{j}") + F.col(f"_all{j}")
+        for j, (_, n) in enumerate(clusters)
+    ]
+    scale = F.lit(1 / (count * mean_projection(dim)))
+    totals = joined.groupBy(*key, F.col("_label").alias(label)).agg(
+        *[(F.sum(a) * scale).alias(f"_t{j}") for j, a in enumerate(apart)]
+    )
+    entries = [
+        F.struct(F.lit(c).alias("id"), F.lit(n).alias("n"), F.col(f"_t{j}").alias("total"))
+        for j, (c, n) in enumerate(clusters)
+    ]
+    return totals.select(*key, label, F.array(*entries).alias("distances"))
+
+
+def silhouette_euclidean(distances: DataFrame, label: str = "archetype") -> DataFrame:
+    """Mean silhouette under Euclidean distance from ``cluster_distances``.
+
+    A row alone in its cluster scores 0, as do all rows of a single cluster.
+    """
+    own = F.get(F.filter("distances", lambda c: c["id"] == F.col(label)), F.lit(0))
+    others = F.transform(
+        F.filter("distances", lambda c: c["id"] != F.col(label)), lambda c: c["total"] / c["n"]
+    )
+    scored = distances.withColumns({"_own": own, "_b": F.array_min(others)}).withColumn(
+        "_a", F.when(F.col("_own.n") > 1, F.col("_own.total") / (F.col("_own.n") - 1))
+    )
+    widest = F.greatest("_a", "_b")
+    score = F.when(
+        F.col("_a").isNotNull() & F.col("_b").isNotNull() & (widest > 0),
+        (F.col("_b") - F.col("_a")) / widest,
+    ).otherwise(F.lit(0.0))
+    return scored.agg(F.avg(score).alias("silhouette"), F.count(F.lit(1)).alias("n"))
+
+
 def cluster_spread(df: DataFrame, dim: int, column: str = "z", label: str = "archetype") -> DataFrame:
     """Per cluster: size, mean vector, mean distance and summed square to it."""
     means = cluster_means(df, dim, column, label).select("id", "n", "center")

@@ -85,6 +85,34 @@ def silhouette(t: Tables) -> DataFrame:
     return vectors.silhouette(assigned(t), DIM)
 
 
+# Euclidean distance as mean projection on fixed directions: L1 distance of the projections.
+VIEWS["g_axes"] = f"""
+SELECT m, unnest(range(1, {DIM + 1})) AS i, unnest(w) AS w FROM
+ (SELECT unnest(range({DIM})) AS m, unnest({vectors.directions(DIM, DIM)!r}) AS w) a"""
+VIEWS["g_shadows"] = """
+SELECT vec_id, archetype, list(p ORDER BY m) AS p FROM
+ (SELECT vec_id, archetype, m, sum(z * w) AS p FROM g_az a JOIN g_axes x ON x.i = a.i + 1 GROUP BY 1, 2, 3) s GROUP BY 1, 2"""
+VIEWS["g_apart"] = f"""
+SELECT a.vec_id, a.archetype, b.archetype AS other,
+  list_sum(list_transform(range(1, {DIM + 1}), lambda j: abs(a.p[j] - b.p[j]))) / ({DIM} * {vectors.mean_projection(DIM)!r}::DOUBLE) AS d
+FROM g_shadows a JOIN g_shadows b ON a.vec_id <> b.vec_id"""
+
+
+def apart(t: Tables) -> DataFrame:
+    return vectors.cluster_distances(assigned(t), DIM, ["vec_id"])
+
+
+@query(
+    "g06_silhouette_euclidean",
+    "~silhouette #n",
+    """SELECT avg(CASE WHEN a IS NULL THEN 0 ELSE (b - a) / greatest(a, b) END) AS silhouette, count(*) AS n FROM
+    (SELECT vec_id, max(d) FILTER (other = archetype) AS a, min(d) FILTER (other <> archetype) AS b FROM
+      (SELECT vec_id, archetype, other, avg(d) AS d FROM g_apart GROUP BY 1, 2, 3) m GROUP BY 1) s""",
+)
+def silhouette_euclidean(t: Tables) -> DataFrame:
+    return vectors.silhouette_euclidean(apart(t))
+
+
 @query(
     "g07_calinski_harabasz",
     "~calinski_harabasz #k #n",
@@ -226,6 +254,16 @@ def archetype_purity(t: Tables) -> DataFrame:
     return archetypes.archetype_purity(assigned(t), DIM)
 
 
+@query(
+    "g14_archetype_purity_euclidean",
+    "#archetype #size ~purity",
+    """SELECT archetype, max(n) AS size, CASE WHEN max(n) <= 1 THEN 1 ELSE 1 - avg(d) FILTER (other = archetype) / max(overall) END AS purity
+    FROM g_apart JOIN g_spread USING (archetype), (SELECT avg(d) AS overall FROM g_apart) o GROUP BY 1""",
+)
+def archetype_purity_euclidean(t: Tables) -> DataFrame:
+    return archetypes.purity_euclidean(written(apart(t), "apart"))
+
+
 _CROSS_SQL = """SELECT archetype, string_agg(DISTINCT program, ',' ORDER BY program) AS applications,
     count(DISTINCT program) / (SELECT count(DISTINCT program) FROM g_assigned) AS universality, count(*) AS total_instances
     FROM g_assigned GROUP BY 1 HAVING count(DISTINCT program) > 1"""
