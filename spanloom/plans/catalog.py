@@ -8,6 +8,7 @@ from . import (  # noqa: F401
     queries_native,
     queries_ranking,
     queries_regression,
+    queries_results,
     queries_runs,
     queries_sources,
     queries_traces,

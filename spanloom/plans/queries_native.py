@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..operators import baseline
 from ..operators.storage import scratch_path
 from ..sources import runs as run_files, tables
+from ..sources.committed import write_files
 from .bindings import Tables, cents, function_name
 from .registry import query
 from .views import VIEWS
@@ -111,7 +112,7 @@ def path_folders(t: Tables) -> str:
     name = F.when(F.col("program") == "sqlite", F.lit("critical_paths_with_functions.json")).otherwise(
         F.lit("critical_paths.json")
     )
-    run_files.write_files(runs.select(file_path(name).alias("path"), cut_off(documents(runs)).alias("content")), root)
+    write_files(runs.select(file_path(name).alias("path"), cut_off(documents(runs)).alias("content")), root)
     return root
 
 
@@ -179,7 +180,7 @@ def native_regressions(t: Tables) -> DataFrame:
     status = F.col("paths")[0]["status"]
     content = documents(runs, _regression_type=F.when(status != "O", status))
     path = file_path(F.lit("critical_paths.json"), "regression_")
-    run_files.write_files(runs.select(path.alias("path"), cut_off(content).alias("content")), root)
+    write_files(runs.select(path.alias("path"), cut_off(content).alias("content")), root)
     read = run_files.read_regressions(t.spark, root)
     return read.withColumn("paths", F.col("summary.num_paths_found"))
 
@@ -201,7 +202,7 @@ def native_telemetry(t: Tables) -> DataFrame:
         F.transform(duration, lambda d, i: (i + 1).cast("double")).alias("disk_usage"),
     )
     content = F.to_json(F.struct(series.alias("time_series")))
-    run_files.write_files(runs.select(file_path(F.lit("kernel_data.json")).alias("path"), content.alias("content")), root)
+    write_files(runs.select(file_path(F.lit("kernel_data.json")).alias("path"), content.alias("content")), root)
     return run_files.telemetry_rows(run_files.read_telemetry(t.spark, root)).where(F.col("input_id").isNotNull())
 
 
@@ -217,7 +218,7 @@ def native_call_stats(t: Tables) -> DataFrame:
     runs = calls.groupBy("program", "input_id", "iteration").agg(F.collect_list(line).alias("lines"))
     head = "function_name,thread_id,duration_ns,self_time_ns,num_children"
     content = F.concat_ws("\n", F.lit(head), F.array_join("lines", "\n"))
-    run_files.write_files(runs.select(file_path(F.lit("function_stats.csv")).alias("path"), content.alias("content")), root)
+    write_files(runs.select(file_path(F.lit("function_stats.csv")).alias("path"), content.alias("content")), root)
     return run_files.read_call_stats(t.spark, root).where(F.col("input_id").isNotNull())
 
 
@@ -236,5 +237,5 @@ def native_static_metrics(t: Tables) -> DataFrame:
     )
     files = t.table("part").groupBy((F.col("p_partkey") % 7).alias("file")).agg(F.array_sort(F.collect_list(own)).alias("own"))
     content = F.to_json(F.array(F.struct(F.col("file").cast("string").alias("file"), F.col("own").alias("functions"))))
-    run_files.write_files(files.select(F.concat(F.lit("f"), "file", F.lit(".json")).alias("path"), content.alias("content")), root)
+    write_files(files.select(F.concat(F.lit("f"), "file", F.lit(".json")).alias("path"), content.alias("content")), root)
     return tables.flatten_static_metrics(tables.read_static_metrics(t.spark, root))

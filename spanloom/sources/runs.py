@@ -172,32 +172,6 @@ def executed_rows(documents: DataFrame, key: list[str] | None = None) -> DataFra
     ).withColumn("function_name", clean_name(F.col("function_name")))
 
 
-def write_files(df: DataFrame, root: str) -> int:
-    """Write each row's ``content`` to ``path`` below ``root``; the number of files.
-
-    Tasks write the files themselves, under the names that readers look for. A
-    task that runs again writes the same bytes to the same places.
-    """
-
-    def write(batches):
-        import re
-
-        import pyarrow as pa
-        from pyarrow import fs
-
-        place, inside = fs.FileSystem.from_uri(re.sub(r"^file:/+", "file:///", root))
-        for batch in batches:
-            names, contents = (batch.column(c).to_pylist() for c in ("path", "content"))
-            for name, content in zip(names, contents):
-                target = f"{inside}/{name}"
-                place.create_dir(target.rpartition("/")[0], recursive=True)
-                with place.open_output_stream(target) as out:
-                    out.write(content.encode())
-            yield pa.RecordBatch.from_pydict({"files": pa.array([len(names)], pa.int64())})
-
-    return df.select("path", "content").mapInArrow(write, "files long").agg(F.sum("files")).first()[0] or 0
-
-
 def list_files(spark: SparkSession, pattern: str) -> DataFrame:
     """Path and length of files; their contents are not read."""
     return spark.read.format("binaryFile").load(pattern).select("path", "length")

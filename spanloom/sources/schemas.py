@@ -33,3 +33,9 @@ STATIC_METRICS = (
 ASSIGNMENTS = "program string, input int, iteration int, path_rank int, archetype int"
 TRACE_EVENT = "ph string, ts double, pid long, tid long, name string"
 PARAMETERS = "program string, build string, parameters map<string, string>"
+DETECTIONS = (
+    "program string, input long, iteration int, is_regression boolean, regression_type string, "
+    "exec_key string, path_score double, resource_score double, archetype_score double, "
+    "bounds_score double, weighted_score double, max_signal double, combined_score double, "
+    "detected boolean"
+)

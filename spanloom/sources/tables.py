@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions.names import clean_name
 from . import schemas
+from .committed import write_csv_parts, write_files
 
 
 def read_static_metrics(spark: SparkSession, path: str) -> DataFrame:
@@ -96,11 +97,39 @@ def write_table(df: DataFrame, path: str, kind: str = "json") -> None:
     writer.format(kind).save(path)
 
 
-def summary_document(**tables: DataFrame) -> Column:
-    """Small result tables folded into one struct of arrays, for a JSON summary."""
-    return F.struct(
-        *[
-            t.agg(F.collect_list(F.struct(*t.columns))).scalar().alias(name)
-            for name, t in tables.items()
-        ]
+def summary_document(most: int = 10_000, **tables: DataFrame) -> Column:
+    """Small result tables folded into one struct of arrays, for a JSON summary.
+
+    A table of more than ``most`` rows is an error: it belongs in files of its own.
+    """
+
+    def folded(name: str, table: DataFrame) -> Column:
+        rows = table.limit(most + 1).agg(F.collect_list(F.struct(*table.columns))).scalar()
+        too_many = F.raise_error(F.lit(f"{name} has more than {most} rows"))
+        return F.when(F.size(rows) <= most, rows).otherwise(too_many).alias(name)
+
+    return F.struct(*[folded(name, table) for name, table in tables.items()])
+
+
+def write_summary(spark: SparkSession, root: str, file: str, **tables: DataFrame) -> None:
+    """The summary of ``tables`` as one JSON document under its exact name."""
+    document = F.to_json(summary_document(**tables), {"ignoreNullFields": "false"})
+    write_files(spark.range(1).select(F.lit(file).alias("path"), document.alias("content")), root)
+
+
+def write_detections(detections: DataFrame, root: str) -> None:
+    """Scored runs as ``detection_results-<part>.csv``, with the key of each run."""
+    names = [column.split()[0] for column in schemas.DETECTIONS.split(", ")]
+    truth = F.initcap(F.col("is_regression").cast("string"))
+    key = F.concat_ws("_", "program", "input_id", "iteration", truth)
+    rows = detections.withColumn("exec_key", key).withColumnRenamed("input_id", "input")
+    write_csv_parts(rows.select(*names), root, "detection_results")
+
+
+def read_detections(spark: SparkSession, root: str) -> DataFrame:
+    return (
+        spark.read.schema(schemas.DETECTIONS)
+        .option("header", True)
+        .csv(f"{root}/detection_results-*.csv")
+        .withColumnRenamed("input", "input_id")
     )
