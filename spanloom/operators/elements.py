@@ -49,10 +49,12 @@ def nested_loop_pairs(elements: DataFrame) -> DataFrame:
     Every element holds a pointer to an ancestor and the number of loops passed
     on the way. Joining each pointer with the pointer it leads to doubles the
     distance, so the rounds grow with the logarithm of the depth and no list of
-    ancestors is formed. Each round is written out, which keeps lineage short.
+    ancestors is formed. Each round is written out, which keeps lineage short;
+    elements whose pointer has passed the root are looked up from the round that
+    finished them and neither moved nor written again.
     """
     is_loop = F.col("tag").isin(*LOOPS).cast("long")
-    jumps = written(
+    moved = written(
         elements.select(
             "function_id",
             "element_id",
@@ -62,9 +64,12 @@ def nested_loop_pairs(elements: DataFrame) -> DataFrame:
         ),
         "loop-jumps",
     )
+    jumps = moved
+    finished = moved.where(F.col("jump").isNull())
     # ``passed`` counts loops among ancestors strictly below ``jump``.
     for _ in range(MAX_ROUNDS + 1):
-        if jumps.where(F.col("jump").isNotNull()).isEmpty():
+        active = moved.where(F.col("jump").isNotNull())
+        if active.isEmpty():
             break
         target = jumps.select(
             "function_id",
@@ -73,8 +78,8 @@ def nested_loop_pairs(elements: DataFrame) -> DataFrame:
             F.col("passed").alias("_passed"),
             F.col("jump").alias("_next"),
         )
-        jumps = written(
-            jumps.join(target, ["function_id", "jump"], "left").select(
+        moved = written(
+            active.join(target, ["function_id", "jump"], "left").select(
                 "function_id",
                 "element_id",
                 "loop",
@@ -85,6 +90,8 @@ def nested_loop_pairs(elements: DataFrame) -> DataFrame:
             ),
             "loop-jumps",
         )
+        jumps = finished.unionByName(moved)
+        finished = finished.unionByName(moved.where(F.col("jump").isNull()))
     else:
         raise ValueError("parents of elements form a cycle")
     return jumps.groupBy("function_id").agg(

@@ -76,7 +76,19 @@ def cut_off(content: Column) -> Column:
     return F.when(F.col("input_id") == BROKEN, half).otherwise(content)
 
 
-def documents(runs: DataFrame, **summary: Column) -> Column:
+def recorded(functions: Column) -> Column:
+    """Recorded bottlenecks of a path: every other line item, in path order."""
+    total = F.aggregate(functions, F.lit(0).cast("long"), lambda t, f: t + f["own_ns"])
+    return F.transform(
+        F.filter(functions, lambda f: f["l_linenumber"] % 2 == 0),
+        lambda f: F.struct(
+            f["function_name"].alias("function"),
+            (F.lit(100.0) * f["own_ns"] / total).alias("percentage_of_path"),
+        ),
+    )
+
+
+def documents(runs: DataFrame, *, bottlenecks: bool = False, **summary: Column) -> Column:
     def function(f: Column) -> Column:
         return F.struct(
             F.concat(F.lit(" "), f["function_name"]).alias("function_name"),
@@ -90,6 +102,7 @@ def documents(runs: DataFrame, **summary: Column) -> Column:
             (-p["down"]).alias("critical_duration_ns"),
             F.size(p["functions"]).alias("path_length"),
             F.transform(p["functions"], function).alias("functions"),
+            *([recorded(p["functions"]).alias("bottlenecks")] if bottlenecks else []),
         )
 
     return F.to_json(
@@ -106,13 +119,13 @@ def grouped(t: Tables, rows: DataFrame) -> DataFrame:
     return rows.groupBy("program", "input_id", "iteration").agg(F.array_sort(F.collect_list(listed)).alias("paths"))
 
 
-def path_folders(t: Tables) -> str:
+def path_folders(t: Tables, **options: bool) -> str:
     root = scratch_path(t.spark, "runs")
     runs = grouped(t, paths(t))
     name = F.when(F.col("program") == "sqlite", F.lit("critical_paths_with_functions.json")).otherwise(
         F.lit("critical_paths.json")
     )
-    write_files(runs.select(file_path(name).alias("path"), cut_off(documents(runs)).alias("content")), root)
+    write_files(runs.select(file_path(name).alias("path"), cut_off(documents(runs, **options)).alias("content")), root)
     return root
 
 
@@ -168,6 +181,35 @@ def native_weighted_duration(t: Tables) -> DataFrame:
     )
 
 
+_LINES = """(SELECT p.*, concat(replace(q.p_name, ' ', '_'), '_', replace(q.p_brand, 'Brand#', '')) AS function_name, l.l_linenumber % 2 = 0 AS noted,
+      CAST(round(l.l_extendedprice * 100) AS BIGINT) AS own_ns, row_number() OVER (PARTITION BY p.path_id ORDER BY l.l_extendedprice, l.l_partkey, l.l_linenumber, l.l_quantity) AS pos
+      FROM n_paths p JOIN lineitem l ON l.l_orderkey = p.path_id JOIN part q ON q.p_partkey = l.l_partkey WHERE place = 1)"""
+
+
+@query(
+    "h02_native_recorded_bottlenecks",
+    f"{RUN} #path_length #path_duration_ns bottleneck_function ~bottleneck_percentage",
+    f"""SELECT program, input_id, iteration, coalesce(path_length, 0) AS path_length, CASE WHEN floor(weighted) > 0 THEN floor(weighted) ELSE coalesce(longest, 0) END AS path_duration_ns,
+      bottleneck_function, coalesce(percentage, 0) AS bottleneck_percentage FROM
+    (SELECT program, input_id, iteration, round(CASE WHEN count(*) = 1 OR max(lead) <= 0 THEN max(lead)
+      ELSE (max(lead) + coalesce(sum(duration_ns * (1.0::DOUBLE / place)) FILTER (place > 1 AND duration_ns > 0 AND duration_ns <> lead), 0))
+        / (1 + coalesce(sum(1.0::DOUBLE / place) FILTER (place > 1 AND duration_ns > 0 AND duration_ns <> lead), 0)) END, 3) AS weighted
+      FROM (SELECT *, first(duration_ns) OVER (PARTITION BY program, input_id, iteration ORDER BY place) AS lead FROM n_paths) p WHERE {_READ} GROUP BY ALL) d
+    LEFT JOIN (SELECT program, input_id, iteration, count(*) AS path_length, max(own_ns) AS longest, arg_min(function_name, pos) FILTER (noted) AS bottleneck_function,
+      100.0::DOUBLE * arg_min(own_ns, pos) FILTER (noted) / sum(own_ns) AS percentage FROM {_LINES} x GROUP BY ALL) f USING (program, input_id, iteration)""",
+)
+def native_recorded_bottlenecks(t: Tables) -> DataFrame:
+    read = run_files.read_critical_paths(t.spark, path_folders(t, bottlenecks=True))
+    normal = F.lit(False).alias("is_regression")
+    listed = run_files.path_rows(read)
+    return baseline.run_features(
+        listed.select("*", normal),
+        run_files.path_function_rows(listed).select("*", normal),
+        run_files.path_bottleneck_rows(listed).select("*", normal),
+        listed.select("program", "input_id", "iteration", normal).distinct(),
+    )
+
+
 @query(
     "h11_native_regressions",
     f"{RUN} regression_type #paths",
