@@ -8,10 +8,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..operators import archetypes, vectors
+from ..operators import archetypes, baseline, scoring, vectors
 from ..operators.features import FEATURES, resource_thresholds
-from ..operators.storage import written
-from .bindings import Tables
+from ..operators.storage import scratch_path, written
+from ..sources import tables
+from .bindings import EVENT_KEY, Tables
 from .path_groups import PathGroups
 from .queries_traces import event_path_features
 from .registry import query
@@ -62,6 +63,30 @@ def fit_archetypes(t: Tables) -> DataFrame:
     return PathGroups(written(event_path_features(t), "features")).centers
 
 
+def fitted(t: Tables) -> PathGroups:
+    return PathGroups(written(event_path_features(t), "features"))
+
+
+@query("g10_fitted_archetypes", "#archetype #size ~percentage primary_traits resource_profile dominant_type phase_behavior memory_pattern")
+def fitted_archetypes(t: Tables) -> DataFrame:
+    """Fitted clusters of the 33 features, profiled and put into words."""
+    groups = fitted(t)
+    return groups.interpreted.join(groups.profile.select("archetype", "size", "percentage"), "archetype")
+
+
+@query("h14_fitted_archetype_scores", "program #input_id #iteration #archetype ~archetype_score")
+def fitted_archetype_scores(t: Tables) -> DataFrame:
+    """Assignments handed over as a file; even weeks make the model, odd weeks are judged."""
+    path = scratch_path(t.spark, "assignments")
+    tables.write_assignments(fitted(t).assigned.withColumn("path_rank", F.lit(1)), path)
+    lookup = tables.archetype_lookup(tables.read_assignments(t.spark, path))
+    runs = t.event_functions.select(*EVENT_KEY).distinct().withColumn("is_regression", F.lit(False))
+    known = written(baseline.attach_archetype(runs, lookup), "runs-with-archetype")
+    model = baseline.archetype_model(known.where(F.col("iteration") % 2 == 0))
+    judged = known.where(F.col("iteration") % 2 != 0)
+    return scoring.score_archetype(judged, model).join(judged, baseline.RUN)
+
+
 @query("g05_assign_archetypes", "#vec_id #archetype ~distance_to_center", "g_assigned")
 def assign_archetypes(t: Tables) -> DataFrame:
     return assigned(t)
