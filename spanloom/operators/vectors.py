@@ -292,11 +292,21 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
 
 
-def _squares(x: np.ndarray, centers: np.ndarray) -> np.ndarray:
-    """Squared distances of rows to centres."""
-    return np.maximum(
-        (x * x).sum(axis=1)[:, None] - 2 * x @ centers.T + (centers * centers).sum(axis=1), 0
-    )
+def _far(x: np.ndarray, sets: np.ndarray) -> np.ndarray:
+    """Squared distances of rows to centre sets of one size: by set, centre and row."""
+    stack = sets.reshape(-1, sets.shape[-1])
+    far = (-2 * stack) @ x.T
+    far += (stack * stack).sum(axis=1)[:, None]
+    far += (x * x).sum(axis=1)
+    return np.maximum(far, 0, out=far).reshape(*sets.shape[:2], len(x))
+
+
+def _blocks(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[tuple[np.ndarray, pa.RecordBatch]]:
+    """Vectors in blocks small enough that their distances stay in a core's cache."""
+    for batch in batches:
+        for first in range(0, len(batch), rows):
+            part = batch.slice(first, rows)
+            yield _matrix(part.column(0)), part
 
 
 def _uniform(hashes: np.ndarray, salt: int) -> np.ndarray:
@@ -320,17 +330,14 @@ def _starting_centers(df: DataFrame, column: str, k: int, *, seed: int, starts:
     vectors = written(vectors.withColumn("_hash", F.xxhash64(column, F.lit(seed))), "distinct-vectors")
     chosen: list[list[list[float]]] = [[] for _ in range(starts)]
     for draw in range(k):
-        before = [np.array(c) for c in chosen]
+        before = np.array(chosen)
 
         def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             least: dict[int, tuple[float, list[float]]] = {}
-            for batch in batches:
-                if not len(batch):
-                    continue
-                x = _matrix(batch.column(0))
-                many, hashes = batch.column(1).to_numpy(), batch.column(2).to_numpy()
-                for i, own in enumerate(before):
-                    rate = many * _squares(x, own).min(axis=1) if len(own) else many.astype(np.float64)
+            for x, block in _blocks(batches):
+                many, hashes = block.column(1).to_numpy(), block.column(2).to_numpy()
+                apart = _far(x, before).min(axis=1) if draw else np.ones((starts, len(x)))
+                for i, rate in enumerate(many * apart):
                     wait = np.full(len(x), np.inf)
                     np.divide(-np.log(_uniform(hashes, draw * starts + i + 1)), rate, out=wait, where=rate > 0)
                     j = wait.argmin()
@@ -354,24 +361,35 @@ def _step(df: DataFrame, column: str, centers: list[np.ndarray]) -> list[tuple[n
     """New centres, sizes and cost of every centre set, in one pass over the rows.
 
     Tasks add up their rows per set and cluster, Spark adds up the tasks; one row
-    per set and cluster comes back.
+    per set and cluster comes back. Sets of one size are compared with a block of
+    rows at once, by products of matrices.
     """
+    alike: dict[int, list[int]] = {}
+    for i, own in enumerate(centers):
+        alike.setdefault(len(own), []).append(i)
+    stacks = [(k, found, np.array([centers[i] for i in found])) for k, found in alike.items()]
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = [np.zeros((len(c), c.shape[1] + 2)) for c in centers]
-        for batch in batches:
-            if not len(batch):
-                continue
-            x = _matrix(batch.column(0))
-            for part, own in zip(parts, centers):
-                far = _squares(x, own)
-                label = far.argmin(axis=1)
-                one = np.zeros((len(x), len(own)))
-                one[np.arange(len(x)), label] = 1
-                part[:, :-2] += one.T @ x
-                part[:, -2] += one.sum(axis=0)
-                part[:, -1] += one.T @ far.min(axis=1)
-        rows = [(i, j, part[j].tolist()) for i, part in enumerate(parts) for j in range(len(part))]
+        parts = [np.zeros((*own.shape[:2], own.shape[2] + 2)) for _, _, own in stacks]
+        for x, _ in _blocks(batches):
+            counted = np.column_stack([x, np.ones(len(x))])
+            for part, (k, found, own) in zip(parts, stacks):
+                far = _far(x, own)
+                least, label = far[:, 0].copy(), np.zeros((len(found), len(x)), np.int32)
+                for j in range(1, k):
+                    np.copyto(label, j, where=far[:, j] < least)
+                    np.minimum(least, far[:, j], out=least)
+                one = far  # its room is used again
+                for j in range(k):
+                    one[:, j] = label == j
+                part[:, :, :-1] += (one.reshape(-1, len(x)) @ counted).reshape(len(found), k, -1)
+                part[:, 0, -1] += least.sum(axis=1)  # the cost of a set stands with its first cluster
+        rows = [
+            (i, j, part[at, j].tolist())
+            for part, (k, found, _) in zip(parts, stacks)
+            for at, i in enumerate(found)
+            for j in range(k)
+        ]
         columns = [pa.array(list(c), k) for c, k in zip(zip(*rows), (pa.int32(), pa.int32(), pa.list_(pa.float64())))]
         yield pa.RecordBatch.from_arrays(columns, ["set", "cluster", "sums"])
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from spanloom.operators import archetypes, vectors
@@ -67,3 +68,26 @@ def test_one_cluster_and_no_rows(spark, points):
     assert vectors.silhouette_euclidean(
         vectors.cluster_distances(df.where("row < 0"), DIM, ["row"])
     ).head()["n"] == 0
+
+
+def test_kmeans_step_compares_sets_of_one_size_at_once(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    points = rng.normal(size=(700, 5))
+    sets = [rng.normal(size=(k, 5)) for k in (2, 4, 2, 3)]
+    df = spark.createDataFrame([(p.tolist(),) for p in points], "z array<double>")
+    for (new, sizes, cost), own in zip(vectors._step(df, "z", sets), sets):
+        far = ((points[:, None] - own) ** 2).sum(axis=2)
+        label = far.argmin(axis=1)
+        assert np.allclose(new, [points[label == j].mean(axis=0) for j in range(len(own))])
+        assert sizes.tolist() == np.bincount(label, minlength=len(own)).tolist()
+        assert np.isclose(cost, far.min(axis=1).sum())
+    many = [rng.normal(size=(2, 5)) for _ in range(30)]
+    task = []
+    monkeypatch.setattr(type(df), "mapInArrow", lambda self, f, schema: task.append(f) or self.sparkSession.createDataFrame([], schema))
+    vectors._step(df, "z", many)
+    products = []
+    whole = vectors._far
+    monkeypatch.setattr(vectors, "_far", lambda x, own: products.append(own.shape) or whole(x, own))
+    batch = pa.RecordBatch.from_arrays([pa.array(points[:512].tolist(), pa.list_(pa.float64()))], ["z"])
+    assert next(task[0](iter([batch]))).num_rows == 60
+    assert products == [(30, 2, 5)]
