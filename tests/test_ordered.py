@@ -132,3 +132,22 @@ def test_null_groups_are_groups(spark):
     df = spark.createDataFrame(rows, "g string, t int, seq int")
     out = ordered.ranked(df, ["g"], ["t"], "r", slices=7)
     assert {r["seq"]: r["r"] for r in out.collect()} == {seq: t + 1 for _, t, seq in rows}
+
+
+@pytest.mark.parametrize("share", [0.9, 0.5, 1 / 256])
+def test_numbered_with_large_groups(table, share):
+    df, data = table
+    placed = ordered.numbered(df, ["g"], ["t", "seq"], "place", share=share, slices=7)
+    expected = {r[2]: i for rows in by_group(data).values() for i, r in enumerate(rows, 1)}
+    assert {r["seq"]: r["place"] for r in placed.collect()} == expected
+
+
+def test_numbered_sends_small_groups_through_one_window(spark, monkeypatch):
+    seen = []
+    whole = ordered.ranked
+    monkeypatch.setattr(ordered, "ranked", lambda df, *a, **k: seen.append({r["g"] for r in df.collect()}) or whole(df, *a, **k))
+    data = [(None, i) for i in range(300)] + [(g, i) for g in range(1000) for i in range(2)]
+    df = spark.createDataFrame(data, "g int, t int")
+    placed = ordered.numbered(df, ["g"], ["t"], "place", share=0.1)
+    assert all(r["place"] == r["t"] + 1 for r in placed.collect()) and placed.count() == len(data)
+    assert seen == [{None}]
