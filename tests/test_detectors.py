@@ -3,6 +3,7 @@ from __future__ import annotations
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -105,3 +106,23 @@ def test_comparison_table(spark):
     gains = {r["rival"]: r for r in evaluation.path_benefit(own, table).collect()}
     assert gains["best_path_based"]["recall_gain_pct"] == pytest.approx(100.0)
     assert gains["best_resource_only"]["detector"] == "resource_only_threshold"
+
+
+def test_kernel_model_is_built_once_and_scores_as_a_kernel_mean(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(40, 2))
+    x[30:] += 6
+    rows = [("p", i, 0, False, *map(float, v)) for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "program string, input_id long, iteration int, is_regression boolean, a double, b double")
+    names = []
+    whole = detectors.written
+    monkeypatch.setattr(detectors, "written", lambda df, name: names.append(name) or whole(df, name))
+    flags = detectors.one_class_kernel(df.where("input_id < 30"), df, ["a", "b"], "one", frequencies=8)
+    waves = np.array(detectors.kernel_frequencies(2, 8))
+    base = x[:30]
+    turned = (x - base.mean(axis=0)) / base.std(axis=0) @ waves.T
+    scores = (np.cos(turned) * np.cos(turned[:30]).mean(axis=0) + np.sin(turned) * np.sin(turned[:30]).mean(axis=0)).mean(axis=1)
+    cut = np.quantile(scores[:30], 0.1)
+    found = {r["input_id"]: r["flagged"] for r in flags.collect()}
+    assert found == {i: bool(s < cut) for i, s in enumerate(scores)}
+    assert names == ["kernel-model", "kernel-scores"]
