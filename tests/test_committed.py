@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import json
+import tracemalloc
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -60,3 +62,18 @@ def test_summary_under_its_name(spark, tmp_path):
     assert json.loads((tmp_path / "results.json").read_text()) == {"small": [{"id": 0}, {"id": 1}], "none": []}
     with pytest.raises(Exception, match="more than"):
         spark.range(1).select(tables.summary_document(most=3, big=spark.range(4))).collect()
+
+
+def test_contents_are_not_copied_beside_their_batch(tmp_path):
+    texts = [chr(97 + i) * 1_000_000 + "é\n" for i in range(20)] + [None, ""]
+    batch = pa.RecordBatch.from_arrays(
+        [pa.array([f"d/{i}.txt" for i in range(len(texts))]), pa.array(texts)], ["path", "content"]
+    )
+    writer = committed._named_files()({"root": f"file://{tmp_path}/out"}).writer(None, False)
+    tracemalloc.start()
+    staged = writer.write(iter([batch]))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    writer.commit([staged])
+    assert [(tmp_path / f"out/d/{i}.txt").read_text() for i in range(len(texts))] == [t or "" for t in texts]
+    assert peak < 1_000_000
