@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.names import name_prefix
 from .ordered import percentiles, running_sum, with_following
-from .telemetry import RESOURCE_FEATURES, resource_features
+from .telemetry import RESOURCE_FEATURES, FoldedTelemetry, resource_features
 
 # Names and order of the feature vector.
 STRUCTURAL = (
@@ -193,6 +193,7 @@ def phase_features(
     *,
     width: int,
     slices: int | None = None,
+    folded: FoldedTelemetry | None = None,
 ) -> DataFrame:
     """How resources change across the phases of a path.
 
@@ -207,6 +208,7 @@ def phase_features(
         [*key, "phase"],
         width=width,
         slices=slices,
+        folded=folded,
     )
     vector = F.array(*[F.col(n) for n in names])
     folded = measured.groupBy(*key).agg(

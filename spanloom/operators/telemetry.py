@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+from functools import cached_property
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .ordered import fill_forward, percentiles, with_previous
@@ -265,9 +268,10 @@ def _merged(states: DataFrame, by: list[str], bound: Column | None) -> DataFrame
     for name in _SPREAD:
         n, total = weighted(name)
         means.append(F.when(n > 0, total / n).alias(f"_mean_{name}"))
-    back = states.groupBy(*by).agg(*means)
-    back = back.withColumnsRenamed({k: f"_by_{k}" for k in by})
-    same = [states[k].eqNullSafe(back[f"_by_{k}"]) for k in by]
+    # One struct as key: equal structs hold nulls in the same places, and join and
+    # both sums share one shuffle.
+    states = states.select(F.struct(*by).alias("_key"), *[c for c in states.columns if c not in by])
+    back = states.groupBy("_key").agg(*means)
     spread = []
     for name in _SPREAD:
         n, mean, square = (F.col(f"{name}_{part}") for part in ("n", "mean", "square"))
@@ -277,7 +281,8 @@ def _merged(states: DataFrame, by: list[str], bound: Column | None) -> DataFrame
             own = F.col("_joined") - F.col("_mean_step")
             apart = apart + F.coalesce(own * own, F.lit(0.0))
         spread += [weighted(name)[0].alias(f"{name}_n"), F.max(f"_mean_{name}").alias(f"{name}_mean"), F.sum(apart).alias(f"{name}_square")]
-    return states.join(back, same).groupBy(*by).agg(*_plain(), *spread)
+    merged = states.join(back, "_key").groupBy("_key").agg(*_plain(), *spread)
+    return merged.select(*[F.col("_key").getField(k).alias(k) for k in by], *[c for c in merged.columns if c != "_key"])
 
 
 def _node_states(samples: DataFrame, run: list[str], spans: DataFrame, width: int) -> DataFrame:
@@ -292,6 +297,36 @@ def _node_states(samples: DataFrame, run: list[str], spans: DataFrame, width: in
     return _merged(above, [*run, "_level", "_bin"], began)
 
 
+@dataclass
+class FoldedTelemetry:
+    """Samples of runs folded once, for any number of sets of intervals."""
+
+    series: DataFrame
+    run: list[str]
+    width: int
+    slices: int | None = None
+
+    @cached_property
+    def spans(self) -> DataFrame:
+        return written(_spans(self.series, self.run, self.width), "spans")
+
+    @cached_property
+    def samples(self) -> DataFrame:
+        series = self.series.select(*self.run, "ts", *METRICS)
+        stepped = with_previous(series, self.run, ["ts"], ["ts", "mem"], "_before", slices=self.slices)
+        return _sample_states(stepped, self.run)
+
+    @cached_property
+    def nodes(self) -> DataFrame:
+        return written(_node_states(self.samples, self.run, self.spans, self.width), "nodes")
+
+    @cached_property
+    def whole(self) -> DataFrame:
+        """The features of each run."""
+        whole = _merged(self.nodes.where("_level = 0"), self.run, None).select(*self.run, *_features())
+        return written(whole, "whole-runs")
+
+
 def samples_or_run(
     intervals: DataFrame,
     series: DataFrame,
@@ -368,6 +403,7 @@ def resource_features(
     start: str = "start_ns",
     end: str = "end_ns",
     slices: int | None = None,
+    folded: FoldedTelemetry | None = None,
 ) -> DataFrame:
     """Nine resource features per interval, keyed by ``key``.
 
@@ -377,13 +413,11 @@ def resource_features(
     leaves it begins and ends in. Steps between consecutive samples are taken once
     along the run; a step counts for an interval when the sample before it is
     inside too. Intervals without samples take the run's features, runs without
-    telemetry zeros.
+    telemetry zeros. ``folded`` are the states of this very ``series``, ``run`` and
+    ``width``, if they are made already.
     """
-    series = series.select(*run, "ts", *METRICS)
-    spans = written(_spans(series, run, width), "spans")
-    stepped = with_previous(series, run, ["ts"], ["ts", "mem"], "_before", slices=slices)
-    samples = _sample_states(stepped, run)
-    nodes = written(_node_states(samples, run, spans, width), "nodes")
+    folded = folded or FoldedTelemetry(series, run, width, slices)
+    spans, samples, nodes = folded.spans, folded.samples, folded.nodes
     columns = list(dict.fromkeys([*run, *key]))
     cut = _pieces(intervals.select(*columns, start, end), spans, run, width, start, end)
     inner = cut.select(*columns, start, F.inline("_inner").alias("_level", "_bin")).join(nodes, [*run, "_level", "_bin"])
@@ -395,10 +429,8 @@ def resource_features(
     pieces = written(parts[0].unionByName(parts[1]), "pieces")
     inside = _merged(pieces, key, F.col("_start"))
     found = inside.select(*key, *_features()).withColumn("_found", F.lit(True))
-    leaves = nodes.where("_level = 0")
-    whole = _merged(leaves, run, None)
     names = RESOURCE_FEATURES
-    whole = whole.select(*run, *_features()).select(*run, *[F.col(n).alias(f"_run_{n}") for n in names])
+    whole = folded.whole.select(*run, *[F.col(n).alias(f"_run_{n}") for n in names])
     return (
         intervals.select(*columns)
         .join(found, key, "left")

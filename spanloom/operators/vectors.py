@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import json
 import math
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -301,7 +301,7 @@ def _far(x: np.ndarray, sets: np.ndarray) -> np.ndarray:
     return np.maximum(far, 0, out=far).reshape(*sets.shape[:2], len(x))
 
 
-def _blocks(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[tuple[np.ndarray, pa.RecordBatch]]:
+def _blocks(batches: Iterable[pa.RecordBatch], rows: int = 512) -> Iterator[tuple[np.ndarray, pa.RecordBatch]]:
     """Vectors in blocks small enough that their distances stay in a core's cache."""
     for batch in batches:
         for first in range(0, len(batch), rows):
@@ -309,6 +309,31 @@ def _blocks(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[tupl
             yield _matrix(part.column(0)), part
 
 
+#: Rows of a packed block.
+PACKED = 512
+
+
+def _packed(df: DataFrame, column: str) -> DataFrame:
+    """``column`` as binaries of up to ``PACKED`` vectors: a pass over them converts no values."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x, _ in _blocks(batches, PACKED):
+            yield pa.RecordBatch.from_arrays([pa.array([x.astype(np.float64).tobytes()], pa.binary())], [column])
+
+    return written(df.select(column).mapInArrow(pack, f"`{column}` binary"), "packed-vectors")
+
+
+def _pieces(batches: Iterator[pa.RecordBatch], dim: int) -> Iterator[np.ndarray]:
+    """Blocks of vectors, from arrays or from ``_packed`` ones."""
+    for batch in batches:
+        if pa.types.is_binary(batch.schema.field(0).type):
+            for block in batch.column(0):
+                yield np.frombuffer(block.as_buffer(), dtype=np.float64).reshape(-1, dim)
+        else:
+            for x, _ in _blocks([batch]):
+                yield x
+
+
 def _uniform(hashes: np.ndarray, salt: int) -> np.ndarray:
     """Numbers between 0 and 1 that follow from 64-bit hashes and a salt."""
     x = hashes.view(np.uint64) + np.uint64(salt * 0x9E3779B97F4A7C15 % 2**64)
@@ -362,7 +387,7 @@ def _step(df: DataFrame, column: str, centers: list[np.ndarray]) -> list[tuple[n
 
     Tasks add up their rows per set and cluster, Spark adds up the tasks; one row
     per set and cluster comes back. Sets of one size are compared with a block of
-    rows at once, by products of matrices.
+    rows at once, by products of matrices. ``column`` may be packed.
     """
     alike: dict[int, list[int]] = {}
     for i, own in enumerate(centers):
@@ -371,7 +396,7 @@ def _step(df: DataFrame, column: str, centers: list[np.ndarray]) -> list[tuple[n
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts = [np.zeros((*own.shape[:2], own.shape[2] + 2)) for _, _, own in stacks]
-        for x, _ in _blocks(batches):
+        for x in _pieces(batches, centers[0].shape[1]):
             counted = np.column_stack([x, np.ones(len(x))])
             for part, (k, found, own) in zip(parts, stacks):
                 far = _far(x, own)
@@ -422,10 +447,11 @@ def _fitted(
     from all rows, for every start anew.
     """
     drawn = _starting_centers(df, column, max(sizes), seed=seed, starts=starts)
+    packed = _packed(df, column)
     sets = [(k, centers[:k]) for k in sizes for centers in drawn]
     done: list[tuple[int, np.ndarray, np.ndarray, float]] = []
     for iteration in range(max_iter + 1):
-        moved = _step(df, column, [c for _, c in sets])
+        moved = _step(packed, column, [c for _, c in sets])
         ahead = []
         for (k, old), (new, counts, cost) in zip(sets, moved):
             if iteration == max_iter or np.sqrt(((new - old) ** 2).sum(axis=1)).max() <= 1e-4:

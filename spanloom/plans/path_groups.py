@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 
 from ..operators import archetypes, features, vectors
 from ..operators.storage import written
+from ..operators.telemetry import FoldedTelemetry
 
 DIM = len(features.FEATURES)
 
@@ -25,18 +26,20 @@ def path_features(
 ) -> DataFrame:
     """The 33 features of every path, with run metadata and the vector.
 
-    Functions and telemetry each feed several extractors and are written once.
+    Functions and telemetry each feed several extractors and are written once;
+    telemetry is folded once for paths and their phases.
     """
     functions = written(functions, "path-functions")
     telemetry = written(telemetry, "telemetry")
+    folded = FoldedTelemetry(telemetry, run, width)
     parts = [
         features.structural_features(functions, key, static, ["program", "function_name"]),
         features.temporal_features(functions, key),
         features.resource_features(
-            features.path_intervals(functions, key), telemetry, run, key, width=width
+            features.path_intervals(functions, key), telemetry, run, key, width=width, folded=folded
         ),
         features.transition_features(functions, key),
-        features.phase_features(functions, telemetry, run, key, width=width),
+        features.phase_features(functions, telemetry, run, key, width=width, folded=folded),
     ]
     about = features.path_metadata(functions, key, metadata or {})
     return features.assemble_features(parts, key, about)

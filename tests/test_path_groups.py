@@ -5,11 +5,14 @@ from __future__ import annotations
 import random
 
 import pytest
+from compare import DATA
 from pyspark.sql import functions as F
 
-from spanloom.operators import baseline
+from spanloom.operators import baseline, telemetry
 from spanloom.operators.features import FEATURES
+from spanloom.plans.bindings import Tables
 from spanloom.plans.path_groups import DIM, PathGroups
+from spanloom.plans.queries_traces import event_path_features
 from spanloom.sources import tables
 
 
@@ -50,3 +53,19 @@ def test_assignments_reach_the_models_through_their_file(spark, groups, tmp_path
     assert known.where("archetype = own").count() == 90
     model = {(r["program"], r["archetype"]): r["count"] for r in baseline.archetype_model(known).collect()}
     assert sum(model.values()) == 90 and sorted({a for _, a in model}) == [0, 1, 2]
+
+
+def test_telemetry_is_folded_once_for_paths_and_phases(spark, monkeypatch):
+    folds = []
+    fold = telemetry._node_states
+    monkeypatch.setattr(telemetry, "_node_states", lambda *a: folds.append(a) or fold(*a))
+    event_path_features(Tables(spark, f"{DATA}/sf0.001"))
+    assert len(folds) == 1
+
+
+def test_states_of_a_null_key_merge_in_one_shuffle(spark):
+    rows = [(None, 0, 1.0), (None, 1, 5.0), ("r", 0, 2.0)]
+    series = spark.createDataFrame([(r, t, v, v, v) for r, t, v in rows], "run string, ts long, cpu double, mem double, disk double")
+    states = telemetry.FoldedTelemetry(series, ["run"], 10).samples
+    whole = telemetry._merged(states, ["run"], None)
+    assert {r["run"]: (r["cpu_mean"], r["cpu_square"], r["step_mean"]) for r in whole.collect()} == {None: (3.0, 8.0, 4.0), "r": (2.0, 0.0, None)}

@@ -91,3 +91,18 @@ def test_kmeans_step_compares_sets_of_one_size_at_once(spark, monkeypatch):
     batch = pa.RecordBatch.from_arrays([pa.array(points[:512].tolist(), pa.list_(pa.float64()))], ["z"])
     assert next(task[0](iter([batch]))).num_rows == 60
     assert products == [(30, 2, 5)]
+
+
+def test_kmeans_passes_read_packed_vectors(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    points = np.concatenate([rng.normal(size=(700, 5)), rng.normal(size=(500, 5)) + 9])
+    df = spark.createDataFrame([(p.tolist(),) for p in points], "z array<double>").repartition(3)
+    sets = [rng.normal(size=(k, 5)) for k in (2, 3)]
+    plain, packed = vectors._step(df, "z", sets), vectors._step(vectors._packed(df, "z"), "z", sets)
+    for (new, sizes, cost), (other, same, again) in zip(plain, packed):
+        assert np.allclose(new, other) and sizes.tolist() == same.tolist() and np.isclose(cost, again)
+    kinds = []
+    step = vectors._step
+    monkeypatch.setattr(vectors, "_step", lambda rows, column, centers: kinds.append(dict(rows.dtypes)[column]) or step(rows, column, centers))
+    assert sorted(r["size"] for r in vectors.fit_centers(df, 2, starts=3).collect()) == [500, 700]
+    assert set(kinds) == {"binary"}
