@@ -270,7 +270,7 @@ def run_records(flow) -> tuple[DataFrame, DataFrame]:
     arrived = F.timestamp_seconds(F.lit(1_600_000_000) + F.col("input_id") * 60 + F.col("iteration"))
     runs = flow.judged.join(names, RUN, "left").withColumn("arrived", arrived)
     sides = live.telemetry_columns()
-    return runs.drop(*sides), runs.select(*RUN, *sides, arrived.alias("arrived"))
+    return runs.drop(*sides), flow.judged.select(*RUN, *sides, arrived.alias("arrived"))
 
 
 @query(

@@ -9,6 +9,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..operators import scoring
 from ..operators.baseline import RESOURCES, RUN
+from ..operators.storage import written
 
 
 def stream_telemetry(
@@ -47,12 +48,14 @@ def stream_scores(
 ) -> StreamingQuery:
     """Score each micro-batch of runs against static models, exactly once.
 
-    ``score`` maps a batch frame to detections by joins with model tables. Each
-    batch overwrites its own folder, so a retried batch leaves one result.
+    ``score`` maps a batch frame to detections by joins with model tables. It reads
+    the batch many times, so the batch is written first: a stream's joins and state
+    run once. Each batch overwrites its own folder, so a retried batch leaves one
+    result.
     """
 
     def emit(batch: DataFrame, batch_id: int) -> None:
-        score(batch).write.mode("overwrite").parquet(f"{target}/batch={batch_id}")
+        score(written(batch, "arrived-runs")).write.mode("overwrite").parquet(f"{target}/batch={batch_id}")
 
     return (
         runs.writeStream.foreachBatch(emit)

@@ -86,3 +86,19 @@ def test_detection_without_telemetry(spark):
     functions = runs.select(*live.RUN, F.posexplode("names").alias("pos", "function_name"))
     path = live.scoring.score_path(runs, functions, models["frequencies"], models["grams"], models["lengths"]).first()
     assert path["path_score"] == 1.0
+
+
+def test_scores_read_a_written_batch_not_the_stream(spark, tmp_path):
+    """Scoring reads a batch many times; joins and state of the stream must not run again."""
+    source = str(tmp_path / "in")
+    spark.range(5).write.parquet(source)
+    stream = spark.readStream.schema("id long").parquet(source).dropDuplicates(["id"])
+    plans = []
+
+    def score(batch):
+        plans.append(batch._jdf.queryExecution().executedPlan().toString())
+        return batch.unionByName(batch)
+
+    live.stream_scores(stream, score, str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination()
+    assert plans and all("FileScan parquet" in p for p in plans)
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 10
