@@ -19,7 +19,9 @@ cell of the nearest one and to a shell of width 0.15 around it. A document is
 copied to another cell if its distance there exceeds its nearest by at most twice
 0.15, and to the next shell: by the triangle inequality linked documents share a
 cell. Cells are regions of the next level. In small regions, and in cells that
-pivots no longer divide, documents of different components are paired; pairs
+pivots no longer divide, documents of different components are paired. Those of
+large families, compared with one central document, are tied to a block of the
+family first, block by block in numpy, so that few are left to pair. Pairs
 whose sizes, or whose parities or counts of shingles per hash bucket, lie further
 apart than linked sets can are left out, and the others are measured exactly.
 Neither distance exceeds the number of shingles that two sets don't share, so no
@@ -52,6 +54,8 @@ PIVOTS = 8
 LEAF = 4096
 #: Documents that one task compares with those of a family.
 BLOCK = 512
+#: Shingles that such documents hold together, on average.
+BLOCK_SHINGLES = 1 << 19
 #: A cell that keeps more than this share of its region is joined pair by pair too.
 STUCK = 0.75
 #: Hash buckets whose shingle counts bound a distance from below.
@@ -362,12 +366,78 @@ def _side(rows: DataFrame, side: str, *keys: str) -> DataFrame:
     return rows.select(*keys, F.col("node").alias(side), *named, *_parity_columns(side))
 
 
-def _cross_pairs(regions: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _kin(regions: DataFrame) -> DataFrame:
+    """``node, n, component, family, core, parts``: members of families of two components, once each."""
+    kin = regions.groupBy("node", "n", "component", "family").agg(F.max("core").alias("core"))
+    blocks = F.greatest(F.count(F.lit(1)) / BLOCK, F.sum("n") / BLOCK_SHINGLES)
+    families = kin.groupBy("family").agg(
+        F.ceil(blocks).cast("int").alias("parts"), F.min("component").alias("_low"), F.max("component").alias("_high")
+    )
+    return kin.join(families.where("_low <> _high").select("family", "parts"), "family")
+
+
+def _tied(hub: pa.Table, block: pa.Table, percent: int) -> pa.Table:
+    """Verified links that connect what a hub and a block of its family have linked.
+
+    Every document of the hub meets every one of the block, nearest counts first;
+    pairs that earlier links connect are passed over.
+    """
+    sides = [hub, block]
+    nodes = np.concatenate([t.column("node").to_numpy() for t in sides])
+    root = np.concatenate([t.column("component").to_numpy() for t in sides])
+    sets = [s for t in sides for c in t.column("shingles").chunks for s in _slices(c)]
+    counts = np.frombuffer(b"".join(x for t in sides for x in t.column("counts").to_pylist()), dtype=np.uint8)
+    counts = counts.reshape(len(nodes), -1).astype(np.int16)
+    sizes = np.array([len(s) for s in sets], dtype=np.int64)
+    links: list[tuple[int, int]] = []
+    first = hub.num_rows
+    for i in range(first):
+        apart = np.abs(counts[first:] - counts[i]).sum(axis=1, dtype=np.int64)
+        near = apart * (100 + percent) <= (sizes[first:] + sizes[i]) * (100 - percent)
+        found = np.flatnonzero(near & (root[first:] != root[i]))
+        for j in first + found[np.argsort(apart[found], kind="stable")]:
+            if root[i] == root[j]:
+                continue
+            both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+            if both * 100 >= (sizes[i] + sizes[j] - both) * percent:
+                links.append((int(nodes[i]), int(nodes[j])))
+                root[root == root[j]] = root[i]
+    return pa.table({"a": pa.array([a for a, _ in links], pa.int64()), "b": pa.array([b for _, b in links], pa.int64())})
+
+
+def _slices(lists: pa.ListArray) -> list[np.ndarray]:
+    flat, ends = lists.values.to_numpy(), lists.offsets.to_numpy()
+    return [flat[i:j] for i, j in zip(ends, ends[1:])]
+
+
+def _hub_links(kin: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Links ``a, b`` of large families with their hubs, and the hubs' ``node``.
+
+    A family of several blocks has one of them, by hash, as its hub. Each block
+    meets the hub in a group of its own, so rows grow with the documents, and no
+    more links leave it than it has documents.
+    """
+    dealt = kin.withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    hubs = dealt.where("part = 0")
+    copies = hubs.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    # columns of their own on either side, as both come from one table
+    one, two = (
+        x.join(sets, "node")
+        .select(*[F.col(c).alias(c) for c in ("family", "part", "node", "component", "shingles", "counts")])
+        .groupBy("family", "part")
+        for x in (copies, dealt)
+    )
+    ties = one.cogroup(two).applyInArrow(lambda hub, block: _tied(hub, block, percent), "a long, b long")
+    return ties, hubs.select("node")
+
+
+def _cross_pairs(regions: DataFrame, sets: DataFrame, percent: int, met: DataFrame | None = None) -> DataFrame:
     """Pairs of different components that share a region or a family and may be linked.
 
     A family is the documents that were compared with the same central document.
     Documents of one family meet there, once; only those of different families
-    are looked for region by region.
+    are looked for region by region. Documents in ``met`` have been compared with
+    all their families.
     """
     parity = sets.select("node", "parity")
     mixed = (
@@ -380,10 +450,10 @@ def _cross_pairs(regions: DataFrame, sets: DataFrame, percent: int) -> DataFrame
     apart = _side(rows, "a", "region").join(_side(rows, "b", "region"), "region").where(
         (F.col("a") < F.col("b")) & (F.col("f_a") != F.col("f_b")) & _may_link(percent)
     )
-    kin = regions.groupBy("node", "n", "component", "family").agg(F.max("core").alias("core"))
-    parts = F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("parts")
-    families = kin.groupBy("family").agg(parts, F.min("component").alias("_low"), F.max("component").alias("_high"))
-    kin = kin.join(families.where("_low <> _high").select("family", "parts"), "family").join(parity, "node")
+    kin = _kin(regions)
+    if met is not None:
+        kin = kin.join(met, "node", "left_anti")
+    kin = kin.join(parity, "node")
     one = _side(kin.withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts"))), "a", "family", "part")
     two = _side(kin.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))), "b", "family", "part")
     one, two = one.withColumn("part", F.col("part").cast("int")), two.withColumn("part", F.col("part").cast("int"))
@@ -426,7 +496,16 @@ def links(
             return found, labels
         level += 1
         small = (F.col("size") <= LEAF) | F.col("stuck")
-        pairs = _cross_pairs(regions.where(small), sets, percent)
+        kin, many = written_counted(_kin(regions.where(small)).where("parts > 1"), "jaccard-kin")
+        met = None
+        if many:
+            ties, met = _hub_links(kin, sets, percent)
+            found = written(found.unionByName(ties).distinct(), "jaccard-links")
+            labels = components(found)
+            regions, count = _open(regions.drop("component", "size"), labels, "jaccard-level")
+            if not count:
+                return found, labels
+        pairs = _cross_pairs(regions.where(small), sets, percent, met)
         more = distances(maybe_linked(pairs, sets, percent), sets).where(_linked(percent)).select("a", "b")
         large, rest = written_counted(regions.where(~small).drop("stuck"), "jaccard-large")
         if rest:
