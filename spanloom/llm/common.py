@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 from collections.abc import Sequence
+from itertools import filterfalse
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
@@ -126,11 +127,10 @@ class Remembered(dict):
         if len(self) > self.most:
             self.older = dict(self)
             self.clear()
-        older, out = self.older, []
-        for word in words:
-            if word not in self:
-                if word in older:
-                    self[word] = older[word]
-                else:
-                    out.append(word)
-        return out
+        out = list(filterfalse(self.__contains__, words))
+        older = self.older
+        if not older:
+            return out
+        back = list(filter(older.__contains__, out))
+        self.update(zip(back, map(older.__getitem__, back)))
+        return list(filterfalse(self.__contains__, out)) if back else out

@@ -65,7 +65,8 @@ SOLID = "!-~À-ÿ"
 SEAM = re.compile(f"(?<=[{SOLID}]) (?=[{SOLID}])")
 ALONE = re.compile(f"[{SOLID}](?:.*[{SOLID}])?", re.S)
 #: Letters, then marks: tokens never run from the ones into the others.
-PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?*%$#&|]*)")
+MARKS = ".,;:!?*%$#&|"
+PLAIN = re.compile(f"[A-Za-zÀ-ÖØ-öø-ÿ]+[{MARKS}]*")
 
 
 class Encoder:
@@ -90,7 +91,7 @@ class Encoder:
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [
             np.array(x.ids, dtype="<u4").tobytes()
-            for x in self.model.encode_batch(texts, add_special_tokens=False)
+            for x in self.model.encode_batch_fast(texts, add_special_tokens=False)
         ]
 
     def _spaced(self, words: list[str]) -> list[bytes]:
@@ -111,19 +112,34 @@ class Encoder:
             out += [data[i:j] for i, j in zip(edges, edges[1:])]
         return out
 
-    def _learn(self, words: list[str]) -> None:
-        """Remember the ids of words with a space in front, by their letters and marks."""
-        split, letters, marks = {}, set(), set()
+    def _learn(self, words: list[str]) -> set[str]:
+        """Remember the ids of words with a space in front, by their letters and marks.
+
+        Returned are words that don't stand alone, which are not remembered.
+        """
+        unsafe, kept, fronts, marked = set(), [], [], []
         for word in words:
-            plain = PLAIN.fullmatch(word)
-            split[word] = plain.groups() if plain else (word, "")
-            letters.add(split[word][0])
-            marks.add(split[word][1])
-        fresh = self.letters.missing(letters)
-        self.letters.update(zip(fresh, self._spaced(fresh)))
-        ids = dict(zip(marks, self._whole(list(marks))))
-        for word, (front, end) in split.items():
-            self.known[word] = self.letters[front] + ids[end]
+            front = word.rstrip(MARKS)
+            # most words are ASCII letters; a pattern looks at the others
+            if not (front.isascii() and front.isalpha()) and not PLAIN.fullmatch(word):
+                if not ALONE.fullmatch(word):
+                    unsafe.add(word)
+                    continue
+                front = word
+            if len(front) < len(word):
+                marked.append((word, front))
+            else:
+                kept.append(word)
+            fronts.append(front)
+        letters, known = self.letters, self.known
+        fresh = letters.missing(set(fronts))
+        letters.update(zip(fresh, self._spaced(fresh)))
+        known.update(zip(kept, map(letters.__getitem__, kept)))
+        marks = list({word[len(front) :] for word, front in marked})
+        ids = dict(zip(marks, self._whole(marks)))
+        for word, front in marked:
+            known[word] = letters[front] + ids[word[len(front) :]]
+        return unsafe
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian 32-bit integers."""
@@ -131,15 +147,13 @@ class Encoder:
             return self._whole(texts)
         split = [text.split(" ") for text in texts]
         fresh = self.known.missing(set().union(*(words[1:] for words in split)))
-        alone = [word for word in fresh if ALONE.fullmatch(word)]
-        unsafe = set(fresh).difference(alone)
-        self._learn(alone)
+        unsafe = self._learn(fresh)
         odd: set[str] = set()
         for i, (text, words) in enumerate(zip(texts, split)):
             if not unsafe.isdisjoint(words[1:]) or words[0] and not ALONE.fullmatch(words[0][-1]):
                 split[i] = SEAM.split(text)
                 odd.update(split[i][1:])
-        rest = list(odd.difference(self.known))  # whole stretches of text: not remembered
+        rest = [x for x in odd if x not in self.known]  # whole stretches of text: not remembered
         known = ChainMap(self.known, dict(zip(rest, self._whole([" " + x for x in rest]))))
         first = self._whole([words[0] for words in split])
         out = []
