@@ -56,10 +56,12 @@ def standardize(
 ) -> DataFrame:
     """z-scores by population deviation; a constant position becomes 0."""
     scaled = df.withColumn("_scale", _scale(scaling(df, dim, column) if scales is None else scales))
-    centred = F.zip_with(column, F.col("_scale.mean"), lambda x, m: x - m)
-    z = F.zip_with(
-        centred, F.col("_scale.std"), lambda d, s: F.when(s > 0, d / s).otherwise(F.lit(0.0))
-    )
+
+    def score(i: int) -> Column:
+        x, mean, std = (F.get(c, F.lit(i)) for c in (column, "_scale.mean", "_scale.std"))
+        return F.when(std > 0, (x - mean) / std).otherwise(F.lit(0.0))
+
+    z = F.when(F.col(column).isNotNull(), F.array(*[score(i) for i in range(dim)]))
     return scaled.withColumn(out, z).drop("_scale")
 
 
@@ -292,13 +294,16 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
 
 
-def _far(x: np.ndarray, sets: np.ndarray) -> np.ndarray:
-    """Squared distances of rows to centre sets of one size: by set, centre and row."""
+def _lifted(x: np.ndarray) -> np.ndarray:
+    """Rows with a one and their squared norm behind: distances and sums are then one product each."""
+    return np.column_stack([x, np.ones(len(x)), np.einsum("ij,ij->i", x, x)])
+
+
+def _far(lifted: np.ndarray, sets: np.ndarray) -> np.ndarray:
+    """Squared distances of rows to centre sets of one size: by set, centre and row; not clipped at zero."""
     stack = sets.reshape(-1, sets.shape[-1])
-    far = (-2 * stack) @ x.T
-    far += (stack * stack).sum(axis=1)[:, None]
-    far += (x * x).sum(axis=1)
-    return np.maximum(far, 0, out=far).reshape(*sets.shape[:2], len(x))
+    raised = np.column_stack([-2 * stack, (stack * stack).sum(axis=1), np.ones(len(stack))])
+    return (raised @ lifted.T).reshape(*sets.shape[:2], len(lifted))
 
 
 def _blocks(batches: Iterable[pa.RecordBatch], rows: int = 512) -> Iterator[tuple[np.ndarray, pa.RecordBatch]]:
@@ -320,7 +325,9 @@ def _packed(df: DataFrame, column: str) -> DataFrame:
         for x, _ in _blocks(batches, PACKED):
             yield pa.RecordBatch.from_arrays([pa.array([x.astype(np.float64).tobytes()], pa.binary())], [column])
 
-    return written(df.select(column).mapInArrow(pack, f"`{column}` binary"), "packed-vectors")
+    packed = df.select(column).mapInArrow(pack, f"`{column}` binary")
+    # an equal share for every core: a pass takes as long as its longest task
+    return written(packed.repartition(2 * df.sparkSession.sparkContext.defaultParallelism), "packed-vectors")
 
 
 def _pieces(batches: Iterator[pa.RecordBatch], dim: int) -> Iterator[np.ndarray]:
@@ -361,7 +368,7 @@ def _starting_centers(df: DataFrame, column: str, k: int, *, seed: int, starts:
             least: dict[int, tuple[float, list[float]]] = {}
             for x, block in _blocks(batches):
                 many, hashes = block.column(1).to_numpy(), block.column(2).to_numpy()
-                apart = _far(x, before).min(axis=1) if draw else np.ones((starts, len(x)))
+                apart = _far(_lifted(x), before).min(axis=1) if draw else np.ones((starts, len(x)))
                 for i, rate in enumerate(many * apart):
                     wait = np.full(len(x), np.inf)
                     np.divide(-np.log(_uniform(hashes, draw * starts + i + 1)), rate, out=wait, where=rate > 0)
@@ -382,72 +389,122 @@ def _starting_centers(df: DataFrame, column: str, k: int, *, seed: int, starts:
     return [np.array(c) for c in chosen]
 
 
-def _step(df: DataFrame, column: str, centers: list[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray, float]]:
-    """New centres, sizes and cost of every centre set, in one pass over the rows.
+def _totals(df: DataFrame, column: str, centers: list[np.ndarray]) -> list[tuple[np.ndarray, float]]:
+    """Per centre set the sums of its clusters (vector, size, squared norm) and its cost, in one pass over the rows.
 
-    Tasks add up their rows per set and cluster, Spark adds up the tasks; one row
-    per set and cluster comes back. Sets of one size are compared with a block of
+    Tasks add up their rows per set and cluster, a second stage adds up the tasks;
+    one row per set and cluster comes back. Sets of one size are compared with a block of
     rows at once, by products of matrices. ``column`` may be packed.
     """
     alike: dict[int, list[int]] = {}
     for i, own in enumerate(centers):
         alike.setdefault(len(own), []).append(i)
     stacks = [(k, found, np.array([centers[i] for i in found])) for k, found in alike.items()]
+    dim = centers[0].shape[1]
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = [np.zeros((*own.shape[:2], own.shape[2] + 2)) for _, _, own in stacks]
-        for x in _pieces(batches, centers[0].shape[1]):
-            counted = np.column_stack([x, np.ones(len(x))])
+        parts = [np.zeros((*own.shape[:2], dim + 3)) for _, _, own in stacks]
+        for x in _pieces(batches, dim):
+            lifted = _lifted(x)
             for part, (k, found, own) in zip(parts, stacks):
-                far = _far(x, own)
-                least, label = far[:, 0].copy(), np.zeros((len(found), len(x)), np.int32)
-                for j in range(1, k):
-                    np.copyto(label, j, where=far[:, j] < least)
-                    np.minimum(least, far[:, j], out=least)
-                one = far  # its room is used again
-                for j in range(k):
-                    one[:, j] = label == j
-                part[:, :, :-1] += (one.reshape(-1, len(x)) @ counted).reshape(len(found), k, -1)
-                part[:, 0, -1] += least.sum(axis=1)  # the cost of a set stands with its first cluster
+                far = _far(lifted, own)
+                least = far.min(axis=1)
+                one = np.equal(far, least[:, None], out=np.empty_like(far), casting="unsafe")
+                added = (one.reshape(-1, len(x)) @ lifted).reshape(len(found), k, -1)
+                # of centres equally near the first counts
+                for i in np.flatnonzero(added[:, :, dim].sum(axis=1) != len(x)):
+                    one[i] = np.arange(k)[:, None] == far[i].argmin(axis=0)
+                    added[i] = one[i] @ lifted
+                part[:, :, :-1] += added
+                part[:, 0, -1] += np.maximum(least, 0, out=least).sum(axis=1)  # the cost of a set stands with its first cluster
         rows = [
-            (i, j, part[at, j].tolist())
+            (i, j, part[at, j].tobytes())
             for part, (k, found, _) in zip(parts, stacks)
             for at, i in enumerate(found)
             for j in range(k)
         ]
-        columns = [pa.array(list(c), k) for c, k in zip(zip(*rows), (pa.int32(), pa.int32(), pa.list_(pa.float64())))]
-        yield pa.RecordBatch.from_arrays(columns, ["set", "cluster", "sums"])
-
-    width = centers[0].shape[1] + 2
-    added = (
-        df.select(column)
-        .mapInArrow(sums, "set int, cluster int, sums array<double>")
-        .groupBy("set", "cluster")
-        .agg(F.array(*[F.sum(F.get("sums", F.lit(i))) for i in range(width)]).alias("sums"))
-    )
-    out = [(c.copy(), np.zeros(len(c)), 0.0) for c in centers]
-    costs = np.zeros(len(centers))
+        yield packed(rows)
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: dict[tuple[int, int], np.ndarray] = {}
+        for batch in batches:
+            for i, j, part in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+                out[i, j] = out.get((i, j), 0.0) + np.frombuffer(part.as_buffer())
+        yield packed([(*at, total.tobytes()) for at, total in out.items()])
+
+    def packed(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
+        columns = zip(*rows) if rows else ([], [], [])
+        kinds = pa.int32(), pa.int32(), pa.binary()
+        return pa.RecordBatch.from_arrays([pa.array(list(c), kind) for c, kind in zip(columns, kinds)], ["set", "cluster", "sums"])
+
+    # a column for each sum would take the driver longer to plan than the sums take
+    schema = "set int, cluster int, sums binary"
+    added = df.select(column).mapInArrow(sums, schema).repartition("set").mapInArrow(add, schema)
+    totals = [np.zeros((len(c), dim + 3)) for c in centers]
     for row in added.collect():
-        total = np.array(row["sums"])
-        new, sizes, _ = out[row["set"]]
-        if total[-2] > 0:  # an empty cluster stays where it is
-            new[row["cluster"]] = total[:-2] / total[-2]
-        sizes[row["cluster"]] = total[-2]
-        costs[row["set"]] += total[-1]
-    return [(new, sizes, float(cost)) for (new, sizes, _), cost in zip(out, costs)]
+        totals[row["set"]][row["cluster"]] = np.frombuffer(row["sums"])
+    return [(total[:, :-1], float(total[0, -1])) for total in totals]
+
+
+def _step(df: DataFrame, column: str, centers: list[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray, float]]:
+    """New centres, sizes and cost of every centre set."""
+    moved = []
+    for own, (sums, cost) in zip(centers, _totals(df, column, centers)):
+        sizes = sums[:, -2]
+        # an empty cluster stays where it is
+        new = np.divide(sums[:, :-2], sizes[:, None], out=own.copy(), where=sizes[:, None] > 0)
+        moved.append((new, sizes, cost))
+    return moved
+
+
+def _silhouettes(df: DataFrame, column: str, centers: list[np.ndarray]) -> list[float | None]:
+    """``silhouette`` of the rows labelled by each centre set (``assign_nearest``), in two passes for all sets.
+
+    Means and squared norms of the clusters first, then the rows' scores.
+    """
+    dim = centers[0].shape[1]
+    known = []
+    for own, (sums, _) in zip(centers, _totals(df, column, centers)):
+        sizes, some = sums[:, -2], sums[:, -2] > 0
+        mean = np.divide(sums, sizes[:, None], out=np.zeros_like(sums), where=some[:, None])
+        raised = np.column_stack([-2 * mean[:, :dim], mean[:, -1], np.ones(len(own))])
+        inner = np.divide(sizes, sizes - 1, out=np.zeros(len(own)), where=sizes > 1)
+        known.append((own, sizes, some, raised, inner))
+
+    def scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        added, scored = np.zeros(len(known)), np.zeros(len(known), np.int64)
+        for x in _pieces(batches, dim):
+            lifted, at = _lifted(x), np.arange(len(x))
+            for i, (own, sizes, some, raised, inner) in enumerate(known):
+                label = _far(lifted, own[None])[0].argmin(axis=0)
+                apart = np.maximum(raised @ lifted.T, 0)
+                a = apart[label, at] * inner[label]
+                apart[~some] = np.inf
+                apart[label, at] = np.inf
+                b = apart.min(axis=0)
+                widest = np.where(np.isinf(b), a, np.maximum(a, b))
+                alone = (sizes[label] <= 1) | (widest == 0)  # scores 0
+                told = ~alone & ~np.isinf(b)
+                added[i] += ((b[told] - a[told]) / widest[told]).sum()
+                scored[i] += told.sum() + alone.sum()
+        rows = [pa.array(range(len(known)), pa.int32()), pa.array(added), pa.array(scored)]
+        yield pa.RecordBatch.from_arrays(rows, ["set", "added", "scored"])
+
+    told = df.select(column).mapInArrow(scores, "set int, added double, scored long")
+    sums = {r["set"]: r for r in told.groupBy("set").agg(F.sum("added").alias("added"), F.sum("scored").alias("scored")).collect()}
+    return [sums[i]["added"] / sums[i]["scored"] if sums[i]["scored"] else None for i in range(len(centers))]
 
 
 def _fitted(
-    df: DataFrame, column: str, sizes: list[int], *, seed: int, starts: int, max_iter: int
+    df: DataFrame, packed: DataFrame, column: str, sizes: list[int], *, seed: int, starts: int, max_iter: int
 ) -> dict[int, tuple[np.ndarray, np.ndarray]]:
     """For each k the centres and cluster sizes of the cheapest of ``starts`` fits.
 
     All fits advance together, one pass over the rows for each iteration; those
-    that have settled take no part in later passes. Starting centres are drawn
-    from all rows, for every start anew.
+    that have settled take no part in later passes, which read ``packed``. Starting
+    centres are drawn from all rows, for every start anew.
     """
     drawn = _starting_centers(df, column, max(sizes), seed=seed, starts=starts)
-    packed = _packed(df, column)
     sets = [(k, centers[:k]) for k in sizes for centers in drawn]
     done: list[tuple[int, np.ndarray, np.ndarray, float]] = []
     for iteration in range(max_iter + 1):
@@ -465,10 +522,14 @@ def _fitted(
     return {k: (found[1], found[2]) for k, found in best.items()}
 
 
+def _by_size(centers: np.ndarray, sizes: np.ndarray) -> list[tuple[float, list[float]]]:
+    """Sizes and centres, largest first, then by centre."""
+    return sorted(zip(sizes.tolist(), centers.tolist()), key=lambda t: (-t[0], t[1]))
+
+
 def _numbered(df: DataFrame, centers: np.ndarray, sizes: np.ndarray) -> DataFrame:
-    """Centres numbered by size, largest first, then by centre."""
-    found = sorted(zip(sizes.tolist(), centers.tolist()), key=lambda t: (-t[0], t[1]))
-    rows = [(index, center, int(size)) for index, (size, center) in enumerate(found)]
+    """Centres numbered ``_by_size``."""
+    rows = [(index, center, int(size)) for index, (size, center) in enumerate(_by_size(centers, sizes))]
     return df.sparkSession.createDataFrame(rows, "id int, center array<double>, size long")
 
 
@@ -479,7 +540,7 @@ def fit_centers(
 
     Ids do not depend on the start. Only centres and their sums reach the driver.
     """
-    best = _fitted(df, column, [k], seed=seed, starts=starts, max_iter=max_iter)
+    best = _fitted(df, _packed(df, column), column, [k], seed=seed, starts=starts, max_iter=max_iter)
     return _numbered(df, *best[k])
 
 
@@ -488,18 +549,19 @@ def choose_k(
 ) -> DataFrame:
     """Silhouette for each k in [2, min(largest, n // 5)); the first best is chosen.
 
-    All candidates are fitted together. With too few rows for any candidate,
-    k = 2 is chosen without a score.
+    All candidates are fitted together, and scored together. With too few rows for
+    any candidate, k = 2 is chosen without a score.
     """
     spark = df.sparkSession
     rows = df.count()
     candidates = list(range(2, min(largest, rows // 5))) if rows >= 10 else []
     scores = []
-    fits = _fitted(df, column, candidates, seed=seed, starts=starts, max_iter=300) if candidates else {}
-    for k in candidates:
-        labelled = assign_nearest(df.select(column), _numbered(df, *fits[k]), column)
-        scores.append((k, silhouette(labelled, dim, column).head()["silhouette_sq"]))
-    best = max(scores, key=lambda s: s[1])[0] if scores else 2
+    if candidates:
+        packed = _packed(df, column)
+        fits = _fitted(df, packed, column, candidates, seed=seed, starts=starts, max_iter=300)
+        centers = [np.array([center for _, center in _by_size(*fits[k])]) for k in candidates]
+        scores = list(zip(candidates, _silhouettes(packed, column, centers)))
+    best = max(scores, key=lambda s: (s[1] is not None, s[1] or 0.0))[0] if scores else 2
     table = scores or [(2, None)]
     return spark.createDataFrame(
         [(k, s, k == best) for k, s in table], "k int, silhouette_sq double, chosen boolean"

@@ -106,3 +106,23 @@ def test_kmeans_passes_read_packed_vectors(spark, monkeypatch):
     monkeypatch.setattr(vectors, "_step", lambda rows, column, centers: kinds.append(dict(rows.dtypes)[column]) or step(rows, column, centers))
     assert sorted(r["size"] for r in vectors.fit_centers(df, 2, starts=3).collect()) == [500, 700]
     assert set(kinds) == {"binary"}
+
+
+def test_candidates_are_scored_together(spark, monkeypatch):
+    """One pass for the clusters and one for the scores, whatever the number of candidates."""
+    rng = np.random.default_rng(5)
+    points = np.concatenate([rng.normal(size=(60, 3)), rng.normal(size=(40, 3)) + 5, np.zeros((20, 3))])
+    df = spark.createDataFrame([(p.tolist(),) for p in points], "z array<double>").repartition(3)
+    sets = [points[rng.choice(120, k, replace=False)] for k in (2, 3, 7)] + [np.zeros((2, 3)), np.array([[0.0] * 3, [99.0] * 3])]
+    sets[2][3] = sets[2][4]  # of equal centres the first counts
+    alone = []
+    for own in sets:
+        centers = spark.createDataFrame([(i, c.tolist()) for i, c in enumerate(own)], "id int, center array<double>")
+        alone.append(vectors.silhouette(vectors.assign_nearest(df, centers), 3).head()["silhouette_sq"])
+    assert vectors._silhouettes(df, "z", sets) == [None if s is None else pytest.approx(s, rel=1e-9) for s in alone]
+    scored, passes = [], []
+    monkeypatch.setattr(vectors, "assign_nearest", lambda *a, **k: passes.append(a))
+    together = vectors._silhouettes
+    monkeypatch.setattr(vectors, "_silhouettes", lambda rows, column, own: scored.append(len(own)) or together(rows, column, own))
+    vectors.choose_k(df, 3, starts=2, largest=6)
+    assert scored == [4] and not passes
