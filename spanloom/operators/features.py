@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.names import name_prefix
 from .ordered import percentiles, running_sum, with_following
-from .telemetry import RESOURCE_FEATURES, FoldedTelemetry, resource_features
+from .telemetry import RESOURCE_FEATURES, resource_features
 
 # Names and order of the feature vector.
 STRUCTURAL = (
@@ -193,23 +193,18 @@ def phase_features(
     *,
     width: int,
     slices: int | None = None,
-    folded: FoldedTelemetry | None = None,
+    measured: DataFrame | None = None,
 ) -> DataFrame:
     """How resources change across the phases of a path.
 
     ``phase_distance`` is the mean Euclidean distance between phases; a path
-    has at most four, so its phases are folded into one small array.
+    has at most four, so its phases are folded into one small array. ``measured``
+    are the resource features of these very phases, if they are made already.
     """
     names = RESOURCE_FEATURES
-    measured = resource_features(
-        phase_intervals(functions, key),
-        series,
-        run,
-        [*key, "phase"],
-        width=width,
-        slices=slices,
-        folded=folded,
-    )
+    if measured is None:
+        intervals = phase_intervals(functions, key)
+        measured = resource_features(intervals, series, run, [*key, "phase"], width=width, slices=slices)
     vector = F.array(*[F.col(n) for n in names])
     folded = measured.groupBy(*key).agg(
         F.transform(

@@ -5,11 +5,10 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import cached_property
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 
 from ..operators import archetypes, features, vectors
 from ..operators.storage import written
-from ..operators.telemetry import FoldedTelemetry
 
 DIM = len(features.FEATURES)
 
@@ -26,20 +25,24 @@ def path_features(
 ) -> DataFrame:
     """The 33 features of every path, with run metadata and the vector.
 
-    Functions and telemetry each feed several extractors and are written once;
-    telemetry is folded once for paths and their phases.
+    Functions feed several extractors and are written once; telemetry is folded
+    once for paths and their phases together.
     """
     functions = written(functions, "path-functions")
-    telemetry = written(telemetry, "telemetry")
-    folded = FoldedTelemetry(telemetry, run, width)
+    intervals = features.path_intervals(functions, key).withColumn("phase", F.lit(None).cast("int"))
+    intervals = intervals.unionByName(features.phase_intervals(functions, key))
+    measured = written(
+        features.resource_features(intervals, written(telemetry, "telemetry"), run, [*key, "phase"], width=width),
+        "measured",
+    )
     parts = [
         features.structural_features(functions, key, static, ["program", "function_name"]),
         features.temporal_features(functions, key),
-        features.resource_features(
-            features.path_intervals(functions, key), telemetry, run, key, width=width, folded=folded
-        ),
+        measured.where(F.col("phase").isNull()).drop("phase"),
         features.transition_features(functions, key),
-        features.phase_features(functions, telemetry, run, key, width=width, folded=folded),
+        features.phase_features(
+            functions, telemetry, run, key, width=width, measured=measured.where(F.col("phase").isNotNull())
+        ),
     ]
     about = features.path_metadata(functions, key, metadata or {})
     return features.assemble_features(parts, key, about)

@@ -119,6 +119,35 @@ def test_long_intervals_over_fine_samples(spark):
         assert [features_of[i][n] for n in telemetry.RESOURCE_FEATURES] == pytest.approx(want, rel=1e-9, abs=1e-9)
 
 
+@pytest.mark.parametrize("block", [3, 40])
+def test_intervals_over_many_blocks(spark, block):
+    """Intervals that begin, end or lie in other blocks than their samples, against all samples in one block."""
+    import random
+
+    rng = random.Random(9)
+    rows = [(f"p{i % 2}" if i < 200 else "r", rng.randrange(10**6), rng.choice([None, 5.0, 70.0]), rng.choice([None, 1e6, 3e6]), rng.random()) for i in range(300)]
+    rows = list({r[:2]: r for r in rows}.values()) + [(None, 5, 1.0, 1.0, 1.0)]
+    series = spark.createDataFrame(rows, "program string, ts long, cpu double, mem double, disk double").cache()
+    made = []
+    for i in range(60):
+        low = rng.randrange(-1000, 10**6)
+        made.append((rng.choice(["p0", "p1", "r", "none", None]), i, low, low + rng.choice([-1, 0, 500, 40_000, 2 * 10**6])))
+    made += [(r[0], 100 + i, r[1], r[1]) for i, r in enumerate(rows[:5])]
+    intervals = spark.createDataFrame(made, "program string, id int, start_ns long, end_ns long").cache()
+
+    def features_of(**how):
+        got = telemetry.resource_features(intervals, series, ["program"], ["id"], width=64, **how).collect()
+        return {r["id"]: [r[n] for n in telemetry.RESOURCE_FEATURES] for r in got}
+
+    whole, cut = features_of(slices=1), features_of(slices=4, block=block)
+    assert len(whole) == len(made)
+    for program, i, low, high in made:
+        assert cut[i] == pytest.approx(whole[i], rel=1e-9, abs=1e-9)
+        mine = [r for r in rows if r[0] == program and program and low <= r[1] <= high]
+        mine = mine or [r for r in rows if r[0] == program and program]
+        assert whole[i][6] == pytest.approx(sum(r[4] for r in mine) / max(len(mine), 1) / 1e6)
+
+
 def test_complexity_of_a_stub(spark):
     """Published value for one line, one call, no branches, no I/O."""
     df = spark.createDataFrame([(1, 0, 0, 0, 0, 1, False), (-1, 0, 0, 0, 0, 1, False)], "loc int, ifs int, switches int, loops int, nested_loops int, calls int, has_io boolean")
