@@ -126,3 +126,26 @@ def test_kernel_model_is_built_once_and_scores_as_a_kernel_mean(spark, monkeypat
     found = {r["input_id"]: r["flagged"] for r in flags.collect()}
     assert found == {i: bool(s < cut) for i, s in enumerate(scores)}
     assert names == ["kernel-model", "kernel-scores"]
+
+
+def test_runs_stream_past_their_forest(spark):
+    """Depths as by walking each tree; every run once, not once for each block of trees."""
+    # heap numbers 0..7: a split at 1, a leaf at 2, a split at 3, leaves at 6 and 7
+    feature = [None, 0, -1, 1, None, None, -1, -1]
+    cut = [None, 1.0, 1e6, 5.0, None, None, 2e6, 3e6]
+    trees = [("p", 8, feature, cut), ("p", 8, feature, [None, 4.0, 1e6, 2.0, None, None, 2e6, 7e6])]
+    forest = spark.createDataFrame(trees, "program string, rows long, _feature array<int>, _cut array<double>")
+    runs = [("p", i, i % 2, False, [float(i % 7), float(i % 9)], i % 3 == 0) for i in range(50)]
+    runs += [("q", 1, 1, False, [0.0, 0.0], True), (None, 2, 1, False, [0.0, 0.0], True)]
+    everything = spark.createDataFrame(runs, "program string, input_id long, iteration int, is_regression boolean, x array<double>, _base boolean")
+
+    def depth(x, cuts):
+        node = 1
+        while feature[node] >= 0:
+            node = 2 * node + (x[feature[node]] > cuts[node])
+        return cuts[node]
+
+    got = detectors._fallen(everything, forest, 2, 3).collect()
+    assert len(got) == 50 and {r["program"] for r in got} == {"p"} and {r["rows"] for r in got} == {8}
+    depths = {r["input_id"]: r["_depth"] for r in got}
+    assert depths == {i: sum(depth(x, c) for _, _, _, c in trees) for p, i, _, _, x, _ in runs if p == "p"}
